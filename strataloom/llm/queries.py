@@ -2,10 +2,25 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 
 from ..runtime import importable, table
-from . import jaccard, warc
+from . import jaccard, packing, quality, spbpe, warc
+
+
+def vocabulary(name: str) -> str:
+    """Path of a public vocabulary file; the folder may be named in the environment."""
+    folder = os.environ.get("TOKENIZER_DIR")
+    if folder:
+        return os.path.join(folder, name)
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+PIECES, BYTES = "piece_bpe_32k.model", "byte_bpe_50k.json"
 
 
 def op1_warc_seekable_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,7 +34,22 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similarity_classes(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_seekable_bundles, op2_ngram_jaccard_join)}
+def op3_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    importable(spark)
+    return quality.measure(table(spark, sf_dir, "documents"), vocabulary(PIECES), vocabulary(BYTES))
+
+
+def op6_sentencepiece_prefix_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    importable(spark)
+    return spbpe.digest_documents(table(spark, sf_dir, "documents"), vocabulary(PIECES))
+
+
+def op10_lexical_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    importable(spark)
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary(BYTES)).drop("ids")
+
+
+QUERIES = {f.__name__: f for f in (op1_warc_seekable_bundles, op2_ngram_jaccard_join, op3_tokeniser_fertility, op6_sentencepiece_prefix_table, op10_lexical_retrieval_packing)}
 
 ORACLES = {
     "op1_warc_seekable_bundles": """
