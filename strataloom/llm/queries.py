@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 
 from ..runtime import importable, table
-from . import jaccard, packing, quality, spbpe, warc
+from . import jaccard, packing, quality, shards, spbpe, warc
 
 
 def vocabulary(name: str) -> str:
@@ -44,12 +44,16 @@ def op6_sentencepiece_prefix_table(spark: SparkSession, sf_dir: str) -> DataFram
     return spbpe.digest_documents(table(spark, sf_dir, "documents"), vocabulary(PIECES))
 
 
+def op7_balanced_label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.shard_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_lexical_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     importable(spark)
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary(BYTES)).drop("ids")
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_seekable_bundles, op2_ngram_jaccard_join, op3_tokeniser_fertility, op6_sentencepiece_prefix_table, op10_lexical_retrieval_packing)}
+QUERIES = {f.__name__: f for f in (op1_warc_seekable_bundles, op2_ngram_jaccard_join, op3_tokeniser_fertility, op6_sentencepiece_prefix_table, op7_balanced_label_propagation, op10_lexical_retrieval_packing)}
 
 ORACLES = {
     "op1_warc_seekable_bundles": """
