@@ -11,10 +11,11 @@ identifiers; blocks travel as packed arrays, never as a row per n-gram.
    rarest of its ``c`` shared n-grams (its prefix) have to meet a partner's prefix: the pair is a candidate if one does.
 4. The overlap of candidates is accumulated from their full shared columns and the exact bound decides.
 
-Only the components are wanted, so pairs are never expanded inside a group: a first round compares each set with the
-one set that it meets most often as the least of a column, further rounds compare one pair for each two components that
-still meet, and a last round takes every pair of sets that meet and lie in different components. Pairs inside a
-component need no comparison, so no link between different texts is lost.
+Only the components are wanted, so pairs are never expanded inside a group. A first round compares each set with the
+set that it meets most often as the least of a column. Further rounds compare a few drawn pairs for each component that
+still meets another, for as long as that finds links. A last round takes every pair of sets that meet and lie in
+different components, and drops those whose prefixes share fewer n-grams than the bound leaves room for. Pairs inside
+a component need no comparison, so no link between different texts is lost.
 
 Defined results: null text, empty text and text without words have an empty set and link with nothing; repeated rows
 share their class; a null doc_id is returned as it is and never names a component unless the class has no other id.
@@ -95,16 +96,9 @@ def _gather(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
 
 
 def incidence(docs: DataFrame, n_buckets: int, width: int = WIDTH) -> DataFrame:
-    """Rows of two kinds: ``bucket`` -1 with (doc_id, sid, n) of each document, else blocks of the incidence matrix."""
+    """Blocks of the incidence matrix; a set that repeats within a task is sent once for each of its batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("sid", pa.int64()), ("n", pa.int64()), *BLOCK])
-        empty = {f.name: f.type for f in schema}
-
-        def filled(known: dict) -> pa.RecordBatch:
-            size = len(next(iter(known.values())))
-            return pa.RecordBatch.from_arrays([known[k] if k in known else pa.nulls(size, t) for k, t in empty.items()], schema=schema)
-
         held: dict[int, np.ndarray] = {}
         total = 0
 
@@ -115,16 +109,14 @@ def incidence(docs: DataFrame, n_buckets: int, width: int = WIDTH) -> DataFrame:
                 ns = np.array([len(s) for s in held.values()])
                 h = np.concatenate(list(held.values()))
                 row = np.repeat(np.arange(len(sids)), ns)
-                block = _blocks(((h & np.uint64(0xFFFF)) % np.uint64(n_buckets)).astype(np.int64), n_buckets, 0, row, sids, ns, h >> np.uint64(16), None)
+                yield _blocks(((h & np.uint64(0xFFFF)) % np.uint64(n_buckets)).astype(np.int64), n_buckets, 0, row, sids, ns, h >> np.uint64(16), None)
                 held.clear()
                 total = 0
-                yield filled(dict(zip(block.schema.names, block.columns, strict=True)))
 
         for batch in batches:
             for part in slices(batch, "text"):
                 sets = shingle_sets(part.column(1), width)
                 ids = [set_id(s) for s in sets]
-                yield filled({"doc_id": part.column(0), "sid": pa.array(ids, pa.int64()), "n": pa.array([len(s) for s in sets], pa.int64()), "bucket": pa.array([-1] * len(ids), pa.int32())})
                 for i, s in zip(ids, sets, strict=True):
                     if len(s) and i not in held:
                         held[i] = s
@@ -133,8 +125,23 @@ def incidence(docs: DataFrame, n_buckets: int, width: int = WIDTH) -> DataFrame:
                     yield from flush()
         yield from flush()
 
-    flat = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return flat.mapInArrow(run, "doc_id long, sid long, n long, " + BLOCK_DDL)
+    return _flat(docs).mapInArrow(run, BLOCK_DDL)
+
+
+def _flat(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def set_sizes(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """doc_id, sid, n: which set each document has, and its size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                sets = shingle_sets(part.column(1), width)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([set_id(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())], ["doc_id", "sid", "n"])
+
+    return _flat(docs).mapInArrow(run, "doc_id long, sid long, n long")
 
 
 def _columns(n_buckets: int):
@@ -188,83 +195,111 @@ def _rows(key, table):
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(cols, ROWS, strict=True)], schema=ROWS)
 
 
-LISTS_DDL = "bucket int, sids binary, ns binary, labels binary, cnts binary, hs binary"
+LISTS_DDL = "bucket int, sids binary, ns binary, cs binary, labels binary, cnts binary, hs binary, ps binary"
 
 
 def _lists(rows: DataFrame, n_buckets: int) -> DataFrame:
-    """Posting entries of the prefixes in packed blocks by n-gram; rows(sid, n, prefix, label)."""
+    """Posting entries of the prefixes in packed blocks by n-gram: set, size, shared members, label, place in the prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sids, ns, labels = (np.asarray(batch.column(k)).astype(np.int64) for k in (0, 1, 3))
+            sids, ns, labels, cs = (np.asarray(batch.column(k)).astype(np.int64) for k in (0, 1, 3, 4))
             got = [np.frombuffer(p, np.uint64) for p in batch.column(2).to_pylist()]
             row, h = np.repeat(np.arange(len(got)), [len(g) for g in got]), np.concatenate(got)
+            place = np.concatenate([np.arange(len(g), dtype=np.uint32) for g in got])
             bucket = (mix(h) % np.uint64(n_buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
-            bucket, row, h = bucket[order], row[order], h[order]
+            bucket, row, h, place = bucket[order], row[order], h[order], place[order]
             cut = np.searchsorted(bucket, np.arange(n_buckets + 1))
-            out: list[list] = [[] for _ in range(6)]
+            out: list[list] = [[] for _ in range(8)]
             for k in np.flatnonzero(np.diff(cut)):
                 r = row[cut[k] : cut[k + 1]]
                 at = np.flatnonzero(np.concatenate(([True], r[1:] != r[:-1])))
                 u = r[at]
-                values = (int(k), sids[u].tobytes(), ns[u].tobytes(), labels[u].tobytes(), np.diff(np.append(at, len(r))).astype(np.uint32).tobytes(), h[cut[k] : cut[k + 1]].tobytes())
+                values = (int(k), sids[u].tobytes(), ns[u].tobytes(), cs[u].tobytes(), labels[u].tobytes(), np.diff(np.append(at, len(r))).astype(np.uint32).tobytes(), h[cut[k] : cut[k + 1]].tobytes(), place[cut[k] : cut[k + 1]].tobytes())
                 for c, v in zip(out, values, strict=True):
                     c.append(v)
-            types = (pa.int32(), *[pa.binary()] * 5)
+            types = (pa.int32(), *[pa.binary()] * 7)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=[x.split()[0] for x in LISTS_DDL.split(", ")])
 
-    return rows.select("sid", "n", "prefix", "label").mapInArrow(run, LISTS_DDL)
+    return rows.select("sid", "n", "prefix", "label", (F.octet_length("members") / 8).cast("long").alias("c")).mapInArrow(run, LISTS_DDL)
 
 
 def _postings(table: pa.Table) -> tuple[np.ndarray, ...]:
-    """(n-gram, label, sid, n) sorted by n-gram, then label, then sid."""
-    sid, n, label, h = [], [], [], []
-    for s, m, x, c, g in zip(*(table.column(k).to_pylist() for k in ("sids", "ns", "labels", "cnts", "hs")), strict=True):
-        c = np.frombuffer(c, np.uint32)
-        sid.append(np.repeat(np.frombuffer(s, np.int64), c))
-        n.append(np.repeat(np.frombuffer(m, np.int64), c))
-        label.append(np.repeat(np.frombuffer(x, np.int64), c))
-        h.append(np.frombuffer(g, np.uint64))
-    sid, n, label, h = (np.concatenate(x) for x in (sid, n, label, h))
+    """(n-gram, label, sid, n, c, place) sorted by n-gram, then label, then sid."""
+    kinds = {"sids": np.int64, "ns": np.int64, "cs": np.int64, "labels": np.int64, "hs": np.uint64, "ps": np.uint32}
+    got: dict[str, list] = {k: [] for k in kinds}
+    runs = [np.frombuffer(c, np.uint32) for c in table.column("cnts").to_pylist()]
+    for k, kind in kinds.items():
+        for x, c in zip(table.column(k).to_pylist(), runs, strict=True):
+            x = np.frombuffer(x, kind)
+            got[k].append(x if k in ("hs", "ps") else np.repeat(x, c))
+    sid, n, c, label, h, place = (np.concatenate(got[k]) for k in kinds)
     order = np.lexsort((sid, label, h))
-    return h[order], label[order], sid[order], n[order]
+    return h[order], label[order], sid[order], n[order], c[order], place[order].astype(np.int64)
+
 
+PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("la", pa.int64()), ("lb", pa.int64()), ("met", pa.int64()), ("least", pa.int64())])
+PAIRS_DDL = ", ".join(f"{f.name} long" for f in PAIRS)
 
-PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("la", pa.int64()), ("lb", pa.int64()), ("met", pa.int64())])
 
+def _pairs(a, b, la, lb, na, nb) -> pa.Table:
+    """Distinct (a, b) with the number of prefix n-grams in which they met, and the least that a link needs over all columns.
 
-def _pairs(a, b, la, lb) -> pa.Table:
-    """Distinct (a, b) with the number of n-grams in which they met."""
+    Up to the end of the prefix that ends first, all common n-grams are met; beyond it that set has ``need - 1`` more.
+    """
     if not len(a):
         return PAIRS.empty_table()
     order = np.lexsort((b, a))
-    a, b, la, lb = a[order], b[order], la[order], lb[order]
+    a, b, la, lb, na, nb = (x[order] for x in (a, b, la, lb, na, nb))
     at = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
-    return pa.Table.from_arrays([pa.array(x[at]) for x in (a, b, la, lb)] + [pa.array(np.diff(np.append(at, len(a))))], schema=PAIRS)
+    met = np.diff(np.append(at, len(a)))
+    least = -(-NUM * (na + nb) // (NUM + DEN)) - np.maximum(need(na), need(nb)) + 1
+    return pa.Table.from_arrays([pa.array(x[at]) for x in (a, b, la, lb)] + [pa.array(met), pa.array(least[at])], schema=PAIRS)
 
 
-def _fits(m: np.ndarray, n: np.ndarray) -> np.ndarray:
-    return DEN * np.minimum(m, n) >= NUM * np.maximum(m, n)
+def _fits(n, m, c, d, p, q) -> np.ndarray:
+    """Whether sets of sizes n and m, with c and d shared members, may link if they meet at places p and q of their orders.
 
+    They have at most min(p, q) common members before, this one, and min(c - p, d - q) - 1 behind it.
+    """
+    return (DEN + NUM) * (np.minimum(p, q) + np.minimum(c - p, d - q)) >= NUM * (n + m)
 
-def _heads(key, table):
-    """Each label's least set of a column meets the first label's least set of that column: linear in the column."""
-    h, label, sid, n = _postings(table)
-    list_at = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-    head = np.repeat(list_at, np.diff(np.append(list_at, len(h))))
-    lead = np.concatenate(([True], (h[1:] != h[:-1]) | (label[1:] != label[:-1])))
-    keep = lead & (label != label[head]) & _fits(n, n[head])
-    return _pairs(sid[head][keep], sid[keep], label[head][keep], label[keep])
+
+def _heads(turn: int):
+    """In each column, a set of each component meets one of the first component: linear in the column.
+
+    In the first turn these are the least sets, later ones are drawn by hashes.
+    """
+
+    def run(key, table):
+        h, label, sid, n, c, place = _postings(table)
+        new = np.concatenate(([True], h[1:] != h[:-1]))
+        group_at = np.flatnonzero(new | np.concatenate(([True], label[1:] != label[:-1])))
+        size = np.diff(np.append(group_at, len(h)))
+        first = new[group_at]
+        lead = np.flatnonzero(first)[np.cumsum(first) - 1]  # the first component of each group's column
+        other = ~first
+        x, y = lead[other], np.flatnonzero(other)
+        i, j = group_at[x], group_at[y]
+        if turn:
+            r = mix(h[j] + label[j].view(np.uint64) * np.uint64(2 * turn + 1))
+            i = i + (r % size[x].astype(np.uint64)).astype(np.int64)
+            j = j + ((r >> np.uint64(32)) % size[y].astype(np.uint64)).astype(np.int64)
+        keep = _fits(n[i], n[j], c[i], c[j], place[i], place[j])
+        i, j = i[keep], j[keep]
+        return _pairs(sid[i], sid[j], label[i], label[j], n[i], n[j])
+
+    return run
 
 
 def _across(key, table):
     """All pairs of a column whose labels differ and whose sizes fit."""
-    h, label, sid, n = _postings(table)
+    h, label, sid, n, c, place = _postings(table)
     list_at = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-    out: list[list] = [[], [], [], []]
+    out: list[list] = [[] for _ in range(6)]
     for a, b in zip(list_at, np.append(list_at[1:], len(h)), strict=True):
         if label[a] == label[b - 1]:
             continue
@@ -272,13 +307,10 @@ def _across(key, table):
         for i in range(a, b):
             j = ends[i - a]
             if j < b:
-                k = j + np.flatnonzero(_fits(n[j:b], n[i]))
+                k = j + np.flatnonzero(_fits(n[j:b], n[i], c[j:b], c[i], place[j:b], place[i]))
                 if len(k):
-                    for o, v in zip(out, (np.full(len(k), sid[i]), sid[k], np.full(len(k), label[i]), label[k]), strict=True):
+                    for o, v in zip(out, (np.full(len(k), sid[i]), sid[k], np.full(len(k), label[i]), label[k], np.full(len(k), n[i]), n[k]), strict=True):
                         o.append(v)
-        if sum(map(len, out[0][-1000:])) > 1 << 22:  # keep the working set small: merge what is equal so far
-            got = _pairs(*(np.concatenate(o) for o in out))
-            out = [[np.asarray(got.column(c))] for c in range(4)]
     if not out[0]:
         return PAIRS.empty_table()
     return _pairs(*(np.concatenate(o) for o in out))
@@ -310,27 +342,35 @@ def _linked(pairs: DataFrame, rows: DataFrame) -> DataFrame:
 def link_classes(rows: DataFrame, n_buckets: int, rounds: int = 6) -> DataFrame:
     """(node, root) over sets that link with another; rows(sid, n, members, prefix)."""
     labels, edges = None, None
-    for k in range(rounds + 1):
-        lists = _lists(rows.withColumn("label", F.col("sid")) if labels is None else rows.join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("root", "sid")), n_buckets)
-        grouped = lists.groupBy("bucket")
-        last = k == rounds
-        met = grouped.applyInArrow(_across if last else _heads, "a long, b long, la long, lb long, met long")
-        if last:
-            pairs = met.select("a", "b").distinct()
-        else:  # the partner that a component meets most
-            best = met.groupBy("la", "lb", "a", "b").agg(F.sum("met").alias("met"))
-            pairs = best.groupBy("lb").agg(F.max_by(F.struct("a", "b"), F.struct("met", -F.col("a"), -F.col("b"))).alias("p")).select("p.a", "p.b")
-        found = materialize(_linked(materialize(pairs, "pairs"), rows), "links")
+
+    def lists() -> DataFrame:
+        if labels is None:
+            return _lists(rows.withColumn("label", F.col("sid")), n_buckets).groupBy("bucket")
+        return _lists(rows.join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("root", "sid")), n_buckets).groupBy("bucket")
+
+    turn, drawing = 0, True
+    while True:
+        if drawing:
+            met = lists().applyInArrow(_heads(turn), PAIRS_DDL).groupBy("la", "lb", "a", "b").agg(F.sum("met").alias("met"))
+            pair = F.struct("a", "b")
+            picks = [F.max_by(pair, F.struct("met", F.xxhash64("a", "b")))] + ([F.max_by(pair, F.xxhash64("a", "b", F.lit(k))) for k in range(2)] if turn else [])
+            pairs = met.groupBy("lb").agg(F.array_distinct(F.array(*picks)).alias("p")).select(F.explode("p").alias("p")).select("p.a", "p.b").distinct()
+        else:
+            met = lists().applyInArrow(_across, PAIRS_DDL)
+            pairs = met.groupBy("a", "b").agg(F.sum("met").alias("met"), F.max("least").alias("least")).filter("met >= least").select("a", "b")
+        pairs = materialize(pairs, "pairs")
+        if not pairs.limit(1).count():
+            return labels
+        found = materialize(_linked(pairs, rows), "links")
+        drop(pairs)
         grew = found.limit(1).count() > 0
         if grew:
             edges = found if edges is None else edges.unionByName(found)
             labels = components(edges)
-        if last:
-            break
-        if not grew or k == rounds - 1:
-            rounds = k + 1
-            lists = None
-    return labels
+        if not drawing:
+            return labels
+        turn += 1
+        drawing = turn < rounds and (grew or turn == 1)
 
 
 def similarity_classes(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -338,10 +378,9 @@ def similarity_classes(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     spark = docs.sparkSession
     bounded_batches(spark)
     n_buckets = buckets(spark)
-    both = materialize(incidence(docs, n_buckets, width), "incidence")
-    info = both.filter("bucket = -1").select("doc_id", "sid", "n")
-    blocks = both.filter("bucket >= 0").select("bucket", "part", "sids", "ns", "cnts", "hs", "dfs")
-    shared = blocks.groupBy("bucket").applyInArrow(_columns(n_buckets), BLOCK_DDL)
+    # The blocks go straight to their shuffle: reading the texts twice costs less than a stored copy of the matrix.
+    info = materialize(set_sizes(docs, width), "sets")
+    shared = incidence(docs, n_buckets, width).groupBy("bucket").applyInArrow(_columns(n_buckets), BLOCK_DDL)
     rows = materialize(shared.groupBy("bucket").applyInArrow(_rows, "sid long, n long, members binary, prefix binary"), "rows")
     labels = link_classes(rows, n_buckets)
     classes = info.filter("n > 0").groupBy("sid").agg(F.min("doc_id").alias("least"))
