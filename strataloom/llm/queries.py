@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 
 from ..runtime import importable, table
-from . import jaccard, packing, quality, shards, spbpe, warc
+from . import jaccard, langid, packing, quality, shards, spbpe, topk, warc
 
 
 def vocabulary(name: str) -> str:
@@ -39,6 +39,16 @@ def op3_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.measure(table(spark, sf_dir, "documents"), vocabulary(PIECES), vocabulary(BYTES))
 
 
+def op4_language_id_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    importable(spark)
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op5_exact_topk_impact_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    importable(spark)
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op6_sentencepiece_prefix_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     importable(spark)
     return spbpe.digest_documents(table(spark, sf_dir, "documents"), vocabulary(PIECES))
@@ -53,7 +63,7 @@ def op10_lexical_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFram
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary(BYTES)).drop("ids")
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_seekable_bundles, op2_ngram_jaccard_join, op3_tokeniser_fertility, op6_sentencepiece_prefix_table, op7_balanced_label_propagation, op10_lexical_retrieval_packing)}
+QUERIES = {f.__name__: f for f in (op1_warc_seekable_bundles, op2_ngram_jaccard_join, op3_tokeniser_fertility, op4_language_id_ftrl, op5_exact_topk_impact_index, op6_sentencepiece_prefix_table, op7_balanced_label_propagation, op10_lexical_retrieval_packing)}
 
 ORACLES = {
     "op1_warc_seekable_bundles": """
@@ -65,4 +75,12 @@ ORACLES = {
                CASE WHEN keeper IS DISTINCT FROM page_id THEN keeper END AS refers_to
         FROM k
     """,
+    "op5_exact_topk_impact_index": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+                   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+              FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+        r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+    """,
 }
