@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 
 from ..runtime import importable, table
-from . import jaccard, langid, packing, pii, quality, shards, spbpe, topk, warc
+from . import jaccard, langid, lm, packing, pii, quality, shards, spbpe, topk, warc
 
 
 def vocabulary(name: str) -> str:
@@ -63,12 +63,17 @@ def op8_pii_random_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
+def op9_gated_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    importable(spark)
+    return lm.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_lexical_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     importable(spark)
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary(BYTES)).drop("ids")
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_seekable_bundles, op2_ngram_jaccard_join, op3_tokeniser_fertility, op4_language_id_ftrl, op5_exact_topk_impact_index, op6_sentencepiece_prefix_table, op7_balanced_label_propagation, op8_pii_random_field, op10_lexical_retrieval_packing)}
+QUERIES = {f.__name__: f for f in (op1_warc_seekable_bundles, op2_ngram_jaccard_join, op3_tokeniser_fertility, op4_language_id_ftrl, op5_exact_topk_impact_index, op6_sentencepiece_prefix_table, op7_balanced_label_propagation, op8_pii_random_field, op9_gated_language_model, op10_lexical_retrieval_packing)}
 
 ORACLES = {
     "op1_warc_seekable_bundles": """
