@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .graph import components
 from .store import bounded_batches, buckets, drop, materialize
@@ -396,8 +397,14 @@ def similarity_classes(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """One document of each class: the row whose doc_id names the class; all columns stay. Rows that repeat a kept doc_id stay once."""
-    classes = similarity_classes(docs, width).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    keep = materialize(classes, "keepers")
-    once = docs.join(keep, docs["doc_id"].eqNullSafe(keep["doc_id"]), "left_semi")
-    return once
+    """One document of each class, the row whose doc_id names it, with all columns.
+
+    Rows without doc_id all stay. If a kept doc_id repeats, its row of the least text hash stays.
+    """
+    named = similarity_classes(docs, width).filter(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    keep = materialize(named, "keepers")
+    once = docs.join(keep.select("doc_id"), "doc_id", "left_semi")
+    if keep.filter("n > 1").limit(1).count():
+        first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))
+        once = once.withColumn("_place", first).filter("_place = 1").drop("_place")
+    return once.select(docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
