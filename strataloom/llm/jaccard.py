@@ -340,7 +340,7 @@ def _linked(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "ma", "mb", "na", "nb").mapInArrow(run, "a long, b long")
 
 
-def link_classes(rows: DataFrame, n_buckets: int, rounds: int = 6) -> DataFrame:
+def link_classes(rows: DataFrame, n_buckets: int, rounds: int = 4) -> DataFrame:
     """(node, root) over sets that link with another; rows(sid, n, members, prefix)."""
     labels, edges = None, None
 
