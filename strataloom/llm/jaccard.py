@@ -14,7 +14,7 @@ identifiers; blocks travel as packed arrays, never as a row per n-gram.
 Only the components are wanted, so pairs are never expanded inside a group. A first round compares each set with the
 set that it meets most often as the least of a column. Further rounds compare a few drawn pairs for each component that
 still meets another, for as long as that finds links. A last round takes every pair of sets that meet and lie in
-different components, and drops those whose prefixes share fewer n-grams than the bound leaves room for. Pairs inside
+different components and that sizes, places in the prefixes and parity sketches of the sets leave room for. Pairs inside
 a component need no comparison, so no link between different texts is lost.
 
 Defined results: null text, empty text and text without words have an empty set and link with nothing; repeated rows
@@ -177,7 +177,18 @@ def _columns(n_buckets: int):
     return run
 
 
-ROWS = pa.schema([("sid", pa.int64()), ("n", pa.int64()), ("members", pa.binary()), ("prefix", pa.binary())])
+ROWS = pa.schema([("sid", pa.int64()), ("n", pa.int64()), ("members", pa.binary()), ("prefix", pa.binary()), ("sketch", pa.binary())])
+ROWS_DDL = "sid long, n long, members binary, prefix binary, sketch binary"
+SKETCH_BITS = 512
+
+
+def parity_sketch(members: np.ndarray) -> bytes:
+    """A bit for each residue of the members' hashes: whether an odd number of members has it.
+
+    Two sets' sketches differ in at most as many bits as the sets differ in members, so the sketches bound the overlap.
+    """
+    odd = np.bincount((mix(members) % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
 def _rows(key, table):
@@ -187,16 +198,16 @@ def _rows(key, table):
     order = np.lexsort((member, df, sid))
     sid, n, df, member = sid[order], n[order], df[order], member[order]
     at = np.flatnonzero(np.concatenate(([True], sid[1:] != sid[:-1])))
-    cols: list[list] = [[], [], [], []]
+    cols: list[list] = [[] for _ in ROWS]
     for a, b in zip(at, np.append(at[1:], len(sid)), strict=True):
         size, least = int(n[a]), int(need(int(n[a])))
         if b - a >= least:
-            for c, v in zip(cols, (int(sid[a]), size, np.sort(member[a:b]).tobytes(), member[a : a + (b - a) - least + 1].tobytes()), strict=True):
+            for c, v in zip(cols, (int(sid[a]), size, np.sort(member[a:b]).tobytes(), member[a : a + (b - a) - least + 1].tobytes(), parity_sketch(member[a:b])), strict=True):
                 c.append(v)
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(cols, ROWS, strict=True)], schema=ROWS)
 
 
-LISTS_DDL = "bucket int, sids binary, ns binary, cs binary, labels binary, cnts binary, hs binary, ps binary"
+LISTS_DDL = "bucket int, sids binary, ns binary, cs binary, labels binary, sketches binary, cnts binary, hs binary, ps binary"
 
 
 def _lists(rows: DataFrame, n_buckets: int) -> DataFrame:
@@ -209,64 +220,68 @@ def _lists(rows: DataFrame, n_buckets: int) -> DataFrame:
             sids, ns, labels, cs = (np.asarray(batch.column(k)).astype(np.int64) for k in (0, 1, 3, 4))
             got = [np.frombuffer(p, np.uint64) for p in batch.column(2).to_pylist()]
             row, h = np.repeat(np.arange(len(got)), [len(g) for g in got]), np.concatenate(got)
+            sketches = np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint8).reshape(-1, SKETCH_BITS // 8)
             place = np.concatenate([np.arange(len(g), dtype=np.uint32) for g in got])
             bucket = (mix(h) % np.uint64(n_buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             bucket, row, h, place = bucket[order], row[order], h[order], place[order]
             cut = np.searchsorted(bucket, np.arange(n_buckets + 1))
-            out: list[list] = [[] for _ in range(8)]
+            out: list[list] = [[] for _ in range(9)]
             for k in np.flatnonzero(np.diff(cut)):
                 r = row[cut[k] : cut[k + 1]]
                 at = np.flatnonzero(np.concatenate(([True], r[1:] != r[:-1])))
                 u = r[at]
-                values = (int(k), sids[u].tobytes(), ns[u].tobytes(), cs[u].tobytes(), labels[u].tobytes(), np.diff(np.append(at, len(r))).astype(np.uint32).tobytes(), h[cut[k] : cut[k + 1]].tobytes(), place[cut[k] : cut[k + 1]].tobytes())
+                values = (int(k), sids[u].tobytes(), ns[u].tobytes(), cs[u].tobytes(), labels[u].tobytes(), sketches[u].tobytes(), np.diff(np.append(at, len(r))).astype(np.uint32).tobytes(), h[cut[k] : cut[k + 1]].tobytes(), place[cut[k] : cut[k + 1]].tobytes())
                 for c, v in zip(out, values, strict=True):
                     c.append(v)
-            types = (pa.int32(), *[pa.binary()] * 7)
+            types = (pa.int32(), *[pa.binary()] * 8)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=[x.split()[0] for x in LISTS_DDL.split(", ")])
 
-    return rows.select("sid", "n", "prefix", "label", (F.octet_length("members") / 8).cast("long").alias("c")).mapInArrow(run, LISTS_DDL)
+    return rows.select("sid", "n", "prefix", "label", (F.octet_length("members") / 8).cast("long").alias("c"), "sketch").mapInArrow(run, LISTS_DDL)
 
 
-def _postings(table: pa.Table) -> tuple[np.ndarray, ...]:
-    """(n-gram, label, sid, n, c, place) sorted by n-gram, then label, then sid."""
-    kinds = {"sids": np.int64, "ns": np.int64, "cs": np.int64, "labels": np.int64, "hs": np.uint64, "ps": np.uint32}
-    got: dict[str, list] = {k: [] for k in kinds}
-    runs = [np.frombuffer(c, np.uint32) for c in table.column("cnts").to_pylist()]
-    for k, kind in kinds.items():
-        for x, c in zip(table.column(k).to_pylist(), runs, strict=True):
-            x = np.frombuffer(x, kind)
-            got[k].append(x if k in ("hs", "ps") else np.repeat(x, c))
-    sid, n, c, label, h, place = (np.concatenate(got[k]) for k in kinds)
-    order = np.lexsort((sid, label, h))
-    return h[order], label[order], sid[order], n[order], c[order], place[order].astype(np.int64)
+class Postings:
+    """Entries of a bucket sorted by n-gram, then label, then sid: arrays h, label, sid, n, c, place, and sketches by ``at``."""
 
+    def __init__(self, table: pa.Table):
+        kinds = {"sids": np.int64, "ns": np.int64, "cs": np.int64, "labels": np.int64}
+        runs = np.concatenate([np.frombuffer(c, np.uint32) for c in table.column("cnts").to_pylist()])
+        at = np.repeat(np.arange(len(runs)), runs)
+        whole = {k: np.frombuffer(b"".join(table.column(k).to_pylist()), kind) for k, kind in kinds.items()}
+        h = np.frombuffer(b"".join(table.column("hs").to_pylist()), np.uint64)
+        place = np.frombuffer(b"".join(table.column("ps").to_pylist()), np.uint32)
+        self.sketches = np.frombuffer(b"".join(table.column("sketches").to_pylist()), np.uint64).reshape(len(runs), -1)
+        order = np.lexsort((whole["sids"][at], whole["labels"][at], h))
+        self.at = at[order]
+        self.sid, self.n, self.c, self.label = (whole[k][self.at] for k in kinds)
+        self.h, self.place = h[order], place[order].astype(np.int64)
+        self.new = np.concatenate(([True], self.h[1:] != self.h[:-1]))
 
-PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("la", pa.int64()), ("lb", pa.int64()), ("met", pa.int64()), ("least", pa.int64())])
-PAIRS_DDL = ", ".join(f"{f.name} long" for f in PAIRS)
+    def may_link(self, i, j, first: bool) -> np.ndarray:
+        """Whether entries i and j of one n-gram may be of linked sets, by sizes, places and sketches.
 
+        Before this n-gram the sets share at most min(places) members, none if it is the first that they share; from it on
+        at most the shorter rest. A link leaves at most a seventh of both sizes outside the overlap.
+        """
+        n, m, c, d, p, q = self.n[i], self.n[j], self.c[i], self.c[j], self.place[i], self.place[j]
+        ahead = np.minimum(c - p, d - q) + (0 if first else np.minimum(p, q))
+        ok = (DEN + NUM) * ahead >= NUM * (n + m)
+        apart = np.bitwise_count(self.sketches[self.at[i]] ^ self.sketches[self.at[j]]).sum(axis=-1, dtype=np.int64) + (n - c) + (m - d)
+        return ok & ((DEN + NUM) * apart <= (DEN - NUM) * (n + m))
 
-def _pairs(a, b, la, lb, na, nb) -> pa.Table:
-    """Distinct (a, b) with the number of prefix n-grams in which they met, and the least that a link needs over all columns.
 
-    Up to the end of the prefix that ends first, all common n-grams are met; beyond it that set has ``need - 1`` more.
-    """
+PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("la", pa.int64()), ("lb", pa.int64()), ("met", pa.int64())])
+PAIRS_DDL = ", ".join(f"{f.name} long" for f in PAIRS)
+
+
+def _pairs(a, b, la, lb) -> pa.Table:
+    """Distinct (a, b) with the number of n-grams in which they met."""
     if not len(a):
         return PAIRS.empty_table()
     order = np.lexsort((b, a))
-    a, b, la, lb, na, nb = (x[order] for x in (a, b, la, lb, na, nb))
+    a, b, la, lb = a[order], b[order], la[order], lb[order]
     at = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
-    met = np.diff(np.append(at, len(a)))
-    least = -(-NUM * (na + nb) // (NUM + DEN)) - np.maximum(need(na), need(nb)) + 1
-    return pa.Table.from_arrays([pa.array(x[at]) for x in (a, b, la, lb)] + [pa.array(met), pa.array(least[at])], schema=PAIRS)
-
-
-def _fits(n, m, c, d, p, q) -> np.ndarray:
-    """Whether sets of sizes n and m, with c and d shared members, may link if they meet at places p and q of their orders.
-
-    They have at most min(p, q) common members before, this one, and min(c - p, d - q) - 1 behind it.
-    """
-    return (DEN + NUM) * (np.minimum(p, q) + np.minimum(c - p, d - q)) >= NUM * (n + m)
+    return pa.Table.from_arrays([pa.array(x[at]) for x in (a, b, la, lb)] + [pa.array(np.diff(np.append(at, len(a))))], schema=PAIRS)
 
 
 def _heads(turn: int):
@@ -276,45 +291,44 @@ def _heads(turn: int):
     """
 
     def run(key, table):
-        h, label, sid, n, c, place = _postings(table)
-        new = np.concatenate(([True], h[1:] != h[:-1]))
-        group_at = np.flatnonzero(new | np.concatenate(([True], label[1:] != label[:-1])))
-        size = np.diff(np.append(group_at, len(h)))
-        first = new[group_at]
+        e = Postings(table)
+        group_at = np.flatnonzero(e.new | np.concatenate(([True], e.label[1:] != e.label[:-1])))
+        size = np.diff(np.append(group_at, len(e.h)))
+        first = e.new[group_at]
         lead = np.flatnonzero(first)[np.cumsum(first) - 1]  # the first component of each group's column
-        other = ~first
-        x, y = lead[other], np.flatnonzero(other)
+        x, y = lead[~first], np.flatnonzero(~first)
         i, j = group_at[x], group_at[y]
         if turn:
-            r = mix(h[j] + label[j].view(np.uint64) * np.uint64(2 * turn + 1))
+            r = mix(e.h[j] + e.label[j].view(np.uint64) * np.uint64(2 * turn + 1))
             i = i + (r % size[x].astype(np.uint64)).astype(np.int64)
             j = j + ((r >> np.uint64(32)) % size[y].astype(np.uint64)).astype(np.int64)
-        keep = _fits(n[i], n[j], c[i], c[j], place[i], place[j])
+        keep = e.may_link(i, j, first=False)
         i, j = i[keep], j[keep]
-        return _pairs(sid[i], sid[j], label[i], label[j], n[i], n[j])
+        return _pairs(e.sid[i], e.sid[j], e.label[i], e.label[j])
 
     return run
 
 
 def _across(key, table):
-    """All pairs of a column whose labels differ and whose sizes fit."""
-    h, label, sid, n, c, place = _postings(table)
-    list_at = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-    out: list[list] = [[] for _ in range(6)]
-    for a, b in zip(list_at, np.append(list_at[1:], len(h)), strict=True):
-        if label[a] == label[b - 1]:
+    """All pairs of a column whose labels differ and that may link if they meet here first; a linked pair passes where it does."""
+    e = Postings(table)
+    list_at = np.flatnonzero(e.new)
+    out: list[list] = [[], []]
+    for a, b in zip(list_at, np.append(list_at[1:], len(e.h)), strict=True):
+        if e.label[a] == e.label[b - 1]:
             continue
-        ends = np.searchsorted(label[a:b], label[a:b], side="right") + a
+        ends = np.searchsorted(e.label[a:b], e.label[a:b], side="right") + a
         for i in range(a, b):
-            j = ends[i - a]
-            if j < b:
-                k = j + np.flatnonzero(_fits(n[j:b], n[i], c[j:b], c[i], place[j:b], place[i]))
-                if len(k):
-                    for o, v in zip(out, (np.full(len(k), sid[i]), sid[k], np.full(len(k), label[i]), label[k], np.full(len(k), n[i]), n[k]), strict=True):
-                        o.append(v)
+            if ends[i - a] < b:
+                j = np.arange(ends[i - a], b)
+                j = j[e.may_link(i, j, first=True)]
+                if len(j):
+                    out[0].append(np.full(len(j), i))
+                    out[1].append(j)
     if not out[0]:
         return PAIRS.empty_table()
-    return _pairs(*(np.concatenate(o) for o in out))
+    i, j = (np.concatenate(o) for o in out)
+    return _pairs(e.sid[i], e.sid[j], e.label[i], e.label[j])
 
 
 def _linked(pairs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -341,7 +355,7 @@ def _linked(pairs: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def link_classes(rows: DataFrame, n_buckets: int, rounds: int = 4) -> DataFrame:
-    """(node, root) over sets that link with another; rows(sid, n, members, prefix)."""
+    """(node, root) over sets that link with another; rows(sid, n, members, prefix, sketch)."""
     labels, edges = None, None
 
     def lists() -> DataFrame:
@@ -358,7 +372,7 @@ def link_classes(rows: DataFrame, n_buckets: int, rounds: int = 4) -> DataFrame:
             pairs = met.groupBy("lb").agg(F.array_distinct(F.array(*picks)).alias("p")).select(F.explode("p").alias("p")).select("p.a", "p.b").distinct()
         else:
             met = lists().applyInArrow(_across, PAIRS_DDL)
-            pairs = met.groupBy("a", "b").agg(F.sum("met").alias("met"), F.max("least").alias("least")).filter("met >= least").select("a", "b")
+            pairs = met.select("a", "b").distinct()
         pairs = materialize(pairs, "pairs")
         if not pairs.limit(1).count():
             return labels
@@ -382,7 +396,7 @@ def similarity_classes(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     # The blocks go straight to their shuffle: reading the texts twice costs less than a stored copy of the matrix.
     info = materialize(set_sizes(docs, width), "sets")
     shared = incidence(docs, n_buckets, width).groupBy("bucket").applyInArrow(_columns(n_buckets), BLOCK_DDL)
-    rows = materialize(shared.groupBy("bucket").applyInArrow(_rows, "sid long, n long, members binary, prefix binary"), "rows")
+    rows = materialize(shared.groupBy("bucket").applyInArrow(_rows, ROWS_DDL), "rows")
     labels = link_classes(rows, n_buckets)
     classes = info.filter("n > 0").groupBy("sid").agg(F.min("doc_id").alias("least"))
     if labels is not None:
