@@ -9,6 +9,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from . import fixed
 
@@ -34,7 +35,7 @@ def _slug(value: str | None, fallback: str = "item") -> str:
     return x.strip("-_") or fallback
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def slug(text: pd.Series) -> pd.Series:
     """Unicode slug with compatibility normalisation, which the JVM functions lack."""
     return text.map(_slug)

@@ -6,10 +6,12 @@ import os
 import subprocess
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from ..functions import scalars as S
+from . import rules
 
 LISTING = "path string, mtime_ns long, size long"
 
@@ -48,11 +50,8 @@ def stored_files(spark: SparkSession, root: str, ignored_directories: Sequence[s
     return raw.filter(kept).select("path", (F.unix_micros("modificationTime") * 1000).alias("mtime_ns"), F.col("length").alias("size"), "content")
 
 
-def text_content(content, size, limit: int = 4 * 1024 * 1024):
+def text_content(c: Column, size: Column, limit: int = 4 * 1024 * 1024) -> Column:
     """Text of a small file without NUL bytes in its head that is valid UTF-8, else null."""
-    from pyspark.sql import Column
-
-    c = content if isinstance(content, Column) else F.col(content)
     head = F.substring(c, 1, 4096)
     text = F.try_validate_utf8(c.cast("string"))
     return F.when((size <= limit) & ~F.contains(head, F.lit(b"\x00")), F.regexp_replace(text, "^\\x{FEFF}", ""))
@@ -74,9 +73,9 @@ def dependents(edges: DataFrame, deleted: DataFrame) -> DataFrame:
     return edges.join(deleted.select(F.col("path").alias("target")), "target", "left_semi").select(F.col("source").alias("path")).distinct()
 
 
-def project_kind(files: DataFrame) -> DataFrame:
-    """One row: software, video, writing or general, from marker files and extensions."""
-    name = F.element_at(F.split("path", "/"), -1)
-    markers = ["pyproject.toml", "package.json", "Cargo.toml", "go.mod", "pom.xml", "build.gradle", "setup.py", "Makefile", "CMakeLists.txt"]
-    counts = files.agg(F.count_if(~F.contains("path", F.lit("/")) & name.isin(markers)).alias("m"), F.count_if(F.lower("path").rlike(r"\.(mp4|mov|mkv|avi|webm)$")).alias("v"), F.count_if(F.lower("path").rlike(r"\.(md|mdx)$")).alias("d"))
-    return counts.select(F.when(F.col("m") > 0, "software").when(F.col("v") >= 3, "video").when(F.col("d") >= 5, "writing").otherwise("general").alias("kind"))
+def project_kind(files: DataFrame, sample: int = 500) -> DataFrame:
+    """One row: software by a marker file, else video or writing by the first files in path order, else generic."""
+    marker = files.agg(F.count_if(F.col("path").isin(rules.SOFTWARE_MARKERS)).alias("m"))
+    name = S.suffix(F.col("path"))
+    first = files.orderBy("path").limit(sample).agg(F.count_if(name.isin(rules.VIDEO_EXTENSIONS)).alias("v"), F.count_if(name.isin(rules.WRITING_EXTENSIONS)).alias("d"))
+    return marker.crossJoin(first).select(F.when(F.col("m") > 0, "software").when(F.col("v") >= 3, "video").when(F.col("d") >= 5, "writing").otherwise("generic").alias("kind"))
