@@ -21,6 +21,31 @@ END_ID = 50256
 CACHE_ENTRIES = 250_000
 
 
+ODD = re.compile(f"[\\t\\v\\f\\r{WHITE[4:]}]")
+
+
+def plain_spaces(text: str) -> bool:
+    """Whether all white space is single spaces and line feeds between other characters."""
+    if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[0] in " \n" or text[-1] in " \n":
+        return False
+    if text.isascii():
+        return not ("\t" in text or "\r" in text or "\v" in text or "\f" in text)
+    return ODD.search(text) is None
+
+
+class _Memo(dict):
+    """Ids of words, each with the same characters before it."""
+
+    def __init__(self, encode, before: str):
+        self.encode, self.before = encode, before
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.encode(self.before + word)
+        if len(word) < 64:
+            self[word] = ids
+        return ids
+
+
 class ByteEncoder:
     """Encoder of a vocabulary file of base64 tokens and ranks, or of a tokenizer.json with the same contents."""
 
@@ -34,7 +59,7 @@ class ByteEncoder:
                 f.seek(0)
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.single = _tiktoken.CoreBPE(ranks, {}, PATTERN.pattern).encode_single_piece
-        self.cache: dict[str, bytes] = {}
+        self.spaced, self.bare = _Memo(self.encode_cut, " "), _Memo(self.encode_cut, "")
 
     @staticmethod
     def _from_json(path: str) -> dict[bytes, int]:
@@ -53,19 +78,28 @@ class ByteEncoder:
             ids += self.single(piece.encode())
         return b"".join([i.to_bytes(2, "little") for i in ids])
 
+    def encode(self, text: str) -> bytes:
+        """Ids of a text without the end mark."""
+        if not text:
+            return b""
+        spaced, bare = self.spaced, self.bare
+        if not plain_spaces(text):
+            return b"".join([bare[c] for c in CUT.findall(text)])
+        feed, out = bare["\n"], []
+        for line in text.split("\n"):
+            first, *rest = line.split(" ")
+            out.append(bare[first])
+            out += [spaced[w] for w in rest]
+            out.append(feed)
+        return b"".join(out[:-1])
+
     def encode_all(self, texts: Iterable[str]) -> list[bytes]:
         """Ids of each text; the end mark's string is its one id, as the library takes it by default."""
-        cuts, cache = [], self.cache
-        for t in texts:
-            cuts.append(CUT.findall(t) if END not in t else [x for k, part in enumerate(t.split(END)) for x in ([END] * (k > 0) + CUT.findall(part))])
-        now = set().union(*cuts)
-        if len(cache) > CACHE_ENTRIES:
-            cache = self.cache = {c: cache[c] for c in now if c in cache}
-        kept = cache if sum(map(len, now)) < 64 * len(now) + 100_000 else dict(cache)
-        for c in now:
-            if c not in kept:
-                kept[c] = END_ID.to_bytes(2, "little") if c == END else self.encode_cut(c)
-        return [b"".join([kept[c] for c in x]) for x in cuts]
+        out = [self.encode(t) if END not in t else END_ID.to_bytes(2, "little").join([self.encode(x) for x in t.split(END)]) for t in texts]
+        for memo in (self.spaced, self.bare):
+            if len(memo) > CACHE_ENTRIES:
+                memo.clear()
+        return out
 
 
 _LOADED: dict[str, ByteEncoder] = {}

@@ -40,13 +40,19 @@ def tokenize(docs: DataFrame, tokenizer: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = byte_encoder(tokenizer)
         df, rows, total = np.zeros(VOCABULARY, np.int64), 0, 0
+        seen = np.zeros(VOCABULARY, np.uint8)
         names = ["doc_id", "ids", "n_rows", "n_ids", "df"]
         for batch in batches:
             for part in slices(batch, "text"):
                 got = e.encode_all([t or "" for t in part.column(1).to_pylist()])
+                some = np.zeros(VOCABULARY, np.uint32)
                 for ids in got:
-                    df[np.unique(np.frombuffer(ids, np.uint16))] += 1
-                    total += len(ids) // 2
+                    terms = np.frombuffer(ids, np.uint16)
+                    seen[terms] = 1
+                    some += seen
+                    seen[terms] = 0
+                    total += len(terms)
+                df += some
                 rows += len(got)
                 n = len(got)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x + b"\0\0" for x in got], pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], names)
