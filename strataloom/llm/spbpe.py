@@ -27,7 +27,7 @@ from .store import bounded_batches
 
 MARK = "▁"
 CUT = re.compile(f"{MARK}+[^{MARK}]*")
-CACHE_ENTRIES = 250_000
+CACHE_ENTRIES = 500_000
 CACHE_LENGTH = 48
 
 

@@ -1,0 +1,250 @@
+"""Text operators against libraries and brute force."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pyarrow as pa
+import pytest
+import sentencepiece
+from tokenizers import Tokenizer
+
+from strataloom.llm import bytebpe, graph, jaccard, langid, lm, packing, pii, quality, spbpe
+from strataloom.llm.queries import BYTES, PIECES, vocabulary
+
+WORD = r"[^\x20\x09-\x0D]+"
+LOW = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
+ALPHABETS = ["aeiou nthrs  .\n", "éèêñüß日本語\U0001f600\x00\t09_-=/<>|#* ", "".join(map(chr, range(32, 700)))]
+
+
+def random_texts(n, seed=3):
+    r = random.Random(seed)
+    return ["".join(r.choices(ALPHABETS[k % 3], k=r.randint(0, 60))) for k in range(n)]
+
+
+@pytest.fixture(scope="module")
+def documents(spark, sf):
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    return {r.doc_id: r.text or "" for r in rows}
+
+
+def test_pieces_and_decoding_equal_the_library():
+    e, sp = spbpe.encoder(vocabulary(PIECES)), sentencepiece.SentencePieceProcessor(model_file=vocabulary(PIECES))
+    texts = random_texts(2000) + [" " * n + "x" + " " * n for n in range(40)] + ["a▁b", "", "<s>", "▁ ▁▁"]
+    for t in texts:
+        ids = sp.encode(t)
+        assert e.encode(t) == ids
+        assert e.decode_ids(ids) == sp.decode(ids)
+    r = random.Random(5)
+    for _ in range(500):
+        ids = [r.randrange(32000) if r.random() < 0.5 else r.randrange(260) for _ in range(8)]
+        assert e.decode_ids(ids) == sp.decode(ids)
+
+
+def test_piece_query_digests(spark, documents):
+    sp = sentencepiece.SentencePieceProcessor(model_file=vocabulary(PIECES))
+    df = spark.createDataFrame(list(documents.items()), "doc_id long, text string")
+    for r in spbpe.digest_documents(df, vocabulary(PIECES)).collect():
+        ids = sp.encode(documents[r.doc_id])
+        assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(sp.decode(ids).encode()).hexdigest()
+
+
+def test_byte_ids_equal_the_library():
+    e, t = bytebpe.byte_encoder(vocabulary(BYTES)), Tokenizer.from_file(vocabulary(BYTES))
+    for x in random_texts(2000, 4) + ["a<|endoftext|>b", "don't  we'll\n\n x", "a\x1cb\x85c d e"]:
+        assert np.frombuffer(e.encode_all([x])[0], np.uint16).tolist() == t.encode(x, add_special_tokens=False).ids
+
+
+def classes(texts):
+    """Component of each document by all pairs that share a shingle."""
+    sets = {}
+    for i, t in texts.items():
+        w = re.findall(WORD, t.translate(LOW))
+        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+    at, up = defaultdict(list), {i: i for i in sets}
+
+    def end(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i, s in sets.items():
+        for g in s:
+            at[g].append(i)
+    for i, s in sets.items():
+        for j, o in Counter(j for g in s for j in at[g] if j < i).items():
+            if 100 * o >= 75 * (len(s) + len(sets[j]) - o):
+                a, b = end(i), end(j)
+                up[max(a, b)] = min(a, b)
+    return {i: (len(sets[i]), end(i)) for i in sets}
+
+
+def test_jaccard_classes_equal_all_pairs(spark, documents):
+    texts = dict(list(documents.items())[:120])
+    r = random.Random(9)
+    base = " ".join(f"w{k}" for k in range(120))
+    for k in range(60):  # near copies, some of which link only through others
+        w = base.split()
+        for _ in range(r.randint(0, 5)):
+            w[r.randrange(len(w))] = f"x{r.randrange(999)}"
+        texts[10_000 + k] = " ".join(w)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.similarity_classes(df).collect()}
+    assert got == classes(texts)
+    kept = {x.doc_id for x in jaccard.keep_one(df).collect()}
+    assert kept == {c for _, c in got.values()}
+
+
+def test_components_of_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(graph, "EDGES_PER_TASK", 30)
+    r = random.Random(1)
+    edges = [(k, k + 1) for k in range(40)] + [(100 + r.randrange(50), 100 + r.randrange(50)) for _ in range(40)]
+    edges = [(min(e), max(e)) for e in edges if e[0] != e[1]]
+    got = {x.node: x.root for x in graph.components(spark.createDataFrame(edges, "a long, b long").repartition(3)).collect()}
+    up = {n: n for e in edges for n in e}
+    for _ in range(100):
+        for a, b in edges:
+            up[a] = up[b] = min(up[a], up[b])
+    assert got == up
+
+
+def test_base_counts_equal_brute_force(documents):
+    texts = list(documents.values()) + ["a b c a b c\n \n\nx\nx\ny z x", "", "é é é é\né é é é", "# $ |\n# $ |"]
+    got = quality.base_counts(pa.array(texts))
+    for k, t in enumerate(texts):
+        w, seen, dup = re.findall(WORD, t), set(), 0
+        for line in t.split("\n"):
+            if re.search(WORD, line):
+                dup += line in seen
+                seen.add(line)
+        c = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+        covered = {i + j for i in range(len(w) - 2) if c[tuple(w[i : i + 3])] > 1 for j in range(3)}
+        assert [int(got[n][k]) for n in quality.BASE] == [len(w), sum(map(len, w)), sum(t.count(x) for x in "#*$%&|<>"), dup, len(covered)]
+
+
+def test_quality_keeps_clean_and_rejects_junk(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    got = quality.measure(docs, vocabulary(PIECES), vocabulary(BYTES)).join(spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "quality"), "doc_id").filter("NOT base_failed").collect()
+    clean, junk = [r for r in got if r.quality == 1], [r for r in got if r.quality == 0]
+    assert all(r.kept for r in clean) and sum(not r.kept for r in junk) >= 0.7 * len(junk)
+
+
+def test_language_of_held_out_rows(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    got = langid.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").collect()
+    for r in got:
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and 0 <= r.score <= 1
+    held = [r for r in got if r.held_out]
+    assert sum(r.lang == r.lang_pred for r in held) >= 0.97 * len(held)
+
+
+EMAIL, IP = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+CARD, PHONE = re.compile(r"[0-9]([\x20-]?[0-9])+"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def plain_spans(t):
+    out = [(m.start(), 0, m.end()) for m in EMAIL.finditer(t)]
+    out += [(m.start(), 1, m.end()) for m in IP.finditer(t) if all(int(p) <= 255 for p in m[0].split("."))]
+    for m in CARD.finditer(t):
+        d = re.sub("[^0-9]", "", m[0])
+        if 14 <= len(d) <= 19 and pii.luhn(d):
+            out.append((m.start(), 2, m.end()))
+    return sorted(out + [(m.start(), 3, m.end()) for m in PHONE.finditer(t) if 10 <= len(re.sub("[^0-9]", "", m[0])) <= 15])
+
+
+def test_base_spans_equal_the_patterns(documents):
+    r = random.Random(1)
+    bits = ["a@b.c", "@", "_x", "1", "22", "255", "256", ".", "-", " ", "+", "(", ")", "4242424242424242", "37828224631000", "é", "\n", "%"]
+    for t in list(documents.values()) + ["".join(r.choices(bits, k=r.randint(1, 14))) for _ in range(5000)]:
+        assert pii.base_spans(t) == plain_spans(t)
+
+
+def test_field_on_new_lines_and_canonical_words(documents):
+    table = pii.labelled_table(200, 99)
+    got = np.concatenate(pii.Finder(pii.default_field()).labels([w for w, _ in table]))
+    gold = np.concatenate([np.array(y) for _, y in table])
+    assert (got == gold).mean() > 0.98
+    for w in {w for t in documents.values() for w in t.split()}:
+        c = pii.canonical(w)
+        assert c is None or pii.word_features(c) == pii.word_features(w)
+    (base, every), = pii.all_spans(["key token = \"26be64439e3e49cf46b2d7c90f3602a3d0b907ff\" and Dr. Anna Smith"], pii.Finder(pii.default_field()))
+    assert not base and [k for _, k, _ in every] == [4, 5]
+
+
+def test_viterbi_equals_all_paths():
+    r = np.random.default_rng(2)
+    f = pii.Field(np.zeros((1, 3)), r.normal(size=(3, 3)))
+    score = r.normal(size=(6, 5, 3)).astype(np.float32)
+    lengths = np.array([5, 1, 3, 4, 2, 5])
+    got = f.viterbi(score, lengths)
+    from itertools import product
+
+    for k, n in enumerate(lengths):
+        best = max(product(range(3), repeat=int(n)), key=lambda y: sum(score[k, t, y[t]] for t in range(n)) + sum(f.pairs[a, b] for a, b in zip(y, y[1:], strict=False)))
+        assert tuple(got[k, :n]) == best
+
+
+def test_language_model(spark, sf, documents):
+    df = spark.read.parquet(f"{sf}/documents.parquet").repartition(3)
+    got = lm.score_documents(df).collect()
+    tokens = {i: [*re.findall(WORD, t.translate(LOW)), "\0end"] for i, t in documents.items()}
+    c = Counter(w for i, x in tokens.items() if zlib.crc32(str(i).encode()) % 5 != 1 for w in x)
+    n, v = sum(c.values()), len(c)
+    for r in got:
+        x = tokens[r.doc_id]
+        base = sum(np.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in x)
+        assert abs(base - r.base_score) < 1e-6 * max(1, abs(base)) and (r.n_tokens, r.n_known, r.train_tokens) == (len(x), sum(c[w] > 0 for w in x), n)
+    held = [r for r in got if r.held_out]
+    assert sum(r.score for r in held) > sum(r.base_score for r in held)
+
+
+def test_model_is_a_distribution_and_gradients_are_right():
+    m = lm.GatedModel.fresh(np.arange(lm.VOCABULARY)[::-1])
+    h = np.random.default_rng(0).normal(size=(1, lm.HIDDEN)).astype(np.float32)
+    p = np.exp(m.log_probabilities(np.repeat(h, lm.VOCABULARY, 0), np.arange(lm.VOCABULARY)))
+    assert abs(p.sum() - 1) < 1e-4
+    x = np.array([[0, 5, 9, 0, 7], [3, 3, 0, 2, 8]])
+    y = np.array([[5, 9, 0, 7, 7], [3, 0, 2, 8, 1]])
+    loss = []
+    for _ in range(30):
+        s = lm.GatedModel({k: a.astype(np.float32) for k, a in m.p.items()})
+        flat, first = y.ravel(), np.array([0, 5, 10])
+        loss.append(-s.score(flat, first).sum())
+        m.learn(np.zeros((2, lm.HIDDEN), np.float32), x, y, 0.1)
+    assert loss[-1] < 0.5 * loss[0]
+
+
+def test_packing(spark, documents):
+    t = Tokenizer.from_file(vocabulary(BYTES))
+    df = spark.createDataFrame(list(documents.items()), "doc_id long, text string").repartition(3)
+    rows = packing.pack(df, vocabulary(BYTES)).collect()
+    ids = {i: [*t.encode(x, add_special_tokens=False).ids, 0] for i, x in documents.items()}
+    by_doc, by_seq = defaultdict(list), defaultdict(list)
+    for r in rows:
+        by_doc[r.doc_id].append(r)
+        by_seq[r.sequence_id].append(r)
+        part = ids[r.doc_id][r.start : r.start + r.length]
+        assert r.ids_crc32 == zlib.crc32(np.array(part, "<u4").tobytes()) and r.doc_tokens == len(ids[r.doc_id])
+    for i, rs in by_doc.items():
+        at = 0
+        for r in sorted(rs, key=lambda r: r.start):
+            assert r.start == at
+            at += r.length
+        assert at == len(ids[i])
+    for rs in by_seq.values():
+        at = 0
+        for r in sorted(rs, key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+        assert at <= 1024 and at & (at - 1) == 0
+
+
+def test_neighbours_come_by_bm25():
+    ids = [np.array(x, np.uint16) for x in ([1, 2, 3, 4], [9, 9, 8], [1, 2, 3, 7], [1, 8, 8], [5])]
+    shard = packing.Shard(ids, np.ones(packing.VOCABULARY), 3.0)
+    shard.unused[0] = False
+    assert list(shard.neighbours(0))[:2] == [2, 3]
