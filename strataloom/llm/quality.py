@@ -1,7 +1,7 @@
 """Quality rules: base counts of a text and tokeniser fertility under public vocabularies.
 
-For each vocabulary the whole text is encoded and three things are measured: characters per token, the share of tokens
-that are byte fallbacks (white space that has no piece is not counted), and the entropy of the text's token distribution in
+For each vocabulary the whole text is encoded, the byte vocabulary word by word with the space before it, and three things
+are measured: characters per token, the share of tokens that are byte fallbacks (white space that has no piece is not counted), and the entropy of the text's token distribution in
 bits, whose least value rises with the length of the text. A text whose measures lie outside the bands of its script is
 rejected. The script is the one most letters belong to; texts of scripts without bands use ``other``.
 
@@ -11,6 +11,7 @@ are ignored (``measure``) or kept (``keep_documents``).
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytebpe import byte_encoder
-from .spbpe import PrefixEncoder, encoder
+from .spbpe import MARK, PrefixEncoder, encoder
 from .store import bounded_batches
 from .words import SPACE, Words, mix, slices, span_hashes, window_hashes
 
@@ -50,10 +51,12 @@ _SYMBOL[list(SYMBOLS)] = True
 
 
 class IdEncoder(PrefixEncoder):
-    """Keeps ids as unsigned 16-bit integers."""
+    """Keeps of each cut its piece ids as unsigned 16-bit integers and its number of tokens under the byte vocabulary."""
 
-    def keep(self, ids: list[int]) -> bytes:
-        return np.array(ids, np.uint16).tobytes()
+    byte_vocabulary = None
+
+    def keep(self, cut: str, ids: list[int]) -> tuple[bytes, int]:
+        return array("H", ids).tobytes(), len(self.byte_vocabulary.encode_cut(" " + cut.replace(MARK, " "))) // 2
 
 
 def _sums(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -124,21 +127,22 @@ def script_of(text: str) -> str:
 
 def fertility(texts: list[str], pieces: IdEncoder, byte_vocabulary) -> tuple[np.ndarray, ...]:
     """Characters per piece, characters per byte-BPE token, fallback share, entropy in bits and pieces of each text."""
+    pieces.byte_vocabulary = byte_vocabulary
     cuts = [pieces.cuts(t) for t in texts]
     known = pieces.values(cuts)
     plain = np.zeros(65536, bool)
     plain[[i for i, b in pieces.byte_of.items() if b not in b"\t\n\v\f\r\0"]] = True
-    coded = byte_vocabulary.encode_all(texts)
     out = np.zeros((5, len(texts)))
-    for k, (text, c, b) in enumerate(zip(texts, cuts, coded, strict=True)):
-        ids = np.frombuffer(b"".join([known[x] for x in c]), np.uint16)
+    for k, (text, c) in enumerate(zip(texts, cuts, strict=True)):
+        got = [known[x] for x in c]
+        ids = np.frombuffer(b"".join([g[0] for g in got]), np.uint16)
         n = len(ids)
         if not n:
             continue
         count = np.bincount(ids)
         count = count[count > 0]
         p = count / n
-        out[:, k] = len(text) / n, len(text) / max(len(b) // 2, 1), np.count_nonzero(plain[ids]) / n, -(p * np.log2(p)).sum(), n
+        out[:, k] = len(text) / n, len(text) / max(sum([g[1] for g in got]), 1), np.count_nonzero(plain[ids]) / n, -(p * np.log2(p)).sum(), n
     return tuple(out)
 
 

@@ -174,11 +174,11 @@ class PrefixEncoder:
         for k in range(0, len(missing), 5000):
             some = missing[k : k + 5000]
             for cut, ids in zip(some, self.encode_cuts([MARK + c for c in some]), strict=True):
-                kept[cut] = self.keep(ids)
+                kept[cut] = self.keep(cut, ids)
         return kept
 
-    def keep(self, ids: list[int]):
-        """(ids joined by commas, decoded text with its front mark as a space)."""
+    def keep(self, cut: str, ids: list[int]):
+        """What the cache holds of a cut: ids joined by commas, and the decoded text with its front mark as a space."""
         return ",".join(map(str, ids)), (" " if self.pieces[ids[0]].startswith(MARK) else "") + self.decode_ids(ids)
 
     def encode(self, text: str) -> list[int]:
