@@ -248,3 +248,13 @@ def test_neighbours_come_by_bm25():
     shard = packing.Shard(ids, np.ones(packing.VOCABULARY), 3.0)
     shard.unused[0] = False
     assert list(shard.neighbours(0))[:2] == [2, 3]
+
+
+def test_byte_counts_follow_the_cuts():
+    e = quality.IdEncoder(vocabulary(PIECES))
+    t = Tokenizer.from_file(vocabulary(BYTES))
+    texts = ["the old house", "x y\nz. Q", "don't we'll"]
+    *_, tokens = quality.fertility(texts, e, bytebpe.byte_encoder(vocabulary(BYTES)))
+    assert [int(n) for n in tokens] == [len(e.encode(x)) for x in texts]
+    cut = e.values([["house"]])["house"]
+    assert cut[1] == len(t.encode(" house", add_special_tokens=False).ids)
