@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -12,6 +14,20 @@ ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
+_WRITTEN: list[str] = []
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete all tables that this process has written and not dropped; call it when their results have been read."""
+    while _WRITTEN:
+        _delete(spark, _WRITTEN.pop())
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder that the cluster names in ``spark.checkpoint.dir``; a temporary one only for a local master that names none."""
     root = spark.conf.get("spark.checkpoint.dir", None)
@@ -19,15 +35,17 @@ def shared_root(spark: SparkSession) -> str:
         return root.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    root = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints", "strataloom")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    folder = os.path.join(tempfile.gettempdir(), "checkpoints", f"strataloom-{os.getpid()}")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    spark.conf.set("spark.checkpoint.dir", "file://" + folder)
+    return "file://" + folder
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again: survives lost executors and cuts lineage."""
     spark = df.sparkSession
     path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._strataloom_path = path
@@ -38,10 +56,9 @@ def drop(*tables: DataFrame) -> None:
     """Delete tables of ``materialize`` that no later plan reads."""
     for df in tables:
         path = getattr(df, "_strataloom_path", None)
-        if path:
-            jvm = df.sparkSession._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+        if path in _WRITTEN:
+            _WRITTEN.remove(path)
+            _delete(df.sparkSession, path)
 
 
 def bounded_batches(spark: SparkSession, rows: int = 2000) -> None:
