@@ -23,6 +23,14 @@ def clean(spark: SparkSession) -> None:
         _delete(spark, _WRITTEN.pop())
 
 
+@atexit.register
+def _clean_files() -> None:
+    """At the driver's end, when no session is left, tables in mounted folders go; other stores need ``clean``."""
+    for path in _WRITTEN:
+        if path.startswith(("/", "file:/")):
+            shutil.rmtree("/" + path.removeprefix("file:").lstrip("/"), ignore_errors=True)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
@@ -35,10 +43,9 @@ def shared_root(spark: SparkSession) -> str:
         return root.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    folder = os.path.join(tempfile.gettempdir(), "checkpoints", f"strataloom-{os.getpid()}")
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    spark.conf.set("spark.checkpoint.dir", "file://" + folder)
-    return "file://" + folder
+    root = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints", "strataloom")
+    spark.conf.set("spark.checkpoint.dir", root)
+    return root
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
