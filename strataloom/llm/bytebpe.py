@@ -78,6 +78,12 @@ class ByteEncoder:
             ids += self.single(piece.encode())
         return b"".join([i.to_bytes(2, "little") for i in ids])
 
+    def count_word(self, word: str) -> int:
+        """Number of ids of a word with a space before it."""
+        if word.isalpha():
+            return len(self.single((" " + word).encode()))
+        return len(self.encode_cut(" " + word)) // 2
+
     def encode(self, text: str) -> bytes:
         """Ids of a text without the end mark."""
         if not text:

@@ -56,7 +56,7 @@ class IdEncoder(PrefixEncoder):
     byte_vocabulary = None
 
     def keep(self, cut: str, ids: list[int]) -> tuple[bytes, int]:
-        return array("H", ids).tobytes(), len(self.byte_vocabulary.encode_cut(" " + cut.replace(MARK, " "))) // 2
+        return array("H", ids).tobytes(), self.byte_vocabulary.count_word(cut.replace(MARK, " "))
 
 
 def _sums(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
