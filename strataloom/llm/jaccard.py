@@ -417,7 +417,8 @@ def keep_one(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """
     named = similarity_classes(docs, width).filter(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     keep = materialize(named, "keepers")
-    once = docs.join(keep.select("doc_id"), "doc_id", "left_semi")
+    # The kept ids grow with the table, so they are never broadcast.
+    once = docs.join(keep.select("doc_id").hint("merge"), "doc_id", "left_semi")
     if keep.filter("n > 1").limit(1).count():
         first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))
         once = once.withColumn("_place", first).filter("_place = 1").drop("_place")
