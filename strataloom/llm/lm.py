@@ -7,8 +7,8 @@ of the vocabulary's size reaches one machine: only the ``VOCABULARY - 2`` most f
 Model: words outside that short list are one class of their own, spelled by their share among the rest of the training
 words, so the model is a distribution over all words and one unseen word. Output is class-factored: P(class) times
 P(word in class). A first model is trained on the driver on about ``WARM_ROWS`` training documents; then each task goes on from
-it over all training documents of its partition by truncated backpropagation (a gradient for one window in ``EVERY``, the
-state runs through all), and the models are averaged by their tokens. Scoring carries the state through whole documents.
+it over all training documents of its partition by truncated backpropagation with a gradient for every window, and the
+models are averaged by their tokens. Scoring carries the state through whole documents.
 
 Training documents are those whose crc32 of doc_id modulo 5 is not 1. Defined results: a null text is empty and has the
 end token only; a null doc_id is held out; equal texts have equal scores; other columns are ignored.
@@ -31,7 +31,6 @@ CLASS_SIZE = 32
 HIDDEN = 16
 SCORE_BYTES = 24 << 20  # texts scored side by side
 WINDOW = 24
-EVERY = 4
 STREAMS = 256
 STREAM_LENGTH = 1008
 WARM_ROWS = 300
@@ -233,7 +232,7 @@ class GatedModel:
         return out
 
     def learn(self, h: np.ndarray, inputs: np.ndarray, targets: np.ndarray, rate: float) -> np.ndarray:
-        """One update by backpropagation through one window (stream, time); the state after it."""
+        """One update by backpropagation through one window (stream, time); the state after it. Targets below 0 are padding."""
         steps, tape = inputs.shape[1], []
         states = np.empty((steps, *h.shape), np.float32)
         for t in range(steps):
@@ -241,12 +240,14 @@ class GatedModel:
             tape.append(rest)
             states[t] = h
         flat, target = states.reshape(-1, HIDDEN), targets.T.ravel()
-        cls, word, n = target // CLASS_SIZE, target % CLASS_SIZE, len(target)
+        real = np.flatnonzero(target >= 0)
+        cls, word, n = np.where(target < 0, VOCABULARY, target) // CLASS_SIZE, target % CLASS_SIZE, len(real)
         d = {k: np.zeros(v.shape, np.float32) for k, v in self.p.items()}
         a = flat @ self.p["classes"] + self.p["class_bias"]
         e = np.exp(a - a.max(1, keepdims=True))
         e /= e.sum(1, keepdims=True)
-        e[np.arange(n), cls] -= 1
+        e[real, cls[real]] -= 1
+        e[target < 0] = 0
         d["classes"], d["class_bias"] = flat.T @ e, e.sum(0)
         back = e @ self.p["classes"].T
         order = np.argsort(cls, kind="stable")
@@ -282,21 +283,18 @@ class GatedModel:
             self.p[k] -= rate * x / np.sqrt(self.squares[k])
         return h
 
-    def read(self, tokens: np.ndarray, rate: float, every: int, turn: int = 0) -> None:
-        """Go through a run of whole documents in parallel streams, with a gradient for one window in ``every``."""
-        streams = int(max(1, min(STREAMS, len(tokens) // (4 * WINDOW))))
-        length = len(tokens) // streams
-        if length < 2:
+    def read(self, tokens: np.ndarray, rate: float) -> None:
+        """Learn a run of whole documents in parallel streams, every token once; the last streams are padded."""
+        if not len(tokens):
             return
-        x = np.concatenate(([END], tokens[:-1]))[: streams * length].reshape(streams, length)
-        y = tokens[: streams * length].reshape(streams, length)
+        streams = int(max(1, min(STREAMS, len(tokens) // (4 * WINDOW))))
+        length = -(-len(tokens) // streams)
+        pad = streams * length - len(tokens)
+        x = np.concatenate(([END], tokens[:-1], np.full(pad, END))).reshape(streams, length)
+        y = np.concatenate((tokens, np.full(pad, -1))).reshape(streams, length)
         h = np.zeros((streams, HIDDEN), np.float32)
-        for k, a in enumerate(range(0, length, WINDOW)):
-            if (k + turn) % every == 0:
-                h = self.learn(h, x[:, a : a + WINDOW], y[:, a : a + WINDOW], rate)
-            else:
-                for t in range(a, min(a + WINDOW, length)):
-                    h = self.step(h, x[:, t])[0]
+        for a in range(0, length, WINDOW):
+            h = self.learn(h, x[:, a : a + WINDOW], y[:, a : a + WINDOW], rate)
 
     def score(self, tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Natural log probability of each row's whole token sequence; all rows run side by side, longest first."""
@@ -371,9 +369,9 @@ def train(docs: DataFrame, words: ShortList, rows: int) -> GatedModel:
     got = sample.mapInArrow(coded, "ids binary").collect()
     tokens = np.concatenate([np.frombuffer(bytes(r.ids), np.uint16).astype(np.int64) for r in got]) if got else np.zeros(0, np.int64)
     model = GatedModel.fresh(words.counts)
-    for k in range(WARM_EPOCHS):
+    for _ in range(WARM_EPOCHS):
         for a in range(0, len(tokens), STREAMS * STREAM_LENGTH):
-            model.read(tokens[a : a + STREAMS * STREAM_LENGTH], RATE, 1, k)
+            model.read(tokens[a : a + STREAMS * STREAM_LENGTH], RATE)
     warm = model.flat()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -385,10 +383,10 @@ def train(docs: DataFrame, words: ShortList, rows: int) -> GatedModel:
                 held.append(words.ids(t.hashes))
                 size += len(held[-1])
                 if size >= STREAMS * STREAM_LENGTH:
-                    own.read(np.concatenate(held), RATE / 2, EVERY, seen)
+                    own.read(np.concatenate(held), RATE / 2)
                     seen, held, size = seen + size, [], 0
         if size:
-            own.read(np.concatenate(held), RATE / 2, EVERY, seen)
+            own.read(np.concatenate(held), RATE / 2)
         if seen + size:
             yield _weighted(own.flat().astype(np.float64) * (seen + size), seen + size)
 

@@ -2,9 +2,10 @@
 
 from itertools import count
 
+import numpy as np
 import pyarrow as pa
 
-from strataloom.llm import jaccard
+from strataloom.llm import jaccard, lm
 from strataloom.llm.words import shingle_sets
 
 
@@ -23,3 +24,29 @@ def test_near_copies_behind_a_longer_document(spark):
     linked = {(a, b) for a in range(len(sets)) for b in range(a) if 4 * len(sets[a] & sets[b]) >= 3 * len(sets[a] | sets[b])}
     assert linked == {(2, 1)}
     assert {r.doc_id: r.component_id for r in jaccard.similarity_classes(df).collect()} == {0: 0, 1: 1, 2: 1, 3: 3, 4: 4, 5: 5, 6: 6}
+
+
+def test_model_learns_every_token_once(monkeypatch):
+    seen = []
+    learn = lm.GatedModel.learn
+
+    def noted(self, h, inputs, targets, rate):
+        seen.append(targets[targets >= 0])
+        return learn(self, h, inputs, targets, rate)
+
+    monkeypatch.setattr(lm.GatedModel, "learn", noted)
+    for n in (0, 1, 95, 5003, 30_011):
+        tokens = np.random.default_rng(n).integers(0, lm.VOCABULARY, n)
+        seen.clear()
+        m = lm.GatedModel.fresh(np.arange(lm.VOCABULARY)[::-1])
+        m.read(tokens, lm.RATE / 2, *([lm.EVERY] if hasattr(lm, "EVERY") else []))
+        assert sorted(np.concatenate([[], *seen])) == sorted(tokens)
+
+
+def test_padding_gives_no_gradient():
+    a, b = (lm.GatedModel.fresh(np.arange(lm.VOCABULARY)[::-1]) for _ in range(2))
+    x, y = np.array([[0, 5, 9, 7]]), np.array([[5, 9, 7, 3]])
+    a.learn(np.zeros((1, lm.HIDDEN), np.float32), x, y, 0.1)
+    wide = lambda v, fill: np.block([[v, np.full((1, 2), fill)], [np.full((1, 6), fill)]])
+    b.learn(np.zeros((2, lm.HIDDEN), np.float32), wide(x, lm.END), wide(y, -1), 0.1)
+    assert all(np.allclose(a.p[k], b.p[k], atol=1e-6) for k in a.p)
