@@ -2,8 +2,8 @@
 
 Documents become token ids once. Terms are token ids, so document frequencies over the whole corpus are a table of the
 vocabulary's size. Each task takes its rows in shards of bounded size and builds an inverted index of a shard. The first
-unused document seeds a window; its ``QUERY_TERMS`` terms of the largest weight query the index, and the unused
-documents of the highest scores follow it until the window is full. The last one is cut where the window ends and its
+unused document seeds a window; all its terms query the index, and the unused documents of the highest scores follow it
+until the window is full. The last one is cut where the window ends and its
 rest seeds the next window. What is left at a shard's end is cut into powers of two, which need no padding.
 
 Defined results: null and empty texts are one end id; repeated rows are packed each; every id lies in exactly one piece;
@@ -25,7 +25,6 @@ from .store import bounded_batches, materialize
 from .words import slices
 
 WINDOW = 1024
-QUERY_TERMS = 24
 SHARD_ROWS = 2000
 SHARD_IDS = 6_000_000
 K1, B = 1.2, 0.75
@@ -94,21 +93,27 @@ class Shard:
         row, term = keys[at] >> 16, keys[at] & 65535
         weight = (idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[row] / max(mean, 1e-9)))).astype(np.float32)
         self.row_at = np.searchsorted(row, np.arange(n + 1))
-        self.row_term, self.row_weight = term, weight
+        self.row_term = term
         order = np.argsort(term, kind="stable")
         self.rows, self.weights = row[order], weight[order]
         self.term_at = np.searchsorted(term[order], np.arange(65537))
+        # The lists of terms that a quarter of the rows have are held with a place for each row: adding one is a plain sum.
+        often = np.flatnonzero(np.diff(self.term_at) * 4 > n)
+        self.full = dict(zip(often.tolist(), np.zeros((len(often), n), np.float32), strict=True))
+        for t, values in self.full.items():
+            values[self.rows[self.term_at[t] : self.term_at[t + 1]]] = self.weights[self.term_at[t] : self.term_at[t + 1]]
 
     def neighbours(self, seed: int) -> Iterator[int]:
         """Unused rows by descending score, ties to the earlier row; then the rest in order."""
         a, b = self.row_at[seed], self.row_at[seed + 1]
-        terms, weight = self.row_term[a:b], self.row_weight[a:b]
-        if len(terms) > QUERY_TERMS:
-            terms = terms[np.argpartition(-weight, QUERY_TERMS)[:QUERY_TERMS]]
         score = np.zeros(len(self.unused), np.float32)
-        for t in terms:
-            x, y = self.term_at[t], self.term_at[t + 1]
-            score[self.rows[x:y]] += self.weights[x:y]
+        for t in self.row_term[a:b].tolist():
+            values = self.full.get(t)
+            if values is not None:
+                score += values
+            else:
+                x, y = self.term_at[t], self.term_at[t + 1]
+                score[self.rows[x:y]] += self.weights[x:y]
         score[~self.unused] = -1
         while True:
             best = int(np.argmax(score))

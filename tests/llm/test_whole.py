@@ -5,7 +5,7 @@ from itertools import count
 import numpy as np
 import pyarrow as pa
 
-from strataloom.llm import jaccard, lm
+from strataloom.llm import jaccard, lm, packing
 from strataloom.llm.words import shingle_sets
 
 
@@ -50,3 +50,13 @@ def test_padding_gives_no_gradient():
     wide = lambda v, fill: np.block([[v, np.full((1, 2), fill)], [np.full((1, 6), fill)]])
     b.learn(np.zeros((2, lm.HIDDEN), np.float32), wide(x, lm.END), wide(y, -1), 0.1)
     assert all(np.allclose(a.p[k], b.p[k], atol=1e-6) for k in a.p)
+
+
+def test_neighbours_score_all_terms_of_the_seed():
+    heavy, light = list(range(100, 130)), list(range(30))
+    ids = [np.array(x, np.uint16) for x in (heavy + light, [200, 201], [*light, 300], [202], [203])]
+    idf = np.ones(packing.VOCABULARY)
+    idf[heavy] = 5
+    shard = packing.Shard(ids, idf, 20.0)
+    shard.unused[0] = False
+    assert next(shard.neighbours(0)) == 2
