@@ -214,7 +214,7 @@ def vault_note_text(spark, sf):
 def slug_nfkc(spark, sf):
     """Unicode slugs; SQL engines lack the normalisation."""
     importable(spark)
-    return table(spark, sf, "documents").select("doc_id", S.slug(F.substring("text", 1, 60)).alias("slug"))
+    return table(spark, sf, "documents").select("doc_id", S.slug(F.col("text")).alias("slug"))
 
 
 @query(f"""
