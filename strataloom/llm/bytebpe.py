@@ -1,49 +1,17 @@
-"""Byte-level BPE ids, with equal stretches of text encoded once per worker.
-
-A text is cut where the vocabulary's own pattern can't look across: each cut is a run of non-space characters with at
-most one space before it, or a run of white space. The pattern then runs on distinct cuts only.
-"""
+"""Byte-level BPE ids of whole texts, as unsigned 16-bit integers."""
 
 from __future__ import annotations
 
 import base64
-import re
+from array import array
 from collections.abc import Iterable
 
-import regex
+import numpy as np
 
-# The pattern of the vocabulary and the characters of the White_Space property.
-PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-WHITE = "\t-\r \x85\xa0  -     　"
-CUT = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
+# Fixed value: the pattern of the vocabulary.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 END = "<|endoftext|>"
 END_ID = 50256
-CACHE_ENTRIES = 250_000
-
-
-ODD = re.compile(f"[\\t\\v\\f\\r{WHITE[4:]}]")
-
-
-def plain_spaces(text: str) -> bool:
-    """Whether all white space is single spaces and line feeds between other characters."""
-    if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[0] in " \n" or text[-1] in " \n":
-        return False
-    if text.isascii():
-        return not ("\t" in text or "\r" in text or "\v" in text or "\f" in text)
-    return ODD.search(text) is None
-
-
-class _Memo(dict):
-    """Ids of words, each with the same characters before it."""
-
-    def __init__(self, encode, before: str):
-        self.encode, self.before = encode, before
-
-    def __missing__(self, word: str) -> bytes:
-        ids = self.encode(self.before + word)
-        if len(word) < 64:
-            self[word] = ids
-        return ids
 
 
 class ByteEncoder:
@@ -58,8 +26,8 @@ class ByteEncoder:
             else:
                 f.seek(0)
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.single = _tiktoken.CoreBPE(ranks, {}, PATTERN.pattern).encode_single_piece
-        self.spaced, self.bare = _Memo(self.encode_cut, " "), _Memo(self.encode_cut, "")
+        self.ordinary = _tiktoken.CoreBPE(ranks, {}, PATTERN).encode_ordinary
+        self.lengths = {i: len(token) for token, i in ranks.items()}
 
     @staticmethod
     def _from_json(path: str) -> dict[bytes, int]:
@@ -71,48 +39,31 @@ class ByteEncoder:
         byte = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in plain)}
         return {bytes(byte[c] for c in token): i for token, i in vocab.items() if token != END}
 
-    def encode_cut(self, cut: str) -> bytes:
-        """Ids as little-endian unsigned 16-bit integers."""
-        ids: list[int] = []
-        for piece in PATTERN.findall(cut):
-            ids += self.single(piece.encode())
-        return b"".join([i.to_bytes(2, "little") for i in ids])
-
-    def count_word(self, word: str) -> int:
-        """Number of ids of a word with a space before it."""
-        if word.isalpha():
-            return len(self.single((" " + word).encode()))
-        return len(self.encode_cut(" " + word)) // 2
-
-    def encode(self, text: str) -> bytes:
-        """Ids of a text without the end mark."""
-        if not text:
-            return b""
-        spaced, bare = self.spaced, self.bare
-        if not plain_spaces(text):
-            return b"".join([bare[c] for c in CUT.findall(text)])
-        feed, out = bare["\n"], []
-        for line in text.split("\n"):
-            first, *rest = line.split(" ")
-            out.append(bare[first])
-            out += [spaced[w] for w in rest]
-            out.append(feed)
-        return b"".join(out[:-1])
+    def token_bytes(self, size: int) -> np.ndarray:
+        """Length in bytes of each token; 1 for ids that are none."""
+        return np.array([self.lengths.get(i, 1) for i in range(size)], np.float64)
+
+    def ids(self, text: str) -> list[int]:
+        """Ids of a text; the end mark's string is its one id, as the library takes it by default."""
+        if END not in text:
+            return self.ordinary(text)
+        first, *rest = text.split(END)
+        out = self.ordinary(first)
+        for part in rest:
+            out.append(END_ID)
+            out += self.ordinary(part)
+        return out
 
     def encode_all(self, texts: Iterable[str]) -> list[bytes]:
-        """Ids of each text; the end mark's string is its one id, as the library takes it by default."""
-        out = [self.encode(t) if END not in t else END_ID.to_bytes(2, "little").join([self.encode(x) for x in t.split(END)]) for t in texts]
-        for memo in (self.spaced, self.bare):
-            if len(memo) > CACHE_ENTRIES:
-                memo.clear()
-        return out
+        """Ids of each text as little-endian unsigned 16-bit integers."""
+        return [array("H", self.ids(t)).tobytes() for t in texts]
 
 
 _LOADED: dict[str, ByteEncoder] = {}
 
 
 def byte_encoder(path: str) -> ByteEncoder:
-    """One encoder for each worker and file."""
+    """One encoder for each worker and file; it holds the vocabulary and nothing of the texts."""
     if path not in _LOADED:
         _LOADED[path] = ByteEncoder(path)
     return _LOADED[path]

@@ -17,8 +17,15 @@ still meets another, for as long as that finds links. A last round takes every p
 different components and that sizes, places in the prefixes and parity sketches of the sets leave room for. Pairs inside
 a component need no comparison, so no link between different texts is lost.
 
+Blocks of columns and rows are as many as keep a block at about ``BLOCK_ENTRIES`` entries, so what a task holds does not grow with
+the corpus but for n-grams that very many different sets share. N-grams are told apart by 48 bits and the bucket's number, sets
+by 64 bits: among S distinct n-grams about S * S / 2**(49 + log2(buckets)) pairs are taken for one, which can shift an overlap by
+one each. That is under one pair up to some 10 ** 8 n-grams in 64 buckets and some thousands of pairs at 10 ** 10.
+
 Defined results: null text, empty text and text without words have an empty set and link with nothing; repeated rows
-share their class; a null doc_id is returned as it is and never names a component unless the class has no other id.
+share their class; a null doc_id is returned as it is and never names a component unless the class has no other id; texts of any
+length are read whole, a batch of them at a time; an empty table gives no rows; other columns, whatever their names, are ignored
+(``similarity_classes``) or kept (``keep_one``).
 """
 
 from __future__ import annotations
@@ -37,6 +44,7 @@ from .words import mix, shingle_sets, slices
 
 WIDTH = 5
 NUM, DEN = 75, 100  # similarity of 0.75 as an exact fraction
+BLOCK_ENTRIES = 400_000
 
 BLOCK = pa.schema([("bucket", pa.int32()), ("part", pa.int32()), ("sids", pa.binary()), ("ns", pa.binary()), ("cnts", pa.binary()), ("hs", pa.binary()), ("dfs", pa.binary())])
 BLOCK_DDL = "bucket int, part int, sids binary, ns binary, cnts binary, hs binary, dfs binary"
@@ -126,23 +134,24 @@ def incidence(docs: DataFrame, n_buckets: int, width: int = WIDTH) -> DataFrame:
                     yield from flush()
         yield from flush()
 
-    return _flat(docs).mapInArrow(run, BLOCK_DDL)
+    return _flat(docs).select("doc_id", "text").mapInArrow(run, BLOCK_DDL)
 
 
 def _flat(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("th"))
 
 
 def set_sizes(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, sid, n: which set each document has, and its size."""
+    """doc_id, th, sid, n: a hash of each document's text, which set it has, and the set's size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 sets = shingle_sets(part.column(1), width)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([set_id(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())], ["doc_id", "sid", "n"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([set_id(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())], ["doc_id", "th", "sid", "n"])
 
-    return _flat(docs).mapInArrow(run, "doc_id long, sid long, n long")
+    return _flat(docs).mapInArrow(run, "doc_id long, th long, sid long, n long")
 
 
 def _columns(n_buckets: int):
@@ -392,38 +401,57 @@ def link_classes(rows: DataFrame, n_buckets: int, rounds: int = 4) -> DataFrame:
         drawing = turn < rounds and (grew or turn == 1)
 
 
-def similarity_classes(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, n_shingles, component_id for each row of ``docs``."""
+def _classes(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, th, sid, n) of each row, and (sid, class, component_id) of each set that is not empty."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    n_buckets = buckets(spark)
     # The blocks go straight to their shuffle: reading the texts twice costs less than a stored copy of the matrix.
     info = materialize(set_sizes(docs, width), "sets")
+    entries = info.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    n_buckets = int(min(65536, max(4 * buckets(spark), -(-entries // BLOCK_ENTRIES))))
     shared = incidence(docs, n_buckets, width).groupBy("bucket").applyInArrow(_columns(n_buckets), BLOCK_DDL)
     rows = materialize(shared.groupBy("bucket").applyInArrow(_rows, ROWS_DDL), "rows")
     labels = link_classes(rows, n_buckets)
     classes = info.filter("n > 0").groupBy("sid").agg(F.min("doc_id").alias("least"))
-    if labels is not None:
-        classes = classes.join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-        least = classes.groupBy("root").agg(F.min("least").alias("component"))
-        classes = classes.join(least, "root").select("sid", F.col("component").alias("component_id"))
-    else:
-        classes = classes.select("sid", F.col("least").alias("component_id"))
-    classes = materialize(classes, "classes")
+    if labels is None:
+        return info, materialize(classes.select("sid", F.col("sid").alias("class"), F.col("least").alias("component_id")), "classes")
+    classes = classes.join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("class", F.coalesce("root", "sid"))
+    least = classes.groupBy("class").agg(F.min("least").alias("component_id"))
+    return info, materialize(classes.select("sid", "class").join(least, "class").select("sid", "class", "component_id"), "classes")
+
+
+def similarity_classes(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """doc_id, n_shingles, component_id for each row of ``docs``."""
+    info, classes = _classes(docs, width)
     info = info.withColumn("key", F.when(F.col("n") > 0, F.col("sid")))
-    return info.join(classes.withColumnRenamed("sid", "key"), "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return info.join(classes.select(F.col("sid").alias("key"), "component_id"), "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """One document of each class, the row whose doc_id names it, with all columns.
+    """One row of each class with all columns: that of the smallest doc_id, of equal ones that of the least hash of its text.
 
-    Rows without doc_id all stay. If a kept doc_id repeats, its row of the least text hash stays.
+    Rows without words all stay. A class without any doc_id keeps one row like any other. Of rows that repeat both doc_id and text,
+    the one with the least hash of all columns stays.
     """
-    named = similarity_classes(docs, width).filter(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    keep = materialize(named, "keepers")
-    # The kept ids grow with the table, so they are never broadcast.
-    once = docs.join(keep.select("doc_id").hint("merge"), "doc_id", "left_semi")
-    if keep.filter("n > 1").limit(1).count():
-        first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))
-        once = once.withColumn("_place", first).filter("_place = 1").drop("_place")
-    return once.select(docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
+    info, classes = _classes(docs, width)
+    per = info.filter("n > 0").groupBy("sid", "doc_id", "th").agg(F.count(F.lit(1)).alias("c"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "c")).alias("k")
+    keep = materialize(per.join(classes.select("sid", "class"), "sid").groupBy("class").agg(first).select("k.doc_id", "k.th", "k.c"), "keepers")
+    th, num = (_unused(docs, x) for x in ("th", "place"))
+    text = F.col("text").cast("string")
+    words = F.coalesce(text.rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    marked = docs.filter(words).withColumn(th, F.xxhash64(text))
+    same = marked["doc_id"].cast("long").eqNullSafe(keep["doc_id"]) & (marked[th] == keep["th"])
+    once = marked.join(keep.hint("merge"), same, "left_semi")  # the kept ids grow with the table, so they are never broadcast
+    if keep.filter("c > 1").limit(1).count():
+        one = F.row_number().over(Window.partitionBy("doc_id", th).orderBy(F.xxhash64(*docs.columns)))
+        once = once.withColumn(num, one).filter(F.col(num) == 1)
+    return once.select(docs.columns).unionByName(docs.filter(~words))
+
+
+def _unused(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` does not have."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name

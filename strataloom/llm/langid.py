@@ -8,7 +8,10 @@ softmax, so scores are calibrated. Learning rows are those with a text and a lan
 
 Defined results: a null text and a text without letters are ``und`` with score 0, and so is every text if nothing could be
 learned; rows with a null doc_id are held out of learning and marked false; repeated rows count as often as they stand
-in the table; ties go to the smaller language name. At most ``MAX_LANGUAGES`` of the most frequent languages are learned.
+in the table; ties go to the smaller language name; texts of any length are read whole, one at a time; an empty table gives no rows;
+other columns, whatever their names, are ignored (``identify``) or kept (``keep_documents``). The learning sample has about
+``SAMPLE`` rows, twice that at most, evenly spread; a language is learned if the sample has a row of it, so all are as long as there
+are no more than ``SAMPLE`` languages (beyond, the most frequent ones).
 """
 
 from __future__ import annotations
@@ -25,7 +28,6 @@ from .store import bounded_batches, materialize
 
 DIMENSIONS = 1 << 13
 SAMPLE = 6000
-MAX_LANGUAGES = 500
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.02, 1e-4
 
@@ -116,13 +118,13 @@ class Model:
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """Learn from docs(doc_id, text, lang). Document frequencies cover all learning rows; weights a bounded sample."""
     rows = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter((fold() != 2) & F.col("text").isNotNull() & F.col("lang").isNotNull())
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
+    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(sample).collect()}
     languages = sorted(sizes)
     if not languages:
         return Model([], np.ones(DIMENSIONS), np.zeros((DIMENSIONS, 0)), 1.0)
     each = max(1, sample // len(languages))
     share = F.create_map(*[F.lit(x) for k in languages for x in (k, min(1.0, each / sizes[k]))])
-    drawn = F.coalesce(F.pmod(F.xxhash64(F.col("doc_id"), F.lit("sample")), F.lit(1 << 30)) / F.lit(float(1 << 30)) < F.element_at(share, F.col("lang")), F.lit(False))
+    drawn = F.coalesce(F.pmod(F.xxhash64(F.col("doc_id"), F.col("text"), F.lit("sample")), F.lit(1 << 30)) / F.lit(float(1 << 30)) < F.element_at(share, F.col("lang")), F.lit(False))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n = np.zeros(DIMENSIONS, np.int64), 0
@@ -153,7 +155,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     idf = np.log((1 + total) / (1 + df)) + 1
     place = {k: i for i, k in enumerate(languages)}
     learn, hold = [], []
-    for r in sorted(got.filter("lang is not null").collect(), key=lambda r: (r.lang, bytes(r["at"]), bytes(r.n))):
+    drawn_rows = got.filter("lang is not null").orderBy(F.xxhash64("at", "n"), "lang").limit(2 * sample)  # repeated rows can't swell it
+    for r in sorted(drawn_rows.collect(), key=lambda r: (r.lang, bytes(r["at"]), bytes(r.n))):
         at, n = np.frombuffer(bytes(r["at"]), np.uint16).astype(np.int64), np.frombuffer(bytes(r.n), np.uint32)
         x = (1 + np.log(n)) * idf[at]
         (hold if r.f == 3 else learn).append((at, x / max(np.sqrt(x @ x), 1e-12), place[r.lang]))

@@ -1,13 +1,21 @@
 """Lexical retrieval packing: sequences filled with documents that BM25 finds near their seed.
 
-Documents become token ids once. Terms are token ids, so document frequencies over the whole corpus are a table of the
-vocabulary's size. Each task takes its rows in shards of bounded size and builds an inverted index of a shard. The first
-unused document seeds a window; all its terms query the index, and the unused documents of the highest scores follow it
-until the window is full. The last one is cut where the window ends and its
-rest seeds the next window. What is left at a shard's end is cut into powers of two, which need no padding.
-
-Defined results: null and empty texts are one end id; repeated rows are packed each; every id lies in exactly one piece;
-ties go to the earlier row; other columns are ignored.
+Documents become token ids once, and each gets a content signature: the least token under a few fixed random orders in which
+longer tokens tend to come first (weighted min-wise sampling), so documents that share much share their signature with about
+the probability of their weighted overlap. The corpus is sorted by signature and cut into shards of bounded size; a group of
+copies of any size spreads over as many neighbouring shards as it needs. A document's shard thus depends on its contents
+alone, not on the place or partition where it is stored.
+
+Terms are token ids, so document frequencies over the whole corpus are a table of the vocabulary's size. Each shard has an
+inverted index. The first unused document seeds a window; all its terms query the index, and the unused documents of the
+highest scores follow it until the window is full. The last one is cut where the window ends and its rest seeds the next
+window. What is left at a shard's end is cut into powers of two, which need no padding.
+
+A seed is not compared with other shards: that would be quadratic in the corpus. ``shard_recall`` measures what it misses.
+
+Defined results: null and empty texts are one end id; repeated rows are packed each; every id lies in exactly one piece; ties
+go to the row that sorts first by signature, then by a hash of doc_id; texts of any length are encoded whole and span as many
+sequences as they need; an empty table gives no pieces; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -22,25 +30,57 @@ from pyspark.sql import functions as F
 
 from .bytebpe import byte_encoder
 from .store import bounded_batches, materialize
-from .words import slices
+from .words import mix, slices
 
 WINDOW = 1024
-SHARD_ROWS = 2000
+SHARD_ROWS = 4000
 SHARD_IDS = 6_000_000
+SIGNATURE = 4  # tokens of a content signature
 K1, B = 1.2, 0.75
 VOCABULARY = 50_257
 
 PIECES_DDL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
+def signature_orders(token_bytes: np.ndarray, n: int = SIGNATURE) -> list[np.ndarray]:
+    """Places of all tokens in ``n`` random orders; a token is first among others with a chance by the square of its length in bytes."""
+    out = []
+    for k in range(n):
+        u = ((mix(np.arange(len(token_bytes), dtype=np.uint64) + np.uint64(1_000_003 * (k + 1))) >> np.uint64(11)).astype(np.float64) + 1) / 2.0**53
+        place = np.empty(len(token_bytes), np.uint16)
+        place[np.argsort(-np.log(u) / token_bytes**2.0, kind="stable")] = np.arange(len(token_bytes), dtype=np.uint16)
+        out.append(place)
+    return out
+
+
+def signatures(ids: list[bytes], orders: list[np.ndarray]) -> list[np.ndarray]:
+    """For each order, the least place of any token of each document; 65535 for a document without tokens."""
+    size = np.array([len(x) // 2 for x in ids], np.int64)
+    some = np.flatnonzero(size)
+    flat = np.frombuffer(b"".join(ids), np.uint16)
+    first = np.concatenate(([0], np.cumsum(size)))[:-1][some]
+    out = []
+    for place in orders:
+        least = np.full(len(ids), 65535, np.int32)
+        if len(some):
+            least[some] = np.minimum.reduceat(place[flat], first)
+        out.append(least)
+    return out
+
+
+KEYS = [f"k{k}" for k in range(SIGNATURE)]
+
+
 def tokenize(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """Rows (doc_id, ids) with ids as unsigned 16-bit integers and the end id 0 last, and rows (term, df) of each task's counts."""
+    """Rows (doc_id, ids, signature) with ids as unsigned 16-bit integers and the end id 0 last, and a row of each task's counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = byte_encoder(tokenizer)
+        orders = signature_orders(e.token_bytes(VOCABULARY))
         df, rows, total = np.zeros(VOCABULARY, np.int64), 0, 0
         seen = np.zeros(VOCABULARY, np.uint8)
-        names = ["doc_id", "ids", "n_rows", "n_ids", "df"]
+        names = ["doc_id", "ids", *KEYS, "n_rows", "n_ids", "df"]
+        no_keys = [pa.nulls(1, pa.int32())] * SIGNATURE
         for batch in batches:
             for part in slices(batch, "text"):
                 got = e.encode_all([t or "" for t in part.column(1).to_pylist()])
@@ -54,12 +94,13 @@ def tokenize(docs: DataFrame, tokenizer: str) -> DataFrame:
                 df += some
                 rows += len(got)
                 n = len(got)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x + b"\0\0" for x in got], pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], names)
+                keys = [pa.array(k) for k in signatures(got, orders)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x + b"\0\0" for x in got], pa.binary()), *keys, pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], names)
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([rows], pa.int64()), pa.array([total], pa.int64()), pa.array([zlib.compress(df.tobytes(), 1)], pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), *no_keys, pa.array([rows], pa.int64()), pa.array([total], pa.int64()), pa.array([zlib.compress(df.tobytes(), 1)], pa.binary())], names)
 
     flat = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return flat.mapInArrow(run, "doc_id long, ids binary, n_rows long, n_ids long, df binary")
+    return flat.mapInArrow(run, "doc_id long, ids binary, " + "".join(f"{k} int, " for k in KEYS) + "n_rows long, n_ids long, df binary")
 
 
 def corpus_statistics(counts: DataFrame) -> tuple[int, int, np.ndarray]:
@@ -97,14 +138,14 @@ class Shard:
         order = np.argsort(term, kind="stable")
         self.rows, self.weights = row[order], weight[order]
         self.term_at = np.searchsorted(term[order], np.arange(65537))
-        # The lists of terms that a quarter of the rows have are held with a place for each row: adding one is a plain sum.
-        often = np.flatnonzero(np.diff(self.term_at) * 4 > n)
+        # The lists of terms that an eighth of the rows have are held with a place for each row: adding one is a plain sum.
+        often = np.flatnonzero(np.diff(self.term_at) * 8 > n)
         self.full = dict(zip(often.tolist(), np.zeros((len(often), n), np.float32), strict=True))
         for t, values in self.full.items():
             values[self.rows[self.term_at[t] : self.term_at[t + 1]]] = self.weights[self.term_at[t] : self.term_at[t + 1]]
 
-    def neighbours(self, seed: int) -> Iterator[int]:
-        """Unused rows by descending score, ties to the earlier row; then the rest in order."""
+    def scores(self, seed: int) -> np.ndarray:
+        """BM25 scores of all rows for all terms of ``seed``."""
         a, b = self.row_at[seed], self.row_at[seed + 1]
         score = np.zeros(len(self.unused), np.float32)
         for t in self.row_term[a:b].tolist():
@@ -114,6 +155,11 @@ class Shard:
             else:
                 x, y = self.term_at[t], self.term_at[t + 1]
                 score[self.rows[x:y]] += self.weights[x:y]
+        return score
+
+    def neighbours(self, seed: int) -> Iterator[int]:
+        """Unused rows by descending score, ties to the earlier row; then the rest in order."""
+        score = self.scores(seed)
         score[~self.unused] = -1
         while True:
             best = int(np.argmax(score))
@@ -176,6 +222,12 @@ def powers_of_two(seq: list[tuple[int, int, int]], window: int = WINDOW) -> Iter
         yield out
 
 
+def by_content(tokens: DataFrame) -> DataFrame:
+    """Rows (doc_id, ids) sorted by signature over all partitions. A hash of doc_id ends the key, so equal signatures split."""
+    order = [*KEYS, F.xxhash64("doc_id"), "doc_id", F.xxhash64("ids")]
+    return tokens.filter("ids is not null").select("doc_id", "ids", *KEYS).repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "ids")
+
+
 def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids (unsigned 16-bit)."""
     bounded_batches(docs.sparkSession)
@@ -220,4 +272,20 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW) -> DataFrame:
         if held:
             yield from flush()
 
-    return both.filter("ids is not null").select("doc_id", "ids").mapInArrow(run, PIECES_DDL)
+    return by_content(both).mapInArrow(run, PIECES_DDL)
+
+
+def shard_recall(ids: list[np.ndarray], shard: np.ndarray, seeds: list[int], k: int = 10) -> tuple[float, float]:
+    """For documents held in memory: the share of each seed's ``k`` best documents of the corpus that its shard holds, and the
+    best score in the shard as a share of the best score in the corpus."""
+    df = np.bincount(np.concatenate([np.unique(x) for x in ids]), minlength=VOCABULARY)
+    whole = Shard(ids, np.log1p((len(ids) - df + 0.5) / (df + 0.5)), float(np.mean([len(x) for x in ids])))
+    found, share = [], []
+    for s in seeds:
+        score = whole.scores(s)
+        score[s] = -1
+        best = np.argsort(-score, kind="stable")[:k]
+        found.append(np.mean(shard[best] == shard[s]))
+        inside = score[shard == shard[s]].max()
+        share.append(max(inside, 0) / score[best[0]] if score[best[0]] > 0 else 1.0)
+    return float(np.mean(found)), float(np.mean(share))

@@ -1,14 +1,17 @@
 """Personal data: exact patterns, and a linear-chain conditional random field over word-shape features.
 
 The four base kinds are found by their patterns. The field labels the words of each line: secrets (keys, tokens and
-passwords) and names (of people behind an honorific). It is trained on the driver by gradient descent on the exact likelihood of
-a small labelled table that is generated below from templates, so labels are right by construction. Whole texts are
-decoded: lines are cut into windows of ``WINDOW`` words with ``OVERLAP`` words of context on either side, windows of a batch
-are decoded together by Viterbi in numpy, and scores of a word come from a table of distinct words. Spans that the field adds never
-replace a base span: an added span that touches one is dropped.
-
-Defined results: a null text is empty and has no spans; digits are ASCII digits; positions count code points; repeated
-rows are searched each; other columns are ignored (``find``) or kept (``redact``).
+passwords) and names (of people behind an honorific or an introducing word). It is trained on the driver by gradient descent
+on the exact likelihood of a small labelled table that is generated below from templates, so labels are right by construction.
+
+Whole lines are decoded by Viterbi in numpy batches, whatever their length. A word whose margin for "nothing" exceeds all that
+the transitions on its two sides can make up has that label in every best path, so the path falls apart there exactly; only the
+stretches of other words between such places are decoded, side by side. Scores of a word come from a table of distinct words.
+Spans that the field adds never replace a base span: an added span that touches one is dropped.
+
+Defined results: a null text is empty and has no spans; digits are ASCII digits; positions count code points; ties of paths go
+to the smaller label; repeated rows are searched each; texts and words of any length are read whole; an empty table gives no
+rows; other columns, whatever their names, are ignored (``find``) or kept (``redact``).
 """
 
 from __future__ import annotations
@@ -16,6 +19,8 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -83,19 +88,19 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 LABELS = ["O", "secret", "name"]
 FEATURES = 1 << 12
-WINDOW, OVERLAP = 64, 8
-WORD = re.compile(r"[^\s]+")
+CELLS = 1 << 20  # words decoded side by side, padding included
 
 CUES = ("token", "secret", "password", "passwd", "pwd", "api_key", "apikey", "key", "bearer", "authorization")  # left-hand sides of templates
 HONORIFICS = ("Mr.", "Mrs.", "Ms.", "Dr.", "Prof.", "Herr", "Frau", "Monsieur", "Madame", "Señor", "Señora")
+INTRODUCING = ("name:", "named", "signed", "signed:", "author:", "contact:", "sincerely,", "regards,", "attn:")
 GIVEN = ("Anna", "John", "Maria", "Peter", "Laura", "Karl", "Sofia", "Jean", "Lucía", "Omar", "Ivy", "Noah")
 FAMILY = ("Smith", "Müller", "García", "Dubois", "Brown", "Schmidt", "López", "Martin", "Okafor", "Novak", "Lee", "Rossi")
 
 
 def shape(word: str) -> str:
-    """Runs of upper, lower, digit and other characters, each kept once with its length class."""
+    """Runs of upper, lower, digit and other characters, each kept once with its length class; long shapes as the set of their runs."""
     out, last, run = [], "", 0
-    for c in word[:80]:
+    for c in word:
         k = "d" if c.isdigit() else "X" if c.isupper() else "x" if c.isalpha() else c if c in "=:_\"'.,-/@+#" else "o"
         if k == last:
             run += 1
@@ -103,46 +108,50 @@ def shape(word: str) -> str:
             if last:
                 out.append(last + ("+" if run > 3 else ""))
             last, run = k, 1
-    return "".join(out) + last + ("+" if run > 3 else "")
+    out.append(last + ("+" if run > 3 else ""))
+    return "".join(out) if len(out) <= 12 else "many:" + "".join(sorted(set(out)))
 
 
-def word_features(word: str) -> list[str]:
-    """Names of the features of one word; none of them is the word itself unless it is a cue or an honorific."""
+def word_features(word: str) -> tuple[str, ...]:
+    """Names of the features of one word; none of them is the word itself unless it is a cue, an honorific or an introducing word."""
     body = word.strip("\"'.,;:()[]")
     low = body.lower()
-    digits = sum(c.isdigit() for c in body)
-    hexa = len(body) >= 16 and all(c in "0123456789abcdefABCDEF" for c in body)
-    turns = sum(a.isdigit() != b.isdigit() for a, b in zip(body[:64], body[1:65], strict=False))
+    digits = sum(map(str.isdigit, body))
+    hexa = len(body) >= 16 and not low.strip("0123456789abcdef")
+    turns = sum(a.isdigit() != b.isdigit() for a, b in pairwise(body)) if digits else 0
     head, eq, tail = low.partition("=")
-    return [
-        "shape=" + shape(word)[:12], "len=" + str(min(len(body) // 4, 8)), f"digits={min(digits, 6)}", f"turns={min(turns, 6)}", f"hex={hexa}",
+    return (
+        "shape=" + shape(word), f"len={min(len(body) // 4, 8)}", f"digits={min(digits, 6)}", f"turns={min(turns, 6)}", f"hex={hexa}",
         f"cue={low in CUES or low.rstrip('=:') in CUES}", f"pair={bool(eq and tail and head in CUES)}", f"eq={word in ('=', ':', ':=')}",
-        f"hon={word in HONORIFICS}", f"cap={word[:1].isupper() and word[1:2].islower()}", f"upper={body.isupper() and len(body) > 12 and digits > 0}",
+        f"hon={word in HONORIFICS}", f"intro={word.lower() in INTRODUCING}", f"cap={word[:1].isupper() and word[1:2].islower()}", f"upper={body.isupper() and len(body) > 12 and digits > 0}",
         f"quoted={word[:1] in '\"' + chr(39) and len(word) > 2}", f"stop={word[-1:] in '.!?' and word not in HONORIFICS}", f"mixed={digits >= 3 and turns >= 3 and len(body) >= 12}",
-    ]
+    )
 
 
+@lru_cache(1 << 16)
 def _slot(name: str) -> int:
     return int.from_bytes(hashlib.blake2b(name.encode(), digest_size=4).digest(), "little") % FEATURES
 
 
-def slots(word: str) -> list[int]:
+def slots(features: tuple[str, ...]) -> list[list[int]]:
     """Feature places of a word in three roles: itself, the word before, the word after."""
-    return [[_slot(f"{role}:{f}") for f in word_features(word)] for role in ("w", "p", "n")]
+    return [[_slot(f"{role}:{f}") for f in features] for role in ("w", "p", "n")]
 
 
 def canonical(word: str) -> str | None:
     """A word with the same features for plain words of letters and at most one stop; None for all others."""
     body, tail = (word[:-1], word[-1]) if word[-1] in ".,!?" else (word, "")
-    if not body.isalpha() or len(body) >= 16 or word in HONORIFICS or body in HONORIFICS:
+    if not body.isalpha() or body in HONORIFICS or word in HONORIFICS:
         return None
-    if body.islower():
-        return None if body in CUES else "x" * len(body) + tail
-    if body.lower() in CUES:
+    low = body.lower()
+    if low in CUES or (low + tail) in INTRODUCING or (len(body) >= 16 and not low.strip("abcdef")):
         return None
+    size = min(len(body), 32)
+    if body.islower():
+        return "x" * size + tail
     if body.isupper():
-        return "Z" * len(body) + tail
-    return "Z" + "x" * (len(body) - 1) + tail if body[0].isupper() and body[1:].islower() else None
+        return "Z" * size + tail
+    return "Z" + "x" * (size - 1) + tail if body[0].isupper() and body[1:].islower() else None
 
 
 def labelled_table(n: int = 900, seed: int = 11) -> list[tuple[list[str], list[int]]]:
@@ -181,7 +190,7 @@ def labelled_table(n: int = 900, seed: int = 11) -> list[tuple[list[str], list[i
         if x < 0.96:
             return [f"{pick(['Version', 'Section', 'Item'])}", f"{int(r.integers(9))}.{int(r.integers(9))}."]
         if x < 0.98:
-            return [pick(CUES)]  # a cue without a secret
+            return [pick(CUES)] if r.random() < 0.6 else [pick(INTRODUCING)]  # a cue or an introducing word with nothing behind it
         return [word() + pick(["###", "&&&", "***", "!!"])]
 
     def secret() -> tuple[list[str], list[int]]:
@@ -196,6 +205,9 @@ def labelled_table(n: int = 900, seed: int = 11) -> list[tuple[list[str], list[i
         return [pick(["ghp_", "sk_", "xoxb-"]) + text(lower + upper, int(r.integers(24, 40)))], [1]
 
     def name() -> tuple[list[str], list[int]]:
+        if r.random() < 0.3:
+            lead = pick(INTRODUCING)
+            return [lead.capitalize() if r.random() < 0.6 else lead, pick(GIVEN), pick(FAMILY)], [0, 2, 2]
         parts = [pick(GIVEN), pick(FAMILY)] if r.random() < 0.6 else [pick(FAMILY)]
         return [pick(HONORIFICS), *parts], [0, *[2] * len(parts)]
 
@@ -237,7 +249,7 @@ class Field:
         y = np.zeros((n, longest), np.int64)
         mask = np.zeros((n, longest), bool)
         for i, (words, labels) in enumerate(table):
-            s = [known.setdefault(w, slots(w)) for w in words]
+            s = [known.setdefault(w, slots(word_features(w))) for w in words]
             for t in range(len(words)):
                 f = s[t][0] + (s[t - 1][1] if t else []) + (s[t + 1][2] if t + 1 < len(words) else [])
                 feats.append(np.array(f))
@@ -273,9 +285,51 @@ class Field:
             w, pairs = w + rate * dw / np.sqrt(gw), pairs + rate * dp / np.sqrt(gp)
         return cls(w, pairs)
 
-    def word_scores(self, word: str) -> np.ndarray:
-        """(role, label) scores of one word."""
-        return np.array([self.weights[s].sum(axis=0) for s in slots(word)], np.float32)
+    def feature_scores(self, features: tuple[str, ...]) -> np.ndarray:
+        """(role, label) scores of a word with these features."""
+        return np.array([self.weights[s].sum(axis=0) for s in slots(features)], np.float32)
+
+    def certain(self, emit: np.ndarray) -> np.ndarray:
+        """Whether a word of these scores has label 0 in every best path, whatever stands on either side of it or nothing."""
+        p = self.pairs
+        out = np.ones(len(emit), bool)
+        for k in range(1, p.shape[0]):
+            gain = max(0.0, float((p[:, k] - p[:, 0]).max())) + max(0.0, float((p[k] - p[0]).max()))
+            out &= emit[:, 0] > emit[:, k] + np.float32(gain + 1e-4)
+        return out
+
+    def decode(self, emit: np.ndarray, row: np.ndarray) -> np.ndarray:
+        """Best labels of words with scores ``emit``; words of one line share their ``row`` and follow each other."""
+        out = np.zeros(len(emit), np.int8)
+        at = np.flatnonzero(~self.certain(emit))
+        if not len(at):
+            return out
+        score = emit[at].copy()
+        same = np.zeros(len(emit) + 1, bool)  # whether a word follows another of its line
+        same[1:-1] = row[1:] == row[:-1]
+        begins = np.concatenate(([True], (at[1:] != at[:-1] + 1) | ~same[at[1:]]))
+        first = np.flatnonzero(begins)
+        last = np.append(first[1:], len(at)) - 1
+        # The neighbours of a stretch within its line are certain.
+        pairs = self.pairs.astype(np.float32)
+        score[first[same[at[first]]]] += pairs[0]
+        score[last[same[at[last] + 1]]] += pairs[:, 0]
+        size = last - first + 1
+        order = np.argsort(size, kind="stable")
+        a = 0
+        while a < len(order):
+            b = a + 1
+            while b < len(order) and (b + 1 - a) * size[order[b]] <= CELLS:
+                b += max(1, min(len(order) - b, int(CELLS // size[order[b]]) - (b - a)) // 2)
+            some = order[a:b]
+            n = size[some]
+            inside = np.arange(n.max()) < n[:, None]
+            padded = np.zeros((len(some), n.max(), score.shape[1]), np.float32)
+            words = np.repeat(first[some], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            padded[inside] = score[words]
+            out[at[words]] = self.viterbi(padded, n)[inside]
+            a = b
+        return out
 
     def viterbi(self, score: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Best labels of a padded batch (row, place, label)."""
@@ -299,87 +353,78 @@ class Field:
 
 
 class Finder:
-    """Decodes whole texts; keeps the scores of distinct words."""
+    """Decodes whole texts; keeps which scores belong to distinct words, up to ``limit`` words."""
 
-    def __init__(self, field: Field, limit: int = 150_000):
+    def __init__(self, field: Field, limit: int = 100_000):
         self.field, self.limit = field, limit
+        self.clear()
+
+    def clear(self) -> None:
         self.index: dict[str, int] = {}
         self.plain: dict[str, int] = {}
+        self.known: dict[tuple[str, ...], int] = {}
         self.used = 0
         self.scores = np.zeros((1024, 3, len(LABELS)), np.float32)
 
-    def places(self, words: list[str]) -> np.ndarray:
-        if len(self.index) > self.limit:
-            self.index.clear()
-            self.plain.clear()
-            self.used = 0
-        index = self.index
-        out = np.empty(len(words), np.int64)
-        for k, w in enumerate(words):
-            i = index.get(w)
+    def _place(self, word: str) -> int:
+        c = canonical(word)
+        i = self.plain.get(c) if c is not None else None
+        if i is None:
+            f = word_features(word)
+            i = self.known.get(f)
             if i is None:
-                c = canonical(w)
-                i = self.plain.get(c)
-                if i is None:
-                    i, self.used = self.used, self.used + 1
-                    if i >= len(self.scores):
-                        self.scores = np.concatenate((self.scores, np.zeros_like(self.scores)))
-                    self.scores[i] = self.field.word_scores(w)
-                    if c is not None:
-                        self.plain[c] = i
-                index[w] = i
-            out[k] = i
-        return out
+                i, self.used = self.used, self.used + 1
+                if i >= len(self.scores):
+                    self.scores = np.concatenate((self.scores, np.zeros_like(self.scores)))
+                self.scores[i] = self.field.feature_scores(f)
+                self.known[f] = i
+            if c is not None:
+                self.plain[c] = i
+        if len(word) < 64:
+            self.index[word] = i
+        return i
 
-    def labels(self, lines: list[list[str]]) -> list[np.ndarray]:
-        """Labels of the words of each line."""
-        flat = [w for line in lines for w in line]
-        if not flat:
-            return [np.zeros(0, np.int8) for _ in lines]
-        s = self.scores_of(flat)
-        lengths = np.array([len(line) for line in lines])
-        at = np.concatenate(([0], np.cumsum(lengths)))
+    def scores_of(self, words: list[str]) -> np.ndarray:
+        """(word, role, label) scores."""
+        if len(self.index) > self.limit or self.used > self.limit:
+            self.clear()
+        get, place = self.index.get, self._place
+        at = np.fromiter([place(w) if (i := get(w)) is None else i for w in words], np.int64, len(words))
+        return self.scores[at]
+
+    def labels(self, words: list[str], row: np.ndarray) -> np.ndarray:
+        """Labels of the words; words of one line share their ``row``."""
+        if not words:
+            return np.zeros(0, np.int8)
+        s = self.scores_of(words)
         emit = s[:, 0].copy()
-        row = np.repeat(np.arange(len(lines)), lengths)
         same = row[1:] == row[:-1]
         emit[1:][same] += s[:-1, 1][same]
         emit[:-1][same] += s[1:, 2][same]
-        out = np.zeros(len(flat), np.int8)
-        windows = [(a, b, max(at[i], a - OVERLAP), min(at[i + 1], b + OVERLAP)) for i in range(len(lines)) for a in range(at[i], at[i + 1], WINDOW) for b in [min(a + WINDOW, at[i + 1])]]
-        windows.sort(key=lambda x: x[3] - x[2])
-        for k in range(0, len(windows), 2048):
-            some = windows[k : k + 2048]
-            size = np.array([d - c for *_, c, d in some])
-            score = np.zeros((len(some), size.max(), len(LABELS)), np.float32)
-            inside = np.arange(size.max()) < size[:, None]
-            score[inside] = emit[np.concatenate([np.arange(c, d) for *_, c, d in some])]
-            got = self.field.viterbi(score, size)
-            for (a, b, c, _), y in zip(some, got, strict=True):
-                out[a:b] = y[a - c : b - c]
-        return [out[at[i] : at[i + 1]] for i in range(len(lines))]
-
-    def scores_of(self, words: list[str]) -> np.ndarray:
-        at = self.places(words)
-        return self.scores[at]
+        return self.field.decode(emit, row)
 
     def added(self, texts: list[str]) -> list[list[tuple[int, int, int]]]:
         """(start, kind, end) of the words that the field labels, runs of names joined; quotes and stops at the edges are left out."""
-        lines: list[list[str]] = []
+        words: list[str] = []
+        counts: list[int] = []
         owner: list[tuple[int, int]] = []  # text and start of each line
         for i, t in enumerate(texts):
             at = 0
             for line in t.split("\n"):
-                words = line.split()
-                if words:
-                    lines.append(words)
+                got = line.split()
+                if got:
+                    words += got
+                    counts.append(len(got))
                     owner.append((i, at))
                 at += len(line) + 1
+        ends = np.cumsum(np.array(counts, np.int64))
+        row = np.repeat(np.arange(len(counts)), counts)
+        y = self.labels(words, row)
         out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-        for words, y, (i, at) in zip(lines, self.labels(lines), owner, strict=True):
-            if not y.any():
-                continue
-            end = at
-            for w, label in zip(words, y, strict=True):
+        for r in np.unique(row[np.flatnonzero(y)]).tolist():
+            i, end = owner[r]
+            for k in range(int(ends[r]) - counts[r], int(ends[r])):
+                w, label = words[k], int(y[k])
                 start = texts[i].index(w, end)
                 end = start + len(w)
                 if label:
@@ -387,7 +432,7 @@ class Finder:
                     if not body:
                         continue
                     a = start + w.index(body)
-                    kind = BASE_KINDS + int(label) - 1
+                    kind = BASE_KINDS + label - 1
                     last = out[i][-1] if out[i] else None
                     if label == 2 and last and last[1] == kind and texts[i][last[2] : a] == " ":
                         out[i][-1] = (last[0], kind, a + len(body))
@@ -411,8 +456,19 @@ def all_spans(texts: list[str], finder: Finder) -> list[tuple[list[tuple[int, in
     out = []
     for text, more in zip(texts, finder.added(texts), strict=True):
         base = base_spans(text)
-        more = [m for m in more if not any(m[0] < b[2] and b[0] < m[2] for b in base)]
-        out.append((base, sorted(base + more)))
+        out.append((base, sorted(base + untouched(more, base)) if more else base))
+    return out
+
+
+def untouched(more: list[tuple[int, int, int]], base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """The spans of ``more`` that overlap none of ``base``; both are sorted by start."""
+    out, k, reach = [], 0, 0  # ``reach``: how far the base spans that begin before the span's end go
+    for m in more:
+        while k < len(base) and base[k][0] < m[2]:
+            reach = max(reach, base[k][2])
+            k += 1
+        if reach <= m[0]:
+            out.append(m)
     return out
 
 
@@ -421,10 +477,11 @@ def _joined(spans: list[tuple[int, int, int]]) -> str:
 
 
 def find(docs: DataFrame, field: Field | None = None) -> DataFrame:
-    """doc_id, counts of the base kinds, base_sha256 and spans for each row of docs(doc_id, text)."""
+    """doc_id, counts of the base kinds, base_sha256 and spans, counts of the added kinds and of all spans for each row of docs(doc_id, text)."""
     bounded_batches(docs.sparkSession)
     field = field or default_field()
-    names = ["doc_id", *[f"n_{k}" for k in KINDS[:BASE_KINDS]], "base_sha256", "spans"]
+    more = [f"n_{k}" for k in KINDS[BASE_KINDS:]] + ["n_spans"]
+    names = ["doc_id", *[f"n_{k}" for k in KINDS[:BASE_KINDS]], "base_sha256", "spans", *more]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = Finder(field)
@@ -432,10 +489,10 @@ def find(docs: DataFrame, field: Field | None = None) -> DataFrame:
             for part in slices(batch, "text", 1 << 20):
                 got = all_spans([t or "" for t in part.column(1).to_pylist()], finder)
                 counts = [pa.array([sum(s[1] == k for s in base) for base, _ in got], pa.int64()) for k in range(BASE_KINDS)]
-                yield pa.RecordBatch.from_arrays([part.column(0), *counts, pa.array([hashlib.sha256(_joined(base).encode()).hexdigest() for base, _ in got]), pa.array([_joined(every) for _, every in got])], names)
+                yield pa.RecordBatch.from_arrays([part.column(0), *counts, pa.array([hashlib.sha256(_joined(base).encode()).hexdigest() for base, _ in got]), pa.array([_joined(every) for _, every in got]), *[pa.array([sum(s[1] == k for s in every) for _, every in got], pa.int64()) for k in range(BASE_KINDS, len(KINDS))], pa.array([len(every) for _, every in got], pa.int64())], names)
 
     flat = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return flat.mapInArrow(run, "doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS[:BASE_KINDS]) + ", base_sha256 string, spans string")
+    return flat.mapInArrow(run, "doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS[:BASE_KINDS]) + ", base_sha256 string, spans string, " + ", ".join(f"{n} long" for n in more))
 
 
 def mask(text: str, spans: list[tuple[int, int, int]]) -> str:

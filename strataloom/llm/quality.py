@@ -1,26 +1,28 @@
 """Quality rules: base counts of a text and tokeniser fertility under public vocabularies.
 
-For each vocabulary the whole text is encoded, the byte vocabulary word by word with the space before it, and three things
-are measured: characters per token, the share of tokens that are byte fallbacks (white space that has no piece is not counted), and the entropy of the text's token distribution in
-bits, whose least value rises with the length of the text. A text whose measures lie outside the bands of its script is
-rejected. The script is the one most letters belong to; texts of scripts without bands use ``other``.
-
-Defined results: a null text has no words and is rejected like an empty one; repeated rows are judged each; other columns
-are ignored (``measure``) or kept (``keep_documents``).
+Each whole text is encoded with both vocabularies by their libraries, and three things are measured: characters per token, the
+share of tokens that are byte fallbacks (white space that has no piece is not counted), and the entropy of the text's token
+distribution in bits, whose least value rises with the length of the text. A text whose measures lie outside the bands of its
+script is rejected. The script is the one that at least half of the letters belong to, letters being the code points of the
+general categories L; texts of scripts without bands use ``other``.
+
+Defined results: a null text has no words and is rejected like an empty one; repeated rows are judged each; texts of any length
+are measured whole, a batch of them at a time; an empty table gives no rows; other columns, whatever their names, are ignored
+(``measure``) or kept (``keep_documents``).
 """
 
 from __future__ import annotations
 
-from array import array
 from collections.abc import Iterator
+from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytebpe import byte_encoder
-from .spbpe import MARK, PrefixEncoder, encoder
+from .bytebpe import ByteEncoder, byte_encoder
 from .store import bounded_batches
 from .words import SPACE, Words, mix, slices, span_hashes, window_hashes
 
@@ -50,13 +52,31 @@ _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(SYMBOLS)] = True
 
 
-class IdEncoder(PrefixEncoder):
-    """Keeps of each cut its piece ids as unsigned 16-bit integers and its number of tokens under the byte vocabulary."""
+class PieceCounter:
+    """A piece model and which of its ids are byte fallbacks of anything but white space."""
+
+    def __init__(self, model_file: str):
+        import sentencepiece
+
+        self.model = sentencepiece.SentencePieceProcessor(model_file=model_file)
+        size = self.model.get_piece_size()
+        self.size = size
+        self.fallback = np.zeros(size, bool)
+        for i in range(size):
+            if self.model.is_byte(i) and int(self.model.id_to_piece(i)[3:5], 16) not in b"\t\n\v\f\r\0":
+                self.fallback[i] = True
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, number of ids of each)."""
+        got = self.model.encode(texts, num_threads=1)
+        size = np.fromiter(map(len, got), np.int64, len(got))
+        return np.fromiter(chain.from_iterable(got), np.int64, int(size.sum())), size
 
-    byte_vocabulary = None
 
-    def keep(self, cut: str, ids: list[int]) -> tuple[bytes, int]:
-        return array("H", ids).tobytes(), self.byte_vocabulary.count_word(cut.replace(MARK, " "))
+@cache
+def piece_counter(model_file: str) -> PieceCounter:
+    """One for each worker and file."""
+    return PieceCounter(model_file)
 
 
 def _sums(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -87,9 +107,10 @@ def base_counts(column: pa.Array) -> dict[str, np.ndarray]:
     has = np.searchsorted(w.starts, ends) > np.searchsorted(w.starts, starts)
     starts, ends, row = starts[has], ends[has], row[has]
     h = span_hashes(w.data, starts, ends)
-    lines = np.bincount(row, minlength=n)
-    distinct = np.bincount(np.unique(np.stack((row.astype(np.uint64), h)), axis=1)[0].astype(np.int64), minlength=n) if len(row) else np.zeros(n, np.int64)
-    out["n_dup_lines"] = lines - distinct
+    h = mix(h ^ mix(row.astype(np.uint64) + np.uint64(1)))
+    order = np.argsort(h, kind="stable")
+    again = order[1:][h[order][1:] == h[order][:-1]]
+    out["n_dup_lines"] = np.bincount(row[again], minlength=n)
 
     # Words in windows of three that occur twice or more in their text.
     h = window_hashes(w.hashes(), 3)
@@ -103,47 +124,48 @@ def base_counts(column: pa.Array) -> dict[str, np.ndarray]:
         twice = np.zeros(len(h), bool)
         twice[order[1:][same]] = twice[order[:-1][same]] = True
         at = at[twice]
-        np.add.at(covered, at, 1)
-        np.add.at(covered, at + 3, -1)
+        covered[at] += 1  # places are distinct
+        covered[at + 3] -= 1
     out["n_repeat_words"] = _sums(np.cumsum(covered)[:-1] > 0, w.first)
     return out
 
 
+@cache
+def _script_table() -> np.ndarray:
+    """For each code point 0 if it is no letter, else the place of its script in SCRIPTS from 1; one more for other letters."""
+    table = np.array([chr(c).isalpha() for c in range(0x110000)], np.uint8) * (len(SCRIPTS) + 1)
+    for k, ranges in enumerate(SCRIPTS.values(), 1):
+        for a, b in ranges:
+            part = table[a : b + 1]
+            part[part > 0] = k
+    return table
+
+
 def script_of(text: str) -> str:
-    """Script of most letters; ``other`` if none of the named scripts leads."""
+    """Script of at least half of the letters; ``other`` if there is none. Texts without letters count as Latin if they are ASCII."""
     if text.isascii():
         return "latin"
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    best, most = "other", 0
-    known = 0
-    for name, ranges in SCRIPTS.items():
-        n = sum(int(np.count_nonzero((codes >= a) & (codes <= b))) for a, b in ranges)
-        known += n
-        if n > most:
-            best, most = name, n
-    letters = known + int(np.count_nonzero(codes > 0x52F)) - sum(int(np.count_nonzero((codes >= a) & (codes <= b))) for s in ("latin", "greek", "cjk") for a, b in SCRIPTS[s] if a > 0x52F)
-    return best if 2 * most >= letters else "other"
-
-
-def fertility(texts: list[str], pieces: IdEncoder, byte_vocabulary) -> tuple[np.ndarray, ...]:
+    n = np.bincount(_script_table()[codes], minlength=len(SCRIPTS) + 2)[1:]
+    best = int(np.argmax(n[:-1]))
+    return list(SCRIPTS)[best] if n[best] and 2 * n[best] >= n.sum() else "other"
+
+
+def fertility(texts: list[str], pieces: PieceCounter, byte_vocabulary: ByteEncoder) -> tuple[np.ndarray, ...]:
     """Characters per piece, characters per byte-BPE token, fallback share, entropy in bits and pieces of each text."""
-    pieces.byte_vocabulary = byte_vocabulary
-    cuts = [pieces.cuts(t) for t in texts]
-    known = pieces.values(cuts)
-    plain = np.zeros(65536, bool)
-    plain[[i for i, b in pieces.byte_of.items() if b not in b"\t\n\v\f\r\0"]] = True
-    out = np.zeros((5, len(texts)))
-    for k, (text, c) in enumerate(zip(texts, cuts, strict=True)):
-        got = [known[x] for x in c]
-        ids = np.frombuffer(b"".join([g[0] for g in got]), np.uint16)
-        n = len(ids)
-        if not n:
-            continue
-        count = np.bincount(ids)
-        count = count[count > 0]
-        p = count / n
-        out[:, k] = len(text) / n, len(text) / max(sum([g[1] for g in got]), 1), np.count_nonzero(plain[ids]) / n, -(p * np.log2(p)).sum(), n
-    return tuple(out)
+    n = len(texts)
+    ids, size = pieces.encode(texts)
+    of_text = np.repeat(np.arange(n), size)
+    chars = np.fromiter(map(len, texts), np.float64, n)
+    byte_tokens = np.fromiter((len(byte_vocabulary.ids(t)) for t in texts), np.float64, n)
+    key = np.sort(of_text * pieces.size + ids)
+    at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+    count = np.diff(np.append(at, len(key)))
+    owner = key[at] // pieces.size
+    p = count / np.maximum(size, 1)[owner]
+    entropy = np.bincount(owner, weights=-p * np.log2(p), minlength=n)
+    fallback = np.bincount(of_text, weights=pieces.fallback[ids], minlength=n) / np.maximum(size, 1)
+    return chars / np.maximum(size, 1), chars / np.maximum(byte_tokens, 1), fallback, entropy, size.astype(np.float64)
 
 
 def entropy_floor(points: list[tuple[int, float]], tokens: float) -> float:
@@ -151,7 +173,7 @@ def entropy_floor(points: list[tuple[int, float]], tokens: float) -> float:
     return float(np.interp(np.log2(max(tokens, 1)), [np.log2(n) for n, _ in points], [bits for _, bits in points]))
 
 
-def judge(column: pa.Array, pieces: IdEncoder, byte_vocabulary, bands: dict) -> dict[str, list]:
+def judge(column: pa.Array, pieces: PieceCounter, byte_vocabulary: ByteEncoder, bands: dict) -> dict[str, list]:
     """All columns of ``measure`` but doc_id for the rows of a string column."""
     base = base_counts(column)
     texts = [t or "" for t in column.to_pylist()]
@@ -167,7 +189,7 @@ def measure(docs: DataFrame, piece_model: str, byte_model: str, bands: dict | No
     bands = bands or BANDS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, coder = encoder(piece_model, IdEncoder), byte_encoder(byte_model)
+        pieces, coder = piece_counter(piece_model), byte_encoder(byte_model)
         for batch in batches:
             for part in slices(batch, "text"):
                 got = judge(part.column(1), pieces, coder, bands)
@@ -182,7 +204,7 @@ def keep_documents(docs: DataFrame, piece_model: str, byte_model: str, bands: di
     bands = bands or BANDS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, coder = encoder(piece_model, IdEncoder), byte_encoder(byte_model)
+        pieces, coder = piece_counter(piece_model), byte_encoder(byte_model)
         for batch in batches:
             for part in slices(batch, "text"):
                 yield part.filter(pa.array(judge(part.column(part.schema.get_field_index("text")), pieces, coder, bands)["kept"]))

@@ -1,17 +1,20 @@
 """Balanced label propagation of documents into shards, in DataFrame operations only.
 
 Documents with equal texts are linked. The law is ``rows``: shard sizes differ by one document at most. Every document
-starts in the shard of its id's hash. In each round a linked document wants the shard that holds most of its group;
-documents that share group and shard decide together, so the state is a table of (group, start shard) with counts.
-Two shards exchange as many documents as both directions want, and shards below their quota take more; which requests
-are granted is drawn by a hash of group and shard with the probability that the quotas allow. Cut edges (copies outside
-their group's fullest shard) fall from round to round while sizes stay close to the quota. At the end, documents beyond
-a shard's quota, unlinked ones first, fill the shards below it, so the sizes are exact.
+starts in the shard of its id's hash. Unlinked documents gain nothing from any place, so the quotas bind the linked ones while
+labels propagate, and unlinked ones fill up the shards at the end. In each round a linked document wants the shard that holds
+most of its group among those with room left and its own; documents that share group, shard and one of ``PARTS`` parts decide
+together. Two shards exchange as many documents as both directions want, and more go where there is room; if not all
+requests fit, which are granted is drawn by a hash with the probability that the quotas allow. A group that is larger than a
+shard fills one shard after the other. Rounds go on until two in a row leave the cut edges (pairs of linked documents in different
+shards) as they were, ``ROUNDS`` at most. At the end, documents beyond a shard's quota, unlinked ones first, fill the
+shards below it, so the sizes are exact.
 
 Places in a shard are numbered by counts of hash buckets and a row number inside a bucket, so no task orders a shard.
 
 Defined results: a null text has no bytes, links with nothing but other null texts and has the checksum of no bytes;
-repeated rows are placed each; a null doc_id counts like any other value; other columns are ignored.
+repeated rows are placed each; a null doc_id counts like any other value; ties go to the smaller shard; texts of any length
+count by their whole bytes; an empty table gives no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -20,10 +23,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .store import materialize
+from .store import drop, materialize
 
 SHARDS = 40
-ROUNDS = 3
+ROUNDS = 60
+PARTS = 64
 PER_BUCKET = 20_000
 
 
@@ -56,27 +60,45 @@ def _probabilities(demand: dict[tuple[int, int], int], size: dict[int, int], quo
     return out
 
 
-def propagate(groups: DataFrame, start_sizes: dict[int, int], quota: list[int], rounds: int = ROUNDS) -> DataFrame:
-    """(g, s0, s): the shard of each linked (group, start shard); groups(g, s0, c) has the documents of groups of two or more."""
+def _cut(state: DataFrame) -> float:
+    """Cut edges: pairs of linked documents that lie in different shards."""
+    held = state.groupBy("g", "s").agg(F.sum("c").cast("double").alias("n"))
+    return held.groupBy("g").agg((F.pow(F.sum("n"), F.lit(2)) - F.sum(F.col("n") * F.col("n"))).alias("cut")).agg(F.coalesce(F.sum("cut"), F.lit(0.0)) / 2).first()[0]
+
+
+def propagate(groups: DataFrame, quota: list[int], rounds: int = ROUNDS) -> DataFrame:
+    """(g, s0, part, s): the shard of each linked piece; groups(g, s0, part, c) has the documents of groups of two or more."""
     n = len(quota)
     state = groups.withColumn("s", F.col("s0"))
-    sizes = dict(start_sizes)
+    sizes = {r.s: r.c for r in state.groupBy("s").agg(F.sum("c").alias("c")).collect()}  # at most ``shards`` rows
+    least, still = None, 0
     for k in range(rounds):
+        open_shards = [t for t in range(n) if quota[t] - sizes.get(t, 0) > quota[t] // 50]
         held = state.groupBy("g", "s").agg(F.sum("c").alias("n"))
-        best = held.groupBy("g").agg(F.max_by("s", F.struct("n", -F.col("s"))).alias("t"))
-        wants = materialize(state.join(best.select(F.concat_ws(":", "g").alias("gk"), "t"), F.concat_ws(":", state["g"]) == F.col("gk")).select("g", "s0", "c", "s", "t"), "wants")
+        fullest = F.max_by("s", F.struct("n", -F.col("s")))
+        most = F.struct("n", -F.col("s"))
+        best = held.groupBy("g").agg(fullest.alias("first"), F.max(most).alias("top"), F.max(F.when(F.col("s").isin(open_shards), most)).alias("room"))
+        # A piece moves to the fullest shard of its group, or, if that is full, to the fullest with room, if that holds more than its own.
+        joined = state.join(best, "g").join(held, ["g", "s"])
+        own = F.struct("n", -F.col("s"))
+        goal = F.when(~F.col("first").isin(open_shards) & (F.col("room") > own), F.col("room")).otherwise(F.col("top"))
+        target = F.when(goal > own, -goal.getItem("col2")).otherwise(F.col("s"))
+        wants = materialize(joined.select("g", "s0", "part", "c", "s", target.cast("int").alias("t")), "wants")
         rows = wants.filter("s <> t").groupBy("s", "t").agg(F.sum("c").alias("c")).collect()  # at most shards squared
         demand = {(r.s, r.t): r.c for r in rows}
         if not demand:
-            return wants.select("g", "s0", "s")
+            return wants.select("g", "s0", "part", "s")
         chance = _lookup(_probabilities(demand, sizes, quota), F.col("s") * n + F.col("t"), 0.0)
-        moved = F.when((F.col("s") != F.col("t")) & (_draw(F.col("g"), F.col("s0"), F.lit(k)) < chance), F.col("t")).otherwise(F.col("s"))
-        state = materialize(wants.withColumn("old", F.col("s")).withColumn("s", moved).select("g", "s0", "c", "s", "old"), "state")
-        for r in state.filter("old <> s").groupBy("old", "s").agg(F.sum("c").alias("c")).collect():
-            sizes[r.old] = sizes.get(r.old, 0) - r.c
-            sizes[r.s] = sizes.get(r.s, 0) + r.c
-        state = state.drop("old")
-    return state.select("g", "s0", "s")
+        moved = F.when((F.col("s") != F.col("t")) & (_draw(F.col("g"), F.col("s0"), F.col("part"), F.lit(k)) < chance), F.col("t")).otherwise(F.col("s"))
+        state = materialize(wants.withColumn("s", moved).select("g", "s0", "part", "c", "s"), "state")
+        drop(wants)
+        sizes = {r.s: r.c for r in state.groupBy("s").agg(F.sum("c").alias("c")).collect()}
+        cut = _cut(state)
+        still = still + 1 if least is not None and cut >= least else 0
+        least = cut if least is None else min(least, cut)
+        if still == 2 or not cut:
+            break
+    return state.select("g", "s0", "part", "s")
 
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
@@ -84,20 +106,19 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS)
     raw = F.col("text").cast("string")
     data = F.encode(F.coalesce(raw, F.lit("")), "UTF-8")
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(data).cast("long").alias("bytes"), F.crc32(data).alias("text_crc32"), F.concat(F.hex(F.xxhash64(raw)), F.substring(F.sha1(data), 1, 16), F.when(raw.isNull(), "-").otherwise("")).alias("g"))
-    base = base.select("doc_id", (F.col("bytes") + 16).alias("size"), "text_crc32", "g", F.pmod(F.xxhash64("doc_id", "g"), F.lit(shards)).cast("int").alias("s0"))
+    base = base.select("doc_id", (F.col("bytes") + 16).alias("size"), "text_crc32", "g", F.pmod(F.xxhash64("doc_id", "g"), F.lit(shards)).cast("int").alias("s0"), F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(PARTS)).cast("int").alias("part"))
     base = materialize(base, "documents")
-    start = {r.s0: r.n for r in base.groupBy("s0").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most ``shards`` rows
-    total = sum(start.values())
+    total = base.count()
     quota = [total // shards + (k < total % shards) for k in range(shards)]
 
-    counts = base.groupBy("g", "s0").agg(F.count(F.lit(1)).alias("c"))
+    counts = base.groupBy("g", "s0", "part").agg(F.count(F.lit(1)).alias("c"))
     linked = counts.groupBy("g").agg(F.sum("c").alias("all")).filter("all > 1").select("g")
     groups = materialize(counts.join(linked, "g"), "groups")
-    state = materialize(propagate(groups, start, quota, rounds).select(F.concat_ws(":", "g", "s0").alias("place"), "s"), "places")
+    state = materialize(propagate(groups, quota, rounds).select(F.concat_ws(":", "g", "s0", "part").alias("place"), "s"), "places")
 
     n_buckets = max(16, -(-total // (shards * PER_BUCKET)))
     placed = (
-        base.withColumn("place", F.concat_ws(":", "g", "s0")).join(state, "place", "left")
+        base.withColumn("place", F.concat_ws(":", "g", "s0", "part")).join(state, "place", "left")
         .select("doc_id", "size", "text_crc32", F.coalesce("s", "s0").alias("s"), F.when(F.col("s").isNull(), 1).otherwise(0).alias("free"))
         .withColumn("b", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(n_buckets)).cast("int"))
     )

@@ -7,15 +7,19 @@ segments of descending impact. A query takes segments by descending impact times
 a vector can still gain is bounded by the heads of the segments that are left. It stops when no vector outside the
 possible members can reach the k-th best sum, which is a proof; the possible members are then scored exactly.
 
-Blocks of vectors meet groups of queries by an equi-join on the group, so all work is spread and no side is broadcast.
+Groups of queries are copied to each block of vectors by an equi-join on the block, so blocks, the larger side, stay as they are,
+all work is spread and no side is broadcast.
 
 Defined results: null vectors and vectors with null or non-finite components take no part; missing components of shorter
 vectors count as 0; a query never finds rows with its own vec_id; rows that repeat a vec_id are candidates each, and a
-query id that repeats is answered once for each of its distinct vectors. Sums must fit 64 bits (|x| below 2**20 does).
+query id that repeats is answered once for each of its distinct vectors (told apart by a 64-bit hash; equal repeats once); ties go
+to the smaller vec_id; an empty table gives no rows; other columns, whatever their names, are ignored. Sums must fit 64 bits (|x|
+below 2**20 does).
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -140,11 +144,13 @@ def top_k(vectors: DataFrame, k: int = K, step: int = QUERY_STEP) -> DataFrame:
         part = F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int")
         return _packed(df.withColumn("part", part).repartition(parts, "part").sortWithinPartitions("part", "vec_id"), limit)
 
-    blocks = dealt(flat, n_blocks, BLOCK_ROWS)
+    blocks = dealt(flat, n_blocks, BLOCK_ROWS).drop("part").withColumn("b", F.monotonically_increasing_id())
+    blocks = materialize(blocks, "blocks")
+    numbers = [r.b for r in blocks.select("b").collect()]  # one for each ``BLOCK_ROWS`` vectors
     groups = dealt(flat.filter(F.col("vec_id") % step == 0).distinct(), n_groups, GROUP_ROWS)
-    groups = materialize(groups.select(F.col("part").alias("g"), F.col("ids").alias("q_ids"), F.col("dims").alias("q_dims"), F.col("v").alias("q_v")), "queries")
-    spread = materialize(blocks.drop("part"), "blocks").withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1))))
-    met = spread.join(groups.hint("shuffle_hash"), "g").select("ids", "dims", "v", "q_ids", "q_dims", "q_v")
+    groups = materialize(groups.select(F.col("ids").alias("q_ids"), F.col("dims").alias("q_dims"), F.col("v").alias("q_v")), "queries")
+    spread = groups.withColumn("b", F.explode(F.array(*[F.lit(b).cast("long") for b in numbers])) if numbers else F.lit(0).cast("long"))
+    met = blocks.hint("merge").join(spread, "b").select("ids", "dims", "v", "q_ids", "q_dims", "q_v")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, index = None, None
@@ -154,13 +160,14 @@ def top_k(vectors: DataFrame, k: int = K, step: int = QUERY_STEP) -> DataFrame:
                 key = (ids, width)
                 if key != last:
                     last, index = key, ImpactIndex(*_matrix(ids, dims, v, width))
-                out: list[list] = [[], [], []]
+                out: list[list] = [[], [], [], []]
                 for q, x in zip(*_matrix(q_ids, q_dims, q_v, width), strict=True):
+                    which = int.from_bytes(hashlib.blake2b(np.trim_zeros(x, "b").tobytes(), digest_size=8).digest(), "little", signed=True)
                     for score, i in index.top(x, int(q), k):
-                        for o, value in zip(out, (int(q), i, score), strict=True):
+                        for o, value in zip(out, (int(q), i, score, which), strict=True):
                             o.append(value)
-                yield pa.RecordBatch.from_arrays([pa.array(o, pa.int64()) for o in out], ["query_id", "vec_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(o, pa.int64()) for o in out], ["query_id", "vec_id", "score", "which"])
 
-    best = met.repartition(F.xxhash64("ids", "q_ids")).mapInArrow(run, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    best = met.mapInArrow(run, "query_id long, vec_id long, score long, which long")
+    rank = F.row_number().over(Window.partitionBy("query_id", "which").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

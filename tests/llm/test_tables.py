@@ -88,13 +88,29 @@ def test_shards_are_even_gapless_and_keep_copies(spark):
     text = {i: t or "" for i, t in rows}
     assert all(r.size == len(text[r.doc_id]) + 16 and r.text_crc32 == zlib.crc32(text[r.doc_id].encode()) for r in got)
     cut = shards.cut_edges(placed).first()
-    assert cut.cut < 0.6 * cut.copies  # a random deal leaves about 70 % of the copies outside their fullest shard
+    assert cut.cut <= 0.02 * cut.copies  # the groups fit into shards, so the optimum is 0; a random deal leaves about 70 %
 
 
 def test_one_group_larger_than_a_shard(spark):
     df = spark.range(500).selectExpr("id as doc_id", "if(id < 300, 'same', concat('t', id)) as text")
-    sizes = [r["count"] for r in shards.shard_documents(df, shards=7).groupBy("shard").count().collect()]
+    placed = shards.shard_documents(df, shards=7).cache()
+    sizes = [r["count"] for r in placed.groupBy("shard").count().collect()]
     assert len(sizes) == 7 and max(sizes) - min(sizes) <= 1
+    held = sorted((r["count"] for r in placed.filter(f"text_crc32 = {zlib.crc32(b'same')}").groupBy("shard").count().collect()), reverse=True)
+    assert sum(held) == 300 and sum(held[:5]) >= 285  # five shards of 71 or 72 hold the group at best
+
+
+def test_all_documents_linked(spark):
+    df = spark.range(240).selectExpr("id as doc_id", "concat('t', id % 60) as text")
+    placed = shards.shard_documents(df, shards=6)
+    cut = shards.cut_edges(placed).first()
+    assert cut.copies == 240 and cut.cut <= 0.35 * cut.copies  # a random deal leaves about 60 %
+
+
+def test_repeated_query_ids_are_answered_for_each_vector(spark):
+    df = spark.createDataFrame([(50, [1.0, 0.0]), (50, [0.0, 1.0]), (50, [0.0, 1.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, None), (None, [1.0, 1.0])], "vec_id long, embedding array<float>")
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(df).collect())
+    assert got == [(50, 1, 1, 65536), (50, 1, 2, 65536), (50, 2, 1, 0), (50, 2, 2, 0)]
 
 
 def test_pipeline(spark, sf):
