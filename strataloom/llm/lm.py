@@ -44,6 +44,7 @@ MOST_GROUPS = 4096
 WARM_ROWS = 300
 WARM_EPOCHS = 3
 RATE = 0.08
+PART_ROWS = 20_000  # documents whose sums are added up together
 COUNT_TOKENS = 3_000_000  # tokens that a task counts together
 SHORT, SCORE_TOKENS = 1024, 3_000_000  # tokens of a short document, tokens scored side by side
 
@@ -589,7 +590,8 @@ def score_documents(docs: DataFrame) -> DataFrame:
     n, v, ends, hashes, counts = frequent_words(counted)
     words = ShortList(hashes, counts, n, v, ends)
     scored = materialize(_scores(docs, words, train(docs, words, ends), n_buckets), "scored")
-    more = _unlisted(scored.filter("bucket is not null"), counted, n_buckets)
+    n_rows = scored.filter("row is not null").count()
+    more = _unlisted(scored.filter("bucket is not null"), counted, 1 + n_rows // PART_ROWS)
     constant = float(np.log10(n + 0.5 * (v + 1)))
     of_words = F.coalesce(F.col("more"), F.lit(0.0))
     return scored.filter("row is not null").join(more.hint("merge"), "row", "left").select(
