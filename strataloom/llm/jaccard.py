@@ -18,7 +18,7 @@ different components and that sizes, places in the prefixes and parity sketches
 a component need no comparison, so no link between different texts is lost.
 
 Blocks of columns and rows are as many as keep a block at about ``BLOCK_ENTRIES`` entries, so what a task holds does not grow with
-the corpus but for n-grams that very many different sets share. N-grams are told apart by 48 bits and the bucket's number, sets
+the corpus (up to ``MOST_BLOCKS`` blocks) but for n-grams that very many different sets share. N-grams are told apart by 48 bits and the bucket's number, sets
 by 64 bits: among S distinct n-grams about S * S / 2**(49 + log2(buckets)) pairs are taken for one, which can shift an overlap by
 one each. That is under one pair up to some 10 ** 8 n-grams in 64 buckets and some thousands of pairs at 10 ** 10.
 
@@ -44,7 +44,7 @@ from .words import mix, shingle_sets, slices
 
 WIDTH = 5
 NUM, DEN = 75, 100  # similarity of 0.75 as an exact fraction
-BLOCK_ENTRIES = 400_000
+BLOCK_ENTRIES, LEAST_ENTRIES, MOST_BLOCKS = 600_000, 100_000, 1 << 20
 
 BLOCK = pa.schema([("bucket", pa.int32()), ("part", pa.int32()), ("sids", pa.binary()), ("ns", pa.binary()), ("cnts", pa.binary()), ("hs", pa.binary()), ("dfs", pa.binary())])
 BLOCK_DDL = "bucket int, part int, sids binary, ns binary, cnts binary, hs binary, dfs binary"
@@ -118,7 +118,7 @@ def incidence(docs: DataFrame, n_buckets: int, width: int = WIDTH) -> DataFrame:
                 ns = np.array([len(s) for s in held.values()])
                 h = np.concatenate(list(held.values()))
                 row = np.repeat(np.arange(len(sids)), ns)
-                yield _blocks(((h & np.uint64(0xFFFF)) % np.uint64(n_buckets)).astype(np.int64), n_buckets, 0, row, sids, ns, h >> np.uint64(16), None)
+                yield _blocks((h % np.uint64(n_buckets)).astype(np.int64), n_buckets, 0, row, sids, ns, h >> np.uint64(16), None)
                 held.clear()
                 total = 0
 
@@ -203,7 +203,7 @@ def parity_sketch(members: np.ndarray) -> bytes:
 def _rows(key, table):
     """Row block: drop sets that can't reach the bound, give the rest their shared members and their prefix."""
     sid, n, h, df, part = _gather(table)
-    member = h | (part << np.uint64(48))
+    member = mix(h ^ mix(part))
     order = np.lexsort((member, df, sid))
     sid, n, df, member = sid[order], n[order], df[order], member[order]
     at = np.flatnonzero(np.concatenate(([True], sid[1:] != sid[:-1])))
@@ -408,7 +408,8 @@ def _classes(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
     # The blocks go straight to their shuffle: reading the texts twice costs less than a stored copy of the matrix.
     info = materialize(set_sizes(docs, width), "sets")
     entries = info.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    n_buckets = int(min(65536, max(4 * buckets(spark), -(-entries // BLOCK_ENTRIES))))
+    # As many blocks as bound their size; more for small inputs to use all tasks, but no fragments: blocks times blocks are shuffled.
+    n_buckets = int(min(MOST_BLOCKS, max(entries // BLOCK_ENTRIES + 1, min(buckets(spark), entries // LEAST_ENTRIES + 1))))
     shared = incidence(docs, n_buckets, width).groupBy("bucket").applyInArrow(_columns(n_buckets), BLOCK_DDL)
     rows = materialize(shared.groupBy("bucket").applyInArrow(_rows, ROWS_DDL), "rows")
     labels = link_classes(rows, n_buckets)
