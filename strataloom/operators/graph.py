@@ -47,7 +47,7 @@ def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str], keep: Sequence[s
 
 
 def impact(paths: DataFrame, edges: DataFrame, selector: str) -> DataFrame:
-    """In and out edges of one file: the exact path, else the only path that contains the selector; an error column tells when there is none or more."""
+    """In and out edges of one file: the exact path, else the only path that contains the selector; nothing if there is none or more (``reports.file_impact`` says which)."""
     found = paths.filter(F.contains(F.lower("path"), F.lit(selector.lower()))).select("path", (F.col("path") == selector).alias("exact"))
     one = found.agg(F.max(F.when(F.col("exact"), F.col("path"))).alias("e"), F.count(F.lit(1)).alias("n"), F.min("path").alias("p"))
     chosen = one.select(F.coalesce("e", F.when(F.col("n") == 1, F.col("p"))).alias("path")).filter(F.col("path").isNotNull())

@@ -21,11 +21,20 @@ def slot(action: Column, subject: Column, relation: Column, obj: Column, value:
 
 
 def last_per_slot(log: DataFrame) -> DataFrame:
-    """log(seq, action, subject_key, relation, object_key, value): the standing corrections with order_seq, their place of application."""
-    keyed = log.withColumn("slot", slot(*[F.col(c) for c in ("action", "subject_key", "relation", "object_key", "value")]))
+    """log(seq, action, subject_key, relation, object_key, value): the standing corrections with order_seq, their place of application.
+
+    A row of the action ``remove`` clears the slot that its other columns name, ``value`` being the removed action (for an alias, the
+    alias stands in ``object_key``). What is written again later takes a new place: an alias that of its first write since.
+    """
+    removes = F.col("action") == "remove"
+    action = F.when(removes, F.col("value")).otherwise(F.col("action"))
+    value = F.when(removes, F.col("object_key")).otherwise(F.col("value"))
+    keyed = log.withColumn("slot", slot(action, *[F.col(c) for c in ("subject_key", "relation", "object_key")], value))
+    upto = Window.partitionBy("slot").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    life = keyed.withColumn("_life", F.count(F.when(removes, 1)).over(upto))  # how many removes came before
     place = F.row_number().over(Window.partitionBy("slot").orderBy(F.desc("seq")))
-    first = F.min("seq").over(Window.partitionBy("slot"))
-    return keyed.withColumn("_p", place).withColumn("order_seq", F.when(F.col("action") == "add_alias", first).otherwise(F.col("seq"))).filter("_p = 1").drop("_p")
+    first = F.min("seq").over(Window.partitionBy("slot", "_life"))
+    return life.withColumn("_p", place).withColumn("order_seq", F.when(F.col("action") == "add_alias", first).otherwise(F.col("seq"))).filter("_p = 1 AND action <> 'remove'").drop("_p", "_life")
 
 
 def apply_edges(edges: DataFrame, decisions: DataFrame) -> DataFrame:

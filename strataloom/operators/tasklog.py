@@ -39,13 +39,14 @@ def unapplied(events: DataFrame, ledger: DataFrame) -> DataFrame:
 def active_task(events: DataFrame) -> DataFrame:
     """events(session, seq, marker, task) with active_task: the session's running task as of each event.
 
-    ``marker`` is start, stop or null. A start sets the active task; a stop clears it only if it names the task that was
-    started last. Both passes are running windows over the session's log.
+    ``marker`` is start, stop, end or null. A start sets the active task; a stop clears it only if it names the task that was
+    started last; the end of the session clears it. Both passes are running windows over the session's log.
     """
     w = Window.partitionBy("session").orderBy("seq")
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     last_start = F.last(F.when(F.col("marker") == "start", F.col("task")), ignorenulls=True).over(upto)
-    effect = F.when(F.col("marker") == "start", F.struct(F.col("task").alias("t"))).when((F.col("marker") == "stop") & (F.col("task") == F.col("_started")), F.struct(F.lit(None).cast(events.schema["task"].dataType).alias("t")))
+    clears = ((F.col("marker") == "stop") & (F.col("task") == F.col("_started"))) | (F.col("marker") == "end")
+    effect = F.when(F.col("marker") == "start", F.struct(F.col("task").alias("t"))).when(clears, F.struct(F.lit(None).cast(events.schema["task"].dataType).alias("t")))
     return events.withColumn("_started", last_start).withColumn("_effect", effect).withColumn("active_task", F.last("_effect", ignorenulls=True).over(upto)["t"]).drop("_started", "_effect")
 
 

@@ -198,17 +198,20 @@ def concept_group_stats(spark, sf):
 
 @query("""
     WITH e AS (SELECT a.l_partkey AS source, CASE WHEN a.l_linenumber < b.l_linenumber THEN 'references' ELSE 'imports' END AS relation, b.l_partkey AS target
-               FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey WHERE a.l_quantity > 40),
-    c AS (SELECT p.p_brand AS source_concept, q.p_brand AS target_concept, relation FROM e JOIN part p ON source = p.p_partkey JOIN part q ON target = q.p_partkey WHERE p.p_brand <> q.p_brand)
-    SELECT source_concept, target_concept, CASE WHEN bool_and(relation = 'references') THEN 'related_to' ELSE 'depends_on' END AS relation, count(*) AS n, round(least(0.97, 0.55 + 0.08 * greatest(count(*), 1))::DOUBLE, 6) AS confidence
-    FROM c GROUP BY source_concept, target_concept
+               FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey),
+    c AS (SELECT p.p_brand AS source_concept, q.p_brand AS target_concept, relation, source, target FROM e JOIN part p ON source = p.p_partkey JOIN part q ON target = q.p_partkey WHERE p.p_brand <> q.p_brand),
+    g AS (SELECT source_concept, target_concept, CASE WHEN bool_and(relation = 'references') THEN 'related_to' ELSE 'depends_on' END AS relation, count(*) AS n FROM c GROUP BY source_concept, target_concept),
+    v AS (SELECT source_concept, target_concept, string_agg(source || ' ' || relation || ' ' || target, ',' ORDER BY p) AS evidence
+          FROM (SELECT *, row_number() OVER (PARTITION BY source_concept, target_concept ORDER BY source, target, relation) AS p FROM c) WHERE p <= 20 GROUP BY source_concept, target_concept)
+    SELECT source_concept, target_concept, relation, n, round(least(0.97, 0.55 + 0.08 * greatest(n, 1))::DOUBLE, 6) AS confidence, evidence FROM g JOIN v USING (source_concept, target_concept)
 """)
 def concept_edge_agg(spark, sf):
-    li = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity")
-    a = li.filter("l_quantity > 40").select("l_orderkey", F.col("l_partkey").alias("source"), F.col("l_linenumber").alias("i"))
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber")
+    a = li.select("l_orderkey", F.col("l_partkey").alias("source"), F.col("l_linenumber").alias("i"))
     b = li.select("l_orderkey", F.col("l_partkey").alias("target"), F.col("l_linenumber").alias("j"))
     edges = a.join(b, "l_orderkey").filter("source < target").select("source", F.when(F.col("i") < F.col("j"), "references").otherwise("imports").alias("relation"), "target")
-    return semantic.concept_edges(edges, table(spark, sf, "part").select(F.col("p_partkey").alias("path"), F.col("p_brand").alias("concept_key")), evidence=0)
+    got = semantic.concept_edges(edges, table(spark, sf, "part").select(F.col("p_partkey").alias("path"), F.col("p_brand").alias("concept_key")))
+    return got.withColumn("evidence", F.array_join(F.transform("evidence", lambda e: F.concat_ws(" ", e["source"].cast("string"), e["relation"], e["target"].cast("string"))), ","))
 
 
 @query("""

@@ -40,7 +40,12 @@ def _attempts(base: Column, extensions: Column) -> Column:
 
 
 def file_edges(facts: DataFrame) -> DataFrame:
-    """(project_id, source, relation, target): resolved references and test targets.
+    """(project_id, source, relation, target): resolved references and test targets."""
+    return resolved(facts)[0]
+
+
+def resolved(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges between files, and (project_id, path, external): the packages that a file's unresolved imports name.
 
     Every way of resolving by path is a list of attempts, every way by unique name a list of keys: one join each over all
     files of all projects.
@@ -81,19 +86,28 @@ def file_edges(facts: DataFrame) -> DataFrame:
     named = r.join(modules, "project_id", "left").select(*keys, F.posexplode(wanted).alias("at", "e")).select(*keys, "at", "e.kind", "e.key").join(index, ["project_id", "kind", "key"]).groupBy(*keys).agg(F.min_by("target", "at").alias("target"))
     named = named.join(found.select(*keys), keys, "left_anti")
 
-    at = F.split("source", "\x1e"), F.split("target", "\x1e")
-    tests = resolve.test_targets(paths.select(F.concat_ws("\x1e/", "project_id", "path").alias("path"))).filter(at[0].getItem(0) == at[1].getItem(0))
-    tests = tests.select(at[0].getItem(0).alias("project_id"), F.substring(at[0].getItem(1), 2, 10_000).alias("source"), F.lit("tests").alias("relation"), F.substring(at[1].getItem(1), 2, 10_000).alias("target"))
+    tests = resolve.test_targets(paths, ["project_id"]).select("project_id", "source", F.lit("tests").alias("relation"), "target")
     flat = ["project_id", "source", "relation", "target"]
-    return found.select(*flat).unionByName(named.select(*flat)).unionByName(tests).filter("source <> target").distinct()
+    edges = found.select(*flat).unionByName(named.select(*flat)).unionByName(tests).filter("source <> target").distinct()
+
+    package = F.when(F.startswith(value, F.lit("@")), F.array_join(F.slice(F.split(value, "/"), 1, 2), "/")).otherwise(F.split(value, "/").getItem(0))
+    root = (
+        F.when(F.col("how") == "python", F.when(level == 0, x.getItem(2))).when(F.col("how") == "qualified", F.regexp_extract(value, r"^(\w+)", 1)).when(F.col("how").isin("system", "go"), value)
+        .when((F.col("how") == "module") & ~dotted, package)
+    )
+    # A Rust path that begins in its own crate is no package.
+    loose = r.join(found.select(*keys).unionByName(named.select(*keys)), keys, "left_anti").withColumn("root", root).filter("root <> '' AND NOT (how = 'qualified' AND root IN ('crate', 'self', 'super', 'std'))")
+    own = facts.select("project_id", "path", F.explode("external").alias("root"))
+    names = loose.select("project_id", F.col("source").alias("path"), "root").unionByName(own)
+    return edges, names.groupBy("project_id", "path").agg(F.slice(F.array_sort(F.collect_set("root")), 1, 100).alias("external"))
 
 
 def build(facts: DataFrame) -> Graph:
     """Physical and semantic layers of the facts."""
-    edges = file_edges(facts)
+    edges, packages = resolved(facts)
     sid = lambda kind, key: S.stable_id("node_", F.col("project_id"), F.lit("1"), kind, key)
     file_data = F.to_json(F.struct("extractor", F.col("is_text"), F.parse_json("metadata").alias("metadata"), "roles", "size", "warnings", S.language(F.col("path")).alias("language"), "external"))
-    files = facts.select("project_id", F.lit(1).alias("layer"), F.lit("file").alias("kind"), F.col("path").alias("key"), F.coalesce(F.get_json_object("metadata", "$.title"), S.basename(F.col("path"))).alias("label"), file_data.alias("data"), F.lit(1.0).alias("confidence"), F.lit("filesystem").alias("source"))
+    files = facts.drop("external").join(packages, ["project_id", "path"], "left").select("project_id", F.lit(1).alias("layer"), F.lit("file").alias("kind"), F.col("path").alias("key"), F.coalesce(F.get_json_object("metadata", "$.title"), S.basename(F.col("path"))).alias("label"), file_data.alias("data"), F.lit(1.0).alias("confidence"), F.lit("filesystem").alias("source"))
     parts = facts.select("project_id", "path", F.explode("resources").alias("r"))
     resources = parts.select("project_id", F.lit(1).alias("layer"), "r.kind", F.concat("path", F.lit("#"), "r.key").alias("key"), "r.label", F.col("r.data").alias("data"), F.lit(1.0).alias("confidence"), F.lit("extractor").alias("source"))
 

@@ -227,10 +227,15 @@ def concept_label_pick(spark, sf):
 
 
 @query("""
-    WITH d AS (SELECT source, lang, n_chars % 97 AS word, doc_id FROM documents), f AS (SELECT source, word, min(doc_id) AS first FROM d GROUP BY source, word),
+    WITH t AS (SELECT source, doc_id, string_split_regex(text, '[^\\x21-\\x{10FFFF}]+') AS words FROM documents),
+    d AS (SELECT source, doc_id, unnest(words) AS word, generate_subscripts(words, 1) - 1 AS i FROM t),
+    f AS (SELECT source, word, min((doc_id, i)) AS first FROM d WHERE word <> '' GROUP BY source, word),
     r AS (SELECT source, word, row_number() OVER (PARTITION BY source ORDER BY first, word) AS place FROM f)
     SELECT source, word, place FROM r WHERE place <= 100
 """)
 def keyword_distinct_ordered(spark, sf):
-    d = table(spark, sf, "documents").select("source", (F.col("n_chars") % 97).alias("word"), "doc_id")
-    return semantic.ordered_distinct(d, "source", "word", "doc_id", 100).withColumn("place", F.col("place").cast("long"))
+    """The first hundred distinct words of the texts of each source, in the order in which they first occur."""
+    words = F.split("text", r"[^\x21-\x{10FFFF}]+")
+    d = table(spark, sf, "documents").select("source", "doc_id", F.posexplode(words).alias("i", "word")).filter("word <> ''")
+    first = d.groupBy("source", "word").agg(F.min(F.struct("doc_id", "i")).alias("first"))
+    return semantic.ordered_distinct(first, "source", "word", "first", 100).withColumn("place", F.col("place").cast("long"))

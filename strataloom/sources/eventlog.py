@@ -73,7 +73,7 @@ def session_events(lines: DataFrame) -> DataFrame:
     known = flat.filter("event_type = 'session_upsert'").groupBy("session").agg(F.min("seq").alias("first"))
     flat = flat.join(owner, "task", "left").withColumn("session", F.coalesce("session", "owner")).drop("owner").join(known, "session", "left")
     start = (F.col("event_type") == "task_created") & (F.col("seq") > F.col("first"))
-    return flat.withColumn("marker", F.when(start, "start").when(F.col("event_type") == "task_closed", "stop")).drop("first")
+    return flat.withColumn("marker", F.when(start, "start").when(F.col("event_type") == "task_closed", "stop").when(F.col("event_type") == "session_end", "end")).drop("first")
 
 
 def evaluation_cases(spark: SparkSession, path: str) -> DataFrame:
