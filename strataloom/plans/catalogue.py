@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import graph_queries, log_queries, search_queries  # noqa: F401
+from . import graph_queries, log_queries, replay_queries, search_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
