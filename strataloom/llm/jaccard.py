@@ -34,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -44,10 +44,10 @@ from .words import mix, shingle_sets, slices
 
 WIDTH = 5
 NUM, DEN = 75, 100  # similarity of 0.75 as an exact fraction
-BLOCK_ENTRIES, LEAST_ENTRIES, MOST_BLOCKS = 600_000, 100_000, 1 << 20
+BLOCK_ENTRIES, LIST_ENTRIES, LEAST_ENTRIES, MOST_BLOCKS = 800_000, 1_000_000, 100_000, 1 << 20
 
-BLOCK = pa.schema([("bucket", pa.int32()), ("part", pa.int32()), ("sids", pa.binary()), ("ns", pa.binary()), ("cnts", pa.binary()), ("hs", pa.binary()), ("dfs", pa.binary())])
-BLOCK_DDL = "bucket int, part int, sids binary, ns binary, cnts binary, hs binary, dfs binary"
+BLOCK = pa.schema([("bucket", pa.int32()), ("part", pa.int32()), ("sids", pa.binary()), ("cnts", pa.binary()), ("hs", pa.binary()), ("dfs", pa.binary())])
+BLOCK_DDL = "bucket int, part int, sids binary, cnts binary, hs binary, dfs binary"
 
 
 def need(n: np.ndarray | int) -> np.ndarray | int:
@@ -73,35 +73,43 @@ def _unpack48(b: bytes) -> np.ndarray:
     return out.view(np.uint64).ravel()
 
 
-def _blocks(bucket: np.ndarray, n_buckets: int, part: int, row: np.ndarray, sids: np.ndarray, ns: np.ndarray, h48: np.ndarray, dfs: np.ndarray | None) -> pa.RecordBatch:
-    """One packed block for each bucket; ``row`` points into ``sids`` and ``ns`` and ascends within a bucket."""
+def _pack(x: np.ndarray) -> bytes:
+    """Small numbers in as few bytes each as the largest takes; ``_unpack`` knows from how many there are."""
+    most = int(x.max()) if len(x) else 0
+    return x.astype(np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.uint32).tobytes()
+
+
+def _unpack(b: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(b, {1: np.uint8, 2: np.uint16, 4: np.uint32}[len(b) // n] if n else np.uint8).astype(np.int64)
+
+
+def _blocks(bucket: np.ndarray, n_buckets: int, part: int, row: np.ndarray, sids: np.ndarray, h48: np.ndarray, dfs: np.ndarray | None) -> pa.RecordBatch:
+    """One packed block for each bucket; ``row`` points into ``sids`` and ascends within a bucket."""
     order = np.argsort(bucket, kind="stable")
     bucket, row, h48 = bucket[order], row[order], h48[order]
     dfs = None if dfs is None else dfs[order]
     cut = np.searchsorted(bucket, np.arange(n_buckets + 1))
-    cols: list[list] = [[] for _ in range(7)]
+    cols: list[list] = [[] for _ in BLOCK]
     for k in np.flatnonzero(np.diff(cut)):
         a, b = cut[k], cut[k + 1]
         r = row[a:b]
         at = np.flatnonzero(np.concatenate(([True], r[1:] != r[:-1])))
-        u = r[at]
-        values = (int(k), part, sids[u].tobytes(), ns[u].astype(np.uint32).tobytes(), np.diff(np.append(at, len(r))).astype(np.uint32).tobytes(), _pack48(h48[a:b]), b"" if dfs is None else dfs[a:b].astype(np.uint32).tobytes())
+        values = (int(k), part, sids[r[at]].tobytes(), _pack(np.diff(np.append(at, len(r)))), _pack48(h48[a:b]), b"" if dfs is None else _pack(dfs[a:b]))
         for c, v in zip(cols, values, strict=True):
             c.append(v)
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, BLOCK, strict=True)], schema=BLOCK)
 
 
-def _gather(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(sid, n, h48, df, part) of each entry of the blocks of a group."""
-    sid, n, h, df, part = [], [], [], [], []
-    for s, m, c, x, d, p in zip(*(table.column(k).to_pylist() for k in ("sids", "ns", "cnts", "hs", "dfs", "part")), strict=True):
-        c = np.frombuffer(c, np.uint32)
-        sid.append(np.repeat(np.frombuffer(s, np.int64), c))
-        n.append(np.repeat(np.frombuffer(m, np.uint32).astype(np.int64), c))
+def _gather(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(sid, h48, df, part) of each entry of the blocks of a group."""
+    sid, h, df, part = [], [], [], []
+    for s, c, x, d, p in zip(*(table.column(k).to_pylist() for k in ("sids", "cnts", "hs", "dfs", "part")), strict=True):
         h.append(_unpack48(x))
-        df.append(np.frombuffer(d, np.uint32).astype(np.int64) if d else np.zeros(len(h[-1]), np.int64))
-        part.append(np.full(len(h[-1]), p, np.uint64))
-    return tuple(np.concatenate(x) for x in (sid, n, h, df, part))
+        n = len(h[-1])
+        sid.append(np.repeat(np.frombuffer(s, np.int64), _unpack(c, len(s) // 8)))
+        df.append(_unpack(d, n) if d else np.zeros(n, np.int64))
+        part.append(np.full(n, p, np.uint64))
+    return tuple(np.concatenate(x) for x in (sid, h, df, part))
 
 
 def incidence(docs: DataFrame, n_buckets: int, width: int = WIDTH) -> DataFrame:
@@ -115,10 +123,9 @@ def incidence(docs: DataFrame, n_buckets: int, width: int = WIDTH) -> DataFrame:
             nonlocal total
             if held:
                 sids = np.fromiter(held, np.int64, len(held))
-                ns = np.array([len(s) for s in held.values()])
                 h = np.concatenate(list(held.values()))
-                row = np.repeat(np.arange(len(sids)), ns)
-                yield _blocks((h % np.uint64(n_buckets)).astype(np.int64), n_buckets, 0, row, sids, ns, h >> np.uint64(16), None)
+                row = np.repeat(np.arange(len(sids)), [len(s) for s in held.values()])
+                yield _blocks((h % np.uint64(n_buckets)).astype(np.int64), n_buckets, 0, row, sids, h >> np.uint64(16), None)
                 held.clear()
                 total = 0
 
@@ -159,33 +166,53 @@ def _columns(n_buckets: int):
 
     def run(key, table):
         (hb,) = (k.as_py() for k in key)
-        sid, n, h, _, _ = _gather(table)
+        sid, h, _, _ = _gather(table)
         order = np.argsort(h, kind="stable")
-        sid, n, h = sid[order], n[order], h[order]
+        sid, h = sid[order], h[order]
         _, inverse, count = np.unique(h, return_inverse=True, return_counts=True)
         keep = count[inverse] > 1
-        sid, n, h = sid[keep], n[keep], h[keep]
+        sid, h = sid[keep], h[keep]
         order = np.lexsort((sid, h))
-        sid, n, h = sid[order], n[order], h[order]
+        sid, h = sid[order], h[order]
         if len(h):  # an entry that several batches sent counts once
             once = np.concatenate(([True], (h[1:] != h[:-1]) | (sid[1:] != sid[:-1])))
-            sid, n, h = sid[once], n[once], h[once]
+            sid, h = sid[once], h[once]
             _, inverse, count = np.unique(h, return_inverse=True, return_counts=True)
             df = count[inverse]
             keep = df > 1
-            sid, n, h, df = sid[keep], n[keep], h[keep], df[keep]
+            sid, h, df = sid[keep], h[keep], df[keep]
         if not len(h):
             return BLOCK.empty_table()
         order = np.argsort(sid, kind="stable")
-        sid, n, h, df = sid[order], n[order], h[order], df[order]
+        sid, h, df = sid[order], h[order], df[order]
         first = np.concatenate(([True], sid[1:] != sid[:-1]))
         row = np.cumsum(first) - 1
-        batch = _blocks((sid.view(np.uint64) % np.uint64(n_buckets)).astype(np.int64), n_buckets, hb, row, sid[first], n[first], h, df)
+        batch = _blocks((sid.view(np.uint64) % np.uint64(n_buckets)).astype(np.int64), n_buckets, hb, row, sid[first], h, df)
         return pa.Table.from_batches([batch])
 
     return run
 
 
+SIZES_DDL = "bucket int, sids binary, ns binary"
+
+
+def _sizes(info: DataFrame, n_buckets: int) -> DataFrame:
+    """Sets and their sizes by row block; sent once for each batch, so the matrix's entries need not carry them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sids, at = np.unique(np.asarray(batch.column(0)).astype(np.int64), return_index=True)
+            ns = np.asarray(batch.column(1)).astype(np.int64)[at]
+            bucket = (sids.view(np.uint64) % np.uint64(n_buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            cut = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
+            some = np.flatnonzero(np.diff(cut))
+            pick = [order[cut[k] : cut[k + 1]] for k in some]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([sids[i].tobytes() for i in pick], pa.binary()), pa.array([ns[i].tobytes() for i in pick], pa.binary())], ["bucket", "sids", "ns"])
+
+    return info.filter("n > 0").select("sid", "n").mapInArrow(run, SIZES_DDL)
+
+
 ROWS = pa.schema([("sid", pa.int64()), ("n", pa.int64()), ("members", pa.binary()), ("prefix", pa.binary()), ("sketch", pa.binary())])
 ROWS_DDL = "sid long, n long, members binary, prefix binary, sketch binary"
 SKETCH_BITS = 512
@@ -200,16 +227,21 @@ def parity_sketch(members: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
-def _rows(key, table):
+def _rows(key, table, sizes):
     """Row block: drop sets that can't reach the bound, give the rest their shared members and their prefix."""
-    sid, n, h, df, part = _gather(table)
+    if not table.num_rows:
+        return ROWS.empty_table()
+    sid, h, df, part = _gather(table)
     member = mix(h ^ mix(part))
     order = np.lexsort((member, df, sid))
-    sid, n, df, member = sid[order], n[order], df[order], member[order]
+    sid, df, member = sid[order], df[order], member[order]
     at = np.flatnonzero(np.concatenate(([True], sid[1:] != sid[:-1])))
+    known, first = np.unique(np.concatenate([np.frombuffer(x, np.int64) for x in sizes.column("sids").to_pylist()]), return_index=True)
+    size_of = np.concatenate([np.frombuffer(x, np.int64) for x in sizes.column("ns").to_pylist()])[first]
+    sizes_here = size_of[np.searchsorted(known, sid[at])]
     cols: list[list] = [[] for _ in ROWS]
-    for a, b in zip(at, np.append(at[1:], len(sid)), strict=True):
-        size, least = int(n[a]), int(need(int(n[a])))
+    for a, b, size in zip(at, np.append(at[1:], len(sid)), sizes_here.tolist(), strict=True):
+        least = int(need(size))
         if b - a >= least:
             for c, v in zip(cols, (int(sid[a]), size, np.sort(member[a:b]).tobytes(), member[a : a + (b - a) - least + 1].tobytes(), parity_sketch(member[a:b])), strict=True):
                 c.append(v)
@@ -401,6 +433,11 @@ def link_classes(rows: DataFrame, n_buckets: int, rounds: int = 4) -> DataFrame:
         drawing = turn < rounds and (grew or turn == 1)
 
 
+def _n_blocks(entries: int, most: int, spark: SparkSession) -> int:
+    """As many blocks as hold ``most`` entries each at most, and more for small inputs, so that all tasks have some, but no fragments."""
+    return int(min(MOST_BLOCKS, max(entries // most + 1, min(buckets(spark), entries // LEAST_ENTRIES + 1))))
+
+
 def _classes(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
     """(doc_id, th, sid, n) of each row, and (sid, class, component_id) of each set that is not empty."""
     spark = docs.sparkSession
@@ -408,11 +445,11 @@ def _classes(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
     # The blocks go straight to their shuffle: reading the texts twice costs less than a stored copy of the matrix.
     info = materialize(set_sizes(docs, width), "sets")
     entries = info.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    # As many blocks as bound their size; more for small inputs to use all tasks, but no fragments: blocks times blocks are shuffled.
-    n_buckets = int(min(MOST_BLOCKS, max(entries // BLOCK_ENTRIES + 1, min(buckets(spark), entries // LEAST_ENTRIES + 1))))
+    n_buckets = _n_blocks(entries, BLOCK_ENTRIES, spark)
     shared = incidence(docs, n_buckets, width).groupBy("bucket").applyInArrow(_columns(n_buckets), BLOCK_DDL)
-    rows = materialize(shared.groupBy("bucket").applyInArrow(_rows, ROWS_DDL), "rows")
-    labels = link_classes(rows, n_buckets)
+    rows = materialize(shared.groupBy("bucket").cogroup(_sizes(info, n_buckets).groupBy("bucket")).applyInArrow(_rows, ROWS_DDL), "rows")
+    postings = rows.agg(F.coalesce(F.sum(F.octet_length("prefix")), F.lit(0))).first()[0] // 8
+    labels = link_classes(rows, _n_blocks(postings, LIST_ENTRIES, spark))
     classes = info.filter("n > 0").groupBy("sid").agg(F.min("doc_id").alias("least"))
     if labels is None:
         return info, materialize(classes.select("sid", F.col("sid").alias("class"), F.col("least").alias("component_id")), "classes")
