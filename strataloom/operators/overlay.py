@@ -33,7 +33,7 @@ def last_per_slot(log: DataFrame) -> DataFrame:
     upto = Window.partitionBy("slot").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     life = keyed.withColumn("_life", F.count(F.when(removes, 1)).over(upto))  # how many removes came before
     place = F.row_number().over(Window.partitionBy("slot").orderBy(F.desc("seq")))
-    first = F.min("seq").over(Window.partitionBy("slot", "_life"))
+    first = F.min(F.when(~removes, F.col("seq"))).over(Window.partitionBy("slot", "_life"))
     return life.withColumn("_p", place).withColumn("order_seq", F.when(F.col("action") == "add_alias", first).otherwise(F.col("seq"))).filter("_p = 1 AND action <> 'remove'").drop("_p", "_life")
 
 

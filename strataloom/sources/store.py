@@ -83,7 +83,8 @@ def settings(path: str | None = None, environment: dict[str, str] | None = None,
             raise ValueError("settings are no object")
     for name, value in (os.environ if environment is None else environment).items():
         if name.startswith(prefix):
-            given[name.removeprefix(prefix).lower()] = value.split(os.pathsep) if name.endswith("IGNORE") else value
+            key = name.removeprefix(prefix).lower()
+            given[key] = [*given.get(key, []), *value.split(os.pathsep)] if isinstance(SETTINGS.get(key), list) else value
     for name, value in given.items():
         if name not in SETTINGS:
             raise ValueError(f"no such setting: {name}")
