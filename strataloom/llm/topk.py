@@ -33,7 +33,7 @@ from .store import materialize
 K = 5
 SCALE = 256
 QUERY_STEP = 50
-BLOCK_ROWS = 16_384
+BLOCK_ROWS = 8192
 GROUP_ROWS = 1024
 SEGMENTS = 8
 
@@ -150,7 +150,8 @@ def top_k(vectors: DataFrame, k: int = K, step: int = QUERY_STEP) -> DataFrame:
     groups = dealt(flat.filter(F.col("vec_id") % step == 0).distinct(), n_groups, GROUP_ROWS)
     groups = materialize(groups.select(F.col("ids").alias("q_ids"), F.col("dims").alias("q_dims"), F.col("v").alias("q_v")), "queries")
     spread = groups.withColumn("b", F.explode(F.array(*[F.lit(b).cast("long") for b in numbers])) if numbers else F.lit(0).cast("long"))
-    met = blocks.hint("merge").join(spread, "b").select("ids", "dims", "v", "q_ids", "q_dims", "q_v")
+    # A task for each block or two: the blocks are few and heavy, so the engine must not merge their partitions.
+    met = blocks.repartition(2 * n_blocks, "b").hint("merge").join(spread.repartition(2 * n_blocks, "b"), "b").select("ids", "dims", "v", "q_ids", "q_dims", "q_v")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, index = None, None

@@ -114,16 +114,83 @@ def test_repeated_query_ids_are_answered_for_each_vector(spark):
 
 
 def test_pipeline(spark, sf):
+    """Each stage against a plain version over its own input."""
+    import re
+    from collections import Counter, defaultdict
+
     import corpus_pipeline
+    from strataloom.llm import langid, pii, quality
+    from strataloom.llm.queries import BYTES, PIECES, vocabulary
     from strataloom.llm.store import materialize
+    from tokenizers import Tokenizer
 
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    columns, counts = docs.columns, [docs.count()]
+    columns, states = docs.columns, [docs]
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf), name)
-        assert docs.columns == columns
-        counts.append(docs.count())
-    assert counts[0] > counts[1] >= counts[2] > counts[3] == counts[4] > 0
-    assert docs.filter("text like '%@mail%'").count() == 0 and docs.filter("n_chars <> length(text)").count() == 0
-    packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
-    assert packed.select("doc_id").distinct().count() == counts[4]
+        states.append(materialize(stage(spark, states[-1], sf), name))
+        assert states[-1].columns == columns
+    before, judged, known, single, masked = ({r.doc_id: r for r in s.collect()} for s in states)
+
+    def good(text):
+        words = re.findall(r"[^\x20\x09-\x0D]+", text)
+        windows = [tuple(words[k : k + 3]) for k in range(len(words) - 2)]
+        count = Counter(windows)
+        inside = {k + j for k, w in enumerate(windows) if count[w] > 1 for j in range(3)}
+        if len(words) < 50 or 2 * len(inside) > len(words):
+            return False
+        b = quality.BANDS[quality.script_of(text)]
+        (x,), (y,), (f,), (h,), (n,) = quality.fertility([text], quality.piece_counter(vocabulary(PIECES)), quality.byte_encoder(vocabulary(BYTES)))
+        return b["piece"][0] <= x <= b["piece"][1] and b["byte"][0] <= y <= b["byte"][1] and f <= b["fallback"] and h >= quality.entropy_floor(b["entropy"], n)
+
+    assert set(judged) == {i for i, r in before.items() if good(r.text)}
+
+    model = langid.fit(states[1])
+    names, scores = model.predict([r.text for r in judged.values()])
+    assert set(known) == {i for i, n, s in zip(judged, names, scores, strict=True) if n != "und" and s >= 0.5}
+
+    def shingles(text):
+        w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text))
+        return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} or ({tuple(w)} if w else set())
+
+    sets, root = {i: shingles(r.text) for i, r in known.items()}, {i: i for i in known}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                x, y = root[a], root[b]
+                root = {i: min(x, y) if r in (x, y) else r for i, r in root.items()}
+    assert set(single) == set(root.values())
+
+    finder = pii.Finder(pii.default_field())
+    for i, r in single.items():
+        spans = sorted([*pii.base_spans(r.text), *pii.untouched(finder.added([r.text])[0], pii.base_spans(r.text))])
+        assert masked[i].text == pii.mask(r.text, spans) and masked[i].n_chars == len(masked[i].text)
+        assert all(r.text[a:b] not in masked[i].text for a, k, b in spans if k == 0)
+
+    t = Tokenizer.from_file(vocabulary(BYTES))
+    pieces = defaultdict(list)
+    for r in corpus_pipeline.STAGES[-1][1](spark, states[-1], sf).collect():
+        pieces[r.doc_id].append(r)
+    assert set(pieces) == set(masked)
+    for i, rs in pieces.items():
+        ids, at = [*t.encode(masked[i].text, add_special_tokens=False).ids, 0], 0
+        for r in sorted(rs, key=lambda r: r.start):
+            assert r.start == at and r.ids_crc32 == zlib.crc32(np.array(ids[at : at + r.length], "<u4").tobytes())
+            at += r.length
+        assert at == len(ids)
+
+
+def test_shards_of_packing_hold_near_copies():
+    """Documents that share most of their tokens fall into one shard; what a shard misses of the whole corpus is measured."""
+    from strataloom.llm import bytebpe, packing
+    from strataloom.llm.queries import BYTES, vocabulary
+
+    r = np.random.default_rng(4)
+    base = [r.integers(300, 40_000, 200).astype(np.uint16) for _ in range(150)]
+    copies = [np.where(r.random(200) < 0.05, r.integers(300, 40_000, 200), x).astype(np.uint16) for x in base]
+    ids = [*base, *copies]
+    keys = packing.signatures([x.tobytes() for x in ids], packing.signature_orders(bytebpe.byte_encoder(vocabulary(BYTES)).token_bytes(packing.VOCABULARY)))
+    order = np.lexsort(keys[::-1])
+    shard = np.empty(len(ids), np.int64)
+    shard[order] = np.arange(len(ids)) // 30
+    found, share = packing.shard_recall(ids, shard, list(range(0, 150, 3)), k=1)
+    assert found >= 0.75 and share >= 0.75
