@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import drop, materialize
+from .store import derived, drop, materialize
 
 EDGES_PER_TASK = 1_000_000
 
@@ -45,9 +45,10 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
     tasks = -(-edges.count() // EDGES_PER_TASK)
     stars = materialize(edges.select("a", "b").coalesce(max(1, tasks)).mapInArrow(_forest, "a long, b long"), "stars")
     if tasks <= 1:
-        return stars.select(F.col("b").alias("node"), F.col("a").alias("root"))
+        return derived(stars.select(F.col("b").alias("node"), F.col("a").alias("root")), stars)
     both = materialize(stars.select("a", "b").union(stars.select("b", "a")).distinct(), "edges")
     labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("root")), "labels")
+    drop(stars)
     for _ in range(limit):
         near = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("seen"))
         moved = labels.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "seen").alias("root"))
@@ -59,5 +60,5 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
         labels = after
         if not changed:
             drop(both)
-            return labels.select("node", "root")
+            return derived(labels.select("node", "root"), labels)
     raise RuntimeError("the components did not settle")

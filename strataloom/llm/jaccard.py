@@ -398,6 +398,7 @@ def _linked(pairs: DataFrame, rows: DataFrame) -> DataFrame:
 def link_classes(rows: DataFrame, n_buckets: int, rounds: int = 4) -> DataFrame:
     """(node, root) over sets that link with another; rows(sid, n, members, prefix, sketch)."""
     labels, edges = None, None
+    stored: list[DataFrame] = []  # tables of links, of no use once the last labels are stored
 
     def lists() -> DataFrame:
         if labels is None:
@@ -418,16 +419,21 @@ def link_classes(rows: DataFrame, n_buckets: int, rounds: int = 4) -> DataFrame:
         if not pairs.limit(1).count():
             drop(pairs)
             if not drawing:
+                drop(*stored)
                 return labels
             drawing = False  # a draw looks at few pairs of a column, so an empty one proves nothing
             continue
         found = materialize(_linked(pairs, rows), "links")
         drop(pairs)
+        stored.append(found)
         grew = found.limit(1).count() > 0
         if grew:
             edges = found if edges is None else edges.unionByName(found)
-            labels = components(edges)
+            before, labels = labels, components(edges)
+            if before is not None:
+                drop(before)
         if not drawing:
+            drop(*stored)
             return labels
         turn += 1
         drawing = turn < rounds and (grew or turn == 1)
@@ -450,12 +456,15 @@ def _classes(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
     rows = materialize(shared.groupBy("bucket").cogroup(_sizes(info, n_buckets).groupBy("bucket")).applyInArrow(_rows, ROWS_DDL), "rows")
     postings = rows.agg(F.coalesce(F.sum(F.octet_length("prefix")), F.lit(0))).first()[0] // 8
     labels = link_classes(rows, _n_blocks(postings, LIST_ENTRIES, spark))
+    drop(rows)
     classes = info.filter("n > 0").groupBy("sid").agg(F.min("doc_id").alias("least"))
     if labels is None:
         return info, materialize(classes.select("sid", F.col("sid").alias("class"), F.col("least").alias("component_id")), "classes")
     classes = classes.join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("class", F.coalesce("root", "sid"))
     least = classes.groupBy("class").agg(F.min("least").alias("component_id"))
-    return info, materialize(classes.select("sid", "class").join(least, "class").select("sid", "class", "component_id"), "classes")
+    named = materialize(classes.select("sid", "class").join(least, "class").select("sid", "class", "component_id"), "classes")
+    drop(labels)
+    return info, named
 
 
 def similarity_classes(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -475,6 +484,7 @@ def keep_one(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     per = info.filter("n > 0").groupBy("sid", "doc_id", "th").agg(F.count(F.lit(1)).alias("c"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "c")).alias("k")
     keep = materialize(per.join(classes.select("sid", "class"), "sid").groupBy("class").agg(first).select("k.doc_id", "k.th", "k.c"), "keepers")
+    drop(info, classes)
     th, num = (_unused(docs, x) for x in ("th", "place"))
     text = F.col("text").cast("string")
     words = F.coalesce(text.rlike(r"[^\x20\x09-\x0D]"), F.lit(False))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import bounded_batches, materialize
+from .store import bounded_batches, drop, materialize
 
 DIMENSIONS = 1 << 13
 SAMPLE = 6000
@@ -160,6 +160,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
         at, n = np.frombuffer(bytes(r["at"]), np.uint16).astype(np.int64), np.frombuffer(bytes(r.n), np.uint32)
         x = (1 + np.log(n)) * idf[at]
         (hold if r.f == 3 else learn).append((at, x / max(np.sqrt(x @ x), 1e-12), place[r.lang]))
+    drop(got)
     weights = train(learn or hold, len(languages))
     logits = np.array([x @ weights[at] for at, x, _ in hold]) if hold else np.zeros((0, len(languages)))
     return Model(languages, idf, weights, temperature(logits, np.array([y for *_, y in hold], np.int64)))

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import bounded_batches, buckets, materialize
+from .store import bounded_batches, buckets, drop, materialize
 from .words import Words, mix, slices
 
 LISTED = 1 << 16
@@ -461,7 +461,9 @@ def train(docs: DataFrame, words: ShortList, rows: int) -> GatedModel:
         yield _weighted(total, n)
 
     dealt = flat.mapInArrow(coded, "g int, key long, ids binary").repartition(n_groups, "g").sortWithinPartitions("g", "key", "ids")
-    parts = materialize(dealt.mapInArrow(run, "weights binary, n long"), "models").repartition(8).mapInArrow(add, "weights binary, n long").collect()
+    models = materialize(dealt.mapInArrow(run, "weights binary, n long"), "models")
+    parts = models.repartition(8).mapInArrow(add, "weights binary, n long").collect()
+    drop(models)
     n = sum(r.n for r in parts)
     return GatedModel.from_flat(sum(np.frombuffer(bytes(r.weights), np.float64) for r in parts) / n if n else warm, words.size)
 

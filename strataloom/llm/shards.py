@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .store import drop, materialize
+from .store import derived, drop, materialize
 
 SHARDS = 40
 ROUNDS = 60
@@ -87,18 +87,18 @@ def propagate(groups: DataFrame, quota: list[int], rounds: int = ROUNDS) -> Data
         rows = wants.filter("s <> t").groupBy("s", "t").agg(F.sum("c").alias("c")).collect()  # at most shards squared
         demand = {(r.s, r.t): r.c for r in rows}
         if not demand:
-            return wants.select("g", "s0", "part", "s")
+            return derived(wants.select("g", "s0", "part", "s"), wants)
         chance = _lookup(_probabilities(demand, sizes, quota), F.col("s") * n + F.col("t"), 0.0)
         moved = F.when((F.col("s") != F.col("t")) & (_draw(F.col("g"), F.col("s0"), F.col("part"), F.lit(k)) < chance), F.col("t")).otherwise(F.col("s"))
-        state = materialize(wants.withColumn("s", moved).select("g", "s0", "part", "c", "s"), "state")
-        drop(wants)
+        old, state = state, materialize(wants.withColumn("s", moved).select("g", "s0", "part", "c", "s"), "state")
+        drop(wants, old)
         sizes = {r.s: r.c for r in state.groupBy("s").agg(F.sum("c").alias("c")).collect()}
         cut = _cut(state)
         still = still + 1 if least is not None and cut >= least else 0
         least = cut if least is None else min(least, cut)
         if still == 2 or not cut:
             break
-    return state.select("g", "s0", "part", "s")
+    return derived(state.select("g", "s0", "part", "s"), state)
 
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
@@ -114,7 +114,9 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS)
     counts = base.groupBy("g", "s0", "part").agg(F.count(F.lit(1)).alias("c"))
     linked = counts.groupBy("g").agg(F.sum("c").alias("all")).filter("all > 1").select("g")
     groups = materialize(counts.join(linked, "g"), "groups")
-    state = materialize(propagate(groups, quota, rounds).select(F.concat_ws(":", "g", "s0", "part").alias("place"), "s"), "places")
+    settled = propagate(groups, quota, rounds)
+    state = materialize(settled.select(F.concat_ws(":", "g", "s0", "part").alias("place"), "s"), "places")
+    drop(groups, settled)
 
     n_buckets = max(16, -(-total // (shards * PER_BUCKET)))
     placed = (

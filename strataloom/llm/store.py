@@ -43,9 +43,7 @@ def shared_root(spark: SparkSession) -> str:
         return root.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    root = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints", "strataloom")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    return "file://" + os.path.join(tempfile.gettempdir(), "checkpoints", "strataloom")
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -59,6 +57,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def derived(df: DataFrame, of: DataFrame) -> DataFrame:
+    """``df``, which reads the table ``of`` and nothing else that is stored, so that ``drop`` takes it."""
+    df._strataloom_path = getattr(of, "_strataloom_path", None)
+    return df
+
+
 def drop(*tables: DataFrame) -> None:
     """Delete tables of ``materialize`` that no later plan reads."""
     for df in tables:
