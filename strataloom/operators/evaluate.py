@@ -25,15 +25,15 @@ def metric_means(runs: DataFrame) -> DataFrame:
     return runs.select("run_kind", "mode", F.explode("metrics").alias("metric", "value")).groupBy("run_kind", "mode", "metric").agg(F.avg("value").alias("mean"))
 
 
-def retrieval_metrics(sets: DataFrame, total_files: Column, total_bytes: Column, chars_per_token: float = 4.0) -> DataFrame:
-    """Metrics per case from sets(case_key, expected array, candidates array, candidate_bytes)."""
-    hits = F.size(F.array_intersect("expected", "candidates"))
-    n, m = F.size(F.array_distinct("candidates")), F.size(F.array_distinct("expected"))
+def retrieval_counts(rows: DataFrame, total_files: Column, total_bytes: Column, chars_per_token: float = 4.0) -> DataFrame:
+    """Metrics per case from rows(case_key, path, expected, candidate, size), counted without holding a case's files in one row."""
+    once = rows.groupBy("case_key", "path").agg(F.bool_or("expected").alias("e"), F.bool_or("candidate").alias("c"), F.max("size").alias("size"))
+    sums = once.groupBy("case_key").agg(F.count_if(F.col("e") & F.col("c")).alias("hits"), F.count_if("e").alias("m"), F.count_if("c").alias("n"), F.coalesce(F.sum(F.when(F.col("c"), F.col("size"))), F.lit(0)).alias("b"))
+    n, m, hits = F.col("n"), F.col("m"), F.col("hits")
     tokens = lambda b: F.ceil(b / F.lit(max(chars_per_token, 0.1)))
-    return sets.select(
-        "case_key", hits.cast("long").alias("hits"), F.size(F.array_except("expected", "candidates")).cast("long").alias("missing"), F.size(F.array_except("candidates", "expected")).cast("long").alias("unexpected"),
-        F.when(n > 0, hits / n).otherwise(0.0).alias("precision"), F.when(m > 0, hits / m).otherwise(1.0).alias("recall"), F.when(total_files > 0, 1 - n / total_files).otherwise(0.0).alias("candidate_reduction"),
-        tokens(F.col("candidate_bytes")).alias("context_tokens"), F.when(total_bytes > 0, 1 - tokens(F.col("candidate_bytes")) / tokens(total_bytes)).otherwise(0.0).alias("token_reduction"),
+    return sums.select(
+        "case_key", "hits", (m - hits).alias("missing"), (n - hits).alias("unexpected"), F.when(n > 0, hits / n).otherwise(0.0).alias("precision"), F.when(m > 0, hits / m).otherwise(1.0).alias("recall"),
+        F.when(total_files > 0, 1 - n / total_files).otherwise(0.0).alias("candidate_reduction"), tokens(F.col("b")).alias("context_tokens"), F.when(total_bytes > 0, 1 - tokens(F.col("b")) / tokens(total_bytes)).otherwise(0.0).alias("token_reduction"),
     )
 
 

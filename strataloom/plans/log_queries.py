@@ -146,19 +146,19 @@ def metric_means(spark, sf):
 """)
 def retrieval_metrics(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "source", "n_chars")
-    lab = d.join(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id", "left")
-    sets = lab.groupBy(F.col("source").alias("case_key")).agg(F.collect_list(F.when(F.col("quality") == 1, F.col("doc_id"))).alias("expected"), F.collect_list(F.when(F.col("doc_id") % 3 == 0, F.col("doc_id"))).alias("candidates"), F.coalesce(F.sum(F.when(F.col("doc_id") % 3 == 0, F.col("n_chars"))), F.lit(0)).alias("candidate_bytes"))
+    good = table(spark, sf, "labels").filter("quality = 1").select("doc_id", F.lit(True).alias("expected")).distinct()
+    rows = d.join(good, "doc_id", "left").select(F.col("source").alias("case_key"), F.col("doc_id").alias("path"), F.coalesce("expected", F.lit(False)).alias("expected"), (F.col("doc_id") % 3 == 0).alias("candidate"), F.col("n_chars").alias("size"))
     totals = d.agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("b")).first()
-    out = evaluate.retrieval_metrics(sets, F.lit(totals.n), F.lit(totals.b))
+    out = evaluate.retrieval_counts(rows, F.lit(totals.n), F.lit(totals.b))
     return out.withColumns({c: F.round(c, 6) for c in ("precision", "recall", "candidate_reduction", "token_reduction")})
 
 
-@query(_LATEST + """, a AS (SELECT case_key, tokens, recall, success FROM (SELECT *, row_number() OVER (PARTITION BY case_key ORDER BY seq) AS q FROM l WHERE run_kind = 'en') WHERE q = 1),
-    b AS (SELECT case_key, tokens, recall, success FROM (SELECT *, row_number() OVER (PARTITION BY case_key ORDER BY seq DESC) AS q FROM l WHERE run_kind = 'en') WHERE q = 1),
+@query(_LATEST + """, a AS (SELECT case_key, tokens, recall, success FROM (SELECT *, row_number() OVER (PARTITION BY case_key ORDER BY seq) AS q FROM l) WHERE q = 1),
+    b AS (SELECT case_key, tokens, recall, success FROM (SELECT *, row_number() OVER (PARTITION BY case_key ORDER BY seq DESC) AS q FROM l) WHERE q = 1),
     j AS (SELECT a.tokens AS before, b.tokens AS after, a.recall AS ra, b.recall AS rb, coalesce(a.recall >= 0.95 AND b.recall >= 0.95 AND a.success IS NOT DISTINCT FROM true AND b.success IS NOT DISTINCT FROM true, false) AS ok FROM a JOIN b USING (case_key))
     SELECT count(*) AS pairs, count(*) FILTER (ok) AS eligible, round(CASE WHEN sum(before) FILTER (ok) > 0 THEN 1 - sum(after) FILTER (ok) / sum(before) FILTER (ok) END, 6)::DOUBLE AS reduction, round(avg(ra), 6) AS recall_before, round(avg(rb), 6) AS recall_after FROM j""")
 def suite_compare_gated(spark, sf):
-    runs = evaluate.latest_runs(_runs(spark, sf)).filter("run_kind = 'en'").select("case_key", "tokens", "recall", "success", "seq")
+    runs = evaluate.latest_runs(_runs(spark, sf)).select("case_key", "tokens", "recall", "success", "seq")
     up, down = (F.row_number().over(Window.partitionBy("case_key").orderBy(o)) for o in (F.asc("seq"), F.desc("seq")))
     both = runs.withColumn("u", up).withColumn("d", down)
     tagged = both.filter("u = 1").withColumn("mode", F.lit("first")).unionByName(both.filter("d = 1").withColumn("mode", F.lit("last")))

@@ -123,7 +123,7 @@ def hooks(spark, sf):
 @query(f"""
     WITH h AS (SELECT event_id AS seq, 'a:' || user_id AS session, event_type, {HOOK_SQL} AS e, 'src/f' || (event_id % 50) || '.py' AS file FROM events),
     x AS (SELECT *, last_value(CASE WHEN e = 'UserPromptSubmit' THEN seq WHEN e IN ('Stop', 'SessionEnd') THEN -1 END IGNORE NULLS) OVER (PARTITION BY session ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM h),
-    known AS (SELECT DISTINCT 'src/f' || p_partkey || '.py' AS file FROM part WHERE p_partkey <= 25),
+    known AS (SELECT DISTINCT 'src/f' || p_size || '.py' AS file FROM part),
     out AS (
         SELECT seq, session, 0 AS step, 'session_upsert' AS event_type, NULL AS kind, NULL AS status, NULL AS title, '' AS paths FROM x WHERE e IN ('SessionStart', 'UserPromptSubmit')
         UNION ALL SELECT seq, session, 1, 'task_closed', NULL, 'interrupted', NULL, '' FROM x WHERE e = 'UserPromptSubmit' AND r >= 0
@@ -139,7 +139,7 @@ def hooks(spark, sf):
 """)
 def lifecycle_ingest(spark, sf):
     importable(spark)
-    known = table(spark, sf, "part").filter("p_partkey <= 25").select(F.lit("p").alias("project_id"), F.concat(F.lit("src/f"), "p_partkey", F.lit(".py")).alias("path"))
+    known = table(spark, sf, "part").select(F.lit("p").alias("project_id"), F.concat(F.lit("src/f"), "p_size", F.lit(".py")).alias("path")).distinct()
     return lifecycle.ingest(hooks(spark, sf), known).select("seq", "session", "step", "event_type", "kind", "status", "title", F.array_join("paths", ",").alias("paths"))
 
 
@@ -189,7 +189,7 @@ _SLOT_SQL = """
 
 
 @query(f"""
-    WITH {_SLOT_SQL}, c AS (SELECT 'c' || p_partkey AS key, p_name AS label FROM part WHERE p_partkey < 30),
+    WITH {_SLOT_SQL}, c AS (SELECT 'c' || p_partkey AS key, p_name AS label FROM part),
     n AS (SELECT key, value AS made FROM s WHERE action = 'create_concept'), r AS (SELECT key, value AS name FROM s WHERE action = 'rename_concept'),
     a AS (SELECT key, string_agg(value, ',' ORDER BY place) AS aliases FROM s WHERE slot LIKE 'add_alias%' GROUP BY key), d AS (SELECT key, action AS decision FROM s WHERE slot = 'decision')
     SELECT key, coalesce(r.name, made, label) AS label, CASE WHEN decision = 'reject_concept' THEN false ELSE true END AS active, coalesce(a.aliases, '') AS aliases,
@@ -199,7 +199,7 @@ _SLOT_SQL = """
 def overlay_concepts(spark, sf):
     """Create, rename, alias, accept and reject; the removes of this stand-in name slots that nothing holds."""
     standing = overlay.last_per_slot(_corrections(spark, sf, _PART_OF_ACTIONS))
-    concepts = table(spark, sf, "part").filter("p_partkey < 30").select(F.concat(F.lit("c"), "p_partkey").alias("key"), F.col("p_name").alias("label"), F.lit(True).alias("active"), F.array().cast("array<string>").alias("aliases"), F.lit(0.7).alias("confidence"), F.lit("semantic-heuristic").alias("source"))
+    concepts = table(spark, sf, "part").select(F.concat(F.lit("c"), "p_partkey").alias("key"), F.col("p_name").alias("label"), F.lit(True).alias("active"), F.array().cast("array<string>").alias("aliases"), F.lit(0.7).alias("confidence"), F.lit("semantic-heuristic").alias("source"))
     merged = spark.createDataFrame([], "old string, new string")
     return overlay.apply_concepts(concepts, standing, merged).select("key", "label", "active", F.array_join("aliases", ",").alias("aliases"), "confidence")
 
@@ -319,16 +319,16 @@ def _suite(spark, sf):
     part = table(spark, sf, "part")
     files = part.select(F.concat(F.lower(F.replace("p_name", F.lit(" "), F.lit("_"))), F.lit("_"), "p_partkey", F.lit(".py")).alias("path"), F.col("p_name").alias("label"), F.col("p_size").cast("long").alias("size"), "p_partkey")
     region = table(spark, sf, "region")
-    want = part.filter("p_partkey <= 40").select((F.col("p_partkey") % 5).alias("r_regionkey"), F.concat(F.lower(F.replace("p_name", F.lit(" "), F.lit("_"))), F.lit("_"), "p_partkey", F.lit(".py")).alias("path"))
+    want = part.select((F.col("p_size") % 5).alias("r_regionkey"), F.concat(F.lower(F.replace("p_name", F.lit(" "), F.lit("_"))), F.lit("_"), "p_partkey", F.lit(".py")).alias("path"))
     cases = region.join(want.groupBy("r_regionkey").agg(F.array_sort(F.collect_list("path")).alias("expected")), "r_regionkey").select(F.col("r_name").alias("case_key"), "expected", F.array(F.lit("small"), F.col("r_regionkey").cast("string")).alias("terms"))
-    routed = region.join(part.filter("p_partkey <= 60"), F.col("p_partkey") % 5 == F.col("r_regionkey")).select(F.col("r_name").alias("case_key"), F.concat(F.lower(F.replace("p_name", F.lit(" "), F.lit("_"))), F.lit("_"), "p_partkey", F.lit(".py")).alias("path"), F.col("p_partkey").alias("place"))
+    routed = region.join(part, F.col("p_partkey") % 5 == F.col("r_regionkey")).select(F.col("r_name").alias("case_key"), F.concat(F.lower(F.replace("p_name", F.lit(" "), F.lit("_"))), F.lit("_"), "p_partkey", F.lit(".py")).alias("path"), F.col("p_partkey").alias("place"))
     return cases, files, routed
 
 
 @query("""
     WITH f AS (SELECT lower(replace(p_name, ' ', '_')) || '_' || p_partkey || '.py' AS path, p_partkey, CAST(p_size AS BIGINT) AS size FROM part),
-    w AS (SELECT r_name AS case_key, path FROM region JOIN f ON p_partkey % 5 = r_regionkey WHERE p_partkey <= 40),
-    o AS (SELECT case_key, path FROM (SELECT r_name AS case_key, path, row_number() OVER (PARTITION BY r_name ORDER BY p_partkey, path) AS p FROM region JOIN f ON p_partkey % 5 = r_regionkey WHERE p_partkey <= 60) WHERE p <= 12),
+    w AS (SELECT r_name AS case_key, path FROM region JOIN f ON size % 5 = r_regionkey),
+    o AS (SELECT case_key, path FROM (SELECT r_name AS case_key, path, row_number() OVER (PARTITION BY r_name ORDER BY p_partkey, path) AS p FROM region JOIN f ON p_partkey % 5 = r_regionkey) WHERE p <= 12),
     x AS (SELECT r_name AS case_key, 'full-scan' AS mode, path FROM region CROSS JOIN f UNION ALL SELECT case_key, 'routed', path FROM o),
     g AS (SELECT x.case_key, mode, count(*) AS n, count(w.path) AS h, sum(size) AS b FROM x LEFT JOIN w ON w.case_key = x.case_key AND w.path = x.path JOIN f ON f.path = x.path GROUP BY ALL),
     m AS (SELECT case_key, count(*) AS m FROM w GROUP BY case_key)
@@ -343,14 +343,14 @@ def suite_runs(spark, sf):
 
 @query("""
     WITH e AS (SELECT user_id AS task, event_type, 'f' || (event_id % 20) AS path FROM events), t AS (SELECT task, path, bool_or(event_type = 'click') AS r FROM e GROUP BY task, path),
-    w AS (SELECT DISTINCT user_id AS task, 'f' || (user_id % 25) AS path FROM events WHERE user_id % 3 <> 0),
+    w AS (SELECT DISTINCT user_id AS task, 'f' || (user_id % 25) AS path FROM events WHERE event_type = 'purchase'),
     g AS (SELECT task, count(t.path) AS observed_files, count(*) FILTER (r) AS read_files, count(w.path) AS expected, count(*) FILTER (t.path IS NOT NULL AND w.path IS NOT NULL) AS h, count(*) FILTER (r AND w.path IS NULL) AS l FROM t FULL JOIN w USING (task, path) GROUP BY task)
     SELECT task, observed_files, read_files, expected, CASE WHEN expected > 0 THEN h / expected END AS recall, CASE WHEN expected > 0 THEN l END AS irrelevant_reads, CASE WHEN expected > 0 AND read_files > 0 THEN l / read_files END AS irrelevant_ratio FROM g
 """)
 def observed_runs(spark, sf):
     e = table(spark, sf, "events")
     events = e.select(F.col("user_id").alias("task"), F.when(F.col("event_type") == "click", "read").otherwise("modify").alias("kind"), F.concat(F.lit("f"), F.col("event_id") % 20).alias("path"))
-    want = e.filter("user_id % 3 <> 0").select(F.col("user_id").alias("task"), F.concat(F.lit("f"), F.col("user_id") % 25).alias("path"))
+    want = e.filter("event_type = 'purchase'").select(F.col("user_id").alias("task"), F.concat(F.lit("f"), F.col("user_id") % 25).alias("path"))
     return reports.observed(events, want)
 
 

@@ -73,12 +73,12 @@ def node_search_topk(spark, sf):
 
 
 @query("""
-    SELECT page_id, p_name FROM pages, (SELECT DISTINCT substring(trim(p_name), 1, 3) AS p_name FROM part) p WHERE length(p_name) >= 2 AND contains(lower(url || ' ' || html), lower(p_name))
+    SELECT page_id, p_name FROM pages, (SELECT DISTINCT unnest(string_split(trim(p_name), ' ')) AS p_name FROM part) p WHERE length(p_name) >= 2 AND contains(lower(url || ' ' || html), lower(p_name))
     UNION ALL SELECT page_id, r_name FROM pages, region WHERE contains(lower(url || ' ' || html), lower(r_name))
 """)
 def reverse_containment(spark, sf):
-    """Names that a text contains. The texts stay where they are; the names are few and checked to be so by the broadcast limit."""
-    names = table(spark, sf, "part").select(F.substring(F.trim("p_name"), 1, 3).alias("p_name")).filter(F.length("p_name") >= 2).distinct().unionByName(table(spark, sf, "region").select(F.col("r_name").alias("p_name")))
+    """Words of names that a text contains. The texts stay where they are; the distinct words are few."""
+    names = table(spark, sf, "part").select(F.explode(F.split(F.trim("p_name"), " ")).alias("p_name")).filter(F.length("p_name") >= 2).distinct().unionByName(table(spark, sf, "region").select(F.col("r_name").alias("p_name")))
     pages = table(spark, sf, "pages").select("page_id", F.lower(F.concat("url", F.lit(" "), "html")).alias("t"))
     return pages.join(names, F.contains("t", F.lower("p_name"))).select("page_id", "p_name")
 
