@@ -10,7 +10,8 @@ from pyspark.sql.window import Window
 
 from ..functions import fixed
 from ..functions import scalars as S
-from ..operators import resolve, semantic
+from ..operators import overlay, resolve, semantic
+from ..runtime import stored
 from ..sources import extract, listing, rules
 
 
@@ -106,7 +107,7 @@ def build(facts: DataFrame) -> Graph:
     """Physical and semantic layers of the facts."""
     edges, packages = resolved(facts)
     sid = lambda kind, key: S.stable_id("node_", F.col("project_id"), F.lit("1"), kind, key)
-    file_data = F.to_json(F.struct("extractor", F.col("is_text"), F.parse_json("metadata").alias("metadata"), "roles", "size", "warnings", S.language(F.col("path")).alias("language"), "external"))
+    file_data = F.to_json(F.struct("extractor", "digest", F.col("is_text"), F.parse_json("metadata").alias("metadata"), "roles", "size", "warnings", S.language(F.col("path")).alias("language"), "external"))
     files = facts.drop("external").join(packages, ["project_id", "path"], "left").select("project_id", F.lit(1).alias("layer"), F.lit("file").alias("kind"), F.col("path").alias("key"), F.coalesce(F.get_json_object("metadata", "$.title"), S.basename(F.col("path"))).alias("label"), file_data.alias("data"), F.lit(1.0).alias("confidence"), F.lit("filesystem").alias("source"))
     parts = facts.select("project_id", "path", F.explode("resources").alias("r"))
     resources = parts.select("project_id", F.lit(1).alias("layer"), "r.kind", F.concat("path", F.lit("#"), "r.key").alias("key"), "r.label", F.col("r.data").alias("data"), F.lit(1.0).alias("confidence"), F.lit("extractor").alias("source"))
@@ -145,22 +146,73 @@ def build(facts: DataFrame) -> Graph:
     return Graph(nodes, every.withColumn("id", S.stable_id("edge_", *[F.col(c) for c in ("project_id", "layer", "source_id", "relation", "target_id")])), facts, edges)
 
 
-def scan(files: DataFrame, previous: DataFrame | None = None, plugins: list[extract.Plugin] = ()) -> tuple[Graph, DataFrame]:
+def apply_corrections(graph: Graph, log: DataFrame) -> Graph:
+    """The graph with human corrections(project_id, seq, action, subject_key, relation, object_key, value) of all its projects.
+
+    The automatic layers are built anew at every scan and corrections apply to them again, so a scan never loses one. Keys carry
+    their project while corrections apply, so projects can't touch each other. Corrections with an error are left out.
+    """
+    graph = Graph(stored(graph.nodes, "nodes"), stored(graph.edges, "edges"), graph.facts, graph.file_edges)
+    own = lambda c: F.concat_ws("\x1e", "project_id", c)
+    part = lambda c, k: F.split(c, "\x1e").getItem(k)
+    ok = overlay.checked(log).filter("error IS NULL")
+    file_end = F.col("action").isin(overlay.FILE_ACTIONS)
+    keyed = ok.withColumn("object_key", F.when((F.col("action") == "merge_concept") | F.col("action").isin(overlay.EDGE_ACTIONS) | file_end, own("object_key")).otherwise(F.col("object_key"))).withColumn("subject_key", own("subject_key"))
+    standing = stored(overlay.last_per_slot(keyed), "corrections")
+    n = graph.nodes.filter("layer = 2 AND kind = 'concept'")
+    data = lambda x: F.get_json_object("data", x)
+    concepts = n.select(own("key").alias("key"), "label", F.coalesce(data("$.active").cast("boolean"), F.lit(True)).alias("active"), F.coalesce(F.from_json(data("$.aliases"), "array<string>"), F.array().cast("array<string>")).alias("aliases"), "confidence", "source")
+    names = graph.nodes.filter("kind IN ('concept', 'file', 'task', 'project') AND layer IN (1, 2, 3)").select("id", "kind", own("key").alias("k"))
+    both = graph.edges.filter("layer IN (2, 3)").join(names.select(F.col("id").alias("source_id"), F.col("k").alias("s"), F.col("kind").alias("sk")), "source_id").join(names.select(F.col("id").alias("target_id"), F.col("k").alias("t"), F.col("kind").alias("tk")), "target_id")
+    mine = both.filter("(layer = 2 AND sk = 'concept') OR (layer = 3 AND relation = 'affects')")
+    files = graph.nodes.filter("layer = 1 AND kind = 'file'").select(own("key").alias("path"))
+    after, changed = overlay.apply_all(concepts, mine.select("layer", F.col("s").alias("source"), "relation", F.col("t").alias("target"), F.col("tk").alias("target_kind"), "data"), files, standing)
+    after, changed = stored(after, "concepts"), stored(changed, "semantic")
+
+    nid = lambda layer, kind, key: S.stable_id("node_", F.col("project_id"), layer, kind, part(key, 1))
+    concept_data = F.to_json(F.struct("active", "aliases", "human_reviewed", "review_decision", part("merged_into", 1).alias("merged_into")))
+    old = n.select(own("key").alias("key"), F.col("data").alias("old"))
+
+    def over(old: Column, new: Column) -> Column:
+        """JSON of an object with the values that ``new`` has in place of its own."""
+        fields = F.coalesce(F.from_json(old, "map<string,string>"), F.create_map().cast("map<string,string>"))
+        more = F.map_filter(new, lambda _, v: v.isNotNull())
+        return F.to_json(F.map_concat(F.map_filter(fields, lambda k, _: ~F.array_contains(F.map_keys(more), k)), more))
+
+    merged_data = over(F.col("old"), F.from_json(concept_data, "map<string,string>"))
+    fresh = after.withColumn("project_id", part("key", 0)).join(old, "key", "left").select("project_id", F.lit(2).alias("layer"), F.lit("concept").alias("kind"), part("key", 1).alias("key"), "label", F.when(F.col("human_reviewed"), merged_data).otherwise(F.col("old")).alias("data"), "confidence", "source", nid(F.lit("2"), F.lit("concept"), F.col("key")).alias("id"))
+    kept_nodes = graph.nodes.filter("NOT (layer = 2 AND kind = 'concept')")
+    target_layer = F.when(F.col("target_kind") == "file", "1").otherwise("2")
+    e = changed.withColumn("project_id", part("source", 0))
+    source_id = nid(F.col("layer").cast("string"), F.when(F.col("layer") == 3, "task").otherwise("concept"), F.col("source"))
+    info = over(F.col("data"), F.create_map(F.lit("merged_from"), part("merged_from", 1), F.lit("review_decision"), F.col("review_decision")))
+    e = e.select("project_id", "layer", source_id.alias("source_id"), "relation", nid(target_layer, F.col("target_kind"), F.col("target")).alias("target_id"), F.when(F.col("human"), info).otherwise(F.col("data")).alias("data"), F.col("human"))
+    e = e.withColumn("id", S.stable_id("edge_", *[F.col(c) for c in ("project_id", "layer", "source_id", "relation", "target_id")]))
+    before = graph.edges.select("id", F.col("confidence").alias("_c"), F.col("source").alias("_s"))
+    e = e.join(before, "id", "left").select("project_id", "layer", "source_id", "relation", "target_id", "data", F.when(F.col("human"), 1.0).otherwise(F.col("_c")).alias("confidence"), F.when(F.col("human"), "human-overlay").otherwise(F.col("_s")).alias("source"), "id")
+    edges = graph.edges.join(mine.select("id"), "id", "left_anti").select(e.columns).unionByName(e)
+    return Graph(kept_nodes.unionByName(fresh.select(kept_nodes.columns)), edges, graph.facts, graph.file_edges)
+
+
+def scan(files: DataFrame, previous: DataFrame | None = None, plugins: list[extract.Plugin] = (), corrections: DataFrame | None = None) -> tuple[Graph, DataFrame]:
     """(graph, changes) of files(project_id, path, mtime_ns, size, content); ``previous`` are the facts of the last scan with mtime_ns.
 
+    ``corrections`` are applied to what the files give, at every scan.
+
     Only new and changed files, and files of another extractor signature, are read again. Raw references are kept with the
     facts and join anew each time, so a new file also satisfies references that did not resolve before.
     """
+    corrected = lambda g: g if corrections is None else apply_corrections(g, corrections)
     sign = extract.signature(plugins)
     if previous is None:
         facts = extract.extract_files(files, plugins).join(files.select("project_id", "path", "mtime_ns"), ["project_id", "path"])
-        return build(facts), files.select("project_id", "path", F.lit("new").alias("change"))
+        return corrected(build(facts)), files.select("project_id", "path", F.lit("new").alias("change"))
     now = files.select("project_id", "path", "mtime_ns", "size", F.lit(sign).alias("extractor"))
     changes = listing.change_set(now, previous, ["project_id", "path"], ["mtime_ns", "size", "extractor"])
     fresh = files.join(changes.filter("change <> 'deleted'").select("project_id", "path"), ["project_id", "path"], "left_semi")
     kept = previous.join(changes.select("project_id", "path"), ["project_id", "path"], "left_anti")
     facts = kept.unionByName(extract.extract_files(fresh, plugins).join(fresh.select("project_id", "path", "mtime_ns"), ["project_id", "path"]))
-    return build(facts), changes
+    return corrected(build(facts)), changes
 
 
 def merge_provider(graph: Graph, concepts: DataFrame, relations: DataFrame) -> Graph:

@@ -150,3 +150,43 @@ def test_go_packages_need_one_file(spark):
     files = {"go.mod": "module example.com/m\n", "main.go": 'package main\n\nimport (\n\t"example.com/m/one"\n\t"example.com/m/two"\n)\n', "one/a.go": "package one\n", "two/a.go": "package two\n", "two/b.go": "package two\n"}
     g, _ = project.scan(table(spark, files))
     assert {(r.source, r.target) for r in g.file_edges.collect()} == {("main.go", "one/a.go")}
+
+
+def test_corrections_survive_a_scan(spark):
+    """A renamed, aliased and merged concept, a mapped file and a rejected edge stand after the files are scanned again."""
+    rows = [("rename_concept", "membership", "", "", "Members"), ("add_alias", "membership", "", "", "club"), ("create_concept", "billing", "", "", "Billing"), ("merge_concept", "payment", "", "billing", ""), ("map_file", "billing", "", "docs/membership.md", ""), ("reject_edge", "membership", "depends_on", "billing", "")]
+    log = spark.createDataFrame([("shop", k, *r) for k, r in enumerate(rows)], "project_id string, seq int, action string, subject_key string, relation string, object_key string, value string")
+    facts = project.scan(table(spark, FILES))[0].facts
+    facts = spark.createDataFrame(facts.collect(), facts.schema)
+    first = project.apply_corrections(project.build(facts), log)
+    more = dict(FILES) | {"src/payment/refund.py": "def refund():\n    return 0\n"}
+    for g in (first, project.scan(table(spark, more), facts, corrections=log)[0]):
+        nodes = {r.key: r for r in g.nodes.filter("kind = 'concept'").collect()}
+        assert nodes["membership"].label == "Members" and json.loads(json.loads(nodes["membership"].data)["aliases"]) == ["club"] and nodes["membership"].source == "human-overlay"
+        assert json.loads(nodes["payment"].data)["merged_into"] == "billing" and json.loads(nodes["payment"].data)["active"] == "false"
+        ids = {r.id: r.key for r in g.nodes.collect()}
+        edges = {(ids[r.source_id], r.relation, ids[r.target_id]): r for r in g.edges.filter("layer = 2").collect()}
+        assert ("membership", "depends_on", "billing") not in edges and ("payment", "merged_into", "billing") in edges
+        assert edges["billing", "implemented_by", "docs/membership.md"].confidence == 1.0 and ("billing", "implemented_by", "src/payment/service.py") in edges
+    assert len([k for k in edges if k[0] == "billing" and k[2].startswith("src/payment/")]) == 2
+
+
+def test_unresolved_imports_are_external(spark):
+    files = {"a.js": "import x from 'react'\nimport {y} from '@org/lib/sub'\nimport z from './b'\n", "b.js": "", "m.py": "import os, b2.c\n", "T.java": "import org.none.Thing;\n", "c.c": "#include <vector>\n", "Cargo.rs": "use serde::Serialize;\nuse crate::x::Y;\n"}
+    g, _ = project.scan(table(spark, files))
+    got = {r.key: json.loads(r.data).get("external") for r in g.nodes.filter("kind = 'file'").collect()}
+    assert got == {"a.js": ["@org/lib", "react"], "b.js": None, "m.py": ["b2", "os"], "T.java": ["org"], "c.c": ["vector"], "Cargo.rs": ["serde"]}
+
+
+def test_tests_meet_files_of_their_own_project(spark):
+    rows = [("p1", "src/x.py"), ("p1", "tests/a/b/test_x.py"), ("p2", "tests/a/b/x.py")]
+    df = spark.createDataFrame([(p, f, 1, 0, bytearray()) for p, f in rows], "project_id string, path string, mtime_ns long, size long, content binary")
+    g, _ = project.scan(df)
+    assert {(r.project_id, r.source, r.target) for r in g.file_edges.collect()} == {("p1", "tests/a/b/test_x.py", "src/x.py")}
+
+
+def test_large_and_broken_tables_are_read():
+    big = b"id,name\n" + b"1,a\n" * (5 << 18) + b"\xff,b\n"
+    f = extract.extract("a.csv", big)
+    assert len(big) > extract.MAX_TEXT and f.metadata["column_count"] == 2 and f.metadata["row_count"] == 100_000
+    assert extract.extract("a.txt.json", b"[" + b"1," * (3 << 20) + b"1]").warnings
