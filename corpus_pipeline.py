@@ -48,7 +48,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 STAGES = [("quality_rules", quality_rules), ("language_id", language_id), ("near_duplicates", near_duplicates), ("personal_data", personal_data), ("pack_sequences", pack_sequences)]
 
-# Vocabulary measures, trained models and greedy packing have no SQL form; tests hold each stage against a brute-force version.
+# Vocabulary measures, trained models and greedy packing have no SQL form; tests/llm/test_tables.py holds each stage against a plain version.
 ORACLE_SQL = None
 
 
