@@ -264,9 +264,7 @@ class Field:
         gold_pairs = np.zeros((k, k))
         np.add.at(gold_pairs, (y[:, :-1][both], y[:, 1:][both]), 1)
         for _ in range(steps):
-            score = np.zeros((n * longest, k))
-            np.add.at(score, at, w[feat])
-            score = score.reshape(n, longest, k)
+            score = np.stack([np.bincount(at, weights=w[feat, c], minlength=n * longest) for c in range(k)], axis=1).reshape(n, longest, k)
             fwd, bwd = np.zeros_like(score), np.zeros_like(score)
             fwd[:, 0] = score[:, 0]
             for t in range(1, longest):
@@ -278,8 +276,8 @@ class Field:
             total = _logsumexp(fwd[:, -1], 1)
             node = np.exp(fwd + bwd - total[:, None, None]) * mask[..., None]
             edge = np.exp(fwd[:, :-1, :, None] + pairs + (score + bwd)[:, 1:, None, :] - total[:, None, None, None]) * both[..., None, None]
-            dw = np.zeros_like(w)
-            np.add.at(dw, feat, (gold - node.reshape(-1, k))[at])
+            off = (gold - node.reshape(-1, k))[at]
+            dw = np.stack([np.bincount(feat, weights=off[:, c], minlength=FEATURES) for c in range(k)], axis=1)
             dw, dp = dw / n - penalty * w, (gold_pairs - edge.sum((0, 1))) / n - penalty * pairs
             gw, gp = gw + dw**2, gp + dp**2
             w, pairs = w + rate * dw / np.sqrt(gw), pairs + rate * dp / np.sqrt(gp)
