@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .graph import components
-from .store import bounded_batches, buckets, drop, materialize
+from .store import bounded_batches, buckets, drop, give_back, materialize
 from .words import mix, shingle_sets, slices
 
 WIDTH = 5
@@ -140,6 +140,7 @@ def incidence(docs: DataFrame, n_buckets: int, width: int = WIDTH) -> DataFrame:
                 if total > 1_500_000:
                     yield from flush()
         yield from flush()
+        give_back()
 
     return _flat(docs).select("doc_id", "text").mapInArrow(run, BLOCK_DDL)
 
@@ -166,6 +167,7 @@ def _columns(n_buckets: int):
 
     def run(key, table):
         (hb,) = (k.as_py() for k in key)
+        give_back()
         sid, h, _, _ = _gather(table)
         order = np.argsort(h, kind="stable")
         sid, h = sid[order], h[order]
@@ -229,6 +231,7 @@ def parity_sketch(members: np.ndarray) -> bytes:
 
 def _rows(key, table, sizes):
     """Row block: drop sets that can't reach the bound, give the rest their shared members and their prefix."""
+    give_back()
     if not table.num_rows:
         return ROWS.empty_table()
     sid, h, df, part = _gather(table)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytebpe import byte_encoder
-from .store import bounded_batches, materialize
+from .store import bounded_batches, give_back, materialize
 from .words import mix, slices
 
 WINDOW = 1024
@@ -96,6 +96,7 @@ def tokenize(docs: DataFrame, tokenizer: str) -> DataFrame:
                 n = len(got)
                 keys = [pa.array(k) for k in signatures(got, orders)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x + b"\0\0" for x in got], pa.binary()), *keys, pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], names)
+        give_back()
         if rows:
             yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), *no_keys, pa.array([rows], pa.int64()), pa.array([total], pa.int64()), pa.array([zlib.compress(df.tobytes(), 1)], pa.binary())], names)
 
@@ -128,10 +129,11 @@ class Shard:
         n = len(ids)
         self.unused = np.ones(n, bool)
         lengths = np.array([len(x) for x in ids], np.int64)
-        keys = np.sort(np.repeat(np.arange(n, dtype=np.int64), lengths) * 65536 + np.concatenate(ids).astype(np.int64)) if n else np.zeros(0, np.int64)
+        # Row and term of each id in 32 bits: a shard has fewer than 65536 rows.
+        keys = np.sort(np.repeat(np.arange(n, dtype=np.uint32) << np.uint32(16), lengths) | np.concatenate(ids)) if n else np.zeros(0, np.uint32)
         at = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
         tf = np.diff(np.append(at, len(keys))).astype(np.float64)
-        row, term = keys[at] >> 16, keys[at] & 65535
+        row, term = (keys[at] >> 16).astype(np.int64), (keys[at] & 65535).astype(np.int64)
         weight = (idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[row] / max(mean, 1e-9)))).astype(np.float32)
         self.row_at = np.searchsorted(row, np.arange(n + 1))
         self.row_term = term
@@ -271,6 +273,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW) -> DataFrame:
                     size = 0
         if held:
             yield from flush()
+        give_back()
 
     return by_content(both).mapInArrow(run, PIECES_DDL)
 

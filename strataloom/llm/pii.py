@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import bounded_batches
+from .store import bounded_batches, give_back
 from .words import slices
 
 KINDS = ["email", "ip", "card", "phone", "secret", "name"]
@@ -516,6 +516,8 @@ def redact(docs: DataFrame, field: Field | None = None) -> DataFrame:
                 texts = part.column(at).to_pylist()
                 new = [t if t is None or not s else mask(t, s) for t, (_, s) in zip(texts, all_spans([t or "" for t in texts], finder), strict=True)]
                 yield part.set_column(at, part.schema.field(at), pa.array(new, part.schema.field(at).type))
+        del finder
+        give_back()
 
     out = docs.mapInArrow(run, docs.schema)
     if "n_chars" in docs.columns:

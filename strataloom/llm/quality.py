@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytebpe import ByteEncoder, byte_encoder
-from .store import bounded_batches
+from .store import bounded_batches, give_back
 from .words import SPACE, Words, mix, slices, span_hashes, window_hashes
 
 SYMBOLS = b"#*$%&|<>"
@@ -210,6 +210,7 @@ def keep_documents(docs: DataFrame, piece_model: str, byte_model: str, bands: di
         for batch in batches:
             for part in slices(batch, "text"):
                 yield part.filter(pa.array(judge(part.column(part.schema.get_field_index("text")), pieces, coder, bands)["kept"]))
+        give_back()
 
     bounded_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import shutil
 import tempfile
@@ -81,3 +82,11 @@ def bounded_batches(spark: SparkSession, rows: int = 2000) -> None:
 def buckets(spark: SparkSession) -> int:
     """Hash buckets for blob shuffles: one per shuffle partition, which is how users size a job to its data."""
     return max(1, min(65536, int(spark.conf.get("spark.sql.shuffle.partitions", "200"))))
+
+
+def give_back() -> None:
+    """Return what a Python worker has freed to the system: workers live on into later stages, and the allocator keeps freed blocks."""
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
