@@ -103,11 +103,11 @@ def event_path(path: Column, root: Column) -> Column:
 
 
 def language(path: Column) -> Column:
-    """Language of a path's extension, else the bare extension, else null."""
-    s = suffix(path)
-    out = F.when(s == "", F.lit(None))
-    for name, extensions in fixed.LANGUAGES.items():
-        out = out.when(s.isin(extensions), name)
+    """Language of a path's extension, else the bare extension; without one the name of a well-known file, else unknown."""
+    s, name = suffix(path), F.lower(basename(path))
+    out = F.when(s == "", F.when(name.isin(fixed.EXTENSIONLESS_TEXT), name).otherwise("unknown"))
+    for known, extensions in fixed.LANGUAGES.items():
+        out = out.when(s.isin(extensions), known)
     return out.otherwise(F.substring(s, 2, 100))
 
 

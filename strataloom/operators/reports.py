@@ -69,6 +69,14 @@ def history(tasks: DataFrame, limit: int = 20) -> DataFrame:
     return listed(tasks, [F.desc("created_at"), F.col("task")], limit)
 
 
+def one_task(tasks: DataFrame, task: str) -> DataFrame:
+    """The row of a task; a LookupError if there is none."""
+    found = tasks.filter(F.col("task") == task)
+    if found.isEmpty():
+        raise LookupError(f"no task {task}")
+    return found
+
+
 def inventory(nodes: DataFrame) -> DataFrame:
     """(project_id, path, size, language) of the files of a graph; unknown or negative sizes count as 0."""
     size = F.coalesce(F.get_json_object("data", "$.size").cast("long"), F.lit(0))

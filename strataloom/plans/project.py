@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -12,7 +13,7 @@ from ..functions import fixed
 from ..functions import scalars as S
 from ..operators import overlay, resolve, semantic
 from ..runtime import stored
-from ..sources import extract, listing, rules
+from ..sources import extract, listing, provider, rules
 
 
 @dataclass
@@ -194,15 +195,19 @@ def apply_corrections(graph: Graph, log: DataFrame) -> Graph:
     return Graph(kept_nodes.unionByName(fresh.select(kept_nodes.columns)), edges, graph.facts, graph.file_edges)
 
 
-def scan(files: DataFrame, previous: DataFrame | None = None, plugins: list[extract.Plugin] = (), corrections: DataFrame | None = None) -> tuple[Graph, DataFrame]:
+def scan(files: DataFrame, previous: DataFrame | None = None, plugins: list[extract.Plugin] = (), corrections: DataFrame | None = None, ask: Callable[[Graph], Graph] | None = None) -> tuple[Graph, DataFrame]:
     """(graph, changes) of files(project_id, path, mtime_ns, size, content); ``previous`` are the facts of the last scan with mtime_ns.
 
-    ``corrections`` are applied to what the files give, at every scan.
+    ``ask`` adds what an external provider says (``ask_provider``); ``corrections`` are applied to the whole, at every scan.
 
     Only new and changed files, and files of another extractor signature, are read again. Raw references are kept with the
     facts and join anew each time, so a new file also satisfies references that did not resolve before.
     """
-    corrected = lambda g: g if corrections is None else apply_corrections(g, corrections)
+
+    def corrected(g: Graph) -> Graph:
+        g = g if ask is None else ask(g)
+        return g if corrections is None else apply_corrections(g, corrections)
+
     sign = extract.signature(plugins)
     if previous is None:
         facts = extract.extract_files(files, plugins).join(files.select("project_id", "path", "mtime_ns"), ["project_id", "path"])
@@ -218,23 +223,41 @@ def scan(files: DataFrame, previous: DataFrame | None = None, plugins: list[extr
 def merge_provider(graph: Graph, concepts: DataFrame, relations: DataFrame) -> Graph:
     """Add an external provider's concepts(project_id, key, label, files, confidence) and relations(project_id, source, relation, target, confidence).
 
-    Confidences are clamped, unknown files and end points are dropped.
+    Confidences are clamped, unknown files and end points are dropped. Of items that repeat a concept or an edge the last by
+    ``place`` counts; ``place``, ``data`` of concepts and ``evidence`` of relations (both JSON) may be missing.
     """
-    c = concepts.withColumn("confidence", F.least(F.greatest("confidence", F.lit(0.0)), F.lit(1.0)))
+    with_default = lambda df, name, value: df if name in df.columns else df.withColumn(name, F.lit(value))
+    clamped = F.least(F.greatest("confidence", F.lit(0.0)), F.lit(1.0))
+    c = with_default(with_default(concepts, "place", 0), "data", "{}").withColumn("confidence", clamped)
+    r = with_default(with_default(relations, "place", 0), "evidence", "[]").withColumn("confidence", clamped)
+    name = F.lit("external-semantic-provider").alias("source")
     node = lambda kind, layer, key: S.stable_id("node_", F.col("project_id"), F.lit(layer), F.lit(kind), key)
-    known = graph.nodes.select(F.col("id").alias("target_id"))
-    nodes = c.select("project_id", F.lit(2).alias("layer"), F.lit("concept").alias("kind"), "key", "label", F.lit('{"active":true}').alias("data"), "confidence", F.lit("external-semantic-provider").alias("source"), node("concept", "2", F.col("key")).alias("id"))
+
+    def last(df: DataFrame) -> DataFrame:
+        rest = [x for x in df.columns if x not in ("id", "place")]
+        return df.groupBy("id").agg(F.max_by(F.struct(*rest), F.struct("place", *rest)).alias("v")).select("id", "v.*")
+
+    data = F.concat(F.lit('{"active":true,"provider_data":'), "data", F.lit("}"))
+    nodes = last(c.select("place", "project_id", F.lit(2).alias("layer"), F.lit("concept").alias("kind"), "key", "label", data.alias("data"), "confidence", name, node("concept", "2", F.col("key")).alias("id")))
     merged = graph.nodes.join(nodes.select("id"), "id", "left_anti").unionByName(nodes)
-    mapped = c.select("project_id", "key", "confidence", F.explode("files").alias("path")).select("project_id", node("concept", "2", F.col("key")).alias("source_id"), S.path_relation(F.col("path")).alias("relation"), node("file", "1", F.col("path")).alias("target_id"), "confidence").join(known, "target_id", "left_semi")
+    known = graph.nodes.select(F.col("id").alias("target_id"))
+    flat = c.select("project_id", "place", "key", "confidence", F.explode("files").alias("path"))
+    mapped = flat.select("project_id", "place", node("concept", "2", F.col("key")).alias("source_id"), F.lit("implemented_by").alias("relation"), node("file", "1", F.col("path")).alias("target_id"), "confidence", F.to_json(F.struct("path")).alias("data")).join(known, "target_id", "left_semi")
     ends = merged.select("id")
-    linked = relations.select("project_id", node("concept", "2", F.col("source")).alias("source_id"), "relation", node("concept", "2", F.col("target")).alias("target_id"), F.least(F.greatest("confidence", F.lit(0.0)), F.lit(1.0)).alias("confidence"))
+    evidence = F.concat(F.lit('{"evidence":'), "evidence", F.lit("}"))
+    linked = r.select("project_id", "place", node("concept", "2", F.col("source")).alias("source_id"), "relation", node("concept", "2", F.col("target")).alias("target_id"), "confidence", evidence.alias("data"))
     linked = linked.join(ends.select(F.col("id").alias("source_id")), "source_id", "left_semi").join(ends.select(F.col("id").alias("target_id")), "target_id", "left_semi")
-    extra = mapped.select("project_id", "source_id", "relation", "target_id", "confidence").unionByName(linked.select("project_id", "source_id", "relation", "target_id", "confidence"))
-    extra = extra.select("project_id", F.lit(2).alias("layer"), "source_id", "relation", "target_id", F.lit("{}").alias("data"), "confidence", F.lit("external-semantic-provider").alias("source"))
-    extra = extra.withColumn("id", S.stable_id("edge_", *[F.col(x) for x in ("project_id", "layer", "source_id", "relation", "target_id")]))
+    extra = mapped.unionByName(linked).withColumn("layer", F.lit(2)).withColumn("source", name)
+    extra = last(extra.withColumn("id", S.stable_id("edge_", *[F.col(x) for x in ("project_id", "layer", "source_id", "relation", "target_id")])))
     return Graph(merged, graph.edges.join(extra.select("id"), "id", "left_anti").unionByName(extra), graph.facts, graph.file_edges)
 
 
+def ask_provider(graph: Graph, projects: DataFrame, command: str, timeout: float = provider.TIMEOUT) -> Graph:
+    """The graph with what the program ``command`` says about projects(project_id, name, root, kind); each project is asked once."""
+    answer = stored(provider.answers(graph.nodes, graph.edges, projects, command, timeout), "provider")
+    return merge_provider(graph, *provider.parsed(answer))
+
+
 def vault_notes(graph: Graph, task_links: DataFrame | None = None, tasks_per_concept: int = 20) -> DataFrame:
     """(project_id, note, body): a Markdown note per concept with its files, neighbours and latest tasks; task_links(project_id, concept_key, title, created_at)."""
     label = graph.nodes.select("id", "kind", "key", "label", "project_id")

@@ -26,6 +26,19 @@ def git_files(root: str, timeout: float = 20.0) -> list[str] | None:
     return sorted(n for n in names if os.path.isfile(os.path.join(root, n)))
 
 
+def project_root(path: str, timeout: float = 20.0) -> str:
+    """The top of the git work tree that holds a file or folder, else the folder itself; a FileNotFoundError if there is none."""
+    full = os.path.realpath(os.path.expanduser(path))
+    folder = os.path.dirname(full) if os.path.isfile(full) else full
+    if not os.path.isdir(folder):
+        raise FileNotFoundError(folder)
+    try:
+        top = subprocess.run(["git", "-C", folder, "rev-parse", "--show-toplevel"], capture_output=True, text=True, timeout=timeout, check=False)
+    except (OSError, subprocess.SubprocessError):
+        return folder
+    return top.stdout.strip() if top.returncode == 0 and top.stdout.strip() else folder
+
+
 def project_files(spark: SparkSession, root: str, ignored_directories: Sequence[str] = tuple(fixed.IGNORED_DIRECTORIES), ignored_files: Sequence[str] = tuple(fixed.IGNORED_FILES)) -> DataFrame:
     """path, mtime_ns, size of a project on the driver's disk. The walk skips ignored folders; git decides about files where it can."""
     known = git_files(root)

@@ -2,7 +2,9 @@
 
 import io
 import json
+import os
 import sqlite3
+import sys
 import zipfile
 
 import numpy as np
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 
 from strataloom.operators import search
 from strataloom.plans import project
-from strataloom.sources import extract
+from strataloom.sources import extract, listing, provider
 
 FILES = {
     "pyproject.toml": '[project]\nname = "shop"\nversion = "1"\n',
@@ -90,6 +92,81 @@ def test_provider_is_clamped_and_unknown_ends_go(spark, scanned):
     assert len(new) == 2 and max(e.confidence for e in new) <= 1.0
 
 
+ANSWERING = """
+import json, sys
+q = json.load(sys.stdin)
+assert q["schema_version"] == 1 and q["project"]["id"] == "shop" and q["physical_edges"]
+assert all({"key", "label", "data"} <= set(c) for c in q["concepts"])
+print(json.dumps({"concepts": [
+    {"key": "Billing Core", "label": "old"},
+    {"key": "Billing Core", "label": "Billing", "confidence": 7, "files": ["src/payment/service.py", "nowhere.py"], "data": {"team": "a"}},
+    {"key": "", "label": "none"}, "no object",
+], "relations": [{"from": "Billing Core", "to": q["concepts"][0]["key"], "evidence": ["x"]}, {"from": "Billing Core", "to": "unknown"}, {"from": "", "to": "y"}]}))
+"""
+
+
+def test_provider_is_asked(spark, scanned, tmp_path):
+    program = tmp_path / "provider.py"
+    program.write_text(ANSWERING)
+    projects = spark.createDataFrame([("shop", "Shop", str(tmp_path), "software"), ("empty", "No files", "/nowhere", "generic")], "project_id string, name string, root string, kind string")
+    out = project.ask_provider(scanned, projects, f"{sys.executable} {program}")
+    node = [n for n in out.nodes.collect() if n.source == "external-semantic-provider"]
+    assert [(n.label, n.confidence, json.loads(n.data)) for n in node] == [("Billing", 1.0, {"active": True, "provider_data": {"team": "a"}})]
+    edges = {e.relation: (e.confidence, json.loads(e.data)) for e in out.edges.collect() if e.source == "external-semantic-provider"}
+    assert edges == {"implemented_by": (1.0, {"path": "src/payment/service.py"}), "related_to": (0.7, {"evidence": ["x"]})}
+
+
+@pytest.mark.parametrize("code", ["raise SystemExit(3)", "print('[1]')", "print('{')", "pass", "import time; time.sleep(60)", None])
+def test_failing_providers_answer_nothing(code, tmp_path):
+    program = tmp_path / "p.py"
+    program.write_text(code or "")
+    command = "no-such-program" if code is None else f"{sys.executable} {program}"
+    pieces = iter([(0, '{"id":"p","root":"/nowhere"}'), *[(2, json.dumps({"n": "x" * 1000}))] * 500])
+    assert provider.ask(command, pieces, 3.0) is None and next(pieces, None) is None
+
+
+def test_provider_that_reads_nothing_still_answers(tmp_path):
+    program = tmp_path / "p.py"
+    program.write_text("print('{}')")
+    assert provider.ask(f"{sys.executable} {program}", iter([(0, '{"id":"p"}'), *[(1, json.dumps("x" * 1000))] * 500])).strip() == "{}"
+
+
+def test_text_files_and_roots(tmp_path):
+    assert extract.text_reason("a/x.py", b"\0") is None and extract.text_reason("Makefile", b"\0") is None
+    assert extract.text_reason("a.bin", b"x\0") == "binary file" and extract.text_reason("a.bin", b"x") is None
+    assert extract.text_reason("x.py", b" " * (extract.MAX_TEXT + 1)) == "the file is over its budget"
+    assert extract.extract("x.py", b"\xff\xfe").warnings == ["not UTF-8"]
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "f.txt").write_text("x")
+    assert listing.project_root(str(tmp_path / "d" / "f.txt")) == os.path.realpath(tmp_path / "d")
+    with pytest.raises(FileNotFoundError):
+        listing.project_root(str(tmp_path / "gone"))
+
+
+def test_installed_plugins():
+    class Reader:
+        extractor_id, extractor_version, priority = "own", 2, 5
+
+        def read(self, path, content, out):
+            out.roles.append("own")
+            return True
+
+    class Point:
+        def __init__(self, name, value):
+            self.name, self.value = name, value
+
+        def load(self):
+            if isinstance(self.value, Exception):
+                raise self.value
+            return self.value
+
+    found = [Point("class", Reader), Point("factory", lambda: [Reader(), "no plug-in"]), Point("tuple", ("t", "1", 0, Reader().read)), Point("broken", ValueError("bad")), Point("nothing", 3)]
+    plugins, warnings = extract.installed_plugins(found=found)
+    assert [p[:3] for p in plugins] == [("own", "2", 5), ("own", "2", 5), ("t", "1", 0)] and warnings == ["broken: bad"]
+    assert extract.extract("x.md", b"# T", plugins[:1]).roles[0] == "own"
+    assert extract.installed_plugins()[1] == []
+
+
 def test_format_samples():
     f = extract.extract("q.sql", b"INSERT INTO report SELECT * FROM sales JOIN customer ON 1=1;")
     assert set(f.metadata["read_tables"]) == {"sales", "customer"} and f.metadata["write_tables"] == ["report"]
