@@ -1,19 +1,18 @@
 """The task layer from the log: sessions, tasks, events, nodes and edges, as one batch of folds instead of a loop over lines.
 
-``typed`` turns log lines into columns, ``replay`` folds them. Each table depends on the log alone, so replaying twice, or a log
-that repeats events, gives the same rows. The order of the log (``seq``) decides, not its times.
+``typed`` turns log lines into columns, ``replay`` folds a whole log, ``TaskState`` a log that arrives in pieces. Each table depends
+on the log alone, so replaying twice, in pieces, or a log that repeats events, gives the same rows. The order of the log (``seq``)
+decides, not its times.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import fixed
 from ..functions import scalars as S
-from . import tasklog
-
 EDGE_KINDS = {"read": "read", "modify": "modified", "write": "modified", "test": "tested", "search": "searched"}
 
 
@@ -28,56 +27,73 @@ def typed(lines: DataFrame) -> DataFrame:
     )
 
 
-def applied(events: DataFrame, ledger: DataFrame | None = None, project: str | None = None) -> DataFrame:
-    """Valid events of a project, each id once, without those of the ledger, and without later events that name a task nobody created."""
+# --- Folds with mergeable state ------------------------------------------------------------------------------------
+#
+# What a log leaves behind is a set of partials: for each key of each fold one row that merges with others by minima, maxima
+# and sums. A piece of a log gives its own partials; together with those of earlier pieces they are the partials of the whole log.
+
+FOLDS = ("lines", "births", "closes", "sessions", "running", "touches")
+LOOKUPS = ("lines", "births", "running")  # what a piece must know of earlier ones; of its lines the ids
+BLOCK_ROWS = 1 << 16
+
+
+def valid(events: DataFrame, project: str | None = None) -> DataFrame:
+    """Events without an error, of one project if named, each id once: its first line counts."""
     ok = events.filter("error IS NULL")
     if project is not None:
         ok = ok.filter(F.col("project_id") == project)
-    if ledger is not None:
-        ok = ok.join(ledger.select("event_id"), "event_id", "left_anti")
     first = F.row_number().over(Window.partitionBy("event_id").orderBy("seq"))
-    ok = ok.withColumn("_n", first).filter("_n = 1").drop("_n")
-    known = ok.filter("event_type = 'task_created'").groupBy("project_id", "task").agg(F.min("seq").alias("_born"))
-    closes = F.col("event_type") == "task_closed"
-    return ok.join(known, ["project_id", "task"], "left").filter(~closes | (F.col("_born") < F.col("seq"))).drop("_born")
-
-
-def report(events: DataFrame, done: DataFrame) -> DataFrame:
-    """One row: lines, how many apply, are invalid or are passed over, and projects."""
-    n = events.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("error").isNotNull()).alias("invalid"))
-    m = done.agg(F.count(F.lit(1)).alias("applied"), F.count_distinct("project_id").alias("projects"))
-    return n.crossJoin(m).select("total", "applied", (F.col("total") - F.col("applied") - F.col("invalid")).alias("skipped"), "invalid", "projects")  # one row each
+    return ok.withColumn("_n", first).filter("_n = 1").drop("_n")
 
 
-def with_active(done: DataFrame) -> DataFrame:
-    """Events with ``before`` and ``active_task``: the running task of their session before and after them."""
-    owner = done.filter("event_type = 'task_created'").groupBy("project_id", "task").agg(F.min_by("session", "seq").alias("_owner"))
-    e = done.join(owner, ["project_id", "task"], "left").withColumn("session", F.coalesce("session", "_owner")).drop("_owner")
-    e = e.withColumn("marker", F.when(F.col("event_type") == "task_created", "start").when(F.col("event_type") == "task_closed", "stop").when(F.col("event_type") == "session_end", "end"))
-    return tasklog.active_task(e).withColumn("before", F.lag("active_task").over(Window.partitionBy("session").orderBy("seq")))
+def applied(events: DataFrame, known: dict[str, DataFrame] | None = None, project: str | None = None) -> DataFrame:
+    """Valid events that no earlier piece applied, with the session of their task where they name none; closes of tasks that nobody created before are left out."""
+    ok = valid(events, project)
+    if known is not None:
+        ok = ok.join(known["lines"].select("event_id"), "event_id", "left_anti")
+    births = ok.filter("event_type = 'task_created'").select("project_id", "task", F.col("seq").alias("born"), F.col("session").alias("owner"))
+    if known is not None:
+        births = births.unionByName(known["births"].select("project_id", "task", "born", "owner"))
+    first = births.groupBy("project_id", "task").agg(F.min("born").alias("_born"), F.min_by("owner", "born").alias("_owner"))
+    out = ok.join(first, ["project_id", "task"], "left").filter((F.col("event_type") != "task_closed") | (F.col("_born") < F.col("seq")))
+    return out.withColumn("session", F.coalesce("session", F.when(F.col("_born") < F.col("seq"), F.col("_owner")))).drop("_born", "_owner")
 
 
-def sessions(done: DataFrame) -> DataFrame:
-    """Sessions by the last of their events that opens or ends them; an event after the end opens a session again."""
-    s = done.filter(F.col("event_type").isin("session_upsert", "session_end"))
-    ended = F.max_by(F.when(F.col("event_type") == "session_end", F.col("created_at")), "seq")
-    return s.groupBy("project_id", "session").agg(F.min_by("agent", "seq").alias("agent"), F.min_by("created_at", "seq").alias("created_at"), F.max_by("created_at", "seq").alias("updated_at"), ended.alias("ended_at"))
+def carried(rows: DataFrame, value: Column, upto: str, before: str | None = None) -> DataFrame:
+    """``rows`` with the last non-null ``value`` of their session up to each row, and up to the row before it.
 
+    A session's rows are cut into blocks by seq: each block carries the last value of the blocks before it, so a session of any
+    length is many tasks' work.
+    """
+    cut = rows.withColumn("_block", F.floor(F.col("seq") / BLOCK_ROWS)).withColumn("_value", value)
+    ends = cut.filter("_value IS NOT NULL").groupBy("session", "_block").agg(F.max_by("_value", "seq").alias("_end"))
+    blocks = cut.select("session", "_block").distinct().join(ends, ["session", "_block"], "left")
+    earlier = Window.partitionBy("session").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select(F.col("session").alias("_s"), F.col("_block").alias("_b"), F.last("_end", ignorenulls=True).over(earlier).alias("_carry"))
+    own = Window.partitionBy("session", "_block").orderBy("seq")
+    out = cut.join(blocks, F.col("session").eqNullSafe(F.col("_s")) & (F.col("_block") == F.col("_b")), "left")
+    last = lambda end: F.coalesce(F.last("_value", ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, end)), F.col("_carry"))
+    out = out.withColumn(upto, last(0)) if before is None else out.withColumn(upto, last(0)).withColumn(before, last(-1))
+    return out.drop("_block", "_value", "_carry", "_s", "_b")
 
-def closes(active: DataFrame) -> DataFrame:
-    """(project_id, task, seq, created_at, status, summary, affected): closes of the log, and one for each task that its session's end cuts off."""
-    keys = ["project_id", "task", "seq", "created_at", "status", "summary", "affected"]
-    said = active.filter("event_type = 'task_closed'").select(*keys)
-    cut = active.filter("event_type = 'session_end' AND before IS NOT NULL").withColumn("task", F.col("before")).withColumn("status", F.lit("interrupted")).withColumn("summary", F.lit("")).select(*keys)
-    return said.unionByName(cut)
 
+def with_active(done: DataFrame, known: dict[str, DataFrame] | None = None) -> DataFrame:
+    """Events with ``started``, ``before`` and ``active_task``: the task that their session started last, and its running one before and after each event.
 
-def tasks(done: DataFrame, closed: DataFrame) -> DataFrame:
-    """The first creation of a task and its last close; closed_at only for terminal states."""
-    first = done.filter("event_type = 'task_created'").groupBy("project_id", "task").agg(F.min_by(F.struct("title", "prompt", "agent", "session", "created_at"), "seq").alias("f"))
-    last = closed.groupBy("project_id", "task").agg(F.max_by(F.struct("status", "summary", F.col("created_at").alias("at")), "seq").alias("c"))
-    status = F.coalesce("c.status", F.lit("running"))
-    return first.join(last, ["project_id", "task"], "left").select("project_id", "task", "f.title", "f.prompt", "f.agent", "f.session", "f.created_at", status.alias("status"), F.coalesce("c.summary", F.lit("")).alias("summary"), F.when(status.isin(fixed.TERMINAL_STATUSES), F.col("c.at")).alias("closed_at"))
+    A creation starts its task; a close clears the running task only if it is the one started last; a session's end clears it.
+    """
+    none = F.lit(None).cast("string")
+    kind = F.col("event_type")
+    e = done.withColumns({"_started": none, "_active": none})
+    if known is not None:
+        held = known["running"].select(F.col("session").alias("_s"), F.col("started").alias("_started"), F.col("active").alias("_active"))
+        e = done.join(held, F.col("session") == F.col("_s"), "left").drop("_s")
+    e = carried(e, F.when(kind == "task_created", F.col("task")), "_latest").withColumn("started", F.coalesce("_latest", "_started"))
+    clears = ((kind == "task_closed") & (F.col("task") == F.col("started"))) | (kind == "session_end")
+    effect = F.when(kind == "task_created", F.struct(F.col("task").alias("t"))).when(clears, F.struct(none.alias("t")))
+    e = carried(e, effect, "_upto", "_until")
+    state = lambda c: F.when(F.col(c).isNotNull(), F.col(c)["t"]).otherwise(F.col("_active"))
+    return e.withColumn("before", state("_until")).withColumn("active_task", state("_upto")).drop("_latest", "_started", "_active", "_upto", "_until")
 
 
 def event_rows(active: DataFrame) -> DataFrame:
@@ -87,22 +103,59 @@ def event_rows(active: DataFrame) -> DataFrame:
     return e.select("project_id", "task", "session", "agent", "seq", "created_at", "kind", "tool", "data", F.explode_outer(paths).alias("path"))
 
 
-def replay(events: DataFrame, file_nodes: DataFrame, concept_nodes: DataFrame, ledger: DataFrame | None = None, project: str | None = None) -> dict[str, DataFrame]:
-    """sessions, tasks, events, nodes, edges and report of typed ``events``.
+def active_lines(events: DataFrame, known: dict[str, DataFrame] | None = None, project: str | None = None) -> DataFrame:
+    """The lines of typed ``events`` that apply, with their session's running task, given the ``LOOKUPS`` that earlier pieces of the log left; places (seq) go on from piece to piece."""
+    return with_active(applied(events, known, project), known)
+
+
+def partials(active: DataFrame) -> dict[str, DataFrame]:
+    """The partials of the lines of ``active_lines``."""
+    keys = ["project_id", "task", "seq", "created_at", "status", "summary", "affected"]
+    said = active.filter("event_type = 'task_closed'").select(*keys)
+    # The end of a session cuts off the task that still runs in it.
+    cut = active.filter("event_type = 'session_end' AND before IS NOT NULL").withColumns({"task": F.col("before"), "status": F.lit("interrupted"), "summary": F.lit("")}).select(*keys)
+    touched = event_rows(active).filter("task IS NOT NULL AND path IS NOT NULL")
+    relation = F.element_at(F.create_map(*[F.lit(x) for kv in EDGE_KINDS.items() for x in kv]), F.col("kind"))
+    return {
+        "lines": active,
+        "births": active.filter("event_type = 'task_created'").groupBy("project_id", "task").agg(F.min("seq").alias("born"), F.min_by("session", "seq").alias("owner"), F.min_by(F.struct("title", "prompt", "agent", "session", "created_at"), "seq").alias("first")),
+        "closes": said.unionByName(cut).groupBy("project_id", "task").agg(F.max("seq").alias("at"), F.max_by(F.struct("status", "summary", "created_at", "affected"), "seq").alias("last")),
+        "sessions": active.filter(F.col("event_type").isin("session_upsert", "session_end")).groupBy("project_id", "session").agg(
+            F.min("seq").alias("opened"), F.min_by(F.struct("agent", "created_at"), "seq").alias("first"), F.max("seq").alias("at"), F.max_by(F.struct(F.col("created_at").alias("updated_at"), F.when(F.col("event_type") == "session_end", F.col("created_at")).alias("ended_at")), "seq").alias("last")),
+        "running": active.filter("session IS NOT NULL").groupBy("session").agg(F.max("seq").alias("at"), F.max_by(F.struct("started", F.col("active_task").alias("active")), "seq").alias("last")),
+        "touches": touched.withColumn("relation", relation).groupBy("project_id", "task", "relation", "path").agg(F.count(F.lit(1)).alias("n"), F.max("seq").alias("at"), F.max_by("created_at", "seq").alias("last_seen_at")),
+    }
+
+
+def merged(state: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Partials of several pieces as one row a key; the tables may hold any number of rows for a key."""
+    def by(df: DataFrame, *keys: str) -> DataFrame:
+        firsts, lasts = [c for c in ("owner", "first") if c in df.columns], [c for c in ("last", "last_seen_at") if c in df.columns]
+        born = "opened" if "opened" in df.columns else "born"
+        out = [F.min_by(c, born).alias(c) for c in firsts] + [F.max_by(c, "at").alias(c) for c in lasts]
+        out += [F.min(c).alias(c) for c in ("born", "opened") if c in df.columns] + [F.max("at").alias("at")] * ("at" in df.columns) + [F.sum("n").alias("n")] * ("n" in df.columns)
+        return df.groupBy(*keys).agg(*out)
+
+    task = ("project_id", "task")
+    return {
+        "lines": state["lines"], "births": by(state["births"], *task), "closes": by(state["closes"], *task), "sessions": by(state["sessions"], "project_id", "session"),
+        "running": by(state["running"], "session"), "touches": by(state["touches"], *task, "relation", "path"),
+    }
+
+
+def tables(state: dict[str, DataFrame], file_nodes: DataFrame, concept_nodes: DataFrame) -> dict[str, DataFrame]:
+    """sessions, tasks, events, nodes and edges of merged partials.
 
     file_nodes and concept_nodes(project_id, key) are what the lower layers hold; other files and concepts that the log names
     get placeholder nodes. An ``affects`` edge comes from the last close of a task as the log has it; it is not derived anew.
     """
-    done = applied(events, ledger, project)
-    active = with_active(done)
-    closed = closes(active)
-    rows = event_rows(active)
-    made = tasks(done, closed)
+    status = F.coalesce("last.status", F.lit("running"))
+    made = state["births"].join(state["closes"].select("project_id", "task", "last"), ["project_id", "task"], "left").select(
+        "project_id", "task", "first.title", "first.prompt", "first.agent", "first.session", "first.created_at", status.alias("status"), F.coalesce("last.summary", F.lit("")).alias("summary"), F.when(status.isin(fixed.TERMINAL_STATUSES), F.col("last.created_at")).alias("closed_at")
+    )
     nid = lambda layer, kind, key: S.stable_id("node_", F.col("project_id"), F.lit(str(layer)), F.lit(kind), key)
-    touches = rows.filter("task IS NOT NULL AND path IS NOT NULL").withColumn("relation", F.element_at(F.create_map(*[F.lit(x) for kv in EDGE_KINDS.items() for x in kv]), F.col("kind")))
-    counts = touches.filter("relation IS NOT NULL").groupBy("project_id", "task", "relation", "path").agg(F.count(F.lit(1)).alias("n"), F.max_by("created_at", "seq").alias("last_seen_at"))
-    last = closed.groupBy("project_id", "task").agg(F.max_by("affected", "seq").alias("affected"))
-    hit = last.select("project_id", "task", F.explode("affected").alias("a")).filter("trim(a.key) <> ''").groupBy("project_id", "task", F.trim("a.key").alias("key")).agg(F.min("a.label").alias("label"))
+    touches = state["touches"]
+    hit = state["closes"].select("project_id", "task", F.explode("last.affected").alias("a")).filter("trim(a.key) <> ''").groupBy("project_id", "task", F.trim("a.key").alias("key")).agg(F.min("a.label").alias("label"))
 
     def node(df: DataFrame, layer: int, kind: str, key, label, data, confidence: float, source: str) -> DataFrame:
         return df.select(nid(layer, kind, key).alias("id"), "project_id", F.lit(layer).alias("layer"), F.lit(kind).alias("kind"), key.alias("key"), label.alias("label"), data.alias("data"), F.lit(confidence).alias("confidence"), F.lit(source).alias("source"))
@@ -116,10 +169,104 @@ def replay(events: DataFrame, file_nodes: DataFrame, concept_nodes: DataFrame, l
         .unionByName(node(new_concepts, 2, "concept", F.col("key"), F.coalesce("label", S.humanize(F.col("key"))), F.lit('{"active":true,"replay_placeholder":true}'), 0.5, "task-event-replay"))
     )
     task_id = nid(3, "task", F.col("task"))
-    file_edges = counts.select("project_id", task_id.alias("source_id"), "relation", nid(1, "file", F.col("path")).alias("target_id"), F.to_json(F.struct(F.col("n").alias("count"), F.col("last_seen_at").cast("string").alias("last_seen_at"), "path")).alias("data"))
+    file_edges = touches.filter("relation IS NOT NULL").select("project_id", task_id.alias("source_id"), "relation", nid(1, "file", F.col("path")).alias("target_id"), F.to_json(F.struct(F.col("n").alias("count"), F.col("last_seen_at").cast("string").alias("last_seen_at"), "path")).alias("data"))
     affects = hit.select("project_id", task_id.alias("source_id"), F.lit("affects").alias("relation"), nid(2, "concept", F.col("key")).alias("target_id"), F.lit("{}").alias("data"))
     edges = file_edges.unionByName(affects).withColumns({"layer": F.lit(3), "confidence": F.lit(1.0), "source": F.lit("task-events")})
-    return {"sessions": sessions(done), "tasks": made, "events": rows, "nodes": nodes, "edges": edges, "report": report(events, done), "applied": done.select("event_id")}
+    sessions = state["sessions"].select("project_id", "session", "first.agent", "first.created_at", "last.updated_at", "last.ended_at")
+    return {"sessions": sessions, "tasks": made, "events": event_rows(state["lines"]), "nodes": nodes, "edges": edges}
+
+
+def report(events: DataFrame, done: DataFrame) -> DataFrame:
+    """One row: lines, how many apply, are invalid or are passed over, and projects."""
+    n = events.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("error").isNotNull()).alias("invalid"))
+    m = done.agg(F.count(F.lit(1)).alias("applied"), F.count_distinct("project_id").alias("projects"))
+    return n.crossJoin(m).select("total", "applied", (F.col("total") - F.col("applied") - F.col("invalid")).alias("skipped"), "invalid", "projects")  # one row each
+
+
+def refuse_invalid(events: DataFrame) -> None:
+    """A ValueError that names the first invalid line, if there is one."""
+    first = events.filter("error IS NOT NULL").agg(F.min_by(F.struct("seq", "error"), "seq").alias("x")).first()["x"]
+    if first is not None:
+        raise ValueError(f"line {first['seq']}: {first['error']}")
+
+
+def replay(events: DataFrame, file_nodes: DataFrame, concept_nodes: DataFrame, project: str | None = None, strict: bool = False) -> dict[str, DataFrame]:
+    """sessions, tasks, events, nodes, edges, report and applied ids of a whole log of typed ``events``; ``strict`` refuses invalid lines."""
+    if strict:
+        refuse_invalid(events)
+    active = active_lines(events, None, project)
+    return tables(partials(active), file_nodes, concept_nodes) | {"report": report(events, active), "applied": active.select("event_id")}
+
+
+class TaskState:
+    """Partials of the pieces of a log in one folder; ``fold`` adds a piece.
+
+    A piece is written to folders of its own number and counts once its mark is written last, so a fold that dies midway leaves
+    nothing and may run again. Folding reads three narrow tables of earlier pieces: ids, births and running tasks; events,
+    edges and closes are only ever added to. ``compact`` merges all pieces into one.
+    """
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+
+    def _fs(self, path: str):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
+
+    def pieces(self) -> list[int]:
+        """Numbers of the committed pieces."""
+        system, p = self._fs(f"{self.root}/marks")
+        return sorted(int(s.getPath().getName()) for s in system.listStatus(p)) if system.exists(p) else []
+
+    def _commit(self, piece: int, replaced: list[int]) -> None:
+        system, p = self._fs(f"{self.root}/marks/{piece}")
+        system.create(p, True).close()
+        for old in replaced:
+            system.delete(self._fs(f"{self.root}/marks/{old}")[1], False)
+
+    def partials(self, names: tuple[str, ...] = FOLDS) -> dict[str, DataFrame] | None:
+        """The stored partials, or None before the first piece."""
+        done = self.pieces()
+        return {n: self.spark.read.parquet(*[f"{self.root}/{n}/piece={k}" for k in done]) for n in names} if done else None
+
+    def known(self) -> dict[str, DataFrame] | None:
+        """What a further piece must know: applied ids, births and running tasks."""
+        got = self.partials(LOOKUPS)
+        if got is None:
+            return None
+        running = got["running"].groupBy("session").agg(F.max_by("last", "at").alias("last")).select("session", "last.started", "last.active")
+        return {"lines": got["lines"], "births": got["births"].select("project_id", "task", "born", "owner"), "running": running}
+
+    def fold(self, events: DataFrame, project: str | None = None, strict: bool = False) -> DataFrame:
+        """Add typed ``events``; lines that an earlier piece applied are passed over. The report of the piece."""
+        if strict:
+            refuse_invalid(events)
+        done = self.pieces()
+        piece = max(done, default=-1) + 1
+        lines = f"{self.root}/lines/piece={piece}"
+        active_lines(events, self.known(), project).write.mode("overwrite").parquet(lines)
+        active = self.spark.read.parquet(lines)
+        for name, df in partials(active).items():
+            if name != "lines":
+                df.write.mode("overwrite").parquet(f"{self.root}/{name}/piece={piece}")
+        self._commit(piece, [])
+        return report(events, active)
+
+    def compact(self) -> None:
+        """Merge all pieces into a new one."""
+        done = self.pieces()
+        if len(done) > 1:
+            piece = done[-1] + 1
+            for name, df in merged(self.partials()).items():
+                df.write.mode("overwrite").parquet(f"{self.root}/{name}/piece={piece}")
+            self._commit(piece, done)
+
+    def tables(self, file_nodes: DataFrame, concept_nodes: DataFrame) -> dict[str, DataFrame]:
+        """sessions, tasks, events, nodes and edges of all pieces."""
+        state = self.partials()
+        if state is None:
+            raise ValueError("no piece of a log was folded yet")
+        return tables(merged(state), file_nodes, concept_nodes)
 
 
 def live_sessions(found: DataFrame, projects: DataFrame) -> DataFrame:

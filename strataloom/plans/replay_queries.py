@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from ..functions import scalars as S
 from ..operators import layer3, lifecycle, overlay, reports
-from ..runtime import importable, table
+from ..runtime import importable, table, working_folder
 from .registry import query
 from .standins import log
 
@@ -97,6 +98,39 @@ def replay_report(spark, sf):
     return replayed(spark, sf)["report"]
 
 
+STATE_SQL = """
+    touched AS (SELECT active AS task, count(DISTINCT (kind, path)) AS edges, count(*) AS touches, max(seq) AS last_touch FROM act WHERE t = 'task_event' AND active IS NOT NULL GROUP BY active),
+    affected AS (SELECT c.task, count(*) AS concepts FROM closes c JOIN last USING (task, seq) WHERE concept IS NOT NULL GROUP BY c.task)
+    SELECT CAST(o.seq AS VARCHAR) AS task, coalesce(status, 'running') AS status, o.created_at, closed_at, coalesce(edges, 0) AS edges, CAST(coalesce(touches, 0) AS BIGINT) AS touches, coalesce(concepts, 0) AS concepts
+    FROM (SELECT * FROM ok WHERE t = 'task_created') o LEFT JOIN last ON last.task = o.seq LEFT JOIN touched ON touched.task = o.seq LEFT JOIN affected ON affected.task = o.seq
+"""
+
+
+def task_states(got):
+    """Each task with its state and what its edges add up to."""
+    key = S.stable_id("node_", F.col("project_id"), F.lit("3"), F.lit("task"), F.col("task"))
+    affects = F.col("relation") == "affects"
+    count = F.get_json_object("data", "$.count").cast("long")
+    sums = got["edges"].groupBy("source_id").agg(F.count_if(~affects).alias("edges"), F.sum(F.when(~affects, count)).alias("touches"), F.count_if(affects).alias("concepts"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return got["tasks"].withColumn("source_id", key).join(sums, "source_id", "left").select("task", "status", "created_at", "closed_at", zero("edges"), zero("touches"), zero("concepts"))
+
+
+@query(f"WITH {LOG_SQL}, {STATE_SQL}")
+def l3_replay_in_steps(spark, sf):
+    """The log in four pieces, each of which brings the last lines of the piece before again; pieces are compacted on the way."""
+    lines = typed_log(spark, sf)
+    cuts = lines.agg(F.percentile_approx("seq", [0.25, 0.5, 0.75])).first()[0]
+    state = layer3.TaskState(spark, working_folder(spark, "task-state"))
+    for k, (low, high) in enumerate(zip([None, *cuts], [*cuts, None], strict=True)):
+        piece = lines if low is None else lines.filter(F.col("seq") > low - 100)
+        state.fold(piece if high is None else piece.filter(F.col("seq") <= high))
+        if k == 1:
+            state.compact()
+    nothing = spark.createDataFrame([], "project_id string, key string")
+    return task_states(state.tables(nothing, nothing))
+
+
 @query("""
     SELECT CAST(user_id AS VARCHAR) AS session, max(CASE WHEN event_type = 'view' AND event_id % 7 = 0 THEN ts END) AS ended_at FROM events WHERE event_type = 'view' AND event_id % 7 = 0 GROUP BY user_id
 """)

@@ -2,24 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def working_folder(spark: SparkSession) -> str:
-    """A new folder that driver and executors share; a temporary one only on a local master that names none."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a shared folder")
-        root = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints", "strataloom")
-    return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+from ..runtime import working_folder
 
 
 def read_log(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
@@ -45,7 +34,7 @@ def apply_once(batch: DataFrame, target: str, key: str, batch_id: int) -> None:
 
 def replay_table(spark: SparkSession, path: str, columns: list[str], key: str, times: int = 1) -> DataFrame:
     """Replay a Parquet log ``times`` times into one target and read it: the ledger is the target itself."""
-    base = working_folder(spark)
+    base = working_folder(spark, "stream")
     for k in range(times):
         q = read_log(spark, path).select(*columns).writeStream.foreachBatch(lambda df, n, k=k: apply_once(df, f"{base}/applied", key, n + k * 1_000_000)).option("checkpointLocation", f"{base}/offsets-{k}").trigger(availableNow=True).start()
         q.awaitTermination()
@@ -54,7 +43,7 @@ def replay_table(spark: SparkSession, path: str, columns: list[str], key: str, t
 
 def windowed_counts(spark: SparkSession, path: str, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Counts per tumbling window and type; windows are closed by a watermark, and the last ones by the end of the log."""
-    base = working_folder(spark)
+    base = working_folder(spark, "stream")
     stream = read_log(spark, path).withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late)
     counts = stream.groupBy(F.window("at", width), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").cast("timestamp_ntz").alias("hour"), "event_type", "n")
 
@@ -83,7 +72,7 @@ def _fold(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
 
 def streamed_active_task(spark: SparkSession, path: str) -> DataFrame:
     """active_task of every event by a stateful stream."""
-    base = working_folder(spark)
+    base = working_folder(spark, "stream")
     stream = read_log(spark, path).select(F.col("event_id").alias("seq"), F.col("user_id").alias("session"), "event_type")
     out = stream.groupBy("session").applyInPandasWithState(_fold, "seq long, session long, active_task long", "started long, active long", "append", "NoTimeout")
     out.writeStream.outputMode("append").format("parquet").option("path", f"{base}/active").option("checkpointLocation", f"{base}/offsets").trigger(availableNow=True).start().awaitTermination()

@@ -36,8 +36,89 @@ def test_log_to_graph_rows(spark, tmp_path):
     assert {(r.layer, r.kind, r.key) for r in got["nodes"].collect()} == {(3, "task", "t1"), (3, "task", "t2"), (1, "file", "b.py"), (2, "concept", "pay")}
     assert sorted((r.relation, json.loads(r.data).get("count", 0)) for r in got["edges"].collect()) == [("affects", 0), ("modified", 1), ("read", 1), ("read", 1)]
     assert got["report"].first().asDict() == {"total": 13, "applied": 10, "skipped": 2, "invalid": 1, "projects": 1}
-    again = layer3.replay(typed, files, files.limit(0), ledger=got["applied"])
-    assert again["tasks"].count() == 0 and again["report"].first().applied == 0
+    state = layer3.TaskState(spark, f"file://{tmp_path}/state")
+    assert state.fold(typed).first().applied == 10 and state.fold(typed).first().asDict() == {"total": 13, "applied": 0, "skipped": 12, "invalid": 1, "projects": 0}
+    assert rows_of(state.tables(files, files.limit(0))) == rows_of(got)
+    with pytest.raises(ValueError, match="invalid json"):
+        layer3.replay(typed, files, files, strict=True)
+
+
+def rows_of(got):
+    return {k: sorted(map(str, got[k].select(*sorted(got[k].columns)).collect())) for k in ("sessions", "tasks", "events", "nodes", "edges")}
+
+
+def test_a_second_replay_knows_what_the_first_left(spark, tmp_path):
+    """Two lines are folded, then all four: the close and the edge need the task and the session of the first two."""
+    rows = [("1", "session_upsert", S), ("2", "task_created", S | {"task_id": "t", "title": "T"}), ("3", "task_event", S | {"event_type": "read", "paths": ["a.py"]}), ("4", "task_closed", {"task_id": "t", "status": "completed"})]
+    typed = layer3.typed(lines(spark, tmp_path, rows))
+    state = layer3.TaskState(spark, f"file://{tmp_path}/state")
+    assert state.fold(typed.filter("event_id < '3'")).first().applied == 2 and state.fold(typed).first().applied == 2
+    nothing = spark.createDataFrame([], "project_id string, key string")
+    got = state.tables(nothing, nothing)
+    assert [(r.task, r.status) for r in got["tasks"].collect()] == [("t", "completed")] and got["events"].first().task == "t" and got["edges"].first().relation == "read"
+
+
+def one_by_one(rows):
+    """(tasks, events, edges, sessions) of a log by a loop over its lines."""
+    seen, running, started, owner, tasks, events, edges, sessions = set(), {}, {}, {}, {}, [], {}, {}
+    for k, (i, t, x) in enumerate(rows):
+        if i in seen:
+            continue
+        seen.add(i)
+        task, session = x.get("task_id"), f"a:{x['external_session_id']}" if "external_session_id" in x else None
+        if t == "task_closed" and task not in owner:
+            continue
+        session = session or owner.get(task)
+        if t in ("session_upsert", "session_end"):
+            sessions[session] = f"{k:02d}" if t == "session_end" else None
+        if t == "task_created":
+            owner.setdefault(task, session)
+            tasks.setdefault(task, "running")
+            running[session] = started[session] = task
+        elif t == "task_event":
+            who = task or running.get(session)
+            for p in dict.fromkeys(x["paths"]):
+                events.append((k, who, p))
+                if who:
+                    edges[who, p] = edges.get((who, p), 0) + 1
+        elif t == "task_closed":
+            tasks[task] = x["status"]
+            if started.get(session) == task:
+                running.pop(session, None)
+        elif t == "session_end" and running.pop(session, None) is not None:
+            tasks[started[session]] = "interrupted"
+    return tasks, sorted(events, key=str), edges, sessions
+
+
+@pytest.mark.parametrize("block", [2])
+def test_pieces_equal_a_loop_over_the_log(spark, tmp_path, block, monkeypatch):
+    monkeypatch.setattr(layer3, "BLOCK_ROWS", block)
+    r = random.Random(block)
+    rows = []
+    for k in range(99):
+        x = {"agent": "a", "external_session_id": f"s{r.randrange(3)}"}
+        t = r.choice(["session_upsert", "session_end", "task_created", "task_created", "task_event", "task_event", "task_event", "task_closed"])
+        if t == "task_created":
+            x |= {"task_id": f"t{r.randrange(30)}"}
+        elif t == "task_closed":
+            x = {"task_id": f"t{r.randrange(30)}", "status": r.choice(["completed", "failed", "running"])}
+        elif t == "task_event":
+            x |= {"event_type": "read", "paths": [f"f{r.randrange(4)}", "f0"]} | ({"task_id": f"t{r.randrange(30)}"} if r.random() < 0.2 else {})
+        rows.append((f"e{r.randrange(90)}" if r.random() < 0.1 else f"n{k}", t, x))
+    typed = layer3.typed(lines(spark, tmp_path, rows)).withColumn("seq", F.substring("created_at", 18, 2).cast("long"))
+    nothing = spark.createDataFrame([], "project_id string, key string")
+    state = layer3.TaskState(spark, f"file://{tmp_path}/state")
+    for k, cut in enumerate(sorted(r.sample(range(1, 98), 3)) + [99]):
+        state.fold(typed.filter(F.col("seq") <= cut))
+        if k == 1:
+            state.compact()
+    got = state.tables(nothing, nothing)
+    assert rows_of(got) == rows_of(layer3.replay(typed, nothing, nothing))
+    tasks, events, edges, sessions = one_by_one(rows)
+    assert {x.task: x.status for x in got["tasks"].collect()} == tasks
+    assert sorted(((x.seq, x.task, x.path) for x in got["events"].collect()), key=str) == events
+    assert sorted(json.loads(x.data)["count"] for x in got["edges"].collect()) == sorted(edges.values())
+    assert {x.session: x.ended_at and x.ended_at[-2:] for x in got["sessions"].collect()} == sessions
 
 
 def test_hooks_equal_a_sequential_ingest(spark):
