@@ -241,16 +241,19 @@ class TaskState:
         """Add typed ``events``; lines that an earlier piece applied are passed over. The report of the piece."""
         if strict:
             refuse_invalid(events)
-        done = self.pieces()
-        piece = max(done, default=-1) + 1
+        active = self.add(active_lines(events, self.known(), project), max(self.pieces(), default=-1) + 1)
+        return report(events, active)
+
+    def add(self, active: DataFrame, piece: int) -> DataFrame:
+        """Write a piece's lines, as ``active_lines`` gives them, and their partials; the lines read again."""
         lines = f"{self.root}/lines/piece={piece}"
-        active_lines(events, self.known(), project).write.mode("overwrite").parquet(lines)
+        active.write.mode("overwrite").parquet(lines)
         active = self.spark.read.parquet(lines)
         for name, df in partials(active).items():
             if name != "lines":
                 df.write.mode("overwrite").parquet(f"{self.root}/{name}/piece={piece}")
         self._commit(piece, [])
-        return report(events, active)
+        return active
 
     def compact(self) -> None:
         """Merge all pieces into a new one."""

@@ -12,6 +12,7 @@ from ..functions import fixed
 from ..functions import scalars as S
 from ..operators import layer3, lifecycle, overlay, reports
 from ..runtime import importable, table, working_folder
+from ..streaming import tasks
 from .registry import query
 from .standins import log
 
@@ -131,6 +132,22 @@ def l3_replay_in_steps(spark, sf):
     return task_states(state.tables(nothing, nothing))
 
 
+@query(f"WITH {LOG_SQL}, {STATE_SQL}")
+def stream_l3(spark, sf):
+    """The log as a stream of files, each with every fourth line, so that the lines of all sessions arrive out of order."""
+    lines = typed_log(spark, sf)
+    base = working_folder(spark, "task-stream")
+    last = lines.agg(F.max("seq")).first()[0] or 0
+    lines.withColumn("_file", F.col("seq") % 4).repartition("_file").write.partitionBy("_file").parquet(f"{base}/log")
+    tasks.flush_line(lines, 3 * last + 10).withColumn("_file", F.lit(9)).write.mode("append").partitionBy("_file").parquet(f"{base}/log")
+    stream = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{base}/log")
+    importable(spark)
+    state = layer3.TaskState(spark, f"{base}/state")
+    tasks.stream_into(stream, state, f"{base}/offsets", last + 1).awaitTermination()
+    nothing = spark.createDataFrame([], "project_id string, key string")
+    return task_states(state.tables(nothing, nothing))
+
+
 @query("""
     SELECT CAST(user_id AS VARCHAR) AS session, max(CASE WHEN event_type = 'view' AND event_id % 7 = 0 THEN ts END) AS ended_at FROM events WHERE event_type = 'view' AND event_id % 7 = 0 GROUP BY user_id
 """)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from strataloom.operators import layer3, lifecycle, overlay, reports
 from strataloom.plans import vault
 from strataloom.sources import eventlog, grammar, store
+from strataloom.streaming import tasks
 
 
 def lines(spark, tmp_path, rows):
@@ -114,13 +115,44 @@ def test_pieces_equal_a_loop_over_the_log(spark, tmp_path, block, monkeypatch):
             state.compact()
     got = state.tables(nothing, nothing)
     assert rows_of(got) == rows_of(layer3.replay(typed, nothing, nothing))
-    tasks, events, edges, sessions = one_by_one(rows)
-    assert {x.task: x.status for x in got["tasks"].collect()} == tasks
+    states, events, edges, sessions = one_by_one(rows)
+    assert {x.task: x.status for x in got["tasks"].collect()} == states
     assert sorted(((x.seq, x.task, x.path) for x in got["events"].collect()), key=str) == events
     assert sorted(json.loads(x.data)["count"] for x in got["edges"].collect()) == sorted(edges.values())
     assert {x.session: x.ended_at and x.ended_at[-2:] for x in got["sessions"].collect()} == sessions
 
 
+def test_a_stream_equals_the_whole_log(spark, tmp_path):
+    """Files bring the lines in a random order, some twice; closes name only their task."""
+    r = random.Random(6)
+    rows, made = [], []
+    for k in range(60):
+        x = {"agent": "a", "external_session_id": f"s{r.randrange(3)}"}
+        t = r.choice(["session_upsert", "session_end", "task_created", "task_event", "task_event", "task_closed"])
+        if t == "task_created":
+            x |= {"task_id": f"t{k}"}
+            made.append(f"t{k}")
+        elif t == "task_closed":
+            x = {"task_id": r.choice([*made, "nobody"]), "status": "completed", "affected_concepts": [{"key": f"c{k % 3}", "label": "C"}]}
+        elif t == "task_event":
+            x |= {"event_type": "modify", "paths": [f"f{r.randrange(4)}"]}
+        rows.append((f"n{k}", t, x))
+    typed = layer3.typed(lines(spark, tmp_path, rows)).withColumn("seq", F.substring("created_at", 18, 2).cast("long"))
+    log = f"file://{tmp_path}/log"
+    for k in range(3):
+        part = typed.filter(F.pmod(F.xxhash64("event_id"), F.lit(3)) == k)
+        part.unionByName(typed.filter("seq % 20 = 7")).coalesce(1).withColumn("_k", F.lit(k)).write.mode("append").partitionBy("_k").parquet(log)
+    tasks.flush_line(typed, 1000).withColumn("_k", F.lit(9)).write.mode("append").partitionBy("_k").parquet(log)
+    stream = spark.readStream.schema(typed.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(log)
+    state = layer3.TaskState(spark, f"file://{tmp_path}/streamed")
+    tasks.stream_into(stream, state, f"file://{tmp_path}/offsets", 60).awaitTermination()
+    nothing = spark.createDataFrame([], "project_id string, key string")
+    got = state.tables(nothing, nothing)
+    want = layer3.replay(typed, nothing, nothing)
+    whole, expected = rows_of(got), rows_of(want)
+    assert whole == expected and whole["tasks"] and whole["edges"]
+
+
 def test_hooks_equal_a_sequential_ingest(spark):
     r = random.Random(3)
     rows, want, running = [], [], {}
