@@ -13,7 +13,6 @@ from pyspark.sql.window import Window
 
 from ..functions import fixed
 from ..functions import scalars as S
-EDGE_KINDS = {"read": "read", "modify": "modified", "write": "modified", "test": "tested", "search": "searched"}
 
 
 def typed(lines: DataFrame) -> DataFrame:
@@ -115,7 +114,7 @@ def partials(active: DataFrame) -> dict[str, DataFrame]:
     # The end of a session cuts off the task that still runs in it.
     cut = active.filter("event_type = 'session_end' AND before IS NOT NULL").withColumns({"task": F.col("before"), "status": F.lit("interrupted"), "summary": F.lit("")}).select(*keys)
     touched = event_rows(active).filter("task IS NOT NULL AND path IS NOT NULL")
-    relation = F.element_at(F.create_map(*[F.lit(x) for kv in EDGE_KINDS.items() for x in kv]), F.col("kind"))
+    relation = F.element_at(F.create_map(*[F.lit(x) for kv in fixed.TASK_EDGE_RELATIONS.items() for x in kv]), F.col("kind"))
     return {
         "lines": active,
         "births": active.filter("event_type = 'task_created'").groupBy("project_id", "task").agg(F.min("seq").alias("born"), F.min_by("session", "seq").alias("owner"), F.min_by(F.struct("title", "prompt", "agent", "session", "created_at"), "seq").alias("first")),

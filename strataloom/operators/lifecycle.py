@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import json
 import re
-import shlex
 from collections.abc import Iterator
 
 import pandas as pd
@@ -25,6 +24,7 @@ from ..functions import scalars as S
 STOPS = ["Stop", "SubagentStop", "TaskCompleted"]
 TOOLS = ["PostToolUse", "PostToolUseFailure"]
 PATH_KEYS = ["path", "file_path", "filepath", "notebook_path", "target_path", "source_path"]
+COMMAND_KEYS = ["command", "cmd", "script"]
 PATH_LIST_KEYS = ["paths", "files", "file_paths"]
 FIELDS = {
     "event": ["hook_event_name", "event_name", "event"], "session": ["session_id", "conversation_id", "thread_id"], "prompt": ["prompt", "user_prompt", "message"],
@@ -60,32 +60,21 @@ def _walk(value: object, key: str = "") -> Iterator[str]:
             yield from re.findall(r"(?m)^\*\*\* (?:Update|Add|Delete) File: (.+)$", v)
 
 
-def _command(value: object) -> str:
-    if isinstance(value, str):
-        return value
-    if isinstance(value, dict):
-        for k in ("command", "cmd", "script"):
-            if isinstance(value.get(k), str):
-                return value[k]
-        if isinstance(value.get("commands"), list):
-            return "\n".join(map(str, value["commands"]))
-    return ""
+def command() -> Column:
+    """The shell command of a tool call: the input itself if it is a text, else one of its fields, else its list of commands."""
+    given = F.coalesce(*[F.get_json_object("payload", f"$.{k}") for k in FIELDS["input"]])
+    inner = [F.get_json_object(given, f"$.{k}") for k in COMMAND_KEYS]
+    listed = F.array_join(F.from_json(F.get_json_object(given, "$.commands"), "array<string>"), "\n")
+    return F.coalesce(F.when(F.startswith(F.ltrim(given), F.lit("{")), F.coalesce(*inner, listed, F.lit(""))), F.when(~F.startswith(F.ltrim(given), F.lit("[")), given), F.lit(""))
 
 
-def _words(command: str) -> Iterator[str]:
-    """Words of a shell command that could be files."""
-    try:
-        words = shlex.split(command)
-    except ValueError:
-        words = command.split()
-    for w in words:
-        w = w.strip("'\"")
-        if w and not w.startswith("-") and w not in (".", "..", "|", "&&", ";") and not set(w) & set("$*?{}<>"):
-            yield w
+def named_files(of: Column) -> Column:
+    """Words of a command that could name a file: quoted or bare, neither an option nor a pattern. The inventory decides which are files."""
+    words = F.transform(F.regexp_extract_all(of, F.lit(r"""(?:[^\s'"|&;]|'[^']*'|"[^"]*")+"""), F.lit(0)), lambda w: F.regexp_replace(w, "['\"]", ""))
+    return F.array_distinct(F.filter(words, lambda w: ~w.rlike(r"^(-.*)?$|[$*?{}<>]")))
 
 
 _TEXTS = T.ArrayType(T.StringType())
-TOOL_FACTS = T.StructType([T.StructField("command", T.StringType()), T.StructField("paths", _TEXTS), T.StructField("words", _TEXTS)])
 
 
 def _loads(text: str | None) -> object:
@@ -95,16 +84,10 @@ def _loads(text: str | None) -> object:
         return text
 
 
-@F.pandas_udf(TOOL_FACTS)
-def tool_facts(given: pd.Series, answer: pd.Series) -> pd.DataFrame:
-    """The command of a tool call, paths named in its input and answer, and words of the command that may be files."""
-    rows = []
-    for a, b in zip(given, answer, strict=True):
-        value = _loads(a)
-        command = _command(value)
-        paths = list(dict.fromkeys(p.strip() for p in [*_walk(value), *_walk(_loads(b))] if p.strip()))
-        rows.append((command, paths, list(dict.fromkeys(_words(command)))))
-    return pd.DataFrame(rows, columns=["command", "paths", "words"])
+@F.pandas_udf(_TEXTS)
+def json_paths(given: pd.Series, answer: pd.Series) -> pd.Series:
+    """Paths that the input and the answer of a tool call name under path keys, at any depth, and in patches."""
+    return pd.Series([list(dict.fromkeys(p.strip() for p in [*_walk(_loads(a)), *_walk(_loads(b))] if p.strip())) for a, b in zip(given, answer, strict=True)], dtype=object)
 
 
 def end_status() -> Column:
@@ -120,10 +103,11 @@ def kept_data() -> Column:
     return F.to_json(F.struct(pick(KEPT, "$").alias("fields"), pick(KEPT_OF_RESPONSE, "$.tool_response").alias("response")))
 
 
-def ingest(hooks: DataFrame, inventory: DataFrame) -> DataFrame:
+def ingest(hooks: DataFrame, inventory: DataFrame, projects: DataFrame | None = None) -> DataFrame:
     """Events of hooks(seq, project_id, agent, created_at, payload JSON): seq, step, event_type, session, task, kind, tool, paths, title, prompt, status, summary, data, event_id.
 
-    inventory(project_id, path) decides which words of a shell command are files. Ids of tasks and events follow from the rows,
+    inventory(project_id, path) decides which words of a shell command are files. Paths are relative to their project: an absolute one
+    below the root that projects(project_id, root) names loses it, one outside is dropped. Ids of tasks and events follow from the rows,
     so the same hooks always give the same log.
     """
     h = hooks.select("seq", "project_id", "agent", "created_at", "payload", F.coalesce(field("event"), F.lit("")).alias("event"), F.coalesce(field("session"), F.lit("unknown-session")).alias("external"))
@@ -132,8 +116,11 @@ def ingest(hooks: DataFrame, inventory: DataFrame) -> DataFrame:
     earlier = Window.partitionBy("session").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     h = h.withColumn("running", F.last(effect, ignorenulls=True).over(earlier)["t"])
 
-    calls = h.filter(F.col("event").isin(TOOLS)).withColumn("f", tool_facts(F.coalesce(*[F.get_json_object("payload", f"$.{k}") for k in FIELDS["input"]]), F.get_json_object("payload", "$.tool_response")))
-    said = calls.select("project_id", "seq", F.posexplode(F.transform(F.col("f.words"), lambda w: F.regexp_replace(w, r"^\./", ""))).alias("i", "path"))
+    roots = hooks.sparkSession.createDataFrame([], "project_id string, root string") if projects is None else projects.select("project_id", F.regexp_replace("root", "/+$", "").alias("root"))
+    relative = lambda paths: F.array_distinct(F.filter(F.transform(paths, lambda p: S.event_path(p, F.col("root"))), lambda p: p.isNotNull() & (p != "")))
+    calls = h.filter(F.col("event").isin(TOOLS)).join(roots, "project_id", "left").withColumn("command", command())
+    calls = calls.withColumn("paths", json_paths(F.coalesce(*[F.get_json_object("payload", f"$.{k}") for k in FIELDS["input"]]), F.get_json_object("payload", "$.tool_response"))).withColumn("paths", relative("paths"))
+    said = calls.select("project_id", "seq", F.posexplode(relative(named_files(F.col("command")))).alias("i", "path"))
     files = said.join(inventory.select("project_id", "path"), ["project_id", "path"], "left_semi").groupBy("project_id", "seq").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "path"))), lambda x: x["path"]).alias("files"))
     calls = calls.join(files, ["project_id", "seq"], "left")
 
@@ -147,9 +134,9 @@ def ingest(hooks: DataFrame, inventory: DataFrame) -> DataFrame:
     prompts, stops = h.filter("event = 'UserPromptSubmit'"), h.filter(F.col("event").isin(STOPS) & F.col("running").isNotNull())
     prompt = F.coalesce(field("prompt"), F.lit(""))
     title = F.when(prompt != "", F.substring(F.split(prompt, "\n").getItem(0), 1, TITLE)).otherwise(F.lit(fixed.UNNAMED))
-    command = F.col("f.command")
-    kind = F.concat(S.tool_class(F.coalesce(field("tool"), F.lit("")), command), F.when(F.col("event") == "PostToolUseFailure", "_failed").otherwise(""))
-    call_data = F.to_json(F.struct(F.when(command != "", F.substring(command, 1, COMMAND)).alias("command"), kept_data().alias("more")))
+    run = F.col("command")
+    kind = F.concat(S.tool_class(F.coalesce(field("tool"), F.lit("")), run), F.when(F.col("event") == "PostToolUseFailure", "_failed").otherwise(""))
+    call_data = F.to_json(F.struct(F.when(run != "", F.substring(run, 1, COMMAND)).alias("command"), kept_data().alias("more")))
     summary = F.substring(F.coalesce(field("summary"), F.lit("")), 1, PROMPT)
     others = h.filter(~F.col("event").isin("SessionStart", "UserPromptSubmit", "SessionEnd", *TOOLS, *STOPS))
     out = [
@@ -157,7 +144,7 @@ def ingest(hooks: DataFrame, inventory: DataFrame) -> DataFrame:
         emit(prompts.filter("running IS NOT NULL"), 1, "task_closed", F.col("running"), status=F.lit("interrupted"), summary=F.lit("")),
         emit(prompts, 2, "task_created", F.col("own"), title=title, prompt=prompt),
         emit(prompts, 3, "task_event", F.col("own"), F.lit("prompt"), data=F.to_json(F.struct(F.substring(prompt, 1, PROMPT).alias("prompt"), kept_data().alias("more")))),
-        emit(calls, 0, "task_event", kind=kind, tool=field("tool"), paths=F.array_distinct(F.concat("f.paths", F.coalesce("files", no_paths))), data=call_data),
+        emit(calls, 0, "task_event", kind=kind, tool=field("tool"), paths=F.array_distinct(F.concat("paths", F.coalesce("files", no_paths))), data=call_data),
         emit(stops, 0, "task_event", F.col("running"), F.lit("result"), data=F.to_json(F.struct(summary.alias("summary"), end_status().alias("status"), kept_data().alias("more")))),
         emit(stops, 1, "task_closed", F.col("running"), status=end_status(), summary=summary),
         emit(h.filter("event = 'SessionEnd'"), 0, "session_end"),

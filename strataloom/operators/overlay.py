@@ -86,10 +86,10 @@ FILE_ACTIONS = ["map_file", "unmap_file"]
 
 
 def checked(log: DataFrame) -> DataFrame:
-    """Corrections in normal form, with the error of those that can't be applied: trimmed keys, files relative with slashes, a default relation."""
+    """Corrections in normal form, with the error of those that can't be applied: concepts by their slug, files relative with slashes, a default relation."""
     action = F.col("action")
-    concept = lambda c: F.lower(F.regexp_replace(F.trim(F.col(c)), r"\s+", "-"))
-    path = F.regexp_replace(F.replace(F.trim("object_key"), F.lit("\\"), F.lit("/")), r"^(\./)+", "")
+    concept = lambda c: S.slug(F.coalesce(F.col(c), F.lit("")))
+    path = S.loose_path(F.trim("object_key"))
     subject = F.when(action.isin(*CONCEPT_ACTIONS, *EDGE_ACTIONS, *FILE_ACTIONS), concept("subject_key")).otherwise(F.trim("subject_key"))
     obj = F.when(action.isin("merge_concept", *EDGE_ACTIONS), concept("object_key")).when(action.isin(FILE_ACTIONS), path).otherwise(F.trim("object_key"))
     relation = F.when(action.isin(FILE_ACTIONS) & (F.trim("relation") == ""), F.lit("implemented_by")).otherwise(F.trim("relation"))

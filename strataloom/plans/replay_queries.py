@@ -166,7 +166,8 @@ def hooks(spark, sf):
     )
     read = F.col("event_type") == "click"
     file = F.concat(F.lit("src/f"), F.col("event_id") % 50, F.lit(".py"))
-    call = F.struct(F.when(read, file).alias("file_path"), F.when(~read, F.concat(F.lit("cd x && pytest -q ./"), file, F.lit(" '*.py'"))).alias("command"))
+    spelt = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("/home/u/proj/"), file)).when(F.col("event_id") % 3 == 1, F.concat(F.lit("./x/../"), file)).otherwise(F.concat(F.lit("/home/u/project/"), file))
+    call = F.struct(F.when(read, spelt).alias("file_path"), F.when(~read, F.concat(F.lit("cd x && pytest -q ./"), file, F.lit(" '*.py'"))).alias("command"))
     payload = F.to_json(F.struct(event.alias("hook_event_name"), F.col("user_id").cast("string").alias("session_id"), F.concat(F.lit("task "), F.col("event_id"), F.lit("\nmore")).alias("prompt"), F.when(read, "Read").otherwise("Bash").alias("tool_name"), call.alias("tool_input"), F.lit("failed").alias("task_status")))
     return e.select(F.col("event_id").alias("seq"), F.lit("p").alias("project_id"), F.lit("a").alias("agent"), F.col("ts").alias("created_at"), payload.alias("payload"))
 
@@ -180,7 +181,7 @@ def hooks(spark, sf):
         UNION ALL SELECT seq, session, 1, 'task_closed', NULL, 'interrupted', NULL, '' FROM x WHERE e = 'UserPromptSubmit' AND r >= 0
         UNION ALL SELECT seq, session, 2, 'task_created', NULL, NULL, 'task ' || seq, '' FROM x WHERE e = 'UserPromptSubmit'
         UNION ALL SELECT seq, session, 3, 'task_event', 'prompt', NULL, NULL, '' FROM x WHERE e = 'UserPromptSubmit'
-        UNION ALL SELECT seq, session, 0, 'task_event', 'read', NULL, NULL, file FROM x WHERE e = 'PostToolUse'
+        UNION ALL SELECT seq, session, 0, 'task_event', 'read', NULL, NULL, CASE WHEN seq % 3 < 2 THEN file ELSE '' END FROM x WHERE e = 'PostToolUse'
         UNION ALL SELECT seq, session, 0, 'task_event', 'test_failed', NULL, NULL, CASE WHEN file IN (SELECT file FROM known) THEN file ELSE '' END FROM x WHERE e = 'PostToolUseFailure'
         UNION ALL SELECT seq, session, 0, 'task_event', 'result', NULL, NULL, '' FROM x WHERE e = 'Stop' AND r >= 0
         UNION ALL SELECT seq, session, 1, 'task_closed', NULL, 'failed', NULL, '' FROM x WHERE e = 'Stop' AND r >= 0
@@ -191,7 +192,8 @@ def hooks(spark, sf):
 def lifecycle_ingest(spark, sf):
     importable(spark)
     known = table(spark, sf, "part").select(F.lit("p").alias("project_id"), F.concat(F.lit("src/f"), "p_size", F.lit(".py")).alias("path")).distinct()
-    return lifecycle.ingest(hooks(spark, sf), known).select("seq", "session", "step", "event_type", "kind", "status", "title", F.array_join("paths", ",").alias("paths"))
+    projects = spark.createDataFrame([("p", "/home/u/proj/")], "project_id string, root string")
+    return lifecycle.ingest(hooks(spark, sf), known, projects).select("seq", "session", "step", "event_type", "kind", "status", "title", F.array_join("paths", ",").alias("paths"))
 
 
 @query("""
@@ -256,19 +258,23 @@ def overlay_concepts(spark, sf):
 
 
 @query(f"""
-    WITH l AS (SELECT [{", ".join(f"'{a}'" for a in [*fixed.OVERLAY_ACTIONS, "other"])}][1 + event_id % 12] AS action, CASE WHEN user_id % 9 = 0 THEN ' ' ELSE 'c' || (user_id % 5) END AS s, CASE WHEN event_id % 5 = 0 THEN '' ELSE 'uses' END AS r, CASE WHEN user_id % 4 = 0 THEN '' ELSE 'c' || (event_id % 5) END AS o, CASE WHEN event_type = 'click' THEN ' ' ELSE event_type END AS v FROM events),
-    e AS (SELECT action, CASE WHEN action = 'other' THEN 'unknown action' WHEN trim(s) = '' THEN 'no subject' WHEN action IN ('create_concept', 'rename_concept', 'add_alias') AND trim(v) = '' THEN 'no value'
-                 WHEN action = 'merge_concept' AND (o = '' OR o = s) THEN 'no other concept' WHEN action IN ('add_edge', 'accept_edge', 'reject_edge') AND (r = '' OR o = '') THEN 'no relation or concept' WHEN action IN ('map_file', 'unmap_file') AND o = '' THEN 'no file' END AS error FROM l)
-    SELECT action, coalesce(error, '') AS error, count(*) AS n FROM e GROUP BY action, error
+    WITH l AS (SELECT [{", ".join(f"'{a}'" for a in [*fixed.OVERLAY_ACTIONS, "other"])}][1 + event_id % 12] AS action, CASE WHEN user_id % 9 = 0 THEN ' & ' ELSE ' C ' || (user_id % 5) || ' & Pay!' END AS s0, CASE WHEN event_id % 5 = 0 THEN '' ELSE 'uses' END AS r,
+                      CASE WHEN user_id % 4 = 0 THEN '' ELSE './c ' || (event_id % 5) || '--Pay' END AS o0, CASE WHEN event_type = 'click' THEN ' ' ELSE event_type END AS v FROM events),
+    n AS (SELECT *, coalesce(nullif(trim(regexp_replace(lower(s0), '[^a-z0-9]+', '-', 'g'), '-'), ''), 'item') AS slug_s, coalesce(nullif(trim(regexp_replace(lower(o0), '[^a-z0-9]+', '-', 'g'), '-'), ''), 'item') AS slug_o FROM l),
+    k AS (SELECT action, r, v, CASE WHEN action = 'other' THEN trim(s0) ELSE slug_s END AS s, CASE WHEN action = 'merge_concept' OR action LIKE '%\\_edge' ESCAPE '\\' THEN slug_o WHEN action LIKE '%map\\_file' ESCAPE '\\' THEN ltrim(o0, './') ELSE o0 END AS o FROM n),
+    e AS (SELECT action, s AS subject_key, o AS object_key, CASE WHEN action = 'other' THEN 'unknown action' WHEN s = '' THEN 'no subject' WHEN action IN ('create_concept', 'rename_concept', 'add_alias') AND trim(v) = '' THEN 'no value'
+                 WHEN action = 'merge_concept' AND (o = '' OR o = s) THEN 'no other concept' WHEN action IN ('add_edge', 'accept_edge', 'reject_edge') AND (r = '' OR o = '') THEN 'no relation or concept' WHEN action IN ('map_file', 'unmap_file') AND o = '' THEN 'no file' END AS error FROM k)
+    SELECT action, subject_key, object_key, coalesce(error, '') AS error, count(*) AS n FROM e GROUP BY ALL
 """)
 def overlay_checked(spark, sf):
     e = table(spark, sf, "events")
     actions = F.array(*[F.lit(x) for x in [*fixed.OVERLAY_ACTIONS, "other"]])
     raw = e.select(
-        F.element_at(actions, (F.col("event_id") % 12 + 1).cast("int")).alias("action"), F.when(F.col("user_id") % 9 == 0, " ").otherwise(F.concat(F.lit("c"), F.col("user_id") % 5)).alias("subject_key"), F.when(F.col("event_id") % 5 == 0, "").otherwise("uses").alias("relation"),
-        F.when(F.col("user_id") % 4 == 0, "").otherwise(F.concat(F.lit("c"), F.col("event_id") % 5)).alias("object_key"), F.when(F.col("event_type") == "click", " ").otherwise(F.col("event_type")).alias("value"),
+        F.element_at(actions, (F.col("event_id") % 12 + 1).cast("int")).alias("action"), F.when(F.col("user_id") % 9 == 0, " & ").otherwise(F.concat(F.lit(" C "), F.col("user_id") % 5, F.lit(" & Pay!"))).alias("subject_key"), F.when(F.col("event_id") % 5 == 0, "").otherwise("uses").alias("relation"),
+        F.when(F.col("user_id") % 4 == 0, "").otherwise(F.concat(F.lit("./c "), F.col("event_id") % 5, F.lit("--Pay"))).alias("object_key"), F.when(F.col("event_type") == "click", " ").otherwise(F.col("event_type")).alias("value"),
     )
-    return overlay.checked(raw).groupBy("action", F.coalesce("error", F.lit("")).alias("error")).agg(F.count(F.lit(1)).alias("n"))
+    importable(spark)
+    return overlay.checked(raw).groupBy("action", "subject_key", "object_key", F.coalesce("error", F.lit("")).alias("error")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"""

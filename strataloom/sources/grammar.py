@@ -35,6 +35,8 @@ class Found:
 @cache
 def _lexer(comment: str, block: str, quotes: str, extra: str) -> re.Pattern:
     parts = []
+    if "`" in quotes:  # a regular expression stands where no value can end before it
+        parts.append(r"(?P<regex>(?:(?<=[=(,:;!&|?{}\[\n])|(?<=return)|\A)[ \t]*/(?![/*])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\[\n])+/\w*)")
     if block:
         a, b = block.split(" ")
         parts.append(f"(?P<block>{re.escape(a)}.*?(?:{re.escape(b)}|\\Z))")
@@ -55,7 +57,7 @@ def tokens(text: str, comment: str = "//", block: str = "/* */", quotes: str = "
         kind, value = m.lastgroup, m[0]
         if kind == "line":
             first, line = True, line + 1
-        elif kind in ("block", "comment"):
+        elif kind in ("block", "comment", "regex"):
             line += value.count("\n")
         else:
             named = kind[:4] if kind.startswith("text") else kind
@@ -180,7 +182,7 @@ def c(text: str) -> Found:
                 out.references.append(("includes", "relative", r[i + 2].value))
             elif r[i + 2].value == "<":
                 out.references.append(("includes", "system", r.rest(i + 3, ">").replace(" ", "")))
-        elif t.kind == "word" and t.value in ("class", "struct", "enum") and r[i + 1].kind == "word":
+        elif t.kind == "word" and t.value in ("class", "struct", "enum") and r[i + 1].kind == "word" and r[i - 1].value != "enum":
             name = r[i + 2].value if r[i + 1].value == "class" else r[i + 1].value
             out.symbols.append(("type", name))
         elif t.value == "namespace" or (t.value == "extern" and r[i + 1].kind == "text"):

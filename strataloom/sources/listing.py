@@ -56,11 +56,17 @@ def project_files(spark: SparkSession, root: str, ignored_directories: Sequence[
 
 
 def stored_files(spark: SparkSession, root: str, ignored_directories: Sequence[str] = tuple(fixed.IGNORED_DIRECTORIES)) -> DataFrame:
-    """path, mtime_ns, size, content of files in any store that Spark reads; content is only read if a plan uses it."""
+    """path below the root, mtime_ns, size, content of files in any store that Spark reads; content is only read if a plan uses it.
+
+    Names are ignored below the root only: the root itself may lie in a folder of such a name.
+    """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    parts = F.split("path", "/")
-    kept = ~F.exists(parts, lambda p: p.isin(list(ignored_directories))) & ~F.element_at(parts, -1).isin(fixed.IGNORED_FILES)
-    return raw.filter(kept).select("path", (F.unix_micros("modificationTime") * 1000).alias("mtime_ns"), F.col("length").alias("size"), "content")
+    p = spark._jvm.org.apache.hadoop.fs.Path(root)
+    whole = p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toString()
+    path = F.substr("path", F.lit(len(whole.rstrip("/")) + 2), F.length("path"))
+    parts = F.split(path, "/")
+    kept = ~F.exists(F.slice(parts, F.lit(1), F.size(parts) - 1), lambda x: x.isin(list(ignored_directories))) & ~F.element_at(parts, -1).isin(fixed.IGNORED_FILES)
+    return raw.filter(kept).select(path.alias("path"), (F.unix_micros("modificationTime") * 1000).alias("mtime_ns"), F.col("length").alias("size"), "content")
 
 
 def text_content(c: Column, size: Column, limit: int = 4 * 1024 * 1024) -> Column:

@@ -189,6 +189,17 @@ def test_shell_words_are_files_only_if_known(spark):
     assert lifecycle.ingest(hooks, known).first().paths == ["a.py", "b c.py"]
 
 
+def test_paths_of_tool_calls_are_relative_to_their_project(spark):
+    calls = [{"file_path": "/home/u/proj/src/x.py"}, {"file_path": "/home/u/project/x.py"}, {"paths": ["src/../y.py", "../out.py"]}, {"command": "cat '/home/u/proj/a b.py' /etc/passwd src/./x.py"}, "sed -n 1p x.py; cat src/x.py", {"commands": ["ls", "cat x.py"]}]
+    rows = [(k, "p", "a", "t", json.dumps({"hook_event_name": "PostToolUse", "session_id": "s", "tool_name": "Bash", "tool_input": c})) for k, c in enumerate(calls)]
+    hooks = spark.createDataFrame(rows, "seq long, project_id string, agent string, created_at string, payload string")
+    known = spark.createDataFrame([("p", "a b.py"), ("p", "src/x.py"), ("p", "x.py"), ("p", "etc/passwd")], "project_id string, path string")
+    projects = spark.createDataFrame([("p", "/home/u/proj")], "project_id string, root string")
+    got = lifecycle.ingest(hooks, known, projects).orderBy("seq").collect()
+    assert [r.paths for r in got] == [["src/x.py"], [], ["y.py"], ["a b.py", "src/x.py"], ["x.py", "src/x.py"], ["x.py"]]
+    assert json.loads(got[4].data)["command"] == calls[4] and json.loads(got[5].data)["command"] == "ls\ncat x.py"
+
+
 def test_calls_pair_by_id(spark):
     rows = [("s", "1", 1, "call", "x"), ("s", "1", 4, "result", "y"), ("s", "2", 2, "call", "z"), ("t", "1", 3, "result", "w"), ("s", "1", 5, "result", "late")]
     got = lifecycle.pair_calls(spark.createDataFrame(rows, "session string, call_id string, seq int, role string, value string")).collect()
@@ -224,9 +235,9 @@ def test_removed_corrections_and_places_of_aliases(spark):
 
 
 def test_normal_form_and_errors_of_corrections(spark):
-    rows = [("rename_concept", " My Key ", "", "", "L"), ("map_file", "a", "", ".\\src\\x.py", ""), ("merge_concept", "a", "", "A", ""), ("add_alias", "a", "", "", " "), ("other", "a", "", "", "")]
+    rows = [("rename_concept", " My Key ", "", "", "L"), ("map_file", "a", "", ".\\src\\x.py", ""), ("merge_concept", "a", "", "A", ""), ("add_alias", "a", "", "", " "), ("other", "a", "", "", ""), ("rename_concept", "Billing & Pay", "", "", "B"), ("add_edge", "ＡＢ", "uses", "__x y__", "")]
     got = [(r.subject_key, r.relation, r.object_key, r.error) for r in overlay.checked(corrections(spark, rows)).orderBy("seq").collect()]
-    assert got == [("my-key", "", "", None), ("a", "implemented_by", "src/x.py", None), ("a", "", "a", "no other concept"), ("a", "", "", "no value"), ("a", "", "", "unknown action")]
+    assert got == [("my-key", "", "", None), ("a", "implemented_by", "src/x.py", None), ("a", "", "a", "no other concept"), ("a", "", "", "no value"), ("a", "", "", "unknown action"), ("billing-pay", "", "", None), ("ab", "uses", "x-y", None)]
     queue = spark.createDataFrame([("edge", "a", "uses", "b", 0.5), ("concept", "c", "", "", 0.4)], "kind string, subject string, relation string, object string, confidence double")
     assert {(r.seq, r.action, r.subject_key, r.object_key) for r in overlay.decide(queue, "reject", 7).collect()} == {(7, "reject_concept", "c", ""), (8, "reject_edge", "a", "b")}
 
@@ -269,6 +280,15 @@ def test_store_prunes_and_replaces(spark, small, tmp_path):
     assert s.read("nodes", "p", 2).count() == 2 and "PartitionFilters: [isnotnull" in s.read("nodes", "p", 2)._jdf.queryExecution().toString()
     s.write(nodes.filter("layer = 2").limit(1), edges.filter("layer = 2"))
     assert s.read("nodes").count() == 6 and s.drop("p", 3) == 2 and s.read("nodes").count() == 5
+    left = reports.reset_layer(nodes, edges, 2)
+    s.write(nodes, edges)
+    s.write(*left, whole=["p"])
+    assert {r.layer for r in s.read("nodes").select("layer").distinct().collect()} == {1, 3} and {r.layer for r in s.read("edges").select("layer").distinct().collect()} == {1, 3}
+    (tmp_path / "graph" / "writing").touch()
+    with pytest.raises(ValueError, match="did not end"):
+        s.read("nodes")
+    s.write(nodes, edges)
+    assert s.read("nodes", "p", 2).count() == 2
     spark.range(1).select(F.lit(99).alias("schema_version")).write.mode("overwrite").parquet(f"file://{tmp_path}/graph/meta")
     with pytest.raises(ValueError):
         s.read("nodes")
@@ -283,6 +303,13 @@ def test_settings_and_registry(spark, tmp_path):
     df = spark.createDataFrame([("My App", "/a"), ("my app", "/b"), ("Other", "/c")], "name string, root string")
     ids = {r.root: r.project_id for r in store.project_ids(df).collect()}
     assert ids["/a"] == "my-app" and ids["/b"].startswith("my-app-") and len(ids["/b"]) == 15 and ids["/c"] == "other"
+    later = {r.root: r.project_id for r in store.project_ids(df, spark.createDataFrame([("my-app", "/b"), ("kept", "/c")], "project_id string, root string")).collect()}
+    assert later["/b"] == "my-app" and later["/a"].startswith("my-app-") and later["/c"] == "kept"  # what is registered keeps its id
+    registry = spark.createDataFrame([("x", "X", "/a", "generic", "1", "1")], "project_id string, name string, root string, kind string, created_at string, updated_at string")
+    seen = spark.createDataFrame([("x", "New", "/a", None, "5", 2), ("x", "Old", "/a", "video", "3", 1), ("y", None, "/q/r", None, "4", 3)], "project_id string, name string, root string, kind string, at string, seq int")
+    assert sorted(map(tuple, store.upsert_projects(registry, seen).collect())) == [("x", "New", "/a", "generic", "1", "5"), ("y", "r", "/q/r", "generic", "4", "4")]
+    with pytest.raises(ValueError):
+        store.upsert_projects(registry, seen.withColumn("project_id", F.lit("z"))).collect()
     known = spark.createDataFrame([("x", "/a")], "project_id string, root string")
     assert store.conflicts(known, spark.createDataFrame([("y", "/a"), ("z", "/q")], "project_id string, root string")).first().project_id == "y"
 
@@ -320,6 +347,8 @@ def test_grammars():
     assert grammar.swift("import Foundation\nfunc f(a: Int) {}\nstruct S {}").external == ["Foundation"]
     assert grammar.shell("source ./a.sh\n. 'b.sh'\nf() {\n}\nfunction g () {").references == [("sources", "relative", "./a.sh"), ("sources", "relative", "b.sh")]
     assert grammar.lua("local j = require 'cjson'\n--[[ require 'no' ]]\nfunction a.b.c(x) end").symbols == [("function", "a.b.c")]
+    assert grammar.javascript('const a = /[/*]/;\nimport x from "y"\nconst b = 4 / 2 / 1; import z from "w"\nreturn /a"b/g').references == [("imports", "module", "y"), ("imports", "module", "w")]
+    assert grammar.c("enum class E { A };\nenum F { B };").symbols == [("type", "E"), ("type", "F")]
     g = grammar.go('package m\nimport (\n\t"fmt"\n\tx "example.com/y"\n)\nimport "os"\ntype T struct{}\nfunc (t *T) Run() {}\n')
     assert g.package == "m" and [v for _, _, v in g.references] == ["fmt", "example.com/y", "os"] and g.symbols == [("type", "T"), ("function", "Run")]
     assert grammar.headings("# A b #\n####### no\n##x\n## C") == ["A b", "C"]
