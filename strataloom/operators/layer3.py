@@ -175,6 +175,51 @@ def tables(state: dict[str, DataFrame], file_nodes: DataFrame, concept_nodes: Da
     return {"sessions": sessions, "tasks": made, "events": event_rows(state["lines"]), "nodes": nodes, "edges": edges}
 
 
+def backfill(state: dict[str, DataFrame], log: DataFrame | None = None) -> DataFrame:
+    """Log lines (phase, born, task, step, place, event_id, value) that merged partials imply and ``log(event_id)`` lacks; written in the order of ``BACKFILL_ORDER`` they replay to the same tables.
+
+    Sessions come first, then ends of sessions that still run a task, events of no task, each task with its creation, its events
+    and its close, and last the other ends. ``value`` is a canonical envelope: keys in their order, no key without a value. Ids follow
+    from the keys, so a second backfill of the same state adds nothing.
+    """
+    agent, external = F.regexp_extract("session", "^([^:]*):", 1), F.regexp_extract("session", "^[^:]*:(.*)$", 1)
+
+    def rows(df: DataFrame, phase: int, step: int, event_type: str, at: Column, born: Column, seq: Column, key: Column, payload: dict[str, Column]) -> DataFrame:
+        event_id = S.stable_id("event_", F.lit(event_type), F.col("project_id"), key)
+        line = F.to_json(F.struct(at.cast("string").alias("created_at"), event_id.alias("event_id"), F.lit(event_type).alias("event_type"), F.struct(*[payload[k].alias(k) for k in sorted(payload)]).alias("payload"), F.struct(F.col("project_id").alias("id")).alias("project"), F.lit(1).alias("schema_version")))
+        task = F.col("task") if "task" in df.columns else F.lit(None).cast("string")
+        return df.select(F.lit(phase).alias("phase"), born.cast("long").alias("born"), task.alias("task"), F.lit(step).alias("step"), seq.cast("long").alias("place"), event_id.alias("event_id"), line.alias("value"))
+
+    who = {"agent": F.coalesce("agent", agent), "external_session_id": external}
+    sessions = state["sessions"].select("project_id", "session", "opened", "first.agent", F.col("first.created_at").alias("opened_at"), "last.ended_at", "last.updated_at")
+    running = state["running"].select("session", F.col("last.active").alias("active"))
+    ended = sessions.filter("ended_at IS NOT NULL").join(running, "session", "left")
+    births = state["births"].select("project_id", "task", "born", "first.title", "first.prompt", "first.agent", "first.session", F.col("first.created_at").alias("at"))
+    lines = event_rows(state["lines"])
+    events = lines.join(births.select("project_id", "task", F.col("born").alias("_born")), ["project_id", "task"], "left")
+    paths = F.when(F.col("path").isNotNull(), F.array("path")).otherwise(F.array().cast("array<string>"))
+    event = {"agent": F.col("agent"), "external_session_id": external, "event_type": F.col("kind"), "tool_name": F.col("tool"), "data": F.col("data"), "paths": paths, "task_id": F.col("task")}
+    closes = state["closes"].select("project_id", "task", F.col("at").alias("closed"), "last.status", "last.summary", "last.affected", F.col("last.created_at").alias("at")).join(births.select("project_id", "task", "born"), ["project_id", "task"])
+    place = F.col("seq")
+    zero = F.lit(0)
+    # A session that was opened again needs both of its times: its last opening follows its first.
+    again = sessions.filter("ended_at IS NULL AND updated_at <> opened_at")
+    out = (
+        rows(sessions, 0, 0, "session_upsert", F.col("opened_at"), zero, F.col("opened"), F.col("session"), who)
+        .unionByName(rows(again, 0, 1, "session_upsert", F.col("updated_at"), zero, F.col("opened"), F.concat("session", F.lit(":again")), who))
+        .unionByName(rows(ended.filter("active IS NOT NULL"), 1, 0, "session_end", F.col("ended_at"), zero, F.col("opened"), F.col("session"), who))
+        .unionByName(rows(events.filter("_born IS NULL"), 2, 0, "task_event", F.col("created_at"), zero, place, F.concat_ws(":", "seq", "path"), event))
+        .unionByName(rows(births, 3, 0, "task_created", F.col("at"), F.col("born"), F.col("born"), F.col("task"), {"agent": F.col("agent"), "external_session_id": external, "prompt": F.col("prompt"), "task_id": F.col("task"), "title": F.col("title")}))
+        .unionByName(rows(events.filter("_born IS NOT NULL"), 3, 1, "task_event", F.col("created_at"), F.col("_born"), place, F.concat_ws(":", "seq", "path"), event))
+        .unionByName(rows(closes, 3, 2, "task_closed", F.col("at"), F.col("born"), F.col("closed"), F.col("task"), {"affected_concepts": F.coalesce("affected", F.array().cast("array<struct<key:string,label:string>>")), "status": F.col("status"), "summary": F.col("summary"), "task_id": F.col("task")}))
+        .unionByName(rows(ended.filter("active IS NULL"), 4, 0, "session_end", F.col("ended_at"), zero, F.col("opened"), F.col("session"), who))
+    )
+    return out if log is None else out.join(log.select("event_id"), "event_id", "left_anti")
+
+
+BACKFILL_ORDER = ["phase", "born", "task", "step", "place", "event_id"]
+
+
 def report(events: DataFrame, done: DataFrame) -> DataFrame:
     """One row: lines, how many apply, are invalid or are passed over, and projects."""
     n = events.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("error").isNotNull()).alias("invalid"))

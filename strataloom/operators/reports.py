@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from . import evaluate, graph
+from . import evaluate, graph, routing
 
 OUTSIDE = ("contains", "merged_into")
 
@@ -83,25 +83,17 @@ def inventory(nodes: DataFrame) -> DataFrame:
     return nodes.filter("layer = 1 AND kind = 'file'").select("project_id", F.col("key").alias("path"), F.greatest(size, F.lit(0)).alias("size"), S.language(F.col("key")).alias("language"))
 
 
-def candidates(cases: DataFrame, files: DataFrame, routed: DataFrame, limit: int = 12) -> DataFrame:
-    """(case_key, mode, path): each case's files under three modes.
+def candidates(cases: DataFrame, nodes: DataFrame, edges: DataFrame, limit: int = 12) -> DataFrame:
+    """(case_key, mode, path): the files that each of cases(case_key, query) gets under three modes; nodes and edges as ``routing.contexts`` takes them.
 
-    cases(case_key, terms array), files(path, label); routed(case_key, path, place) are the files of the context search. A full scan
-    reads every file, file-name search the ``limit`` best names for the terms, the routed mode the context's first ``limit`` files.
-    The evaluation cases of a suite are few and written by hand; the files may be many.
+    A full scan reads every file, file-name search the ``limit`` best names for the query, the routed mode the first ``limit`` files of
+    the query's context. All cases go through one plan.
     """
-    from pyspark.sql.window import Window
-
-    whole = cases.select("case_key").crossJoin(files.select("path")).select("case_key", F.lit("full-scan").alias("mode"), "path")  # the mode's meaning
-    terms = cases.select("case_key", F.explode(F.array_distinct("terms")).alias("term"))
-    name, path, label = F.lower(S.basename(F.col("path"))), F.lower("path"), F.lower("label")
-    words = files.select("path", F.explode(F.array_distinct(F.concat(F.split(path, r"[^\w]+"), F.split(label, r"[^\w]+"), F.array(name, S.stem(F.lower("path")))))).alias("term"), name.alias("name"))
-    hits = terms.join(words, "term").groupBy("case_key", "path").agg(F.sum(F.when(F.contains("name", "term"), 3).otherwise(1)).alias("score"))
-    place = F.row_number().over(Window.partitionBy("case_key").orderBy(F.desc("score"), "path"))
-    named = hits.withColumn("p", place).filter(F.col("p") <= limit).select("case_key", F.lit("filename-search").alias("mode"), "path")
-    best = F.row_number().over(Window.partitionBy("case_key").orderBy("place", "path"))
-    found = routed.withColumn("p", best).filter(F.col("p") <= limit).select("case_key", F.lit("routed").alias("mode"), "path")
-    return whole.unionByName(named).unionByName(found)
+    files = nodes.filter("layer = 1 AND kind = 'file'").select(F.col("key").alias("path"), "label")
+    mode = lambda df, name: df.select("case_key", F.lit(name).alias("mode"), "path")
+    whole = cases.select("case_key").crossJoin(files.select("path"))  # every file for every case is what the mode means
+    routed = routing.contexts(cases, nodes, edges, file_limit=limit)["files"]
+    return mode(whole, "full-scan").unionByName(mode(routing.named_files(cases, files, limit), "filename-search")).unionByName(mode(routed, "routed"))
 
 
 def run_suite(cases: DataFrame, found: DataFrame, files: DataFrame) -> DataFrame:

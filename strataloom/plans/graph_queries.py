@@ -224,6 +224,25 @@ def stale_concepts(spark, sf):
     return semantic.retire(part.select(F.col("p_brand").alias("concept_key")).distinct(), wanted)
 
 
+@query("""
+    WITH f AS (SELECT p_brand AS concept_key, lpad(CAST(p_partkey AS VARCHAR), 9, '0') AS path, string_split(p_type, ' ') AS a, ['size ' || p_size, ' '] AS b, list_concat(string_split(p_name, ' '), [CAST(p_partkey % 997 AS VARCHAR)]) AS c FROM part),
+    v AS (SELECT concept_key, path, 0 AS f, unnest(a) AS value, generate_subscripts(a, 1) - 1 AS i FROM f UNION ALL SELECT concept_key, path, 1, unnest(b), generate_subscripts(b, 1) - 1 FROM f UNION ALL SELECT concept_key, path, 2, unnest(c), generate_subscripts(c, 1) - 1 FROM f),
+    m AS (SELECT concept_key, trim(value) AS value, min((path, f, i)) AS place FROM v WHERE trim(value) <> '' GROUP BY ALL),
+    o AS (SELECT p_brand AS concept_key, p_brand || ' own' AS value FROM part GROUP BY p_brand),
+    e AS (SELECT concept_key, value, 0 AS own, NULL AS place FROM o UNION ALL SELECT concept_key, value, 1, place FROM m),
+    r AS (SELECT concept_key, value, row_number() OVER (PARTITION BY concept_key ORDER BY own, place, value) AS n FROM e)
+    SELECT concept_key, string_agg(value, '|' ORDER BY n) AS keywords, count(*) AS n FROM r WHERE n <= 150 GROUP BY concept_key
+""")
+def concept_keywords(spark, sf):
+    """Keywords of brands: what each has, then entries of the metadata lists of its parts in order, 150 at most."""
+    p = table(spark, sf, "part")
+    metadata = F.to_json(F.struct(F.split("p_type", " ").alias("columns"), F.array(F.concat(F.lit("size "), F.col("p_size")), F.lit(" ")).alias("top_level_keys"), F.concat(F.split("p_name", " "), F.array((F.col("p_partkey") % 997).cast("string"))).alias("sections")))
+    files = p.select(F.col("p_brand").alias("concept_key"), F.lpad(F.col("p_partkey").cast("string"), 9, "0").alias("path"), metadata.alias("metadata"))
+    own = p.select(F.col("p_brand").alias("concept_key")).distinct().withColumn("keywords", F.array(F.concat("concept_key", F.lit(" own"))))
+    got = semantic.concept_keywords(files, own, ("concept_key",))
+    return got.select("concept_key", F.array_join("keywords", "|").alias("keywords"), F.size("keywords").cast("long").alias("n"))
+
+
 @query("SELECT p_brand AS concept_key, role, count(*) AS n FROM (SELECT p_brand, unnest(string_split(p_type, ' ')) AS role FROM part) GROUP BY p_brand, role")
 def role_counts(spark, sf):
     return semantic.role_counts(table(spark, sf, "part").select(F.col("p_brand").alias("concept_key"), F.split("p_type", " ").alias("roles")))

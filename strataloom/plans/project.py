@@ -7,13 +7,13 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import fixed
 from ..functions import scalars as S
 from ..operators import overlay, resolve, semantic
 from ..runtime import stored
 from ..sources import extract, listing, provider, rules
+from . import vault
 
 
 @dataclass
@@ -104,8 +104,8 @@ def resolved(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return edges, names.groupBy("project_id", "path").agg(F.slice(F.array_sort(F.collect_set("root")), 1, 100).alias("external"))
 
 
-def build(facts: DataFrame) -> Graph:
-    """Physical and semantic layers of the facts."""
+def build(facts: DataFrame, before: DataFrame | None = None) -> Graph:
+    """Physical and semantic layers of the facts; of the nodes ``before`` concepts that no file has any more stay inactive, and concepts keep their keywords."""
     edges, packages = resolved(facts)
     sid = lambda kind, key: S.stable_id("node_", F.col("project_id"), F.lit("1"), kind, key)
     file_data = F.to_json(F.struct("extractor", "digest", F.col("is_text"), F.parse_json("metadata").alias("metadata"), "roles", "size", "warnings", S.language(F.col("path")).alias("language"), "external"))
@@ -121,7 +121,19 @@ def build(facts: DataFrame) -> Graph:
     stats = semantic.concept_stats(placed.select("project_id", "concept_key", "language"))
     fallback = placed.groupBy("project_id", "concept_key").agg(F.min("concept_label").alias("fallback"))
     named = stats.join(fallback, ["project_id", "concept_key"]).withColumn("ck", F.concat_ws("\x1e", "project_id", "concept_key")).join(titles.select(F.col("concept_key").alias("ck"), F.col("label").alias("picked")), "ck", "left")
-    concepts = named.select("project_id", F.lit(2).alias("layer"), F.lit("concept").alias("kind"), F.col("concept_key").alias("key"), F.coalesce("picked", "fallback").alias("label"), F.to_json(F.struct(F.lit(True).alias("active"), "file_count", "languages")).alias("data"), F.when(F.col("picked").isNotNull(), 0.78).otherwise(0.72).alias("confidence"), F.lit("semantic-heuristic").alias("source"))
+    by_role = semantic.role_counts(keyed.select(F.col("ck").alias("concept_key"), "roles"))
+    most = lambda a, b: F.when(a["n"] > b["n"], -1).when(a["n"] < b["n"], 1).when(a["role"] < b["role"], -1).otherwise(1)
+    roles = by_role.groupBy(F.col("concept_key").alias("ck")).agg(F.map_from_entries(F.transform(F.array_sort(F.collect_list(F.struct("role", "n")), most), lambda x: F.struct(x["role"], x["n"]))).alias("roles"))
+    was = None if before is None else before.filter("layer = 2 AND kind = 'concept'")
+    held = None if was is None else was.select("project_id", F.col("key").alias("concept_key"), F.from_json(F.get_json_object("data", "$.keywords"), "array<string>").alias("keywords"))
+    words = semantic.concept_keywords(placed.select("project_id", "concept_key", "path").join(facts.select("project_id", "path", "metadata"), ["project_id", "path"]), held)
+    named = named.join(roles, "ck", "left").join(words, ["project_id", "concept_key"], "left")
+    concepts = named.select("project_id", F.lit(2).alias("layer"), F.lit("concept").alias("kind"), F.col("concept_key").alias("key"), F.coalesce("picked", "fallback").alias("label"), F.to_json(F.struct(F.lit(True).alias("active"), "file_count", "languages", "roles", F.coalesce("keywords", F.array().cast("array<string>")).alias("keywords"))).alias("data"), F.when(F.col("picked").isNotNull(), 0.78).otherwise(0.72).alias("confidence"), F.lit("semantic-heuristic").alias("source"))
+    if was is not None:
+        # A concept that lost its files is not deleted: tasks and corrections may name it.
+        gone = was.join(concepts.select("project_id", "key"), ["project_id", "key"], "left_anti")
+        idle = F.regexp_replace(F.regexp_replace("data", '"active":"?true"?', '"active":false'), '"file_count":"?[0-9]+"?', '"file_count":0')
+        concepts = concepts.unionByName(gone.select("project_id", "layer", "kind", "key", "label", idle.alias("data"), "confidence", "source"))
     projects = facts.select("project_id").distinct().select("project_id", F.lit(2).alias("layer"), F.lit("project").alias("kind"), F.col("project_id").alias("key"), F.col("project_id").alias("label"), F.lit("{}").alias("data"), F.lit(1.0).alias("confidence"), F.lit("project-registry").alias("source"))
     nodes = files.unionByName(resources).unionByName(concepts).unionByName(projects).withColumn("id", S.stable_id("node_", F.col("project_id"), F.col("layer"), F.col("kind"), F.col("key")))
 
@@ -195,9 +207,10 @@ def apply_corrections(graph: Graph, log: DataFrame) -> Graph:
     return Graph(kept_nodes.unionByName(fresh.select(kept_nodes.columns)), edges, graph.facts, graph.file_edges)
 
 
-def scan(files: DataFrame, previous: DataFrame | None = None, plugins: list[extract.Plugin] = (), corrections: DataFrame | None = None, ask: Callable[[Graph], Graph] | None = None) -> tuple[Graph, DataFrame]:
+def scan(files: DataFrame, previous: DataFrame | None = None, plugins: list[extract.Plugin] = (), corrections: DataFrame | None = None, ask: Callable[[Graph], Graph] | None = None, before: DataFrame | None = None) -> tuple[Graph, DataFrame]:
     """(graph, changes) of files(project_id, path, mtime_ns, size, content); ``previous`` are the facts of the last scan with mtime_ns.
 
+    ``before`` are the nodes of the last scan's graph: concepts without files stay in the graph, inactive, and keywords are kept.
     ``ask`` adds what an external provider says (``ask_provider``); ``corrections`` are applied to the whole, at every scan.
 
     Only new and changed files, and files of another extractor signature, are read again. Raw references are kept with the
@@ -211,13 +224,13 @@ def scan(files: DataFrame, previous: DataFrame | None = None, plugins: list[extr
     sign = extract.signature(plugins)
     if previous is None:
         facts = extract.extract_files(files, plugins).join(files.select("project_id", "path", "mtime_ns"), ["project_id", "path"])
-        return corrected(build(facts)), files.select("project_id", "path", F.lit("new").alias("change"))
+        return corrected(build(facts, before)), files.select("project_id", "path", F.lit("new").alias("change"))
     now = files.select("project_id", "path", "mtime_ns", "size", F.lit(sign).alias("extractor"))
     changes = listing.change_set(now, previous, ["project_id", "path"], ["mtime_ns", "size", "extractor"])
     fresh = files.join(changes.filter("change <> 'deleted'").select("project_id", "path"), ["project_id", "path"], "left_semi")
     kept = previous.join(changes.select("project_id", "path"), ["project_id", "path"], "left_anti")
     facts = kept.unionByName(extract.extract_files(fresh, plugins).join(fresh.select("project_id", "path", "mtime_ns"), ["project_id", "path"]))
-    return corrected(build(facts)), changes
+    return corrected(build(facts, before)), changes
 
 
 def merge_provider(graph: Graph, concepts: DataFrame, relations: DataFrame) -> Graph:
@@ -258,17 +271,11 @@ def ask_provider(graph: Graph, projects: DataFrame, command: str, timeout: float
     return merge_provider(graph, *provider.parsed(answer))
 
 
-def vault_notes(graph: Graph, task_links: DataFrame | None = None, tasks_per_concept: int = 20) -> DataFrame:
-    """(project_id, note, body): a Markdown note per concept with its files, neighbours and latest tasks; task_links(project_id, concept_key, title, created_at)."""
-    label = graph.nodes.select("id", "kind", "key", "label", "project_id")
-    out = graph.edges.filter("layer = 2").join(label.select(F.col("id").alias("source_id"), F.col("kind").alias("k1"), F.col("key").alias("concept")), "source_id").filter("k1 = 'concept'").join(label.select(F.col("id").alias("target_id"), F.col("kind").alias("k2"), F.col("label").alias("l2"), F.col("key").alias("key2")), "target_id")
-    line = F.when(F.col("k2") == "file", F.concat(F.lit("- "), "relation", F.lit(": `"), "key2", F.lit("`"))).otherwise(F.concat(F.lit("- "), "relation", F.lit(": [["), "l2", F.lit("]]")))
-    body = out.groupBy("project_id", F.col("concept").alias("key")).agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("lines"))
-    notes = graph.nodes.filter("kind = 'concept'").select("project_id", "key", "label").join(body, ["project_id", "key"], "left")
-    if task_links is not None:
-        place = F.row_number().over(Window.partitionBy("project_id", "concept_key").orderBy(F.desc("created_at"), "title"))
-        last = task_links.withColumn("p", place).filter(F.col("p") <= tasks_per_concept).groupBy("project_id", F.col("concept_key").alias("key")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "title"))), lambda x: F.concat(F.lit("- "), x["title"])), "\n").alias("tasks"))
-        notes = notes.join(last, ["project_id", "key"], "left")
-    else:
-        notes = notes.withColumn("tasks", F.lit(None).cast("string"))
-    return notes.select("project_id", F.concat("key", F.lit(".md")).alias("note"), F.concat_ws("\n\n", F.concat(F.lit("# "), "label"), "lines", F.concat(F.lit("## Tasks\n"), "tasks")).alias("body"))
+def vault_notes(graph: Graph, project: str, root: str, tasks: DataFrame, affects: DataFrame) -> DataFrame:
+    """The vault (``vault.notes``) of one project of a graph; tasks(task, title, status, created_at, summary), affects(task, key)."""
+    label = graph.nodes.filter(F.col("project_id") == project).select("id", "layer", "kind", "key", "label")
+    concepts = label.filter("layer = 2 AND kind = 'concept'")
+    own = graph.edges.filter((F.col("project_id") == project) & (F.col("layer") == 2)).join(concepts.select(F.col("id").alias("source_id"), F.col("key").alias("source")), "source_id")
+    files = own.join(label.filter("layer = 1 AND kind = 'file'").select(F.col("id").alias("target_id"), F.col("key").alias("path")), "target_id").select(F.col("source").alias("key"), "path").distinct()
+    relations = own.join(concepts.select(F.col("id").alias("target_id"), F.col("key").alias("target")), "target_id").select("source", "relation", "target").distinct()
+    return vault.notes(project, root, concepts.select("key", "label"), files, relations, tasks, affects)

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions import scalars as S
-from ..operators import layer3, lifecycle, overlay, reports
+from ..operators import layer3, lifecycle, overlay, reports, routing
 from ..runtime import importable, table, working_folder
+from ..sources import eventlog
 from ..streaming import tasks
 from .registry import query
 from .standins import log
@@ -148,6 +149,16 @@ def stream_l3(spark, sf):
     return task_states(state.tables(nothing, nothing))
 
 
+@query(f"WITH {LOG_SQL}, {STATE_SQL}")
+def backfill_round_trip(spark, sf):
+    """State to log to state: the lines that the state implies are put in order, read and replayed."""
+    state = layer3.merged(layer3.partials(layer3.active_lines(typed_log(spark, sf).withColumn("session", F.concat(F.lit("a:"), "session")))))
+    lines = eventlog.in_order(layer3.backfill(state), layer3.BACKFILL_ORDER)
+    nothing = spark.createDataFrame([], "project_id string, key string")
+    got = task_states(layer3.replay(layer3.typed(eventlog.parsed(lines)), nothing, nothing, strict=True))
+    return got.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("created_at", "closed_at")})
+
+
 @query("""
     SELECT CAST(user_id AS VARCHAR) AS session, max(CASE WHEN event_type = 'view' AND event_id % 7 = 0 THEN ts END) AS ended_at FROM events WHERE event_type = 'view' AND event_id % 7 = 0 GROUP BY user_id
 """)
@@ -372,32 +383,73 @@ def layer_reset(spark, sf):
 
 
 def _suite(spark, sf):
-    """Regions are cases that expect the parts of their suppliers' nations; parts are files."""
-    part = table(spark, sf, "part")
-    files = part.select(F.concat(F.lower(F.replace("p_name", F.lit(" "), F.lit("_"))), F.lit("_"), "p_partkey", F.lit(".py")).alias("path"), F.col("p_name").alias("label"), F.col("p_size").cast("long").alias("size"), "p_partkey")
-    region = table(spark, sf, "region")
-    want = part.select((F.col("p_size") % 5).alias("r_regionkey"), F.concat(F.lower(F.replace("p_name", F.lit(" "), F.lit("_"))), F.lit("_"), "p_partkey", F.lit(".py")).alias("path"))
-    cases = region.join(want.groupBy("r_regionkey").agg(F.array_sort(F.collect_list("path")).alias("expected")), "r_regionkey").select(F.col("r_name").alias("case_key"), "expected", F.array(F.lit("small"), F.col("r_regionkey").cast("string")).alias("terms"))
-    routed = region.join(part, F.col("p_partkey") % 5 == F.col("r_regionkey")).select(F.col("r_name").alias("case_key"), F.concat(F.lower(F.replace("p_name", F.lit(" "), F.lit("_"))), F.lit("_"), "p_partkey", F.lit(".py")).alias("path"), F.col("p_partkey").alias("place"))
-    return cases, files, routed
+    """Regions are cases that ask for a brand by name and expect the parts of their sizes; parts are files of the concept of their brand, and each brand depends on the next."""
+    part, region = table(spark, sf, "part"), table(spark, sf, "region")
+    path = F.concat(F.lit("src/"), F.lower(F.replace("p_brand", F.lit("#"), F.lit("_"))), F.lit("/"), F.lower(F.replace("p_name", F.lit(" "), F.lit("_"))), F.lit("_"), "p_partkey", F.lit(".py"))
+    files = part.select(path.alias("path"), F.col("p_size").cast("long").alias("size"), "p_brand")
+    want = files.groupBy((F.col("size") % 5).alias("r_regionkey")).agg(F.array_sort(F.collect_list("path")).alias("expected"))
+    query = F.concat(F.lit("steel Brand#"), 11 + F.col("r_regionkey"), F.lit(" "), F.lower("r_name"), F.lit(" _1"), F.col("r_regionkey"))
+    cases = region.join(want, "r_regionkey").select(F.col("r_name").alias("case_key"), query.alias("query"), "expected")
+    node = lambda df, layer, kind, key, label, data: df.select(F.concat(F.lit(kind[0]), key).alias("id"), F.lit(layer).alias("layer"), F.lit(kind).alias("kind"), key.alias("key"), label.alias("label"), data.alias("data"), F.lit(True).alias("active"), F.array().cast("array<string>").alias("aliases"))
+    brands = part.select("p_brand").distinct()
+    nodes = node(part.withColumn("path", path), 1, "file", F.col("path"), F.col("p_name"), F.concat(F.lit('{"type":"'), "p_type", F.lit('"}'))).unionByName(node(brands, 2, "concept", F.lower("p_brand"), F.col("p_brand"), F.lit("{}")))
+    brand = F.concat(F.lit("c"), F.lower("p_brand"))
+    after = F.concat(F.lit("cbrand#"), F.substring("p_brand", 7, 9).cast("int") + 1)
+    edges = files.select(brand.alias("source_id"), F.lit("implemented_by").alias("relation"), F.concat(F.lit("f"), "path").alias("target_id")).unionByName(brands.select(brand.alias("source_id"), F.lit("depends_on").alias("relation"), after.alias("target_id")))
+    return cases, files.select("path", "size"), nodes, edges
+
+
+_CONTEXT_SQL = r"""
+    f AS (SELECT 'src/' || lower(replace(p_brand, '#', '_')) || '/' || lower(replace(p_name, ' ', '_')) || '_' || p_partkey || '.py' AS path, CAST(p_size AS BIGINT) AS size, p_brand, p_name, p_type FROM part),
+    w AS (SELECT r_name AS case_key, path FROM region JOIN f ON size % 5 = r_regionkey),
+    q AS (SELECT r_name AS case_key, 'steel Brand#' || (11 + r_regionkey) || ' ' || lower(r_name) || ' _1' || r_regionkey AS query FROM region),
+    t AS (SELECT case_key, lower(query) AS q, unnest(list_distinct(list_concat([lower(query)], list_transform(regexp_extract_all(query, '[A-Za-z0-9_.\-/]{2,}'), lambda x: lower(x))))) AS term FROM q),
+    b AS (SELECT DISTINCT p_brand FROM f),
+    n AS (SELECT 'f' || path AS id, 1 AS layer, path AS key, p_name AS label, '{"type":"' || p_type || '"}' AS data FROM f UNION ALL SELECT 'c' || lower(p_brand), 2, lower(p_brand), p_brand, '{}' FROM b),
+    ed AS (SELECT 'c' || lower(p_brand) AS s, 'implemented_by' AS relation, 'f' || path AS t FROM f UNION ALL SELECT 'c' || lower(p_brand), 'depends_on', 'cbrand#' || (CAST(substring(p_brand, 7) AS INTEGER) + 1) FROM b),
+    p AS (SELECT case_key, q, id, layer, key, label, CASE WHEN lower(label) = term THEN 9 WHEN contains(lower(label), term) THEN 5 ELSE 0 END + CASE WHEN lower(key) = term THEN 6 WHEN contains(lower(key), term) THEN 3 ELSE 0 END + CASE WHEN contains(lower(data), term) THEN 1 ELSE 0 END
+                 + CASE WHEN term = q AND contains(lower(label), term) THEN 12 ELSE 0 END + CASE WHEN term = q AND contains(lower(key), term) THEN 8 ELSE 0 END AS part FROM t CROSS JOIN n),
+    sc AS (SELECT case_key, id, layer, key, label, CASE layer WHEN 1 THEN 2 ELSE 5 END + sum(part) AS score FROM p GROUP BY case_key, q, id, layer, key, label HAVING sum(part) > 0 OR (layer = 2 AND (contains(q, lower(label)) OR contains(q, key)))),
+    best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY case_key ORDER BY score DESC, label, id) AS r FROM sc) WHERE r <= 40),
+    cr AS (SELECT case_key, id, 0 AS p, -score AS s FROM best WHERE layer = 2 UNION ALL SELECT case_key, ed.s, 1, -score FROM best JOIN ed ON ed.t = id WHERE layer = 1),
+    cg AS (SELECT case_key, id, min((p, s)) AS r FROM cr GROUP BY case_key, id),
+    cc AS (SELECT case_key, id FROM (SELECT cg.*, row_number() OVER (PARTITION BY case_key ORDER BY r, label, cg.id) AS x FROM cg JOIN n ON n.id = cg.id AND layer = 2) WHERE x <= 5),
+    near AS (SELECT DISTINCT x.case_key, x.id, relation, n.label FROM (SELECT case_key, t AS id, relation FROM ed JOIN cc ON cc.id = s UNION ALL SELECT case_key, s, relation FROM ed JOIN cc ON cc.id = t) x JOIN n ON n.id = x.id AND n.layer = 2 WHERE NOT EXISTS (SELECT 1 FROM cc WHERE cc.case_key = x.case_key AND cc.id = x.id)),
+    cl AS (SELECT case_key, id FROM (SELECT case_key, id, row_number() OVER (PARTITION BY case_key ORDER BY min((label, relation)), id) AS x FROM near GROUP BY case_key, id) WHERE x <= 4),
+    hop AS (SELECT case_key, path FROM (SELECT cl.case_key, cl.id, f.path, row_number() OVER (PARTITION BY cl.case_key, cl.id ORDER BY f.path) AS x FROM cl JOIN ed ON ed.s = cl.id JOIN f ON 'f' || f.path = ed.t) WHERE x <= 4),
+    fl AS (SELECT case_key, path, min(p) AS p FROM (SELECT case_key, key AS path, 0 AS p FROM best WHERE layer = 1 UNION ALL SELECT case_key, f.path, 1 FROM cc JOIN ed ON ed.s = cc.id JOIN f ON 'f' || f.path = ed.t UNION ALL SELECT case_key, path, 2 FROM hop) GROUP BY case_key, path),
+    o AS (SELECT case_key, path, p, x FROM (SELECT *, row_number() OVER (PARTITION BY case_key ORDER BY p, path) AS x FROM fl) WHERE x <= 12),
+    nf AS (SELECT case_key, path FROM (SELECT case_key, path, row_number() OVER (PARTITION BY case_key ORDER BY round(score, 6) DESC, path) AS x FROM (
+        SELECT case_key, path, sum(CASE WHEN path = term OR lower(p_name) = term THEN 10.0 WHEN contains(path, term) THEN 4.0 + least(length(term), 10) / 10 WHEN contains(lower(p_name), term) THEN 3.0 ELSE 0.0 END) AS score FROM t CROSS JOIN f GROUP BY case_key, path) WHERE score > 0) WHERE x <= 12)
+"""
 
 
-@query("""
-    WITH f AS (SELECT lower(replace(p_name, ' ', '_')) || '_' || p_partkey || '.py' AS path, p_partkey, CAST(p_size AS BIGINT) AS size FROM part),
-    w AS (SELECT r_name AS case_key, path FROM region JOIN f ON size % 5 = r_regionkey),
-    o AS (SELECT case_key, path FROM (SELECT r_name AS case_key, path, row_number() OVER (PARTITION BY r_name ORDER BY p_partkey, path) AS p FROM region JOIN f ON p_partkey % 5 = r_regionkey) WHERE p <= 12),
-    x AS (SELECT r_name AS case_key, 'full-scan' AS mode, path FROM region CROSS JOIN f UNION ALL SELECT case_key, 'routed', path FROM o),
+@query(f"""
+    WITH {_CONTEXT_SQL},
+    x AS (SELECT r_name AS case_key, 'full-scan' AS mode, path FROM region CROSS JOIN f UNION ALL SELECT case_key, 'routed', path FROM o UNION ALL SELECT case_key, 'filename-search', path FROM nf),
     g AS (SELECT x.case_key, mode, count(*) AS n, count(w.path) AS h, sum(size) AS b FROM x LEFT JOIN w ON w.case_key = x.case_key AND w.path = x.path JOIN f ON f.path = x.path GROUP BY ALL),
     m AS (SELECT case_key, count(*) AS m FROM w GROUP BY case_key)
     SELECT case_key, mode, n AS candidates, h AS hits, m - h AS missing, round(h / n, 9) AS precision, round(h / m, 9) AS recall, CAST(ceil(b / 4) AS BIGINT) AS tokens FROM g JOIN m USING (case_key)
 """)
 def suite_runs(spark, sf):
-    cases, files, routed = _suite(spark, sf)
-    found = reports.candidates(cases, files, routed).filter("mode <> 'filename-search'")
-    out = reports.run_suite(cases, found, files)
+    cases, files, nodes, edges = _suite(spark, sf)
+    out = reports.run_suite(cases, reports.candidates(cases, nodes, edges), files)
     return out.select("case_key", "mode", "candidates", "hits", "missing", F.round("precision", 9).alias("precision"), F.round("recall", 9).alias("recall"), F.col("tokens").cast("long").alias("tokens"))
 
 
+@query(f"""
+    WITH {_CONTEXT_SQL} SELECT case_key, 'files' AS part, path AS item, CAST(p AS BIGINT) AS rank FROM o UNION ALL SELECT case_key, 'filename-search', path, 0 FROM nf UNION ALL SELECT case_key, 'concepts', id, 0 FROM cc
+""")
+def contexts_of_queries(spark, sf):
+    """The context of all cases in one plan: concepts, files with the source that gave them, and files by name."""
+    cases, _, nodes, edges = _suite(spark, sf)
+    got = routing.contexts(cases, nodes, edges)
+    files = nodes.filter("layer = 1").select(F.col("key").alias("path"), "label")
+    row = lambda df, part, item, rank: df.select("case_key", F.lit(part).alias("part"), item.alias("item"), rank.cast("long").alias("rank"))
+    none = F.lit(0)
+    return row(got["files"], "files", F.col("path"), F.col("priority")).unionByName(row(routing.named_files(cases, files), "filename-search", F.col("path"), none)).unionByName(row(got["concepts"], "concepts", F.col("id"), none))
+
+
 @query("""
     WITH e AS (SELECT user_id AS task, event_type, 'f' || (event_id % 20) AS path FROM events), t AS (SELECT task, path, bool_or(event_type = 'click') AS r FROM e GROUP BY task, path),
     w AS (SELECT DISTINCT user_id AS task, 'f' || (user_id % 25) AS path FROM events WHERE event_type = 'purchase'),

@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from ..functions import fixed
 from ..functions import scalars as S
-from ..operators import semantic
+from ..operators import grams, search, semantic
 from ..runtime import importable, table
 from .registry import query
 from .standins import FILES_SQL, files
@@ -77,10 +77,10 @@ def node_search_topk(spark, sf):
     UNION ALL SELECT page_id, r_name FROM pages, region WHERE contains(lower(url || ' ' || html), lower(r_name))
 """)
 def reverse_containment(spark, sf):
-    """Words of names that a text contains. The texts stay where they are; the distinct words are few."""
+    """Words of names that a text contains, by the gram index."""
     names = table(spark, sf, "part").select(F.explode(F.split(F.trim("p_name"), " ")).alias("p_name")).filter(F.length("p_name") >= 2).distinct().unionByName(table(spark, sf, "region").select(F.col("r_name").alias("p_name")))
-    pages = table(spark, sf, "pages").select("page_id", F.lower(F.concat("url", F.lit(" "), "html")).alias("t"))
-    return pages.join(names, F.contains("t", F.lower("p_name"))).select("page_id", "p_name")
+    pages = table(spark, sf, "pages").select(F.col("page_id").alias("id"), F.concat("url", F.lit(" "), "html").alias("text"))
+    return grams.containing(pages, names.withColumnRenamed("p_name", "pattern")).select(F.col("id").alias("page_id"), F.col("pattern").alias("p_name"))
 
 
 TASK_TERMS = S.search_terms("the theat")

@@ -54,7 +54,7 @@ def notes(project: str, root: str, concepts: DataFrame, files: DataFrame, relati
     summary = F.when(F.trim("summary") != "", F.col("summary"))
     task_notes = t.join(touched, "task", "left").select(F.lit("tasks").alias("folder"), "note", F.concat_ws("\n\n", F.concat(F.lit("# "), "title"), F.concat(F.lit("Status: "), "status"), summary, part("Concepts", "concepts")).alias("body"))
     one = lambda df, line, order, limit, name: _lines(df.withColumn("_k", F.lit(project)), "_k", line, order, limit, name)
-    listed = one(c.orderBy("label").limit(10_000), F.concat(F.lit("- "), wiki_link(F.col("note"), F.col("label"))), ["label", "key"], None, "concepts")
+    listed = one(c, F.concat(F.lit("- "), wiki_link(F.col("note"), F.col("label"))), ["label", "key"], None, "concepts")
     recent = one(t.orderBy(*newest).limit(PROJECT_TASKS), task_line, newest, PROJECT_TASKS, "tasks")
     home = concepts.sparkSession.createDataFrame([(project,)], "_k string").join(listed, "_k", "left").join(recent, "_k", "left")
     index = home.select(F.lit("").alias("folder"), F.lit("index").alias("note"), F.concat_ws("\n\n", F.concat(F.lit("# "), "_k"), part("Concepts", "concepts"), part("Tasks", "tasks")).alias("body"))

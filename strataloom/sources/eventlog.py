@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..operators import tasklog
+from ..runtime import stored
 
 SCHEMA_VERSION = 1
 
@@ -52,15 +53,21 @@ class LogWriter:
         return self.append("task_closed", {"task_id": task, "status": status, "summary": summary, "affected_concepts": affected or []})
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """seq, value, event_id, event_type, created_at, project_id, payload, error of a log file; blank lines are skipped.
-
-    seq follows the order of lines: partitions of one text file are in the order of its bytes.
-    """
-    text = spark.read.text(path).withColumn("seq", F.monotonically_increasing_id()).filter(F.trim("value") != "")
+def parsed(lines: DataFrame) -> DataFrame:
+    """seq, value, event_id, event_type, created_at, project_id, payload, error of lines(seq, value); blank lines are skipped."""
     v = F.try_parse_json("value")
     get = lambda p: F.try_variant_get(v, p, "string")
-    return text.select("seq", "value", get("$.event_id").alias("event_id"), get("$.event_type").alias("event_type"), get("$.created_at").alias("created_at"), get("$.project.id").alias("project_id"), get("$.payload").alias("payload"), tasklog.envelope_error("value").alias("error"))
+    return lines.filter(F.trim("value") != "").select("seq", "value", get("$.event_id").alias("event_id"), get("$.event_type").alias("event_type"), get("$.created_at").alias("created_at"), get("$.project.id").alias("project_id"), get("$.payload").alias("payload"), tasklog.envelope_error("value").alias("error"))
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``parsed`` lines of one log file. seq follows the order of lines: partitions of one text file are in the order of its bytes."""
+    return parsed(spark.read.text(path).withColumn("seq", F.monotonically_increasing_id()))
+
+
+def in_order(lines: DataFrame, order: list[str]) -> DataFrame:
+    """``lines`` with seq, their place in the order of the columns ``order``: numbers rise from one range of a range sort to the next, with gaps; stored."""
+    return stored(lines.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("seq", F.monotonically_increasing_id()), "log")
 
 
 def session_events(lines: DataFrame) -> DataFrame:

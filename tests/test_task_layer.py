@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from strataloom.operators import layer3, lifecycle, overlay, reports
+from strataloom.operators import grams, layer3, lifecycle, overlay, reports, routing, search, semantic
 from strataloom.plans import vault
 from strataloom.sources import eventlog, grammar, store
 from strataloom.streaming import tasks
@@ -264,13 +264,76 @@ def test_reports(spark, small):
     assert {r.id for r in left_nodes.collect()} == {"f2", "c1", "c2", "t1", "h"} and {r.relation for r in left_edges.collect()} == {"depends_on", "read"}
 
 
-def test_file_name_candidates(spark):
-    cases = spark.createDataFrame([("k", ["pay", "upgrade"], ["src/pay.py"])], "case_key string, terms array<string>, expected array<string>")
-    files = spark.createDataFrame([("src/pay.py", "pay", 8), ("src/other.py", "about pay", 4), ("docs/x.md", "x", 40)], "path string, label string, size long")
-    found = reports.candidates(cases, files, spark.createDataFrame([("k", "src/pay.py", 0)], "case_key string, path string, place int"))
-    assert [r.path for r in found.filter("mode = 'filename-search'").collect()] == ["src/pay.py", "src/other.py"]
-    runs = {r["mode"]: r for r in reports.run_suite(cases, found, files).collect()}
-    assert runs["full-scan"].candidates == 3 and runs["routed"].tokens == 2 and runs["routed"].recall == 1.0 and runs["filename-search"].precision == 0.5
+def test_candidates_of_all_modes(spark):
+    cases = spark.createDataFrame([("k", "pay upgrade", ["src/pay.py"]), ("b", "brand", ["src/brand_13/x.py"]), ("n", "zzz", ["docs/x.md"])], "case_key string, query string, expected array<string>")
+    rows = [("src/pay.py", "pay", 8), ("src/other.py", "about pay", 4), ("docs/x.md", "x", 40), ("src/brand_13/x.py", "x.py", 6)]
+    files = spark.createDataFrame(rows, "path string, label string, size long")
+    nodes = spark.createDataFrame([(f"f{p}", 1, "file", p, label, "{}", True, []) for p, label, _ in rows] + [("c1", 2, "concept", "shop", "Upgrade", "{}", True, []), ("c2", 2, "concept", "old", "Old", "{}", False, ["brand"])], "id string, layer int, kind string, key string, label string, data string, active boolean, aliases array<string>")
+    edges = spark.createDataFrame([("c1", "implemented_by", "fsrc/other.py"), ("c1", "implemented_by", "fdocs/x.md")], "source_id string, relation string, target_id string")
+    found = reports.candidates(cases, nodes, edges).collect()
+    by = lambda case, mode: {r.path for r in found if r.case_key == case and r["mode"] == mode}
+    assert by("k", "filename-search") == {"src/pay.py", "src/other.py"} and by("b", "filename-search") == {"src/brand_13/x.py"} and by("n", "filename-search") == set()
+    assert by("k", "routed") == {"src/pay.py", "src/other.py", "docs/x.md"} and by("b", "routed") == {"src/brand_13/x.py"} and len(by("n", "full-scan")) == 4
+    names = {(r.case_key, r.path): r.score for r in routing.named_files(cases, files).collect()}
+    assert names["b", "src/brand_13/x.py"] == 4.5 and names["k", "src/pay.py"] == 10.0 and names["k", "src/other.py"] == 3.0
+    runs = {(r.case_key, r["mode"]): r for r in reports.run_suite(cases, reports.candidates(cases, nodes, edges), files).collect()}
+    assert runs["k", "full-scan"].candidates == 4 and runs["k", "routed"].recall == 1.0 and runs["k", "filename-search"].precision == 0.5 and runs["n", "routed"].candidates == 0
+
+
+def test_contexts_equal_one_context_for_each_query(spark):
+    r = random.Random(4)
+    words = ["pay", "cart", "user", "login", "report", "mail"]
+    nodes = [(f"f{k}", 1, "file", f"src/{r.choice(words)}/{r.choice(words)}_{k}.py", r.choice(words), "{}", True, [], "t") for k in range(40)]
+    nodes += [(f"c{k}", 2, "concept", f"{w}-{k}", w.title(), '{"x":"mail"}', k != 2, [f"alias {w}"], "t") for k, w in enumerate(words)]
+    schema = "id string, layer int, kind string, key string, label string, data string, active boolean, aliases array<string>, updated_at string"
+    edges = [(f"c{r.randrange(6)}", "implemented_by", f"f{k}") for k in range(40)] + [("c0", "uses", "c1"), ("c1", "uses", "c3"), ("c4", "uses", "c0")]
+    n, e = spark.createDataFrame(nodes, schema), spark.createDataFrame(edges, "source_id string, relation string, target_id string")
+    queries = {"a": "pay the cart", "b": "alias user login", "c": "report_1", "d": "nothing here"}
+    got = routing.contexts(spark.createDataFrame(list(queries.items()), "case_key string, query string"), n, e)
+    files, concepts = got["files"].orderBy("case_key", "place").collect(), got["concepts"].orderBy("case_key", "place").collect()
+    tasks = spark.createDataFrame([], "id string, title string, prompt string, summary string, created_at string")
+    for case, query in queries.items():
+        one = search.context(n, e, tasks, spark.createDataFrame([], "task_id string, concept_id string"), query)
+        assert [x.id for x in concepts if x.case_key == case] == [x.id for x in one["concepts"].collect()]
+        assert [x.path for x in files if x.case_key == case] == [x.path for x in one["files"].collect()]
+
+
+def test_gram_index_equals_the_nested_loop(spark):
+    r = random.Random(2)
+    texts = [(k, "".join(r.choice("abAB é") for _ in range(r.randrange(40)))) for k in range(120)] + [(500, None), (501, ""), (502, "xyz" * 500)]
+    patterns = ["ab", "ABA", "é a", "bab ", "zx", "xyzxyz", "q", "", "zzz", "aaaa", "Ab"]
+    t, p = spark.createDataFrame(texts, "id long, text string"), spark.createDataFrame([(x,) for x in [*patterns, "ab", None]], "pattern string")
+    want = sorted((k, x) for k, s in texts for x in patterns if len(x) >= 2 and s is not None and x.lower() in s.lower())
+    found = grams.containing(t, p)
+    assert sorted(map(tuple, found.collect())) == want
+    assert sorted(map(tuple, grams.containing(t, p, grams.index(t)).collect())) == want
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = grams.containing(t, p)._jdf.queryExecution().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_keywords_keep_their_order_and_limit(spark):
+    files = spark.createDataFrame([("p", "c", "b.csv", '{"columns": ["x", " y ", ""], "sections": ["s"]}'), ("p", "c", "a.csv", '{"objects": ["o", "x"], "columns": ["z"]}'), ("p", "d", "a", "{}"), ("p", "e", "l", json.dumps({"sheets": ["w" * 200] + [f"k{k:03d}" for k in range(300)]}))], "project_id string, concept_key string, path string, metadata string")
+    own = spark.createDataFrame([("p", "c", ["y", "first"])], "project_id string, concept_key string, keywords array<string>")
+    got = {x.concept_key: x.keywords for x in semantic.concept_keywords(files, own).collect()}
+    assert got["c"] == ["y", "first", "z", "o", "x", "s"] and "d" not in got and got["e"] == ["w" * 160] + [f"k{k:03d}" for k in range(149)]
+
+
+def test_a_backfilled_log_replays_to_the_same_tables(spark, tmp_path):
+    rows = [("1", "session_upsert", S), ("2", "task_created", S | {"task_id": "t1", "title": "One", "prompt": "p"}), ("3", "task_event", S | {"event_type": "read", "paths": ["a.py", "b.py"], "data": {"k": [1, "x"]}, "tool_name": "Read"}), ("4", "task_closed", {"task_id": "t1", "status": "failed", "summary": "s", "affected_concepts": [{"key": "pay", "label": "Pay"}]}), ("5", "task_event", S | {"event_type": "note", "paths": []}),
+            ("6", "task_created", S | {"task_id": "t2", "title": "Two"}), ("7", "session_end", S), ("8", "task_created", S | {"task_id": "t3", "title": "Three"}), ("9", "session_upsert", S | {"external_session_id": "o"}), ("10", "session_end", S | {"external_session_id": "o"}), ("11", "session_upsert", S | {"external_session_id": "o"})]
+    typed = layer3.typed(lines(spark, tmp_path, rows))
+    state = layer3.merged(layer3.partials(layer3.active_lines(typed)))
+    log = layer3.backfill(state)
+    again = eventlog.parsed(eventlog.in_order(log, layer3.BACKFILL_ORDER))
+    nothing = spark.createDataFrame([], "project_id string, key string")
+    a, b = layer3.replay(typed, nothing, nothing), layer3.replay(layer3.typed(again), nothing, nothing, strict=True)
+    flat = lambda got: rows_of(got | {"events": got["events"].drop("seq")})
+    assert flat(a) == flat(b)
+    assert layer3.backfill(state, again).count() == 0
 
 
 def test_store_prunes_and_replaces(spark, small, tmp_path):
