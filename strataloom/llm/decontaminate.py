@@ -21,10 +21,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .fmindex import FMIndex
+from .spelling import Spellings, mapped
 from .store import bounded_batches, give_back, materialize
-from .words import Words, slices, text_buffer
+from .words import LOWER, slices, text_buffer
 
 WINDOW = 10
 SHARD_BYTES = 4 << 20
@@ -32,16 +34,22 @@ BLOCK_BYTES = 8 << 20
 PART_WORDS = 1 << 16
 ROWS_AT_ONCE = 1 << 18
 
-SPACE = np.ones(256, bool)
-SPACE[np.r_[0x30:0x3A, 0x61:0x7B, 0x80:0x100]] = False
+# What is left of each byte: digits, lowered letters and characters beyond ASCII; the rest parts words.
+KEPT = np.full(256, 0x20, np.uint8)
+KEPT[np.r_[0x30:0x3A, 0x41:0x5B, 0x61:0x7B, 0x80:0x100]] = LOWER[np.r_[0x30:0x3A, 0x41:0x5B, 0x61:0x7B, 0x80:0x100]]
+
+
+def words_of(column: pa.Array) -> Spellings:
+    return Spellings(mapped(column, KEPT), lower=False)
+
 
 SHARD_SCHEMA = "shard string, doc_id array<long>, n_words array<long>, content binary"
 HIT_SCHEMA = "shard string, place long, start long, end long, item_id array<long>"
 
 
 def _index(name: str, texts: list[pa.Array], ids: list[pa.Array]) -> pa.RecordBatch:
-    w = Words(pa.chunked_array(texts).combine_chunks() if len(texts) > 1 else texts[0], lower=True, space=SPACE)
-    spelling, spellings = w.interned() if len(w.starts) else (np.zeros(0, np.int64), pa.array([], pa.large_binary()))
+    w = words_of(pa.chunked_array(texts).combine_chunks() if len(texts) > 1 else texts[0])
+    spelling, spellings = w.interned()
     content = FMIndex.build(spelling, w.counts, spellings).to_bytes()
     doc_id = pa.ListArray.from_arrays(pa.array([0, len(w.counts)], pa.int32()), pa.chunked_array(ids).combine_chunks())
     n_words = pa.ListArray.from_arrays(pa.array([0, len(w.counts)], pa.int32()), pa.array(w.counts, pa.int64()))
@@ -78,9 +86,8 @@ class Phrases:
     """Windows of test items: all words in a row, and of each window its start, its size and its item."""
 
     def __init__(self, items: pa.Table, window: int = WINDOW):
-        w = Words(items.column("text").combine_chunks() if items.num_rows else pa.array([], pa.string()), lower=True, space=SPACE)
-        spelling, self.spellings = w.interned() if len(w.starts) else (np.zeros(0, np.int64), pa.array([], pa.large_binary()))
-        self.words = spelling
+        w = words_of(items.column("text").combine_chunks() if items.num_rows else pa.array([], pa.string()))
+        self.words, self.spellings = w.interned()
         self.items = items.column("item_id").combine_chunks()
         n = w.counts
         windows = np.where(n > 0, np.maximum(n - window + 1, 1), 0)
@@ -135,7 +142,7 @@ def item_parts(items: DataFrame, window: int = WINDOW, part_words: int = PART_WO
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                w = Words(part.column(1), lower=True, space=SPACE)
+                w = words_of(part.column(1))
                 row, text = [], []
                 for k, n in enumerate(w.counts.tolist()):
                     for at in range(0, max(n - window + 1, min(n, 1)), part_words):
@@ -149,17 +156,26 @@ def item_parts(items: DataFrame, window: int = WINDOW, part_words: int = PART_WO
 
 
 def _blocks(items: DataFrame, window: int, block_bytes: int) -> Iterator[pa.Table]:
-    """The windows of the test set in blocks of at most ``block_bytes`` or one part; the driver holds one at a time."""
+    """The windows of the test set in blocks of at most ``block_bytes`` or one part; the driver holds one at a time.
+
+    Parts are hashed into bins until each bin fits; bins are put together as long as they fit a block.
+    """
     parts = item_parts(items, window).withColumn("_size", F.octet_length("text") + 8)
     n = 1
     while True:
-        sizes = parts.groupBy(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)).alias("k")).agg(F.sum("_size").alias("size"), F.count(F.lit(1)).alias("parts"))
-        worst = sizes.agg(F.max(F.when(F.col("parts") > 1, F.col("size")))).first()[0] or 0
+        bin_ = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
+        sizes = parts.groupBy(bin_.alias("bin")).agg(F.sum("_size").alias("size"), F.count(F.lit(1)).alias("parts")).orderBy("bin").collect()  # a row for each block or so
+        worst = max((r["size"] for r in sizes if r["parts"] > 1), default=0)
         if worst <= block_bytes:
             break
         n *= max(2, math.ceil(worst / block_bytes))
-    for k in range(n):
-        yield parts.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).select("item_id", "text").toArrow()
+    block, size = [], 0
+    for r in [*sizes, None]:
+        if block and (r is None or size + r["size"] > block_bytes):
+            yield parts.filter(bin_.isin(block)).select("item_id", "text").toArrow()
+            block, size = [], 0
+        if r is not None:
+            block, size = [*block, r["bin"]], size + r["size"]
 
 
 def search(index: DataFrame, items: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -179,22 +195,19 @@ def search(index: DataFrame, items: DataFrame, window: int = WINDOW, block_bytes
 
         hits = index.select("shard", "content").mapInArrow(each, HIT_SCHEMA)
         out = hits if out is None else out.unionByName(hits)
-    return out
+    return index.sparkSession.createDataFrame([], HIT_SCHEMA) if out is None else out
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, shard_bytes: int = SHARD_BYTES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_words, spans (merged, in words, end exclusive) and items (distinct item_ids) of each document."""
     index = build_index(docs, shard_bytes)
     hits = search(index, items, window, block_bytes)
-    one = hits.groupBy("shard", "place").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"), F.array_distinct(F.flatten(F.collect_list("item_id"))).alias("items"))
-    # Spans of several blocks may overlap: each is joined to the last one if it begins within it.
-    joined = F.aggregate(
-        "spans", F.array().cast("array<struct<start:long,end:long>>"),
-        lambda acc, x: F.when((F.size(acc) > 0) & (F.get(acc, F.size(acc) - 1)["end"] >= x["start"]),
-                              F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(F.get(acc, F.size(acc) - 1)["start"].alias("start"), F.greatest(F.get(acc, F.size(acc) - 1)["end"], x["end"]).alias("end")))))
-        .otherwise(F.concat(acc, F.array(x))),
-    )
-    one = one.withColumn("spans", joined)
+    # Spans of several blocks may meet: a span that begins within what came before it in its document belongs to that.
+    before = Window.partitionBy("shard", "place").orderBy("start", "end")
+    reach = F.max("end").over(before.rowsBetween(Window.unboundedPreceding, -1))
+    numbered = hits.withColumn("_new", F.when(reach >= F.col("start"), 0).otherwise(1)).withColumn("_span", F.sum("_new").over(before))
+    whole = numbered.groupBy("shard", "place", "_span").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.flatten(F.collect_list("item_id")).alias("ids"))
+    one = whole.groupBy("shard", "place").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"), F.array_distinct(F.flatten(F.collect_list("ids"))).alias("items"))
     listed = index.select("shard", F.posexplode(F.arrays_zip("doc_id", "n_words")).alias("place", "d")).select("shard", F.col("place").cast("long").alias("place"), "d.doc_id", "d.n_words")
     none = lambda t: F.array().cast(t)
     return listed.join(one, ["shard", "place"], "left").select("doc_id", "n_words", F.coalesce("spans", none("array<struct<start:long,end:long>>")).alias("spans"), F.coalesce("items", none("array<long>")).alias("items"))

@@ -28,8 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .spelling import Spellings
 from .store import bounded_batches, give_back
-from .words import Words, slices
+from .words import slices
 
 LEAST_LENGTH, LEAST_EXPONENT = 24, 3
 BLOCK = 32
@@ -159,7 +160,7 @@ def planted_tail(doc_id: int | None, n: int) -> np.ndarray | None:
 
 def _slice_runs(batch: pa.RecordBatch, rearranged: Rearranged | None) -> pa.RecordBatch:
     ids, rows = batch.column(0).to_pylist(), batch.num_rows
-    w = Words(batch.column(1), lower=False)
+    w = Spellings(batch.column(1), lower=False)
     total = len(w.starts)
     word = np.arange(total)
     if rearranged is not None:
@@ -168,7 +169,7 @@ def _slice_runs(batch: pa.RecordBatch, rearranged: Rearranged | None) -> pa.Reco
             new = rearranged(doc_id, b - a)
             if new is not None:
                 word[a:b] = a + new
-    spelling = w.interned()[0][word] if total else word
+    spelling = w.interned()[0][word]
     found: list[list[tuple[int, int, int]]] = [[] for _ in range(rows)]
     edge = np.zeros(total + 1, np.int64)
     for a, b in stretches(spelling, w.doc):

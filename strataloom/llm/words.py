@@ -63,13 +63,13 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = 2 << 20) -> Iterator
 
 
 class Words:
-    """Words of one slice. ``starts``, ``ends``: byte positions; ``doc``: row of each word; ``first``: word index where each row begins; ``space``: bytes that part words."""
+    """Words of one slice. ``starts``, ``ends``: byte positions; ``doc``: row of each word; ``first``: word index where each row begins."""
 
-    def __init__(self, column: pa.Array, lower: bool, space: np.ndarray = SPACE):
+    def __init__(self, column: pa.Array, lower: bool):
         data, self.offsets = text_buffer(column)
         self.data = LOWER[data] if lower else data
         n = len(data)
-        word = ~space[self.data]
+        word = ~SPACE[data]
         before = np.empty(n, bool)
         after = np.empty(n, bool)
         if n:
@@ -87,23 +87,6 @@ class Words:
     def hashes(self) -> np.ndarray:
         return span_hashes(self.data, self.starts, self.ends)
 
-    def spelled(self, which: np.ndarray, tails: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(bytes, offsets) of the words ``which`` one behind the other, each with a space after it where ``tails`` is 1."""
-        starts, sizes = self.starts[which], self.ends[which] - self.starts[which]
-        offsets = np.zeros(len(which) + 1, np.int64)
-        np.cumsum(sizes + tails, out=offsets[1:])
-        at = np.arange(offsets[-1])
-        at += np.repeat(starts - offsets[:-1], sizes + tails)
-        out = np.append(self.data, np.uint8(32))[np.minimum(at, len(self.data))]
-        out[offsets[1:][tails > 0] - 1] = 32
-        return out, offsets
-
-    def interned(self) -> tuple[np.ndarray, pa.Array]:
-        """(number of each word's spelling, spellings); spellings are numbered in the order in which they come up."""
-        out, offsets = self.spelled(np.arange(len(self.starts)), np.zeros(len(self.starts), np.int64))
-        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(self.starts), [None, pa.py_buffer(offsets), pa.py_buffer(out)]).dictionary_encode()
-        return words.indices.to_numpy(), words.dictionary
-
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of byte spans, by differences of one prefix sum of a polynomial modulo 2**64."""

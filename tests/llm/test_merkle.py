@@ -52,12 +52,12 @@ def plain(rows):
 
 @pytest.fixture(scope="module")
 def rows():
-    out = [(i, f"s{i % 7}" if i % 3 else "hot", None if i % 5 == 0 else "en", i, f"line {i}\nnext" if i % 4 else None) for i in range(400)]
+    out = [(i, f"s{i % 5}" if i % 3 else "hot", None if i % 5 == 0 else "en", i, f"line {i}\nnext" if i % 4 else None) for i in range(150)]
     out += [(i, None, "de", None, "x\n") for i in range(500, 530)] + [(7, "hot", "en", 7, "again"), (7, "hot", "en", 7, "again"), (None, "hot", None, None, None), (None, "é", "x", 1, "\n"), (900, "Z", "x", 1, "long " * 50_000 + "\n")]
     return out
 
 
-@pytest.mark.parametrize("levels", [1, 2, 8])
+@pytest.mark.parametrize("levels", [2, 8])
 def test_manifest_equals_the_tree_in_memory(spark, rows, levels):
     df = spark.createDataFrame([(*r, "a", 2) for r in rows], "doc_id long, source string, lang string, n_chars long, text string, hash string, place int").repartition(5)
     got = merkle.verified(merkle.manifest(df, levels, merkle.without_line_ends())).collect()
