@@ -58,8 +58,20 @@ def test_graph_of_the_small_project(scanned):
     ids = {n.id: n for n in nodes}
     between = [e.relation for e in g.edges.filter("layer = 2").collect() if ids[e.source_id].key == "membership" and ids[e.target_id].key == "payment" and ids[e.target_id].kind == "concept"]
     assert between == ["depends_on"]
-    notes = {r.note: r.body for r in project.vault_notes(g).collect()}
-    assert notes["membership.md"].startswith("# 会员升级")
+    spark = g.nodes.sparkSession
+    tasks = spark.createDataFrame([("t", "Fix it", "completed", "2024", "")], "task string, title string, status string, created_at string, summary string")
+    notes = [r.body for r in project.vault_notes(g, "shop", "/shop", tasks, spark.createDataFrame([("t", "membership")], "task string, key string")).collect()]
+    own = next(b for b in notes if b.startswith("# 会员升级"))
+    assert "src/membership/upgrade.py" in own and "depends_on [[" in own and "Fix it" in own
+    data = {n.key: json.loads(n.data) for n in nodes if n.kind == "concept"}
+    assert data["membership"]["active"] and data["membership"]["roles"] and isinstance(data["membership"]["keywords"], list)
+
+
+def test_concepts_without_files_stay_inactive(spark, scanned):
+    left = {p: c for p, c in FILES.items() if not p.startswith("src/payment/")}
+    g, _ = project.scan(table(spark, left), scanned.facts, before=scanned.nodes)
+    data = {n.key: json.loads(n.data) for n in g.nodes.filter("kind = 'concept'").collect()}
+    assert data["payment"]["active"] is False and data["payment"]["file_count"] == 0 and data["membership"]["active"]
 
 
 def test_search_reaches_the_feature(spark, scanned):
