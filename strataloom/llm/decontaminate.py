@@ -29,7 +29,7 @@ from .store import bounded_batches, give_back, materialize
 from .words import LOWER, slices, text_buffer
 
 WINDOW = 10
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 BLOCK_BYTES = 8 << 20
 PART_WORDS = 1 << 16
 ROWS_AT_ONCE = 1 << 18

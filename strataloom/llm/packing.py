@@ -3,15 +3,17 @@
 Documents become token ids once, and each gets a content signature: the least token under a few fixed random orders in which
 longer tokens tend to come first (weighted min-wise sampling), so documents that share much share their signature with about
 the probability of their weighted overlap. The corpus is sorted by signature and cut into shards of bounded size; a group of
-copies of any size spreads over as many neighbouring shards as it needs. A document's shard thus depends on its contents
-alone, not on the place or partition where it is stored.
+copies of any size spreads over as many neighbouring shards as it needs. The order depends on contents alone, not on the place
+where a document is stored; where one shard ends and the next begins follows from the ranges of the sort, which are drawn from
+the partitions of the input, so the same rows in other partitions may be packed otherwise.
 
 Terms are token ids, so document frequencies over the whole corpus are a table of the vocabulary's size. Each shard has an
 inverted index. The first unused document seeds a window; all its terms query the index, and the unused documents of the
 highest scores follow it until the window is full. The last one is cut where the window ends and its rest seeds the next
 window. What is left at a shard's end is cut into powers of two, which need no padding.
 
-A seed is not compared with other shards: that would be quadratic in the corpus. ``shard_recall`` measures what it misses.
+A seed is not compared with other shards, so neighbours in other shards are missed: a search of every shard for every seed
+would read the whole index once a shard, beyond the CPU that this operator may take. ``shard_recall`` measures what is missed.
 
 Defined results: null and empty texts are one end id; repeated rows are packed each; every id lies in exactly one piece; ties
 go to the row that sorts first by signature, then by a hash of doc_id; texts of any length are encoded whole and span as many
