@@ -275,7 +275,7 @@ def vault_notes(graph: Graph, project: str, root: str, tasks: DataFrame, affects
     """The vault (``vault.notes``) of one project of a graph; tasks(task, title, status, created_at, summary), affects(task, key)."""
     label = graph.nodes.filter(F.col("project_id") == project).select("id", "layer", "kind", "key", "label")
     concepts = label.filter("layer = 2 AND kind = 'concept'")
-    own = graph.edges.filter((F.col("project_id") == project) & (F.col("layer") == 2)).join(concepts.select(F.col("id").alias("source_id"), F.col("key").alias("source")), "source_id")
+    own = graph.edges.filter((F.col("project_id") == project) & (F.col("layer") == 2)).select("source_id", "relation", "target_id").join(concepts.select(F.col("id").alias("source_id"), F.col("key").alias("source")), "source_id")
     files = own.join(label.filter("layer = 1 AND kind = 'file'").select(F.col("id").alias("target_id"), F.col("key").alias("path")), "target_id").select(F.col("source").alias("key"), "path").distinct()
     relations = own.join(concepts.select(F.col("id").alias("target_id"), F.col("key").alias("target")), "target_id").select("source", "relation", "target").distinct()
     return vault.notes(project, root, concepts.select("key", "label"), files, relations, tasks, affects)
