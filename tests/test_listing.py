@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from strataloom.functions import scalars as S
-from strataloom.sources import eventlog, extract, listing, store
+from strataloom.sources import eventlog, extract, listing, rules, store
 
 
 def test_names_are_ignored_below_the_root_only(spark, tmp_path):
@@ -41,3 +41,9 @@ def test_paths_of_events(spark):
     at = lambda p: one(S.event_path(F.lit(p), F.lit("/r/p")))
     assert at("/r/p/a/../b.py") == "b.py" and at("a\\b") == "a/b" and at("/r/px/a") is None and at("../a") is None
     assert one(S.loose_path(F.lit(".\\..\\x/y"))) == "x/y" and one(S.clean_title(F.lit("  a  b "))) == "a b" and one(S.clean_title(F.lit(" "))) == S.fixed.UNNAMED
+
+
+def test_values_that_name_files():
+    yes = [("inputPath", "x"), ("k", "a.json"), ("k", "/A.YML"), ("k", "./x"), ("k", "../x"), ("HREF", "y"), ("data_file", "z"), ("k", "a b.nc4")]
+    no = [("k", "a.exe"), ("k", ".json"), ("k", "json"), ("k", "a\nb.json"), ("pathway", "x"), ("k", "")]
+    assert all(rules.names_path(*x) for x in yes) and not any(rules.names_path(*x) for x in no)
