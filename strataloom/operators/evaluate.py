@@ -16,8 +16,8 @@ def latest_runs(runs: DataFrame) -> DataFrame:
 
 
 def summary(runs: DataFrame) -> DataFrame:
-    """Per (run_kind, mode): cases, mean tokens and the share of successes among runs whose success is known."""
-    return runs.groupBy("run_kind", "mode").agg(F.count(F.lit(1)).alias("cases"), F.avg("tokens").alias("avg_tokens"), F.avg("recall").alias("avg_recall"), F.avg(F.col("success").cast("double")).alias("success_rate"))
+    """Per (run_kind, mode): cases, means of tokens, recall, input_tokens, output_tokens and duration_ms over the runs that have them, and the share of successes among runs whose success is known."""
+    return runs.groupBy("run_kind", "mode").agg(*[F.avg(c).alias(f"avg_{c}") for c in ("input_tokens", "output_tokens", "duration_ms") if c in runs.columns], F.count(F.lit(1)).alias("cases"), F.avg("tokens").alias("avg_tokens"), F.avg("recall").alias("avg_recall"), F.avg(F.col("success").cast("double")).alias("success_rate"))
 
 
 def metric_means(runs: DataFrame) -> DataFrame:

@@ -107,13 +107,14 @@ def backfill_order(spark, sf):
 
 _RUNS = """
     SELECT lang AS run_kind, source AS mode, CAST(doc_id % 60 AS VARCHAR) AS case_key, doc_id AS seq, doc_id % 4 AS created_at, n_chars AS tokens, (CASE WHEN quality = 1 THEN 1.0 ELSE 0.5 END)::DOUBLE AS recall,
-           CASE WHEN toxic IS NULL THEN NULL ELSE toxic = 0 END AS success FROM documents LEFT JOIN labels USING (doc_id)
+           CASE WHEN toxic IS NULL THEN NULL ELSE toxic = 0 END AS success, n_chars % 991 AS input_tokens, CASE WHEN doc_id % 5 > 0 THEN n_chars % 83 END AS output_tokens, CASE WHEN doc_id % 7 > 0 THEN doc_id % 977 END AS duration_ms FROM documents LEFT JOIN labels USING (doc_id)
 """
 
 
 def _runs(spark, sf):
     d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left")
-    return d.select(F.col("lang").alias("run_kind"), F.col("source").alias("mode"), (F.col("doc_id") % 60).cast("string").alias("case_key"), F.col("doc_id").alias("seq"), (F.col("doc_id") % 4).alias("created_at"), F.col("n_chars").alias("tokens"), F.when(F.col("quality") == 1, 1.0).otherwise(0.5).alias("recall"), (F.col("toxic") == 0).alias("success"))
+    return d.select(F.col("lang").alias("run_kind"), F.col("source").alias("mode"), (F.col("doc_id") % 60).cast("string").alias("case_key"), F.col("doc_id").alias("seq"), (F.col("doc_id") % 4).alias("created_at"), F.col("n_chars").alias("tokens"), F.when(F.col("quality") == 1, 1.0).otherwise(0.5).alias("recall"), (F.col("toxic") == 0).alias("success"),
+                    (F.col("n_chars") % 991).alias("input_tokens"), F.when(F.col("doc_id") % 5 > 0, F.col("n_chars") % 83).alias("output_tokens"), F.when(F.col("doc_id") % 7 > 0, F.col("doc_id") % 977).alias("duration_ms"))
 
 
 _LATEST = f"WITH r AS ({_RUNS}), l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY case_key, run_kind, mode ORDER BY created_at DESC, seq) AS p FROM r) WHERE p = 1)"
@@ -124,9 +125,9 @@ def latest_run(spark, sf):
     return evaluate.latest_runs(_runs(spark, sf)).select("case_key", "run_kind", "mode", "seq")
 
 
-@query(_LATEST + " SELECT run_kind, mode, count(*) AS cases, round(avg(tokens), 6) AS avg_tokens, round(avg(recall), 6) AS avg_recall, round(avg(success::INT), 6) AS success_rate FROM l GROUP BY run_kind, mode")
+@query(_LATEST + " SELECT run_kind, mode, count(*) AS cases, round(avg(tokens), 6) AS avg_tokens, round(avg(recall), 6) AS avg_recall, round(avg(success::INT), 6) AS success_rate, round(avg(input_tokens), 6) AS avg_input_tokens, round(avg(output_tokens), 6) AS avg_output_tokens, round(avg(duration_ms), 6) AS avg_duration_ms FROM l GROUP BY run_kind, mode")
 def suite_summary(spark, sf):
-    return evaluate.summary(evaluate.latest_runs(_runs(spark, sf))).withColumns({c: F.round(c, 6) for c in ("avg_tokens", "avg_recall", "success_rate")})
+    return evaluate.summary(evaluate.latest_runs(_runs(spark, sf))).withColumns({c: F.round(c, 6) for c in ("avg_tokens", "avg_recall", "success_rate", "avg_input_tokens", "avg_output_tokens", "avg_duration_ms")})
 
 
 @query(_LATEST + " SELECT run_kind, mode, metric, round(avg(value), 6) AS mean FROM (SELECT run_kind, mode, unnest(['recall', 'tokens']) AS metric, unnest([recall, tokens::DOUBLE]) AS value FROM l) GROUP BY run_kind, mode, metric")
