@@ -55,18 +55,22 @@ def python_modules(modules: DataFrame, paths: DataFrame) -> DataFrame:
     return tried.join(paths.select("path"), "path").groupBy("source", "module", "level", "_prefix").agg(F.min_by("path", "_at").alias("target")).select("source", "module", "level", "target").distinct()
 
 
+def tested_names(path: Column) -> Column:
+    """Names of the files that a test file may be about; none for other files."""
+    name = S.basename(path)
+    return F.filter(
+        F.array(F.when(F.startswith(name, F.lit("test_")) & (S.suffix(path) == ".py"), F.substring(name, 6, 1000)), F.when(F.contains(name, F.lit(".test.")), F.regexp_replace(name, r"\.test\.(?!.*\.test\.)", ".")), F.when(F.contains(name, F.lit(".spec.")), F.regexp_replace(name, r"\.spec\.(?!.*\.spec\.)", "."))),
+        lambda x: x.isNotNull(),
+    )
+
+
 def test_targets(paths: DataFrame, within: Sequence[str] = ()) -> DataFrame:
     """(source, target): the file that a test file is about, most shared path parts first, then the shallowest, then by name.
 
     Files meet only if they agree in the columns ``within``, which the result has too.
     """
-    name = S.basename(F.col("path"))
-    wanted = F.filter(
-        F.array(F.when(F.startswith(name, F.lit("test_")) & (S.suffix(F.col("path")) == ".py"), F.substring(name, 6, 1000)), F.when(F.contains(name, F.lit(".test.")), F.regexp_replace(name, r"\.test\.(?!.*\.test\.)", ".")), F.when(F.contains(name, F.lit(".spec.")), F.regexp_replace(name, r"\.spec\.(?!.*\.spec\.)", "."))),
-        lambda x: x.isNotNull(),
-    )
-    tests = paths.select(*within, F.col("path").alias("source"), F.explode(wanted).alias("name"))
-    index = paths.select(*within, F.col("path").alias("target"), name.alias("name"))
+    tests = paths.select(*within, F.col("path").alias("source"), F.explode(tested_names(F.col("path"))).alias("name"))
+    index = paths.select(*within, F.col("path").alias("target"), S.basename(F.col("path")).alias("name"))
     shared = F.size(F.array_intersect(F.split("source", "/"), F.split("target", "/")))
     order = Window.partitionBy(*within, "source").orderBy(shared.desc(), F.size(F.split("target", "/")), "target")
     return tests.join(index, [*within, "name"]).withColumn("_place", F.row_number().over(order)).filter("_place = 1").select(*within, "source", "target")

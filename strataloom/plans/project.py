@@ -8,12 +8,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import fixed
 from ..functions import scalars as S
-from ..operators import overlay, resolve, semantic
+from ..operators import overlay, semantic
 from ..runtime import stored
-from ..sources import extract, listing, provider, rules
-from . import vault
+from ..sources import extract, listing, provider
+from . import references, vault
 
 
 @dataclass
@@ -26,21 +25,6 @@ class Graph:
     file_edges: DataFrame
 
 
-def _extensions() -> Column:
-    """Extensions to try for a reference, by how and in which language it was written."""
-    out = F.when(F.col("how") == "document", F.array(*map(F.lit, fixed.MARKDOWN_EXTENSIONS))).when(F.col("how") == "structured", F.array(*map(F.lit, rules.STRUCTURED_EXTENSIONS[1:])))
-    for name, rule in rules.RULES.items():
-        if rule["extensions"]:
-            out = out.when(F.col("language") == name, F.array(*map(F.lit, rule["extensions"])))
-    return F.coalesce(out, F.array().cast("array<string>"))
-
-
-def _attempts(base: Column, extensions: Column) -> Column:
-    """Paths to try for a normalised path, in order; only the path itself if it has an extension."""
-    more = F.concat(F.transform(extensions, lambda e: F.concat(base, e)), F.transform(extensions, lambda e: F.concat(base, F.lit("/index"), e)), F.array(F.concat(base, F.lit("/__init__.py"))))
-    return F.when(base.isNotNull(), F.concat(F.array(base), F.when(S.suffix(base) == "", more).otherwise(F.array().cast("array<string>"))))
-
-
 def file_edges(facts: DataFrame) -> DataFrame:
     """(project_id, source, relation, target): resolved references and test targets."""
     return resolved(facts)[0]
@@ -49,59 +33,10 @@ def file_edges(facts: DataFrame) -> DataFrame:
 def resolved(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Edges between files, and (project_id, path, external): the packages that a file's unresolved imports name.
 
-    Every way of resolving by path is a list of attempts, every way by unique name a list of keys: one join each over all
-    files of all projects.
+    Every way of resolving by path or by unique name is a list of keys: one join over all files of all projects.
     """
-    r = facts.select("project_id", F.col("path").alias("source"), F.explode("references").alias("r")).select("project_id", "source", "r.relation", F.split("r.how", ":").getItem(0).alias("how"), F.get(F.split("r.how", ":"), F.lit(1)).alias("language"), "r.value")
-    paths = facts.select("project_id", "path")
-    value, folder = F.col("value"), S.parent(F.col("source"))
-    join = lambda *parts: F.concat_ws("/", *[F.when(x != "", x) for x in parts])
-
-    local = F.regexp_replace(value, "[#?].*$", "")
-    foreign = F.lit(False)
-    for scheme in fixed.FOREIGN_SCHEMES:
-        foreign = foreign | F.startswith(value, F.lit(scheme))
-    base = S.normalize_path(F.when(F.startswith(local, F.lit("/")), local).otherwise(join(folder, local)))
-    by_path = F.when(~foreign & (local != ""), F.array(_attempts(base, _extensions())))
-    x = F.split(value, r"\|")
-    level, module = x.getItem(0).cast("int"), F.replace(x.getItem(1), F.lit("."), F.lit("/"))
-    above = F.array_join(F.slice(F.split("source", "/"), F.lit(1), F.greatest(F.size(F.split("source", "/")) - 1 - F.greatest(level - 1, F.lit(0)), F.lit(0))), "/")
-    prefixes = F.when(level > 0, F.array(above)).otherwise(F.array(F.lit(""), F.lit("src"), F.lit("lib"), F.lit("app")))
-    python = F.transform(prefixes, lambda q: _attempts(S.normalize_path(F.concat_ws("/", F.when(q != "", q), module)), F.array(F.lit(".py"))))
-    rust = F.array(F.array(join(folder, F.concat(value, F.lit(".rs"))), join(folder, F.concat(value, F.lit("/mod.rs")))))
-    dotted = F.startswith(value, F.lit(".")) | F.startswith(value, F.lit("/"))
-    groups = F.when(F.col("how") == "python", python).when(F.col("how") == "rust_module", rust).when(F.col("how").isin("document", "structured", "relative") | ((F.col("how") == "module") & dotted), by_path)
-    keys = ["project_id", "source", "relation", "how", "value"]
-    tried = r.select(*keys, F.posexplode(groups).alias("g", "attempts")).select(*keys, "g", F.posexplode("attempts").alias("at", "path"))
-    found = tried.join(paths, ["project_id", "path"]).groupBy(*keys, "g").agg(F.min_by("path", "at").alias("target"))
-
-    name, stem = F.lower(S.basename(F.col("path"))), F.lower(S.stem(F.col("path")))
-    entry = lambda kind, key: F.struct(F.lit(kind).alias("kind"), key.alias("key"))
-    tails = F.split(F.lower(S.parent(F.col("path"))), "/")
-    go = F.when((S.suffix(F.col("path")) == ".go") & ~F.endswith("path", F.lit("_test.go")), F.transform(F.sequence(F.lit(1), F.size(tails)), lambda k: F.struct(F.lit("go").alias("kind"), F.array_join(F.slice(tails, k, F.size(tails)), "/").alias("key"))))
-    names = F.filter(F.array(entry("name", name), entry("stem", stem), *[F.when(S.suffix(F.col("path")).isin(rules.RULES[n]["suffixes"]), entry(f"stem:{n}", stem)) for n in ("java", "rust")]), lambda e: e.isNotNull())
-    index = paths.select("project_id", "path", F.explode(F.concat(names, F.coalesce(go, F.array().cast("array<struct<kind:string,key:string>>")))).alias("e")).groupBy("project_id", "e.kind", "e.key").agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("target")).filter("n = 1").drop("n")
-    ref = F.lower(S.basename(value))
-    last = F.lower(F.regexp_replace(F.regexp_replace(F.split(value, r"::\{").getItem(0), r"\.\*$", ""), r"^.*(\.|::|/)", ""))
-    wanted = F.when(F.col("how") == "document", F.array(entry("name", ref), entry("stem", F.regexp_replace(ref, r"(?<=.)\.[^.]+$", "")))).when(F.col("how") == "qualified", F.array(F.struct(F.concat(F.lit("stem:"), "language").alias("kind"), last.alias("key")))).when((F.col("how") == "go") & F.startswith(value, F.concat("mod", F.lit("/"))), F.array(entry("go", F.lower(F.substr(value, F.length("mod") + 2)))))
-    modules = facts.filter("path = 'go.mod'").select("project_id", F.get_json_object("metadata", "$.module").alias("mod"))
-    named = r.join(modules, "project_id", "left").select(*keys, F.posexplode(wanted).alias("at", "e")).select(*keys, "at", "e.kind", "e.key").join(index, ["project_id", "kind", "key"]).groupBy(*keys).agg(F.min_by("target", "at").alias("target"))
-    named = named.join(found.select(*keys), keys, "left_anti")
-
-    tests = resolve.test_targets(paths, ["project_id"]).select("project_id", "source", F.lit("tests").alias("relation"), "target")
-    flat = ["project_id", "source", "relation", "target"]
-    edges = found.select(*flat).unionByName(named.select(*flat)).unionByName(tests).filter("source <> target").distinct()
-
-    package = F.when(F.startswith(value, F.lit("@")), F.array_join(F.slice(F.split(value, "/"), 1, 2), "/")).otherwise(F.split(value, "/").getItem(0))
-    root = (
-        F.when(F.col("how") == "python", F.when(level == 0, x.getItem(2))).when(F.col("how") == "qualified", F.regexp_extract(value, r"^(\w+)", 1)).when(F.col("how").isin("system", "go"), value)
-        .when((F.col("how") == "module") & ~dotted, package)
-    )
-    # A Rust path that begins in its own crate is no package.
-    loose = r.join(found.select(*keys).unionByName(named.select(*keys)), keys, "left_anti").withColumn("root", root).filter("root <> '' AND NOT (how = 'qualified' AND root IN ('crate', 'self', 'super', 'std'))")
-    own = facts.select("project_id", "path", F.explode("external").alias("root"))
-    names = loose.select("project_id", F.col("source").alias("path"), "root").unionByName(own)
-    return edges, names.groupBy("project_id", "path").agg(F.slice(F.array_sort(F.collect_set("root")), 1, 100).alias("external"))
+    found = references.state(facts)
+    return found.edges(), found.packages()
 
 
 def build(facts: DataFrame, before: DataFrame | None = None) -> Graph:
