@@ -8,7 +8,9 @@ from pyspark.sql.window import Window
 from ..functions import fixed
 from ..functions import scalars as S
 from ..operators import graph, overlay, resolve, semantic
-from ..runtime import importable, table
+from ..runtime import importable, stored, table
+from ..sources import listing
+from . import references
 from .registry import query
 from .standins import FILES_SQL, files
 
@@ -158,6 +160,43 @@ def change_set(spark, sf):
     return found.select((F.col("change") == "new").alias("is_new"), (F.col("change") == "deleted").alias("is_deleted"), F.col("path").alias("o_orderkey"))
 
 
+def _linked_sql(part: str, order: str, line: str) -> str:
+    """Edges of order notes to the parts of their lines: by path, else by a name in the attic, else by the only note of the number."""
+    return f"""
+        SELECT DISTINCT 'orders/' || l_orderkey || '.md' AS source, CASE WHEN {part.format('l_partkey')} THEN 'parts/' || l_partkey || '.py' WHEN l_partkey % 10 = 0 THEN 'attic/' || l_partkey || '.py' ELSE 'orders/' || l_partkey || '.md' END AS target
+        FROM lineitem WHERE {order.format('l_orderkey')} AND ({line}) AND l_orderkey IN (SELECT o_orderkey FROM orders) AND l_partkey IN (SELECT p_partkey FROM part)
+        AND ({part.format('l_partkey')} OR l_partkey % 10 = 0 OR (l_partkey <> l_orderkey AND {order.format('l_partkey')} AND l_partkey IN (SELECT o_orderkey FROM orders)))
+    """
+
+
+def _note_facts(spark, sf, parts: str, orders: str, line: str):
+    """Facts of a tree of part files and order notes; a note refers to the parts of its lines that ``line`` keeps."""
+    p, o, li = table(spark, sf, "part"), table(spark, sf, "orders"), table(spark, sf, "lineitem").join(table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey")), "l_partkey", "left_semi")
+    none = F.array().cast("array<struct<relation:string,how:string,value:string>>")
+    fact = lambda df, path, refs: df.select(F.lit("p").alias("project_id"), path.alias("path"), refs.alias("references"), F.array().cast("array<string>").alias("external"), F.lit("{}").alias("metadata"))
+    said = li.filter(line).groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_set(F.struct(F.lit("references").alias("relation"), F.lit("document").alias("how"), F.concat(F.lit("../parts/"), "l_partkey", F.lit(".py")).alias("value"))).alias("refs"))
+    notes = fact(o.filter(orders).join(said, "o_orderkey", "left"), F.concat(F.lit("orders/"), "o_orderkey", F.lit(".md")), F.coalesce("refs", none))
+    return notes.unionByName(fact(p.filter(parts), F.concat(F.lit("parts/"), "p_partkey", F.lit(".py")), none)).unionByName(fact(p.filter("p_partkey % 10 = 0"), F.concat(F.lit("attic/"), "p_partkey", F.lit(".py")), none))
+
+
+@query(f"""
+    WITH a AS ({_linked_sql('{} % 7 <> 0', '{} % 11 <> 0', 'true')}), b AS ({_linked_sql('{} % 5 <> 0', '{} % 13 <> 0', 'l_orderkey % 3 <> 0 OR l_quantity > 25')})
+    SELECT coalesce(a.source, b.source) AS source, coalesce(a.target, b.target) AS target, CASE WHEN a.source IS NULL THEN 'inserted' WHEN b.source IS NULL THEN 'deleted' ELSE 'kept' END AS change
+    FROM a FULL JOIN b ON a.source = b.source AND a.target = b.target
+""")
+def edges_by_difference(spark, sf):
+    """A tree of notes and parts is scanned; files come, go and change; edges follow from the change set and the stored references."""
+    then = _note_facts(spark, sf, "p_partkey % 7 <> 0", "o_orderkey % 11 <> 0", "true")
+    now = stored(_note_facts(spark, sf, "p_partkey % 5 <> 0", "o_orderkey % 13 <> 0", "l_orderkey % 3 <> 0 OR l_quantity > 25"), "facts")
+    signed = lambda df: df.select("project_id", "path", F.array_sort("references").alias("references"))
+    changes = stored(listing.change_set(signed(now), signed(then), ["project_id", "path"], ["references"]), "changes")
+    before = references.state(then).stored()
+    _, found = references.update(before, now.join(changes.filter("change <> 'deleted'"), ["project_id", "path"], "left_semi"), changes)
+    ends = ["source", "target"]
+    kept = before.edges().join(found.deleted, references.EDGE, "left_anti")
+    return kept.select(*ends, F.lit("kept").alias("change")).unionByName(found.deleted.select(*ends, F.lit("deleted").alias("change"))).unionByName(found.inserted.select(*ends, F.lit("inserted").alias("change")))
+
+
 @query("SELECT DISTINCT l_orderkey FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size < 3)")
 def dependents_semi(spark, sf):
     gone = table(spark, sf, "part").filter("p_size < 3").select(F.col("p_partkey").alias("l_partkey"))

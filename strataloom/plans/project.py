@@ -23,6 +23,7 @@ class Graph:
     edges: DataFrame
     facts: DataFrame
     file_edges: DataFrame
+    references: references.State | None = None
 
 
 def file_edges(facts: DataFrame) -> DataFrame:
@@ -39,9 +40,13 @@ def resolved(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return found.edges(), found.packages()
 
 
-def build(facts: DataFrame, before: DataFrame | None = None) -> Graph:
-    """Physical and semantic layers of the facts; of the nodes ``before`` concepts that no file has any more stay inactive, and concepts keep their keywords."""
-    edges, packages = resolved(facts)
+def build(facts: DataFrame, before: DataFrame | None = None, state: references.State | None = None) -> Graph:
+    """Physical and semantic layers of the facts; of the nodes ``before`` concepts that no file has any more stay inactive, and concepts keep their keywords.
+
+    ``state`` are the references of all the facts, if a scan has them already; else they are resolved.
+    """
+    state = references.state(facts) if state is None else state
+    edges, packages = state.edges(), state.packages()
     sid = lambda kind, key: S.stable_id("node_", F.col("project_id"), F.lit("1"), kind, key)
     file_data = F.to_json(F.struct("extractor", "digest", F.col("is_text"), F.parse_json("metadata").alias("metadata"), "roles", "size", "warnings", S.language(F.col("path")).alias("language"), "external"))
     files = facts.drop("external").join(packages, ["project_id", "path"], "left").select("project_id", F.lit(1).alias("layer"), F.lit("file").alias("kind"), F.col("path").alias("key"), F.coalesce(F.get_json_object("metadata", "$.title"), S.basename(F.col("path"))).alias("label"), file_data.alias("data"), F.lit(1.0).alias("confidence"), F.lit("filesystem").alias("source"))
@@ -91,7 +96,7 @@ def build(facts: DataFrame, before: DataFrame | None = None) -> Graph:
     lifted = lifted.select(halves("source_concept", 0).alias("project_id"), halves("source_concept", 1).alias("a"), halves("target_concept", 1).alias("b"), "relation", "confidence", F.to_json(F.struct("n", "evidence")).alias("evidence"))
     depends = edge(lifted, 2, l2("concept", F.col("a")), F.col("relation"), l2("concept", F.col("b")), F.col("confidence"), "semantic-heuristic", F.col("evidence"))
     every = l1.unionByName(contains).unionByName(related).unionByName(owns).unionByName(holds).unionByName(depends).distinct()
-    return Graph(nodes, every.withColumn("id", S.stable_id("edge_", *[F.col(c) for c in ("project_id", "layer", "source_id", "relation", "target_id")])), facts, edges)
+    return Graph(nodes, every.withColumn("id", S.stable_id("edge_", *[F.col(c) for c in ("project_id", "layer", "source_id", "relation", "target_id")])), facts, edges, state)
 
 
 def apply_corrections(graph: Graph, log: DataFrame) -> Graph:
@@ -100,7 +105,7 @@ def apply_corrections(graph: Graph, log: DataFrame) -> Graph:
     The automatic layers are built anew at every scan and corrections apply to them again, so a scan never loses one. Keys carry
     their project while corrections apply, so projects can't touch each other. Corrections with an error are left out.
     """
-    graph = Graph(stored(graph.nodes, "nodes"), stored(graph.edges, "edges"), graph.facts, graph.file_edges)
+    graph = Graph(stored(graph.nodes, "nodes"), stored(graph.edges, "edges"), graph.facts, graph.file_edges, graph.references)
     own = lambda c: F.concat_ws("\x1e", "project_id", c)
     part = lambda c, k: F.split(c, "\x1e").getItem(k)
     ok = overlay.checked(log).filter("error IS NULL")
@@ -139,17 +144,18 @@ def apply_corrections(graph: Graph, log: DataFrame) -> Graph:
     before = graph.edges.select("id", F.col("confidence").alias("_c"), F.col("source").alias("_s"))
     e = e.join(before, "id", "left").select("project_id", "layer", "source_id", "relation", "target_id", "data", F.when(F.col("human"), 1.0).otherwise(F.col("_c")).alias("confidence"), F.when(F.col("human"), "human-overlay").otherwise(F.col("_s")).alias("source"), "id")
     edges = graph.edges.join(mine.select("id"), "id", "left_anti").select(e.columns).unionByName(e)
-    return Graph(kept_nodes.unionByName(fresh.select(kept_nodes.columns)), edges, graph.facts, graph.file_edges)
+    return Graph(kept_nodes.unionByName(fresh.select(kept_nodes.columns)), edges, graph.facts, graph.file_edges, graph.references)
 
 
-def scan(files: DataFrame, previous: DataFrame | None = None, plugins: list[extract.Plugin] = (), corrections: DataFrame | None = None, ask: Callable[[Graph], Graph] | None = None, before: DataFrame | None = None) -> tuple[Graph, DataFrame]:
+def scan(files: DataFrame, previous: DataFrame | None = None, plugins: list[extract.Plugin] = (), corrections: DataFrame | None = None, ask: Callable[[Graph], Graph] | None = None, before: DataFrame | None = None, state: references.State | None = None) -> tuple[Graph, DataFrame]:
     """(graph, changes) of files(project_id, path, mtime_ns, size, content); ``previous`` are the facts of the last scan with mtime_ns.
 
     ``before`` are the nodes of the last scan's graph: concepts without files stay in the graph, inactive, and keywords are kept.
     ``ask`` adds what an external provider says (``ask_provider``); ``corrections`` are applied to the whole, at every scan.
 
     Only new and changed files, and files of another extractor signature, are read again. Raw references are kept with the
-    facts and join anew each time, so a new file also satisfies references that did not resolve before.
+    facts, so a new file also satisfies references that did not resolve before. With ``state``, the stored references of the last
+    scan's graph, only files whose references have another answer now are resolved again; without it all references join anew.
     """
 
     def corrected(g: Graph) -> Graph:
@@ -164,8 +170,11 @@ def scan(files: DataFrame, previous: DataFrame | None = None, plugins: list[extr
     changes = listing.change_set(now, previous, ["project_id", "path"], ["mtime_ns", "size", "extractor"])
     fresh = files.join(changes.filter("change <> 'deleted'").select("project_id", "path"), ["project_id", "path"], "left_semi")
     kept = previous.join(changes.select("project_id", "path"), ["project_id", "path"], "left_anti")
-    facts = kept.unionByName(extract.extract_files(fresh, plugins).join(fresh.select("project_id", "path", "mtime_ns"), ["project_id", "path"]))
-    return corrected(build(facts, before)), changes
+    read = extract.extract_files(fresh, plugins).join(fresh.select("project_id", "path", "mtime_ns"), ["project_id", "path"])
+    if state is not None:
+        changes, read = stored(changes, "changes"), stored(read, "facts")
+        state, _ = references.update(state, read, changes)
+    return corrected(build(kept.unionByName(read), before, state)), changes
 
 
 def merge_provider(graph: Graph, concepts: DataFrame, relations: DataFrame) -> Graph:
@@ -197,7 +206,7 @@ def merge_provider(graph: Graph, concepts: DataFrame, relations: DataFrame) -> G
     linked = linked.join(ends.select(F.col("id").alias("source_id")), "source_id", "left_semi").join(ends.select(F.col("id").alias("target_id")), "target_id", "left_semi")
     extra = mapped.unionByName(linked).withColumn("layer", F.lit(2)).withColumn("source", name)
     extra = last(extra.withColumn("id", S.stable_id("edge_", *[F.col(x) for x in ("project_id", "layer", "source_id", "relation", "target_id")])))
-    return Graph(merged, graph.edges.join(extra.select("id"), "id", "left_anti").unionByName(extra), graph.facts, graph.file_edges)
+    return Graph(merged, graph.edges.join(extra.select("id"), "id", "left_anti").unionByName(extra), graph.facts, graph.file_edges, graph.references)
 
 
 def ask_provider(graph: Graph, projects: DataFrame, command: str, timeout: float = provider.TIMEOUT) -> Graph:
