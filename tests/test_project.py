@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strataloom.operators import search
-from strataloom.plans import project
+from strataloom.plans import project, references
 from strataloom.sources import extract, listing, provider
 
 FILES = {
@@ -95,6 +95,21 @@ def test_second_scan_reads_nothing(spark, scanned):
     assert {(r.path, r.change) for r in changes.collect()} == {("docs/membership.md", "changed"), ("tests/test_upgrade.py", "deleted")}
 
 
+def test_scan_by_differences_gives_the_whole_graph(spark, scanned):
+    more = dict(FILES) | {"docs/membership.md": "# 会员升级\n\n[later](later.md)\n", "docs/later.md": "# Later\n\n[upgrade](../src/membership/upgrade.py)\n", "src/membership/extra.py": "import numpy\nimport src.payment.refund\n"}
+    del more["src/payment/service.py"]
+    files = table(spark, more)
+    step, changes = project.scan(files, scanned.facts, state=references.state(scanned.facts).stored())
+    whole, _ = project.scan(files)
+    assert changes.count() == 4
+    nodes = lambda g: sorted((n.kind, n.key, n.label, n.data) for n in g.nodes.collect())
+    assert nodes(step) == nodes(whole)
+    edges = lambda g: sorted((e.id, e.relation, e.data, e.confidence) for e in g.edges.collect())
+    assert edges(step) == edges(whole)
+    found = {tuple(r)[1:] for r in step.references.edges().collect()}
+    assert ("docs/membership.md", "references", "docs/later.md") in found and not any(target == "src/payment/service.py" for _, _, target in found)
+
+
 def test_provider_is_clamped_and_unknown_ends_go(spark, scanned):
     g = scanned
     concepts = spark.createDataFrame([("shop", "billing", "Billing", ["src/payment/service.py", "nowhere.py"], 1.7)], "project_id string, key string, label string, files array<string>, confidence double")
