@@ -169,14 +169,10 @@ def _linked_sql(part: str, order: str, line: str) -> str:
     """
 
 
-def _note_facts(spark, sf, parts: str, orders: str, line: str):
-    """Facts of a tree of part files and order notes; a note refers to the parts of its lines that ``line`` keeps."""
-    p, o, li = table(spark, sf, "part"), table(spark, sf, "orders"), table(spark, sf, "lineitem").join(table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey")), "l_partkey", "left_semi")
-    none = F.array().cast("array<struct<relation:string,how:string,value:string>>")
-    fact = lambda df, path, refs: df.select(F.lit("p").alias("project_id"), path.alias("path"), refs.alias("references"), F.array().cast("array<string>").alias("external"), F.lit("{}").alias("metadata"))
-    said = li.filter(line).groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_set(F.struct(F.lit("references").alias("relation"), F.lit("document").alias("how"), F.concat(F.lit("../parts/"), "l_partkey", F.lit(".py")).alias("value"))).alias("refs"))
-    notes = fact(o.filter(orders).join(said, "o_orderkey", "left"), F.concat(F.lit("orders/"), "o_orderkey", F.lit(".md")), F.coalesce("refs", none))
-    return notes.unionByName(fact(p.filter(parts), F.concat(F.lit("parts/"), "p_partkey", F.lit(".py")), none)).unionByName(fact(p.filter("p_partkey % 10 = 0"), F.concat(F.lit("attic/"), "p_partkey", F.lit(".py")), none))
+def _note_facts(tree):
+    """Facts of tree(project_id, path, parts): a note refers to the files of its parts."""
+    refs = F.transform("parts", lambda k: F.struct(F.lit("references").alias("relation"), F.lit("document").alias("how"), F.concat(F.lit("../parts/"), k, F.lit(".py")).alias("value")))
+    return tree.select("project_id", "path", refs.alias("references"), F.array().cast("array<string>").alias("external"), F.lit("{}").alias("metadata"))
 
 
 @query(f"""
@@ -186,15 +182,18 @@ def _note_facts(spark, sf, parts: str, orders: str, line: str):
 """)
 def edges_by_difference(spark, sf):
     """A tree of notes and parts is scanned; files come, go and change; edges follow from the change set and the stored references."""
-    then = _note_facts(spark, sf, "p_partkey % 7 <> 0", "o_orderkey % 11 <> 0", "true")
-    now = stored(_note_facts(spark, sf, "p_partkey % 5 <> 0", "o_orderkey % 13 <> 0", "l_orderkey % 3 <> 0 OR l_quantity > 25"), "facts")
-    signed = lambda df: df.select("project_id", "path", F.array_sort("references").alias("references"))
-    changes = stored(listing.change_set(signed(now), signed(then), ["project_id", "path"], ["references"]), "changes")
-    before = references.state(then).stored()
-    _, found = references.update(before, now.join(changes.filter("change <> 'deleted'"), ["project_id", "path"], "left_semi"), changes)
-    ends = ["source", "target"]
-    kept = before.edges().join(found.deleted, references.EDGE, "left_anti")
-    return kept.select(*ends, F.lit("kept").alias("change")).unionByName(found.deleted.select(*ends, F.lit("deleted").alias("change"))).unionByName(found.inserted.select(*ends, F.lit("inserted").alias("change")))
+    p, o, part = table(spark, sf, "part"), table(spark, sf, "orders"), F.col("l_partkey")
+    lines = table(spark, sf, "lineitem").join(p.select(F.col("p_partkey").alias("l_partkey")), "l_partkey", "left_semi")
+    said = lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_set(part)).alias("then"), F.array_sort(F.collect_set(F.when(F.expr("l_orderkey % 3 <> 0 OR l_quantity > 25"), part))).alias("now"))
+    notes, none = stored(o.select("o_orderkey").join(said, "o_orderkey", "left"), "notes"), F.array().cast("array<bigint>")
+    row = lambda df, folder, key, end, parts: df.select(F.lit("p").alias("project_id"), F.concat(F.lit(folder), key, F.lit(end)).alias("path"), F.coalesce(parts, none).alias("parts"))
+    tree = lambda orders, parts, of: row(notes.filter(orders), "orders/", "o_orderkey", ".md", F.col(of)).unionByName(row(p.filter(parts), "parts/", "p_partkey", ".py", none)).unionByName(row(p.filter("p_partkey % 10 = 0"), "attic/", "p_partkey", ".py", none))
+    then, now = tree("o_orderkey % 11 <> 0", "p_partkey % 7 <> 0", "then"), tree("o_orderkey % 13 <> 0", "p_partkey % 5 <> 0", "now")
+    changes = stored(listing.change_set(now, then, ["project_id", "path"], ["parts"]), "changes")
+    before = references.state(_note_facts(then)).stored()
+    fresh = now.join(changes.filter("change <> 'deleted'"), ["project_id", "path"], "left_semi")
+    _, found = references.update(before, _note_facts(fresh), changes)
+    return found.edges.select("source", "target", "change")
 
 
 @query("SELECT DISTINCT l_orderkey FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size < 3)")

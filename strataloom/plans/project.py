@@ -173,7 +173,7 @@ def scan(files: DataFrame, previous: DataFrame | None = None, plugins: list[extr
     read = extract.extract_files(fresh, plugins).join(fresh.select("project_id", "path", "mtime_ns"), ["project_id", "path"])
     if state is not None:
         changes, read = stored(changes, "changes"), stored(read, "facts")
-        state, _ = references.update(state, read, changes)
+        state = references.update(state, read, changes)[0].stored()
     return corrected(build(kept.unionByName(read), before, state)), changes
 
 

@@ -97,3 +97,13 @@ def test_change_sets_of_listings_drive_the_update(spark):
     _, said = references.update(references.state(rows(spark, tree)), rows(spark, {("p", "b.md"): now["p", "b.md"]}), found)
     assert [tuple(r) for r in said.inserted.select("source", "target").collect()] == [("a.md", "b.md")]
     assert said.inserted.filter(F.col("relation") != "references").count() == 0
+
+
+def test_references_of_a_folder_that_say_the_same_are_one_question(spark):
+    """A hundred notes that name one file are resolved by one row, before and after the file goes."""
+    tree = {("p", f"notes/{k}.md"): [[("references", "document", "../parts/x.py")], [], ""] for k in range(100)} | {("p", "parts/x.py"): [[], [], ""]}
+    held = references.state(rows(spark, tree)).stored()
+    assert [r.targets for r in held.answers.collect()] == [["parts/x.py"]] and held.edges().count() == 100
+    less = {k: v for k, v in tree.items() if k[1] != "parts/x.py"}
+    after, said = references.update(held, rows(spark, less).limit(0), changes(spark, tree, less))
+    assert [r.targets for r in after.answers.collect()] == [[]] and {r.change for r in said.edges.collect()} == {"deleted"} and said.edges.count() == 100
