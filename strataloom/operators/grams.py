@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import stored
+
 GRAM = 3
 PART_ROWS = 100_000
 
@@ -24,6 +26,15 @@ def index(texts: DataFrame, sizes: tuple[int, ...] = (2, 3)) -> DataFrame:
     return texts.select("id", F.explode(F.concat(*[grams(F.col("text"), n) for n in sizes])).alias("gram"))
 
 
+def asked(texts: DataFrame, patterns: DataFrame) -> DataFrame:
+    """The rows of ``index`` whose gram a pattern of patterns(pattern) has, written once: a search reads them more than once."""
+    return stored(index(texts).join(_wanted(patterns), "gram", "left_semi"), "grams")
+
+
+def _wanted(patterns: DataFrame) -> DataFrame:
+    return patterns.select(F.explode(F.when(F.length("pattern") >= GRAM, grams(F.col("pattern"))).otherwise(F.array(F.lower("pattern")))).alias("gram")).distinct()
+
+
 def selective(patterns: DataFrame, counts: DataFrame) -> DataFrame:
     """patterns(pattern) with their rarest gram and the number of its texts, from counts(gram, n); patterns with a gram that no text holds are left out."""
     size = F.least(F.length("pattern"), F.lit(GRAM))
@@ -35,8 +46,7 @@ def selective(patterns: DataFrame, counts: DataFrame) -> DataFrame:
 
 def candidates(postings: DataFrame, patterns: DataFrame) -> DataFrame:
     """(id, pattern): texts that may hold a pattern. patterns(pattern) are distinct, of two characters or more."""
-    wanted = patterns.select(F.explode(F.when(F.length("pattern") >= GRAM, grams(F.col("pattern"))).otherwise(F.array(F.lower("pattern")))).alias("gram")).distinct()
-    known = postings.join(wanted, "gram", "left_semi")
+    known = postings.join(_wanted(patterns), "gram", "left_semi")
     chosen = selective(patterns, known.groupBy("gram").agg(F.count(F.lit(1)).alias("n")))
     parts = F.ceil(F.col("n") / PART_ROWS).cast("int")
     waiting = chosen.select("pattern", "gram", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..runtime import stored
 from . import evaluate, graph, routing
 
 OUTSIDE = ("contains", "merged_into")
@@ -91,9 +92,12 @@ def candidates(cases: DataFrame, nodes: DataFrame, edges: DataFrame, limit: int
     """
     files = nodes.filter("layer = 1 AND kind = 'file'").select(F.col("key").alias("path"), "label")
     mode = lambda df, name: df.select("case_key", F.lit(name).alias("mode"), "path")
-    whole = cases.select("case_key").crossJoin(files.select("path"))  # every file for every case is what the mode means
-    routed = routing.contexts(cases, nodes, edges, file_limit=limit)["files"]
-    return mode(whole, "full-scan").unionByName(mode(routing.named_files(cases, files, limit), "filename-search")).unionByName(mode(routed, "routed"))
+    cases = stored(cases.select("case_key", "query"), "cases")
+    whole = F.broadcast(cases.select("case_key")).crossJoin(files.select("path"))  # every file for every case is what the mode means
+    # The two other modes have a few files a case; they are written, so that what reads the candidates twice ranks them once.
+    routed = stored(routing.contexts(cases, nodes, edges, file_limit=limit)["files"].select("case_key", "path"), "routed")
+    named = stored(routing.named_files(cases, files, limit).select("case_key", "path"), "named")
+    return mode(whole, "full-scan").unionByName(mode(named, "filename-search")).unionByName(mode(routed, "routed"))
 
 
 def run_suite(cases: DataFrame, found: DataFrame, files: DataFrame) -> DataFrame:
@@ -102,11 +106,11 @@ def run_suite(cases: DataFrame, found: DataFrame, files: DataFrame) -> DataFrame
     Hits are counted by joins, so no list of candidates is held in one row. Tokens are bytes by four, rounded up.
     """
     want = cases.select("case_key", F.explode(F.array_distinct("expected")).alias("path"))
-    modes = found.select("mode").distinct()
     asked = want.groupBy("case_key").agg(F.count(F.lit(1)).alias("expected"))
     hit = found.distinct().join(want.withColumn("hit", F.lit(1)), ["case_key", "path"], "left").join(files.select("path", "size"), "path", "left")
-    got = hit.groupBy("case_key", "mode").agg(F.count(F.lit(1)).alias("candidates"), F.sum(F.coalesce("hit", F.lit(0))).alias("hits"), F.sum(F.coalesce("size", F.lit(0))).alias("bytes"))
+    got = stored(hit.groupBy("case_key", "mode").agg(F.count(F.lit(1)).alias("candidates"), F.sum(F.coalesce("hit", F.lit(0))).alias("hits"), F.sum(F.coalesce("size", F.lit(0))).alias("bytes")), "runs")
     total = files.agg(F.count(F.lit(1)).alias("all_files"), F.sum("size").alias("all_bytes"))
+    modes = got.select("mode").distinct()
     rows = cases.select("case_key").crossJoin(modes).join(got, ["case_key", "mode"], "left").join(asked, "case_key", "left").crossJoin(total)  # few cases, three modes, one row
     zero = lambda c: F.coalesce(c, F.lit(0))
     n, h, m = zero("candidates"), zero("hits"), zero("expected")

@@ -36,8 +36,10 @@ def scored(queries: DataFrame, nodes: DataFrame) -> DataFrame:
     concept = (F.col("layer") == 2) & (F.col("kind") == "concept")
     inactive = concept & ~F.coalesce("active", F.lit(True))
     text = nodes.select("id", F.concat_ws("\x00", F.lower("label"), F.lower("key"), F.lower(F.coalesce("data", F.lit("")))).alias("text"))
-    terms = query_terms(queries)
-    held = grams.containing(text, terms.select(F.col("term").alias("pattern"))).withColumnRenamed("pattern", "term")
+    # Each step is written, so no plan grows with the steps before it and the driver holds none that does.
+    terms = stored(query_terms(queries), "terms")
+    sought = terms.select(F.col("term").alias("pattern"))
+    held = stored(grams.containing(text, sought, grams.asked(text, sought)), "held").withColumnRenamed("pattern", "term")
     label, key, data, term = F.lower("label"), F.lower("key"), F.lower("data"), F.col("term")
     inside = lambda c, x: F.when(F.contains(c, term), x).otherwise(0.0)
     part = F.when(label == term, 9.0).otherwise(inside(label, 5.0)) + F.when(key == term, 6.0).otherwise(inside(key, 3.0)) + inside(data, 1.0) + F.when(F.col("whole"), inside(label, 12.0) + inside(key, 8.0)).otherwise(0.0)
@@ -85,9 +87,10 @@ def named_files(queries: DataFrame, files: DataFrame, limit: int = 12) -> DataFr
 
     A term counts 10 if it is the whole path or label, else 4 and a tenth of its length up to ten in the path, else 3 in the label.
     """
-    terms = query_terms(queries).select("case_key", "term").distinct()
+    terms = stored(query_terms(queries).select("case_key", "term").distinct(), "terms")
     text = files.select(F.col("path").alias("id"), F.concat_ws("\x00", F.lower("path"), F.lower(F.coalesce("label", "path"))).alias("text"))
-    held = grams.containing(text, terms.select(F.col("term").alias("pattern"))).select(F.col("id").alias("path"), F.col("pattern").alias("term"))
+    sought = terms.select(F.col("term").alias("pattern"))
+    held = stored(grams.containing(text, sought, grams.asked(text, sought)), "held").select(F.col("id").alias("path"), F.col("pattern").alias("term"))
     path, label, term = F.lower("path"), F.lower(F.coalesce("label", "path")), F.col("term")
     share = F.when((path == term) | (label == term), 10.0).when(F.contains(path, term), 4.0 + F.least(F.length(term), F.lit(10)) / 10).when(F.contains(label, term), 3.0).otherwise(0.0)
     score = held.join(files.select("path", "label"), "path").join(terms, "term").groupBy("case_key", "path").agg(F.round(F.sum(share), 6).alias("score")).filter("score > 0")

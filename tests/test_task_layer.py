@@ -416,3 +416,12 @@ def test_grammars():
     assert g.package == "m" and [v for _, _, v in g.references] == ["fmt", "example.com/y", "os"] and g.symbols == [("type", "T"), ("function", "Run")]
     assert grammar.headings("# A b #\n####### no\n##x\n## C") == ["A b", "C"]
     assert list(grammar.links('[a](x.md "t") ![i](p.png) [[N#h|l]] [no] (y) [b](<>)'))[:3] == [("a", "x.md"), ("i", "p.png"), ("", "N")]
+
+
+def test_candidates_of_a_suite_are_ranked_before_they_are_read(spark):
+    """What reads the candidates, even twice, has no ranking in its plan."""
+    cases = spark.createDataFrame([("c", "alpha")], "case_key string, query string")
+    nodes = spark.createDataFrame([("f1", 1, "file", "src/alpha.py", "alpha.py", "{}", True, []), ("f2", 1, "file", "src/b.py", "b.py", "{}", True, [])], "id string, layer int, kind string, key string, label string, data string, active boolean, aliases array<string>")
+    found = reports.candidates(cases, nodes, spark.createDataFrame([], "source_id string, relation string, target_id string"))
+    assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(tuple(r) for r in found.collect()) == [("c", "filename-search", "src/alpha.py"), ("c", "full-scan", "src/alpha.py"), ("c", "full-scan", "src/b.py"), ("c", "routed", "src/alpha.py")]
