@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..functions import scalars as S
 from ..operators import layer3, lifecycle, overlay, reports, routing
-from ..runtime import importable, table, working_folder
+from ..runtime import importable, stored, table, working_folder
 from ..sources import eventlog
 from ..streaming import tasks
 from .registry import query
@@ -152,10 +152,13 @@ def stream_l3(spark, sf):
 @query(f"WITH {LOG_SQL}, {STATE_SQL}")
 def backfill_round_trip(spark, sf):
     """State to log to state: the lines that the state implies are put in order, read and replayed."""
-    state = layer3.merged(layer3.partials(layer3.active_lines(typed_log(spark, sf).withColumn("session", F.concat(F.lit("a:"), "session")))))
-    lines = eventlog.in_order(layer3.backfill(state), layer3.BACKFILL_ORDER)
+    # Both replays keep their lines and partials in tables; a plan that derives them anew for every reader shuffles the log as often.
+    first, second = (layer3.TaskState(spark, working_folder(spark, "task-state")) for _ in range(2))
+    first.fold(typed_log(spark, sf).withColumn("session", F.concat(F.lit("a:"), "session")))
+    lines = eventlog.in_order(layer3.backfill(layer3.merged(first.partials())), layer3.BACKFILL_ORDER)
+    second.fold(stored(layer3.typed(eventlog.parsed(lines)), "typed"), strict=True)
     nothing = spark.createDataFrame([], "project_id string, key string")
-    got = task_states(layer3.replay(layer3.typed(eventlog.parsed(lines)), nothing, nothing, strict=True))
+    got = task_states(second.tables(nothing, nothing))
     return got.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("created_at", "closed_at")})
 
 

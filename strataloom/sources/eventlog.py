@@ -66,8 +66,8 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def in_order(lines: DataFrame, order: list[str]) -> DataFrame:
-    """``lines`` with seq, their place in the order of the columns ``order``: numbers rise from one range of a range sort to the next, with gaps; stored."""
-    return stored(lines.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("seq", F.monotonically_increasing_id()), "log")
+    """(seq, value) of ``lines``, seq their place in the order of the columns ``order``: numbers rise from one range of a range sort to the next, with gaps; stored."""
+    return stored(lines.repartitionByRange(*order).sortWithinPartitions(*order).select(F.monotonically_increasing_id().alias("seq"), "value"), "log")
 
 
 def session_events(lines: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strataloom.operators import grams, layer3, lifecycle, overlay, reports, routing, search, semantic
-from strataloom.plans import vault
+from strataloom.plans import replay_queries, vault
 from strataloom.sources import eventlog, grammar, store
 from strataloom.streaming import tasks
 
@@ -425,3 +425,9 @@ def test_candidates_of_a_suite_are_ranked_before_they_are_read(spark):
     found = reports.candidates(cases, nodes, spark.createDataFrame([], "source_id string, relation string, target_id string"))
     assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(tuple(r) for r in found.collect()) == [("c", "filename-search", "src/alpha.py"), ("c", "full-scan", "src/alpha.py"), ("c", "full-scan", "src/b.py"), ("c", "routed", "src/alpha.py")]
+
+
+def test_round_trip_reads_the_lines_of_both_replays_from_tables(spark, sf):
+    """What the result reads is a state that is written: it derives no running task again."""
+    got = replay_queries.backfill_round_trip(spark, sf)
+    assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
