@@ -288,11 +288,15 @@ class TaskState:
         active = self.add(active_lines(events, self.known(), project), max(self.pieces(), default=-1) + 1)
         return report(events, active)
 
-    def add(self, active: DataFrame, piece: int) -> DataFrame:
-        """Write a piece's lines, as ``active_lines`` gives them, and their partials; the lines read again."""
+    def add(self, active: DataFrame, piece: int, empty: bool = True) -> DataFrame:
+        """Write a piece's lines, as ``active_lines`` gives them, and their partials; the lines read again. Unless ``empty``, no lines make no piece."""
         lines = f"{self.root}/lines/piece={piece}"
         active.write.mode("overwrite").parquet(lines)
         active = self.spark.read.parquet(lines)
+        if not empty and active.isEmpty():
+            system, p = self._fs(lines)
+            system.delete(p, True)
+            return active
         for name, df in partials(active).items():
             if name != "lines":
                 df.write.mode("overwrite").parquet(f"{self.root}/{name}/piece={piece}")

@@ -4,7 +4,8 @@ A line's place in the log (seq) is its event time, one second a place: files may
 more than ``late`` places behind a later one. Repeated event ids are dropped within that distance by the engine's own state.
 Closes meet the creation of their task in a stream-stream join, which gives them their session and drops those of unknown tasks
 (the ids of tasks are created once). Then ``Sessions`` keeps a session's lines until the watermark has passed them, folds them
-in the order of the log and emits them with the session's running task before and after each.
+in the order of the log and emits them with the session's running task before and after each. Its keys are buckets of sessions,
+so calls to keyed state grow with buckets, and once a release with sessions, but not with lines.
 
 Each trigger adds its lines and their partials to a ``layer3.TaskState`` as a piece of its own and reads nothing back, so its cost
 does not grow with what was streamed before; a trigger that is repeated writes the same piece again.
@@ -12,9 +13,11 @@ does not grow with what was streamed before; a trigger that is repeated writes t
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,11 +25,20 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators import layer3
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STORE = {  # keyed state needs RocksDB; a commit writes what changed instead of a snapshot
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+PARTITIONS = "spark.sql.shuffle.partitions"
 TIMES = {"timestampFormat": "yyyy-MM-dd HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS"}  # lines travel as JSON without losing digits
 FLUSH = "flush"  # the type of a line that only moves the watermark
 STATE = T.StructType([T.StructField("started", T.StringType()), T.StructField("active", T.StringType())])
-PENDING = T.StructType([T.StructField("seq", T.LongType()), T.StructField("event_type", T.StringType()), T.StructField("task", T.StringType()), T.StructField("line", T.StringType())])
+SESSION = T.StructType([T.StructField("named", T.BooleanType()), T.StructField("session", T.StringType())])  # a line may name no session
+PENDING = T.StructType([T.StructField("lines", T.BinaryType())])
+DUE = T.StructType([T.StructField("seq", T.LongType())])
+HELD = pa.schema([("session", pa.string()), ("seq", pa.int64()), ("event_type", pa.string()), ("task", pa.string()), ("line", pa.string())])
+BUCKETS = 512  # keys of state; a session lies in one
+FRAME_ROWS = 10_000  # of a frame that is given out
 OUTPUT = T.StructType([T.StructField("line", T.StringType()), T.StructField("session", T.StringType()), T.StructField("started", T.StringType()), T.StructField("before", T.StringType()), T.StructField("active_task", T.StringType())])
 
 
@@ -43,35 +55,74 @@ def folded(rows: list[tuple], started: str | None, active: str | None) -> tuple[
     return out, started, active
 
 
+def packed(lines: pd.DataFrame) -> bytes:
+    table = pa.Table.from_pandas(lines, HELD, preserve_index=False)
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, HELD, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+        w.write_table(table)
+    return out.getvalue().to_pybytes()
+
+
+def unpacked(chunk: bytes) -> list[tuple]:
+    table = pa.ipc.open_stream(chunk).read_all()
+    return list(zip(*(table[c].to_pylist() for c in HELD.names), strict=True))
+
+
 class Sessions(StatefulProcessor):
-    """Value state: the task that a session started last and its running one. List state: lines that the watermark has not passed."""
+    """The sessions of a bucket. Map state: the task that each started last and its running one. List state: packed lines that the watermark has not passed. Value state: when the timer is due.
+
+    A call to keyed state costs as much for a line as for thousands, so lines are kept by trigger and bucket, not one by one.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("state", STATE)
+        self.state = handle.getMapState("state", SESSION, STATE)
         self.pending = handle.getListState("pending", PENDING)
+        self.due = handle.getValueState("due", DUE)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = [tuple(None if pd.isna(x) else x for x in r) for frame in rows for r in frame[PENDING.names].itertuples(index=False, name=None)]
-        if new:
-            self.pending.appendList([(int(r[0]), *r[1:]) for r in new])
-            self.handle.registerTimer((min(int(r[0]) for r in new) + 1) * 1000)
+        first = None
+        for frame in rows:
+            if len(frame):
+                self.pending.appendValue((packed(frame),))
+                least = int(frame["seq"].min())
+                first = least if first is None else min(first, least)
+        if first is not None:
+            known = self.due.get()
+            if known is None or first < known[0]:
+                if known is not None:
+                    self.handle.deleteTimer((known[0] + 1) * 1000)
+                self.wake(first)
         return iter([])
 
+    def wake(self, seq: int) -> None:
+        self.handle.registerTimer((seq + 1) * 1000)
+        self.due.update((seq,))
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() // 1000
-        held = sorted(tuple(r) for r in self.pending.get())
-        due = [r for r in held if r[0] < passed]
-        rest = held[len(due) :]
-        out, started, active = folded(due, *(self.state.get() if self.state.exists() else (None, None)))
-        self.state.update((started, active))
+        due, rest = defaultdict(list), []
+        for (chunk,) in self.pending.get():
+            for session, *line in unpacked(chunk):
+                (due[session] if line[0] < passed else rest).append((session, *line))
         if rest:
-            self.pending.put(rest)
-            self.handle.registerTimer((rest[0][0] + 1) * 1000)
+            self.pending.put([(packed(pd.DataFrame(rest, columns=HELD.names)),)])
+            self.wake(min(r[1] for r in rest))
         else:
             self.pending.clear()
-        if out:
-            yield pd.DataFrame([(line, key[0], *more) for line, *more in out], columns=OUTPUT.names)
+            self.due.clear()
+        released, stored = [], self.state.exists()
+        for session, lines in due.items():
+            at = (session is not None, session or "")
+            known = self.state.getValue(at) if stored else None
+            before = tuple(known) if known is not None else (None, None)
+            lines.sort(key=lambda r: (r[1], r[2], r[3] or "", r[4]))
+            out, *after = folded([r[1:] for r in lines if r[2] != FLUSH], *before)
+            if tuple(after) != before:
+                self.state.updateValue(at, tuple(after))
+            released += [(line, session, *more) for line, *more in out]
+        for k in range(0, len(released), FRAME_ROWS):
+            yield pd.DataFrame(released[k : k + FRAME_ROWS], columns=OUTPUT.names)
 
     def close(self) -> None:
         pass
@@ -86,10 +137,11 @@ def active_stream(lines: DataFrame, late: int) -> DataFrame:
     closes = clean.filter("event_type = 'task_closed'").join(births, known).withColumn("session", F.coalesce("session", "_owner")).drop("_project", "_task", "_born", "_owner")
     every = clean.filter("event_type <> 'task_closed'").unionByName(closes)
     columns = [c for c in lines.columns if c != "session"]
-    packed = every.select(F.col("session"), "seq", "event_type", "task", F.to_json(F.struct(*columns), TIMES).alias("line"), "at")
-    out = packed.groupBy("session").transformWithStateInPandas(Sessions(), OUTPUT, "Append", "EventTime")
+    bucket = F.pmod(F.xxhash64("session"), F.lit(BUCKETS)).alias("bucket")
+    every = every.select(bucket, "session", "seq", "event_type", "task", F.to_json(F.struct(*columns), TIMES).alias("line"), "at")
+    out = every.groupBy("bucket").transformWithStateInPandas(Sessions(), OUTPUT, "Append", "EventTime")
     shape = T.StructType([lines.schema[c] for c in columns])
-    return out.filter(F.get_json_object("line", "$.event_type") != FLUSH).select(F.from_json("line", shape, TIMES).alias("l"), "session", "started", "before", "active_task").select("l.*", "session", "started", "before", "active_task")
+    return out.select(F.from_json("line", shape, TIMES).alias("l"), "session", "started", "before", "active_task").select("l.*", "session", "started", "before", "active_task")
 
 
 def flush_line(lines: DataFrame, seq: int) -> DataFrame:
@@ -98,13 +150,22 @@ def flush_line(lines: DataFrame, seq: int) -> DataFrame:
     return lines.sparkSession.range(1).select(*[values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in lines.schema])
 
 
-def stream_into(lines: DataFrame, state: layer3.TaskState, offsets: str, late: int):
-    """Start a query that folds a stream of typed ``lines`` into ``state``, a piece for each trigger that releases lines; it ends when the source holds no more."""
+def stream_into(lines: DataFrame, state: layer3.TaskState, offsets: str, late: int, partitions: int | None = None):
+    """Start a query that folds a stream of typed ``lines`` into ``state``, a piece for each trigger that releases lines; it ends when the source holds no more.
+
+    Each trigger commits a store for every stateful step and partition, however few its lines are, so ``partitions`` is the number of cores unless given.
+    """
     spark: SparkSession = lines.sparkSession
 
     def add(batch: DataFrame, number: int) -> None:
-        if not batch.isEmpty():
-            state.add(batch, number)
-
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)  # keyed state needs it
-    return active_stream(lines, late).writeStream.outputMode("append").foreachBatch(add).option("checkpointLocation", offsets).trigger(availableNow=True).start()
+        state.add(batch, number, empty=False)
+
+    # The query keeps the settings that it starts with; the session gets its own back.
+    own = {k: spark.conf.get(k, None) for k in STORE} | {PARTITIONS: spark.conf.get(PARTITIONS)}
+    for k, v in (STORE | {PARTITIONS: str(partitions or spark.sparkContext.defaultParallelism)}).items():
+        spark.conf.set(k, v)
+    try:
+        return active_stream(lines, late).writeStream.outputMode("append").foreachBatch(add).option("checkpointLocation", offsets).trigger(availableNow=True).start()
+    finally:
+        for k, v in own.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

@@ -153,6 +153,38 @@ def test_a_stream_equals_the_whole_log(spark, tmp_path):
     assert whole == expected and whole["tasks"] and whole["edges"]
 
 
+def test_a_stream_of_many_sessions_keeps_few_keys(spark, tmp_path):
+    """Three files of which each releases lines of the one before: 1500 sessions of one and the same trigger share keys of state, and some lines name no session."""
+    r = random.Random(8)
+    rows, slice_ = [], 2000
+    for k in range(3 * slice_):
+        x = {"agent": "a", "external_session_id": f"s{k % 1500}"}
+        t = r.choice(["session_upsert", "session_end", "task_created", "task_event", "task_event", "task_closed"])
+        if t == "task_created":
+            x |= {"task_id": f"t{k}"}
+        elif t == "task_closed":
+            x = ({} if k % 2 else x) | {"task_id": f"t{r.randrange(k + 50)}", "status": "completed"}
+        elif t == "task_event":
+            x = ({} if k % 5 == 0 else x) | {"event_type": "read", "paths": [f"f{k % 7}"]} | ({"task_id": f"t{r.randrange(k + 1)}"} if k % 5 == 1 else {})
+        rows.append((k, f"n{k}", t, f"2024-01-01 {k}", "p", json.dumps(x), None))
+    typed = layer3.typed(spark.createDataFrame(rows, "seq long, event_id string, event_type string, created_at string, project_id string, payload string, error string"))
+    log = f"file://{tmp_path}/log"
+    for k in range(3):
+        piece = typed.filter(F.floor(F.col("seq") / slice_) == k)
+        piece.unionByName(piece.filter("seq % 20 = 7")).repartition(3).sortWithinPartitions(F.xxhash64("event_id")).coalesce(1).withColumn("_k", F.lit(k)).write.mode("append").partitionBy("_k").parquet(log)
+    tasks.flush_line(typed, 100_000).withColumn("_k", F.lit(9)).write.mode("append").partitionBy("_k").parquet(log)
+    stream = spark.readStream.schema(typed.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(log)
+    state, own = layer3.TaskState(spark, f"file://{tmp_path}/streamed"), dict(spark.conf.getAll)
+    query = tasks.stream_into(stream, state, f"file://{tmp_path}/offsets", slice_ + 300)
+    query.awaitTermination()
+    nothing = spark.createDataFrame([], "project_id string, key string")
+    assert rows_of(state.tables(nothing, nothing)) == rows_of(layer3.replay(typed, nothing, nothing)) and len(state.pieces()) >= 2
+    first = next(p for p in query.recentProgress if p["batchId"] == 0)
+    kept = [o["numRowsTotal"] for o in first["stateOperators"] if o["operatorName"].startswith("transformWithState")]
+    assert kept and kept[0] <= 1100
+    assert dict(spark.conf.getAll) == own
+
+
 def test_hooks_equal_a_sequential_ingest(spark):
     r = random.Random(3)
     rows, want, running = [], [], {}
