@@ -25,9 +25,10 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators import layer3
 
-STORE = {  # keyed state needs RocksDB; a commit writes what changed instead of a snapshot
+STORE = {  # keyed state needs RocksDB; a commit writes what changed instead of a snapshot; the stores of an executor share one bound of memory
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
 }
 PARTITIONS = "spark.sql.shuffle.partitions"
 TIMES = {"timestampFormat": "yyyy-MM-dd HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS"}  # lines travel as JSON without losing digits
